@@ -32,7 +32,7 @@ def category_share(df: DataFrame, dim: str, measure: str, digits: int = 2) -> Da
     return (
         sums.withColumn("w", whole).where(F.col("w.n").between(2, 6))
         .select("label", F.round("value", digits).alias("value"),
-                F.round(F.col("value") / F.col("w.total") * 100, 2).alias("share_pct"))
+                F.round(F.try_divide("value", "w.total") * 100, 2).alias("share_pct"))
     )
 
 
@@ -103,5 +103,5 @@ def bubble_points(df: DataFrame, x: str, y: str, z: str, keys: Sequence[str], to
         *keys, number(x).alias("x"), number(y).alias("y"), number(z).alias("z")
     )
     largest = pts.agg(F.max(F.abs("z")).alias("m")).scalar()
-    r = F.greatest(F.least(F.abs("z") / largest * 25, F.lit(25.0)), F.lit(2.0))
+    r = F.greatest(F.least(F.try_divide(F.abs("z"), largest) * 25, F.lit(25.0)), F.lit(2.0))
     return pts.where(largest > 0).select(*keys, "x", "y", F.round(r, 4).alias("radius"))

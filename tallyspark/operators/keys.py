@@ -79,12 +79,14 @@ def value_signatures(tables: dict[str, DataFrame], columns: Sequence[tuple[str,
 
 def _members(n: int) -> Column:
     """Array of the column ids whose bit is set."""
-    parts = []
-    for w in range((n - 1) // WORD_BITS + 1):
-        ids = F.sequence(F.lit(w * WORD_BITS), F.lit(min(n, (w + 1) * WORD_BITS) - 1))
-        parts.append(F.filter(ids, lambda i, w=w: F.expr(f"m{w}").bitwiseAND(
-            F.pow(F.lit(2.0), i - w * WORD_BITS).cast("bigint")) != 0))
-    return F.concat(*parts)
+    def in_word(w: int) -> Column:
+        def is_set(i: Column) -> Column:
+            bit = F.pow(F.lit(2.0), i - w * WORD_BITS).cast("bigint")
+            return F.col(f"m{w}").bitwiseAND(bit) != 0
+
+        return F.filter(F.sequence(F.lit(w * WORD_BITS), F.lit(min(n, (w + 1) * WORD_BITS) - 1)), is_set)
+
+    return F.concat(*[in_word(w) for w in range((n - 1) // WORD_BITS + 1)])
 
 
 def containment(

@@ -62,10 +62,10 @@ def zscore_outliers(
     flagged = F.filter(
         cells,
         lambda t: (t["s"]["n"] >= min_rows) & (t["s"]["sd"] > 0)
-        & (F.abs((t["value"] - t["s"]["mean"]) / t["s"]["sd"]) > limit_z),
+        & (F.abs(F.try_divide(t["value"] - t["s"]["mean"], t["s"]["sd"])) > limit_z),
     )
     rows = df.withColumn("s", moments(df, columns)).select(*keys, F.inline(flagged))
-    z = (F.col("value") - F.col("s.mean")) / F.col("s.sd")
+    z = F.try_divide(F.col("value") - F.col("s.mean"), F.col("s.sd"))
     return rows.select(*keys, "column", F.round("value", 2).alias("value"), F.round(z, 2).alias("z_score"))
 
 

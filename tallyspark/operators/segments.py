@@ -39,8 +39,8 @@ def segments(df: DataFrame, dims: Sequence[str], measure: str, digits: int = 2)
 def dominant_segments(df: DataFrame, dims: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Findings: a group with at least 20 % of a measure, or three of more than three groups with 60 %."""
     s = _head_shares(df, dims[:2], measures).where(F.col("total") != 0)
-    top = F.col("top_value") / F.col("total") * 100
-    top3 = F.col("top3_value") / F.col("total") * 100
+    top = F.try_divide("top_value", "total") * 100
+    top3 = F.try_divide("top3_value", "total") * 100
     lead = F.when(top >= 20, F.struct(
         F.lit("dominant").alias("kind"), F.col("top_label").alias("label"), top.alias("share_pct"),
         band(top, (60, "high"), (35, "medium"), otherwise="low").alias("confidence"),
@@ -71,7 +71,7 @@ def concentration(df: DataFrame, kinds: dict[str, str], measure: str) -> DataFra
 def volatility(df: DataFrame, measures: Sequence[str], digits: int = 6) -> DataFrame:
     """Coefficient of variation per measure; the widest above 0.5 and the narrowest below 0.15 are named."""
     cells = F.array(*[
-        F.struct(F.lit(m).alias("column"), (F.stddev_samp(number(m)) / F.abs(F.avg(number(m)))).alias("cv"))
+        F.struct(F.lit(m).alias("column"), F.try_divide(F.stddev_samp(number(m)), F.abs(F.avg(number(m)))).alias("cv"))
         for m in measures
     ])
     cv = df.agg(cells.alias("c")).select(F.inline("c")).where(F.col("cv").isNotNull())

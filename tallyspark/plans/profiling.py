@@ -165,7 +165,7 @@ def _names_sql(cond: str) -> str:
     return f"array_to_string(list_filter([{inner}], lambda x: x IS NOT NULL), ',')"
 
 
-SQL_DATA_QUALITY = f"""WITH {MESSY_SQL}, d AS (SELECT sum(n - 1)::BIGINT AS dup FROM (SELECT count(*) AS n FROM messy GROUP BY ALL)),
+SQL_DATA_QUALITY = f"""WITH {MESSY_SQL}, d AS (SELECT sum(n - 1)::BIGINT AS dup FROM (SELECT count(*) AS n FROM messy GROUP BY {', '.join(MESSY_COLUMNS)})),
 s AS (SELECT count(*) AS n, {' + '.join(f'(count(*) - count({c}))' for c in MESSY_COLUMNS)} AS nulls,
   {_names_sql('(count(*) - count({c})) / count(*) >= 0.4')} AS high_null_columns,
   {_names_sql('count(DISTINCT {c}) <= 1')} AS constant_columns FROM messy)
@@ -189,8 +189,8 @@ SQL_QUALITY_WARNINGS = f"WITH {MESSY_SQL}, m AS (SELECT * FROM messy UNION ALL S
     CASE WHEN count(DISTINCT v) = 1 AND count(v) > 1 THEN 'Column ''{c}'' is constant.' END,
     CASE WHEN count(*) FILTER (v IS NOT NULL AND raw <> v) > 0 THEN 'Column ''{c}'' has ' || count(*) FILTER (v IS NOT NULL AND raw <> v)
       || ' value(s) with surrounding whitespace.' END]) AS warning FROM {value_sql('m', c)}) WHERE warning IS NOT NULL"""
-    for c in MESSY_COLUMNS) + """
-UNION ALL SELECT '(table)', sum(n - 1)::BIGINT || ' duplicate row(s) detected.' FROM (SELECT count(*) AS n FROM m GROUP BY ALL) HAVING sum(n - 1) > 0"""
+    for c in MESSY_COLUMNS) + f"""
+UNION ALL SELECT '(table)', sum(n - 1)::BIGINT || ' duplicate row(s) detected.' FROM (SELECT count(*) AS n FROM m GROUP BY {', '.join(MESSY_COLUMNS)}) HAVING sum(n - 1) > 0"""
 
 
 def _events_text(spark, sf):
@@ -207,8 +207,8 @@ def q_column_roles(spark, sf):
 
 SQL_COLUMN_ROLES = f"WITH {EVENTS_TEXT_SQL} " + union_all(
     f"""SELECT '{c}' AS "column", CASE WHEN count({c}) = 0 THEN 'unknown' WHEN num >= 0.8 THEN 'numeric' WHEN dt >= 1 THEN 'datetime' ELSE 'category' END AS role,
-  round(coalesce(num, 0), 4) AS numeric_share, round(coalesce(dt, 0), 4) AS datetime_share
-FROM (SELECT *, count(TRY_CAST({c} AS DOUBLE)) OVER () / count({c}) OVER () AS num, count(TRY_CAST({c} AS TIMESTAMP)) OVER () / count({c}) OVER () AS dt FROM e)
+  round(coalesce(num, 0), 4) AS numeric_share, round(CASE WHEN num >= 0.8 THEN 0 ELSE coalesce(dt, 0) END, 4) AS datetime_share
+FROM (SELECT *, count(TRY_CAST({c} AS DOUBLE)) OVER () / nullif(count({c}) OVER (), 0) AS num, count(TRY_CAST({c} AS TIMESTAMP)) OVER () / nullif(count({c}) OVER (), 0) AS dt FROM e)
 GROUP BY num, dt""" for c in (*EVENT_COLUMNS, "nothing"))
 
 
