@@ -39,8 +39,8 @@ def measure_text(value: Column) -> Column:
     """1.23M from a million on, 1,234 from a thousand on, 123.4 from a hundred on, else 1.23."""
     size = F.abs(value)
     return (
-        F.when(size >= 1_000_000, F.format_string("%.2fM", value / 1_000_000))
-        .when(size >= 1_000, F.format_string("%,.0f", value))
-        .when(size >= 100, F.format_string("%,.1f", value))
-        .otherwise(F.format_string("%,.2f", value))
+        F.when(size >= 1_000_000, F.format_string("%.2fM", F.bround(value / 1_000_000, 2)))
+        .when(size >= 1_000, F.format_string("%,.0f", F.bround(value, 0)))
+        .when(size >= 100, F.format_string("%,.1f", F.bround(value, 1)))
+        .otherwise(F.format_string("%,.2f", F.bround(value, 2)))
     )

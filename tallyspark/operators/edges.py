@@ -10,12 +10,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tallyspark.session import small_frame
 
 EDGE = ["source_table", "source_column", "target_table", "target_column"]
 
 
 def edge_rows(spark, edges: Sequence[tuple[str, str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(list(edges), ", ".join(f"{c} string" for c in EDGE))
+    return small_frame(spark, list(edges), ", ".join(f"{c} string" for c in EDGE))
 
 
 def catalog(tables: dict[str, DataFrame]) -> DataFrame:
@@ -25,7 +26,7 @@ def catalog(tables: dict[str, DataFrame]) -> DataFrame:
         (t, f.name, i, f.dataType.simpleString())
         for t, df in tables.items() for i, f in enumerate(df.schema.fields, start=1)
     ]
-    return spark.createDataFrame(rows, "table string, column string, ordinal int, data_type string")
+    return small_frame(spark, rows, "table string, column string, ordinal int, data_type string")
 
 
 def canonical_edges(edges: DataFrame, columns: DataFrame) -> DataFrame:

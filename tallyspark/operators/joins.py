@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from tallyspark.session import small_frame
 
 
 @dataclass(frozen=True)
@@ -117,7 +118,7 @@ def term_grounding(df: DataFrame, key: str, text: str, synonyms: dict[str, tuple
     """
     synonyms = synonyms or SYNONYMS
     pairs = [(term, word) for term, group in synonyms.items() for word in sorted({term, *group})]
-    vocabulary = df.sparkSession.createDataFrame(pairs, "term string, form string")
+    vocabulary = small_frame(df.sparkSession, pairs, "term string, form string")
     # `boxes` is looked up as boxes, boxe; `ss` endings are stripped letter by letter, `ies` also to `y`.
     word = F.col("word")
     forms = F.filter(
@@ -139,8 +140,8 @@ def term_grounding(df: DataFrame, key: str, text: str, synonyms: dict[str, tuple
 
 def vocabulary_counts(df: DataFrame, text: str) -> DataFrame:
     """Distinct alphabetic words of a text column with the number of texts they are in."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(?<![a-z0-9_])([a-z]+)(?![a-z0-9_])"), F.lit(1)))
-    return df.select(F.explode(words).alias("word")).groupBy("word").agg(F.count("*").alias("texts"))
+    whole = F.array_distinct(F.split(F.lower(text), "[^a-z0-9_]+"))
+    return df.select(F.explode(F.filter(whole, lambda w: w.rlike("^[a-z]+$"))).alias("word")).groupBy("word").agg(F.count("*").alias("texts"))
 
 
 def fuzzy_vocab_join(tokens: DataFrame, vocabulary: DataFrame, threshold: float = 0.8) -> DataFrame:

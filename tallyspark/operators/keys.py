@@ -18,6 +18,7 @@ from pyspark.sql import Window as W
 
 from tallyspark.functions import names
 from tallyspark.operators.profile import null_stats
+from tallyspark.session import small_frame
 
 WORD_BITS = 62
 MIN_OVERLAP = 0.85
@@ -109,8 +110,8 @@ def containment(
         .where((F.col("s") != F.col("t")) & F.col("t").isin(*wanted))
         .groupBy("s", "t").agg(F.sum("values").alias("matched"))
     )
-    catalog = single.sparkSession.createDataFrame(
-        [(i, t, c) for i, (t, c) in enumerate(columns)], "id int, table string, column string"
+    catalog = small_frame(
+        single.sparkSession, [(i, t, c) for i, (t, c) in enumerate(columns)], "id int, table string, column string"
     )
     sized = single.join(catalog, "id")
 
@@ -153,7 +154,7 @@ def key_stats(tables: dict[str, DataFrame], columns: Sequence[tuple[str, str]])
         F.min("num").alias("low"), F.max("num").alias("high"), F.count("num").alias("whole"),
     )
     spark = stats.sparkSession
-    catalog = spark.createDataFrame([(i, t, c) for i, (t, c) in enumerate(columns)], "id int, table string, column string")
+    catalog = small_frame(spark, [(i, t, c) for i, (t, c) in enumerate(columns)], "id int, table string, column string")
     rows = None
     for name in dict.fromkeys(t for t, _ in columns):
         one = tables[name].agg(F.count("*").alias("rows")).select(F.lit(name).alias("table"), "rows")
@@ -323,7 +324,7 @@ def best_targets(
     """The data-supported best target of each source column, and whether the data can tell it from others."""
     columns = sorted({(c.source_table, c.source_column) for c in candidates} | {(c.target_table, c.target_column) for c in candidates})
     targets = sorted({(c.target_table, c.target_column) for c in candidates})
-    facts = spark.createDataFrame([tuple(vars(c).values()) for c in candidates], CANDIDATE_SCHEMA)
+    facts = small_frame(spark, [tuple(vars(c).values()) for c in candidates], CANDIDATE_SCHEMA)
     measured = containment(tables, columns, targets)
     return rank_targets(facts, measured, source_rows(tables, columns), minimum)
 
@@ -449,7 +450,7 @@ def discover_edges(
     best = best_targets(spark, tables, candidates)
     named = [c for c in candidates if c.name_match and c.points_elsewhere and not c.composite_member]
     if named:
-        facts = spark.createDataFrame([tuple(vars(c).values()) for c in named], CANDIDATE_SCHEMA)
+        facts = small_frame(spark, [tuple(vars(c).values()) for c in named], CANDIDATE_SCHEMA)
         rows = source_rows(tables, sorted({(c.source_table, c.source_column) for c in named}))
         src = ["source_table", "source_column"]
         alone = facts.join(best.select(*src), src, "left_anti").join(rows, src)

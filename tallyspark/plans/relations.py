@@ -9,6 +9,7 @@ from tallyspark.operators import edges, joins, keys, profile
 from tallyspark.operators.keys import candidate_pairs, primary_keys_by_name
 from tallyspark.plans.insight import union_all
 from tallyspark.plans.views import KNOWN_EDGES, RENAMED, renamed_sql, renamed_tables, table
+from tallyspark.session import small_frame
 
 # --- containment on the given tables -----------------------------------------------------------
 
@@ -261,7 +262,7 @@ SELECT tp, fp, fn, round(tp / (tp + fp), 4) AS precision, round(tp / (tp + fn),
 
 
 def _key_rows(spark):
-    return spark.createDataFrame([(t, c) for t, cols in PRIMARY_KEYS.items() for c in cols], "table string, column string")
+    return small_frame(spark, [(t, c) for t, cols in PRIMARY_KEYS.items() for c in cols], "table string, column string")
 
 
 def q_edge_trust(spark, sf):
@@ -287,7 +288,7 @@ ITEM_KEY = [("order_items", "order_id"), ("order_items", "product_id"), ("orders
 
 
 def q_junction_tables(spark, sf):
-    members = spark.createDataFrame(ITEM_KEY, "table string, column string")
+    members = small_frame(spark, ITEM_KEY, "table string, column string")
     return edges.junction_tables(_accepted(spark, sf), members)
 
 

@@ -45,3 +45,17 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_dir(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A literal table of known size (names, rules, edges), which the planner can ship to the other side."""
+    import pyarrow as pa
+    from pyspark.sql import types as T
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    struct = T._parse_datatype_string(schema)
+    names = struct.fieldNames()
+    columns = list(zip(*rows)) if rows else [[] for _ in names]
+    arrow = to_arrow_schema(struct)
+    arrays = [pa.array(list(c), type=arrow.field(i).type) for i, c in enumerate(columns)]
+    return spark.createDataFrame(pa.Table.from_arrays(arrays, schema=arrow), schema=struct)
