@@ -202,7 +202,7 @@ def fuzzy_vocab_join(tokens: DataFrame, vocabulary: DataFrame, threshold: float
     longer = F.greatest(F.length("word"), F.length("match"))
     scored = pairs.withColumn("similarity", 1 - F.levenshtein("word", "match") / longer)
     # Highest similarity, then the alphabetically first word: a plain aggregate, no window over a group.
-    best = F.max_by("match", F.struct(F.col("similarity"), F.translate("match", "abcdefghijklmnopqrstuvwxyz", "zyxwvutsrqponmlkjihgfedcba")))
+    best = F.min_by("match", F.struct(-F.col("similarity"), F.col("match")))
     return (
         scored.where(F.col("similarity") >= threshold - 1e-9).groupBy("word")
         .agg(best.alias("match"), F.max("similarity").alias("similarity"))
