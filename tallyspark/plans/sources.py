@@ -123,11 +123,12 @@ def q_file_fingerprint(spark, sf):
 
 
 def q_json_rows(spark, sf):
-    """Customers per nation, each nation one result file row with a list of records."""
+    """Customers in results of at most 500 records each."""
     path = scratch_dir(spark, "json")
     c = table(spark, sf, "customer")
-    c.repartition(4, "c_nationkey").groupBy("c_nationkey").agg(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal")).alias("data")).write.json(path)
-    return spark.read.schema("data array<struct<c_custkey: bigint, c_name: string, c_acctbal: double>>").json(path).select(F.inline("data"))
+    lists = c.groupBy(F.floor(F.col("c_custkey") / 500)).agg(F.collect_list(F.struct("c_custkey", "c_name", "c_acctbal")).alias("data"))
+    lists.select("data").write.json(path)
+    return tables.json_rows(spark, path, schema="data array<struct<c_custkey: bigint, c_name: string, c_acctbal: double>>", one_per_file=False)
 
 
 SQL_JSON_ROWS = "SELECT c_custkey, c_name, c_acctbal FROM customer"

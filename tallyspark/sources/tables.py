@@ -21,16 +21,27 @@ SPARK_TYPES = {
 }
 
 
+def has_quoted_breaks(spark: SparkSession, path: str | list[str], quote: str = '"') -> bool:
+    """Does any line hold an odd number of quotes, so that a quoted cell goes on in the next line?"""
+    quotes = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
+    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+
+
 def read_csv_text(
     spark: SparkSession, path: str | list[str], sep: str = ",", quote: str = '"', encoding: str = "UTF-8",
-    columns: Sequence[str] | None = None, keep_extra: bool = False,
+    columns: Sequence[str] | None = None, keep_extra: bool = False, multi_line: bool | None = None,
 ) -> DataFrame:
     """CSV with a header, every cell a string; empty and absent cells are null.
 
+    A file whose quoted cells hold line breaks can only be read by one task. Unless `multi_line` says
+    so, a look at the lines decides, and files without such cells are split.
+
     One column more than the header is read: it is filled only in rows that are too long. Those are an
     error when the row is used; with `keep_extra` they are left to the caller (`rejected_rows`).
     """
-    options = {"sep": sep, "quote": quote, "escape": quote, "encoding": encoding, "multiLine": True, "header": True,
+    if multi_line is None:
+        multi_line = encoding.lower().startswith("utf-16") or has_quoted_breaks(spark, path, quote)
+    options = {"sep": sep, "quote": quote, "escape": quote, "encoding": encoding, "multiLine": multi_line, "header": True,
                "emptyValue": "", "mode": "PERMISSIVE"}
     if columns is None:
         columns = [c.strip() for c in spark.read.options(**options).csv(path).columns]
@@ -117,9 +128,10 @@ def csv_folder_profile(inspected: DataFrame) -> DataFrame:
         "whitespace_value_count", "inferred_type", (full & identifier_suffix_expr(F.col("column"))).alias("candidate_key"))
 
 
-def json_rows(spark: SparkSession, path: str, field: str = "data") -> DataFrame:
-    """The rows held as a list in one field of JSON result files."""
-    return spark.read.json(path, multiLine=True).select(F.inline(field))
+def json_rows(spark: SparkSession, path: str, field: str = "data", schema: str | None = None, one_per_file: bool = True) -> DataFrame:
+    """The rows held as a list in one field of JSON results, one result per file or per line."""
+    reader = spark.read.schema(schema) if schema else spark.read
+    return reader.json(path, multiLine=one_per_file).select(F.inline(field))
 
 
 def sanitized(df: DataFrame) -> DataFrame:
