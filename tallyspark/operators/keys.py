@@ -223,6 +223,34 @@ def pk_candidates(tables: dict[str, DataFrame], exclude: Sequence[tuple[str, str
     )
 
 
+def profiled_columns(tables: dict[str, DataFrame]) -> DataFrame:
+    """Key statistics of the columns worth key profiling, with what their names say."""
+    columns = [
+        (t, f.name) for t, df in tables.items() for f in df.schema.fields
+        if names.is_profiled(f.name, type_family(f.dataType) == "numeric") or names.is_reference_name(f.name)
+    ]
+    said = small_frame(
+        next(iter(tables.values())).sparkSession,
+        [(t, c, names.is_reference_name(c), names.is_code_name(c)) for t, c in columns],
+        "table string, column string, reference_name boolean, code_name boolean")
+    return key_stats(tables, columns).join(said, ["table", "column"]).select(
+        "table", "column", "rows", "non_null", "distinct", "reference_name", "code_name")
+
+
+def compatible_pairs(
+    tables: dict[str, DataFrame], sources: Sequence[tuple[str, str]], targets: Sequence[tuple[str, str]]
+) -> DataFrame:
+    """Source and key columns of one type family with their shared distinct values, none left out."""
+    family = {(t, f.name): type_family(f.dataType) for t, df in tables.items() for f in df.schema.fields}
+    pairs = [(*s, *t, family[s]) for s in sources for t in targets if s != t and family[s] == family[t]]
+    spark = next(iter(tables.values())).sparkSession
+    wanted = small_frame(spark, pairs, "source_table string, source_column string, target_table string, target_column string, family string")
+    measured = containment(tables, sorted({*sources, *targets}), targets)
+    on = ["source_table", "source_column", "target_table", "target_column"]
+    return wanted.join(measured.select(*on, "matched", "ratio"), on, "left").select(
+        *on, "family", F.coalesce("matched", F.lit(0)).alias("matched"), F.round(F.coalesce("ratio", F.lit(0.0)), 4).alias("ratio"))
+
+
 def edge_cardinality(child: DataFrame, child_key: str, parent: DataFrame, parent_key: str, name: str) -> DataFrame:
     """Kind of an edge from the largest number of rows per key on each side."""
     def most(df: DataFrame, key: str) -> Column:
@@ -285,7 +313,7 @@ def candidate_pairs(
                 continue
             member = column in key
             ref = names.is_reference_name(column)
-            if not ref and not (column.lower().endswith(names.PROFILE_SUFFIXES) or type_family(kind) == "numeric"):
+            if not ref and not names.is_profiled(column, type_family(kind) == "numeric"):
                 continue
             by_name = {t for t in names.named_tables(column, all_tables) if t != table}
             shared = len(owners.get(column, [])) >= 2

@@ -373,7 +373,105 @@ WHERE ratio >= 0.85 AND split_part(source_table, '.', 1) <> split_part(target_ta
   AND (target_table, target_column) IN ({', '.join(f"('{_HOME[t]}.{t}', '{c}')" for t, cols in PRIMARY_KEYS.items() for c in cols)})
   AND NOT (source_table = 'sales.orders' AND source_column = 'customer_id' AND target_table = 'crm.customers')"""
 
+def q_profile_columns(spark, sf):
+    return keys.profiled_columns(renamed_tables(spark, sf))
+
+
+PROFILED = [(t, f.name) for t, shape in _schema_frames().items() for f in shape.schema.fields
+            if names.is_profiled(f.name, keys.type_family(f.dataType) == "numeric") or names.is_reference_name(f.name)]
+SQL_PROFILE_COLUMNS = union_all(
+    f"""SELECT '{t}' AS "table", '{c}' AS "column", count(*) AS "rows", count({c}) AS non_null, count(DISTINCT {c}) AS "distinct",
+  {str(names.is_reference_name(c)).upper()} AS reference_name, {str(names.is_code_name(c)).upper()} AS code_name FROM {renamed_sql(t)}""" for t, c in PROFILED)
+
+PAIR_SOURCES = [(t, c) for t, cols in SCHEMA.items() for c in cols if c.endswith("_id") or c in ("status", "brand")]
+PAIR_TARGETS = [(t, c) for t, cols in PRIMARY_KEYS.items() for c in cols]
+
+
+def q_type_compatible_pairs(spark, sf):
+    return keys.compatible_pairs(renamed_tables(spark, sf), PAIR_SOURCES, PAIR_TARGETS)
+
+
+SQL_TYPE_COMPATIBLE = union_all(
+    f"""SELECT '{st}' AS source_table, '{sc}' AS source_column, '{tt}' AS target_table, '{tc}' AS target_column, 'numeric' AS family,
+  count(b.v) AS matched, round(count(b.v) / count(*), 4) AS ratio
+FROM (SELECT DISTINCT {sc} AS v FROM {renamed_sql(st)}) a LEFT JOIN (SELECT DISTINCT {tc} AS v FROM {renamed_sql(tt)}) b ON a.v = b.v"""
+    for st, sc in PAIR_SOURCES if sc.endswith("_id") for tt, tc in PAIR_TARGETS if (st, sc) != (tt, tc))
+
+
+def q_fk_candidates(spark, sf):
+    """Every candidate pair names and types allow, with its measured containment."""
+    tables = renamed_tables(spark, sf)
+    found = candidate_pairs(tables, PRIMARY_KEYS)
+    sources = sorted({(c.source_table, c.source_column) for c in found})
+    pairs = keys.compatible_pairs(tables, sources, PAIR_TARGETS)
+    facts = small_frame(spark, [(c.source_table, c.source_column, c.target_table, c.target_column, c.name_match, c.reference_name) for c in found],
+                        "source_table string, source_column string, target_table string, target_column string, name_match boolean, reference_name boolean")
+    return facts.join(pairs, edges.EDGE).drop("family")
+
+
+SQL_FK_CANDIDATES = union_all(
+    f"""SELECT '{f.source_table}' AS source_table, '{f.source_column}' AS source_column, '{f.target_table}' AS target_table, '{f.target_column}' AS target_column,
+  {str(f.name_match).upper()} AS name_match, {str(f.reference_name).upper()} AS reference_name, count(b.v) AS matched, round(count(b.v) / count(*), 4) AS ratio
+FROM (SELECT DISTINCT {f.source_column} AS v FROM {renamed_sql(f.source_table)}) a
+LEFT JOIN (SELECT DISTINCT {f.target_column} AS v FROM {renamed_sql(f.target_table)}) b ON a.v = b.v""" for f in FACTS)
+
+
+def q_edges_canonical(spark, sf):
+    found = _accepted(spark, sf).select(*edges.EDGE)
+    stray = edges.edge_rows(spark, [("orders", "clerk_id", "clerks", "clerk_id"), ("orders", "customer_id", "customers", "customer_id")])
+    return edges.canonical_edges(found.unionByName(stray), edges.catalog(renamed_tables(spark, sf)))
+
+
+SQL_EDGES_CANONICAL = f"""WITH {SCORED_CTES}, {ACCEPTED_SQL} SELECT DISTINCT source_table, source_column, target_table, target_column FROM accepted"""
+
+
+def q_edge_drift(spark, sf):
+    before = edges.edge_rows(spark, [*KNOWN_EDGES[1:], ("order_items", "line_no", "products", "product_id")])
+    return edges.edge_drift(before, _accepted(spark, sf))
+
+
+SQL_EDGE_DRIFT = f"""WITH {SCORED_CTES}, {ACCEPTED_SQL}, {KNOWN_SQL}, was AS (SELECT * FROM known WHERE source_table <> 'nations'
+  UNION ALL SELECT 'order_items', 'line_no', 'products', 'product_id'), now AS (SELECT source_table, source_column, target_table, target_column FROM accepted)
+SELECT *, 'edge_added' AS change FROM (SELECT * FROM now EXCEPT SELECT * FROM was) UNION ALL SELECT *, 'edge_removed' FROM (SELECT * FROM was EXCEPT SELECT * FROM now)"""
+
+
+def q_schema_drift(spark, sf):
+    """The orders table against what a text export of it turns into when its types are inferred."""
+    from tallyspark.plans.profiling import messy_orders
+    from tallyspark.sources.tables import typed_table
+
+    orders = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("order_id"), F.col("o_totalprice").alias("amount"), F.col("o_orderstatus").alias("active"),
+        F.col("o_orderpriority").alias("note"), F.col("o_custkey").alias("customer_id"))
+    export = typed_table(messy_orders(spark, sf).select("order_id", "amount", "active", "note", "currency"))
+    before = {"orders": orders, "nations": table(spark, sf, "nation")}
+    return edges.schema_drift(edges.catalog(before), edges.catalog({"orders": export, "exports": export.select("order_id")}))
+
+
+SQL_SCHEMA_DRIFT = """WITH t AS (SELECT CASE WHEN bool_and(o_orderstatus IS NOT NULL) THEN 'boolean' END AS active FROM orders)
+SELECT 'type_changed' AS change, 'orders' AS "table", 'active' AS "column", 'string' AS was, active AS now FROM t
+UNION ALL SELECT 'column_added', 'orders', 'currency', NULL, 'string' UNION ALL SELECT 'column_removed', 'orders', 'customer_id', 'bigint', NULL
+UNION ALL SELECT 'table_added', 'exports', NULL, NULL, NULL UNION ALL SELECT 'table_removed', 'nations', NULL, NULL, NULL"""
+
+
+def q_table_kinds(spark, sf):
+    tables = renamed_tables(spark, sf)
+    tables["readings"] = table(spark, sf, "events").select(F.col("event_id").alias("reading_id"), "value")
+    return edges.table_kinds(edges.catalog(tables), _accepted(spark, sf))
+
+
+SQL_TABLE_KINDS = f"""WITH {SCORED_CTES}, {ACCEPTED_SQL}, t(name, fact, txt) AS (VALUES ('regions', FALSE, TRUE), ('nations', FALSE, TRUE), ('customers', FALSE, TRUE),
+  ('suppliers', FALSE, TRUE), ('products', FALSE, TRUE), ('orders', FALSE, TRUE), ('order_items', FALSE, TRUE), ('readings', TRUE, FALSE))
+SELECT name AS "table", fact AS pure_fact, txt OR name IN (SELECT target_table FROM accepted) AS entity FROM t"""
+
 QUERIES = {
+    "profile_columns": (q_profile_columns, SQL_PROFILE_COLUMNS),
+    "type_compatible_pairs": (q_type_compatible_pairs, SQL_TYPE_COMPATIBLE),
+    "fk_candidates": (q_fk_candidates, SQL_FK_CANDIDATES),
+    "edges_canonical": (q_edges_canonical, SQL_EDGES_CANONICAL),
+    "edge_drift": (q_edge_drift, SQL_EDGE_DRIFT),
+    "schema_drift": (q_schema_drift, SQL_SCHEMA_DRIFT),
+    "table_kinds": (q_table_kinds, SQL_TABLE_KINDS),
     "fk_containment": (q_fk_containment, SQL_FK_CONTAINMENT),
     "composite_containment": (q_composite_containment, SQL_COMPOSITE),
     "orphan_audit": (q_orphan_audit, SQL_ORPHAN_AUDIT),
