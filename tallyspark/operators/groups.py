@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 def group_sums(
     df: DataFrame, dims: Sequence[str], measures: Sequence[str], drop_null_groups: bool = True
 ) -> DataFrame:
-    """Rows (dimension, label, column, value, times): sum per group of each dimension on its own.
+    """Rows (dimension, label, column, value): sum per group of each dimension on its own.
 
     One grouping-sets aggregate reads the input once however many dimensions there are, and partial
     sums are built before the shuffle, so a group holding most rows costs no more than any other.
@@ -20,7 +20,6 @@ def group_sums(
     cols = [F.col(d) for d in dims]
     sums = df.groupingSets([[c] for c in cols], *cols).agg(
         *[F.sum(m).alias(f"m{i}") for i, m in enumerate(measures)],
-        F.count("*").alias("times"),
         *[F.grouping(d).alias(f"g{i}") for i, d in enumerate(dims)],
     )
     which = F.coalesce(*[F.when(F.col(f"g{i}") == 0, F.lit(d)) for i, d in enumerate(dims)])
@@ -31,7 +30,7 @@ def group_sums(
         F.struct(F.lit(i).alias("place"), F.lit(m).alias("column"), F.col(f"m{i}").cast("double").alias("value"))
         for i, m in enumerate(measures)
     ])
-    out = sums.select(which.alias("dimension"), label.alias("label"), "times", F.inline(cells))
+    out = sums.select(which.alias("dimension"), label.alias("label"), F.inline(cells))
     return out.where(F.col("label").isNotNull()) if drop_null_groups else out
 
 

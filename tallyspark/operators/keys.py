@@ -64,30 +64,27 @@ def keyed_values(tables: dict[str, DataFrame], columns: Sequence[tuple[str, str]
 def value_signatures(tables: dict[str, DataFrame], columns: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows (m0.., values, low, high): how many distinct values are held by exactly these columns."""
     words = [f"m{w}" for w in range((len(columns) - 1) // WORD_BITS + 1)]
-    bits = [
-        F.when((F.col("id") >= w * WORD_BITS) & (F.col("id") < (w + 1) * WORD_BITS),
-               F.pow(F.lit(2.0), F.col("id") - w * WORD_BITS).cast("bigint"))
-        .otherwise(F.lit(0).cast("bigint")).alias(f"m{w}")
-        for w in range(len(words))
-    ]
-    per_value = keyed_values(tables, columns).select("num", "text", *bits).groupBy("num", "text").agg(
-        *[F.bit_or(w).alias(w) for w in words]
-    )
+    out = None
+    for name, df in tables.items():
+        kinds = {f.name: f.dataType for f in df.schema.fields}
+        parts = []
+        for i, (t, c) in enumerate(columns):
+            if t == name:
+                num, text = exact_value(c, kinds[c])
+                bits = [F.lit(1 << (i % WORD_BITS) if i // WORD_BITS == w else 0).cast("bigint").alias(m) for w, m in enumerate(words)]
+                parts.append(F.struct(num.alias("num"), text.alias("text"), *bits))
+        if parts:
+            rows = df.select(F.inline(F.array(*parts))).where(F.col("num").isNotNull() | F.col("text").isNotNull())
+            out = rows if out is None else out.unionByName(rows)
+    per_value = out.groupBy("num", "text").agg(*[F.bit_or(w).alias(w) for w in words])
     return per_value.groupBy(*words).agg(
-        F.count("*").alias("values"), F.min("num").alias("low"), F.max("num").alias("high")
-    )
+        F.count("*").alias("values"), F.min("num").alias("low"), F.max("num").alias("high"))
 
 
 def _members(n: int) -> Column:
     """Array of the column ids whose bit is set."""
-    def in_word(w: int) -> Column:
-        def is_set(i: Column) -> Column:
-            bit = F.pow(F.lit(2.0), i - w * WORD_BITS).cast("bigint")
-            return F.col(f"m{w}").bitwiseAND(bit) != 0
-
-        return F.filter(F.sequence(F.lit(w * WORD_BITS), F.lit(min(n, (w + 1) * WORD_BITS) - 1)), is_set)
-
-    return F.concat(*[in_word(w) for w in range((n - 1) // WORD_BITS + 1)])
+    ids = [F.when(F.col(f"m{i // WORD_BITS}").bitwiseAND(F.lit(1 << (i % WORD_BITS)).cast("bigint")) != 0, F.lit(i)) for i in range(n)]
+    return F.filter(F.array(*ids), lambda i: i.isNotNull())
 
 
 def containment(
@@ -96,34 +93,34 @@ def containment(
     """Rows per (source column, target column) that share a value: distinct counts, matches and ratio.
 
     Work on pairs starts only after values have become masks, a table no larger than the number of
-    different column sets.
+    different column sets. A column paired with itself gives its own distinct count and range, so
+    sizes and matches come from the same single pass over the tables.
     """
-    signatures = value_signatures(tables, columns).withColumn("members", _members(len(columns)))
     ids = {pair: i for i, pair in enumerate(columns)}
     wanted = [ids[t] for t in (targets or columns)]
-    single = signatures.select(F.explode("members").alias("id"), "values", "low", "high").groupBy("id").agg(
-        F.sum("values").alias("distinct"), F.min("low").alias("low"), F.max("high").alias("high")
+    both = (
+        value_signatures(tables, columns).withColumn("members", _members(len(columns)))
+        .select("members", "values", "low", "high", F.explode("members").alias("s"))
+        .select("s", "values", "low", "high", F.explode("members").alias("t"))
+        .where((F.col("s") == F.col("t")) | F.col("t").isin(*wanted))
+        .groupBy("s", "t").agg(F.sum("values").alias("matched"), F.min("low").alias("low"), F.max("high").alias("high"))
     )
+    own = F.col("s") == F.col("t")
+    by_s, by_t = W.partitionBy("s"), W.partitionBy("t")
     pairs = (
-        signatures.select("members", "values", F.explode("members").alias("s"))
-        .select("s", "values", F.explode("members").alias("t"))
-        .where((F.col("s") != F.col("t")) & F.col("t").isin(*wanted))
-        .groupBy("s", "t").agg(F.sum("values").alias("matched"))
+        both.withColumn("source_distinct", F.max(F.when(own, F.col("matched"))).over(by_s))
+        .withColumn("source_low", F.max(F.when(own, F.col("low"))).over(by_s))
+        .withColumn("source_high", F.max(F.when(own, F.col("high"))).over(by_s))
+        .withColumn("target_distinct", F.max(F.when(own, F.col("matched"))).over(by_t))
+        .where(~own)
     )
-    catalog = small_frame(
-        single.sparkSession, [(i, t, c) for i, (t, c) in enumerate(columns)], "id int, table string, column string"
-    )
-    sized = single.join(catalog, "id")
-
-    def side(prefix: str, key: str) -> DataFrame:
-        return sized.select(
-            F.col("id").alias(key), F.col("table").alias(f"{prefix}_table"), F.col("column").alias(f"{prefix}_column"),
-            F.col("distinct").alias(f"{prefix}_distinct"), F.col("low").alias(f"{prefix}_low"),
-            F.col("high").alias(f"{prefix}_high"))
-
-    return pairs.join(side("source", "s"), "s").join(side("target", "t"), "t").withColumn(
-        "ratio", F.col("matched") / F.col("source_distinct")
-    ).drop("s", "t")
+    named = F.array(*[F.struct(F.lit(t).alias("table"), F.lit(c).alias("column")) for t, c in columns])
+    ends = pairs.withColumn("a", F.get(named, F.col("s"))).withColumn("b", F.get(named, F.col("t")))
+    return ends.select(
+        F.col("a.table").alias("source_table"), F.col("a.column").alias("source_column"),
+        F.col("b.table").alias("target_table"), F.col("b.column").alias("target_column"),
+        "source_distinct", "source_low", "source_high", "target_distinct", "matched",
+        (F.col("matched") / F.col("source_distinct")).alias("ratio"))
 
 
 def fk_containment(tables, columns, targets=None, minimum: float = MIN_OVERLAP) -> DataFrame:
@@ -479,12 +476,13 @@ def discover_edges(
     named = [c for c in candidates if c.name_match and c.points_elsewhere and not c.composite_member]
     if named:
         facts = small_frame(spark, [tuple(vars(c).values()) for c in named], CANDIDATE_SCHEMA)
-        rows = source_rows(tables, sorted({(c.source_table, c.source_column) for c in named}))
         src = ["source_table", "source_column"]
-        alone = facts.join(best.select(*src), src, "left_anti").join(rows, src)
         none = F.lit(None).cast("bigint")
-        best = best.unionByName(alone.select(
+        alone = facts.join(source_rows(tables, sorted({(c.source_table, c.source_column) for c in named})), src).select(
             *src, "target_table", "target_column", none.alias("source_distinct"), none.alias("target_distinct"),
             none.alias("matched"), F.lit(None).cast("double").alias("ratio"), "null_share", "name_match", "reference_name",
-            "code_name", "composite_member", "type_match", "schema_match", F.lit(False).alias("ambiguous")))
+            "code_name", "composite_member", "type_match", "schema_match", F.lit(False).alias("ambiguous"))
+        # A column keeps its name-only rows where it has no row with evidence.
+        turn = F.rank().over(W.partitionBy(*src).orderBy(F.col("ratio").isNull()))
+        best = best.unionByName(alone).withColumn("turn", turn).where(F.col("turn") == 1).drop("turn")
     return score_edges(best)

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from tallyspark.functions.names import human
 from tallyspark.functions.numbers import band, measure_text, pct_change
-from tallyspark.operators.quantiles import quantile_table, unpivot
+from tallyspark.operators.quantiles import column_stats
 
 
 def number(column: str) -> Column:
@@ -19,21 +19,11 @@ def number(column: str) -> Column:
 
 def kpis(df: DataFrame, columns: Sequence[str], digits: int = 2) -> DataFrame:
     """Sum, mean, median, min, max, sample deviation, count and nulls; all-null columns are left out."""
-
-    def block(c: str) -> Column:
-        x = number(c)
-        return F.struct(
-            F.lit(c).alias("column"), F.sum(x).alias("sum"), F.avg(x).alias("mean"), F.min(x).alias("min"),
-            F.max(x).alias("max"), F.when(F.count(x) > 1, F.stddev_samp(x)).alias("std"),
-            F.count(x).alias("count"), (F.count("*") - F.count(x)).alias("null_count"),
-        )
-
-    stats = df.agg(F.array(*[block(c) for c in columns]).alias("all")).select(F.inline("all"))
-    medians = quantile_table(df, columns, {"median": 0.5})
-    parts = ["sum", "mean", "median", "min", "max", "std"]
-    return stats.where(F.col("count") > 0).join(medians, "column").select(
-        "column", *[F.round(p, digits).alias(p) for p in parts], "count", "null_count"
-    )
+    stats = column_stats(df, columns, {"median": 0.5})
+    parts = ["sum", "mean", "median", "min", "max"]
+    return stats.select(
+        "column", *[F.round(p, digits).alias(p) for p in parts],
+        F.when(F.col("n") > 1, F.round("sd", digits)).alias("std"), F.col("n").alias("count"), F.col("nulls").alias("null_count"))
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> Column:
@@ -75,10 +65,7 @@ def iqr_fences(df: DataFrame, columns: Sequence[str], min_rows: int = 5) -> Data
     1.5 and 3 quartile ranges beyond the quartiles; with a zero quartile range 2.5 and 3.5 sample
     deviations around the mean; constant and short columns have no fence.
     """
-    stats = unpivot(df, columns).groupBy("column").agg(
-        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")
-    )
-    quart = quantile_table(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75})
+    stats = column_stats(df, columns, {"q1": 0.25, "median": 0.5, "q3": 0.75})
     iqr = F.col("q3") - F.col("q1")
     robust = iqr > 0
 
@@ -87,7 +74,7 @@ def iqr_fences(df: DataFrame, columns: Sequence[str], min_rows: int = 5) -> Data
             F.col("mean") + sign * by_sd * F.col("sd")
         )
 
-    return stats.join(quart, "column").where(
+    return stats.where(
         (F.col("n") >= min_rows) & (robust | (F.col("sd") > 0))
     ).select(
         "column", "median",
@@ -189,8 +176,10 @@ def trends(df: DataFrame, ts: str, measures: Sequence[str], slices: int = 256) -
         *[F.sum(number(m)).alias(m) for m in measures]
     )
     at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
-    cuts = sums.agg(F.percentile_approx(at, [i / slices for i in range(1, slices)], 10_000).alias("c")).scalar()
-    sliced = sums.withColumn("cuts", F.array_distinct(cuts)).withColumn(
+    # The counts keep the cuts on the same shuffled sums as the comparison below, which then run once.
+    cuts = F.percentile_approx(at, [i / slices for i in range(1, slices)], 10_000)
+    cut_row = sums.agg(F.struct(cuts.alias("c"), *[F.count(m).alias(m) for m in measures]).alias("s")).scalar()
+    sliced = sums.withColumn("cuts", F.array_distinct(cut_row["c"])).withColumn(
         "slice", F.size(F.filter("cuts", lambda c: c < at))
     )
     cells = F.array(*[

@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from tallyspark.functions.names import is_identifier
 from tallyspark.operators.kpis import number
-from tallyspark.operators.quantiles import quantile_table
+from tallyspark.operators.quantiles import column_stats
 from tallyspark.operators.profile import value_counts
 
 # Words that mark a time column; parts a time column is replaced by.
@@ -76,7 +76,7 @@ def modes(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 def imputed_features(df: DataFrame, numeric: Sequence[str], category: Sequence[str], keys: Sequence[str]) -> DataFrame:
     """Medians for missing numbers, then centred and scaled by the population deviation; most frequent text for missing text."""
-    med = quantile_table(df, numeric, {"m": 0.5})
+    med = column_stats(df, numeric, {"m": 0.5})
     medians = med.agg(F.struct(*[F.max(F.when(F.col("column") == c, F.col("m"))).alias(c) for c in numeric]).alias("s")).scalar()
     top = modes(df, category).agg(F.struct(*[F.max(F.when(F.col("column") == c, F.col("value"))).alias(c) for c in category]).alias("s")).scalar()
     full = df.withColumn("_m", medians).withColumn("_t", top).select(

@@ -47,13 +47,15 @@ def period_totals(df: DataFrame, metric: str, ts: str) -> DataFrame:
         .groupBy(F.date_trunc("day", "at").alias("day"))
         .agg(F.sum("x").alias("x"), F.min("at").alias("lo"), F.max("at").alias("hi"))
     )
-    span = daily.agg(F.timestamp_diff("DAY", F.min("lo"), F.max("hi")).alias("d")).scalar()
+    # Both readers of the daily sums ask for all of their columns, so the sums are made once.
+    days = F.timestamp_diff("DAY", F.min("lo"), F.max("hi"))
+    span = daily.agg(F.struct(days.alias("d"), F.count("x").alias("x")).alias("s")).scalar()["d"]
     unit = (
         F.when(F.col("span") >= YEAR_SPAN, "year").when(F.col("span") >= MONTH_SPAN, "month")
         .when(F.col("span") >= WEEK_SPAN, "week").otherwise("day")
     )
     return (
-        daily.withColumn("span", span).withColumn("granularity", unit)
+        daily.where(F.col("lo") <= F.col("hi")).withColumn("span", span).withColumn("granularity", unit)
         .groupBy("granularity", period_start(F.col("granularity"), F.col("day")).alias("start"))
         .agg(F.sum("x").alias("value"))
     )

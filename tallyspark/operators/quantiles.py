@@ -2,7 +2,8 @@
 
 A plain `percentile` keeps every distinct value of the column in one buffer. Here a sketch gives a
 narrow value range around each wanted rank, rows outside it are only counted, and the exact rank is
-picked among the few values inside. Inputs under `SMALL` values use their full range.
+picked among the few values inside. Inputs under `SMALL` values use their full range. Two passes over
+the input: one for the sketches and all plain statistics, one for the ranks.
 """
 
 from __future__ import annotations
@@ -17,75 +18,60 @@ SMALL = 1_000_000
 ACCURACY = 100_000
 
 
-def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str | Column] = ()) -> DataFrame:
-    """One row per (row, column): `column`, `value` as double. One pass, no shuffle."""
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.expr(f"try_cast(`{c}` as double)").alias("value"))
-        for c in columns
-    ])
-    return df.select(*keep, F.inline(cells))
-
+def column_stats(
+    df: DataFrame, columns: Sequence[str], probs: dict[str, float], small: int = SMALL, accuracy: int = ACCURACY
+) -> DataFrame:
+    """One row per column with values: n, nulls, sum, mean, sd, min, max and one column per named quantile.
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float]) -> DataFrame:
-    """Rows (column, prob, value, n): linearly interpolated quantiles of the non-null values."""
-    slack = 2.0 / ACCURACY
-    low_p = [max(0.0, p - slack) for p in probs]
-    high_p = [min(1.0, p + slack) for p in probs]
+    Text is read as numbers, what does not parse is null. Quantiles are interpolated linearly.
+    """
+    slack = 2.0 / accuracy
+    order = sorted(set(probs.values()))
+    low_p = [max(0.0, p - slack) for p in order]
+    high_p = [min(1.0, p + slack) for p in order]
     slots = {c: f"c{i}" for i, c in enumerate(columns)}
     typed = df.select(*[F.expr(f"try_cast(`{c}` as double)").alias(slot) for c, slot in slots.items()])
 
-    def bracket(slot: str) -> Column:
+    def summary(slot: str) -> Column:
         x = F.col(slot)
         n = F.count(x)
-        cuts = F.percentile_approx(x, [*low_p, *high_p], ACCURACY)
+        cuts = F.percentile_approx(x, [*low_p, *high_p], accuracy)
         ranges = [
             F.struct(
-                F.lit(float(p)).alias("prob"),
-                F.when(n < SMALL, F.min(x)).otherwise(cuts[i]).alias("low"),
-                F.when(n < SMALL, F.max(x)).otherwise(cuts[len(probs) + i]).alias("high"),
-            )
-            for i, p in enumerate(probs)
+                F.lit(float(p)).alias("prob"), F.when(n < small, F.min(x)).otherwise(cuts[i]).alias("low"),
+                F.when(n < small, F.max(x)).otherwise(cuts[len(order) + i]).alias("high"))
+            for i, p in enumerate(order)
         ]
-        return F.struct(n.alias("n"), F.array(*ranges).alias("ranges")).alias(slot)
+        return F.struct(
+            n.alias("n"), (F.count("*") - n).alias("nulls"), F.sum(x).alias("sum"), F.avg(x).alias("mean"),
+            F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"), F.array(*ranges).alias("ranges"),
+        ).alias(slot)
 
-    brackets = typed.agg(F.struct(*[bracket(s) for s in slots.values()]).alias("b")).scalar()
+    stats = typed.agg(F.struct(*[summary(s) for s in slots.values()]).alias("s")).scalar()
+    by_column = F.map_from_arrays(F.array(*[F.lit(c) for c in slots]), F.array(*[F.col("s")[s] for s in slots.values()]))
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(slot).alias("x"), F.col("b")[slot].alias("b"))
+        F.struct(F.lit(c).alias("column"), F.col(slot).alias("x"), F.col("s")[slot]["ranges"].alias("ranges"))
         for c, slot in slots.items()
     ])
     # Per value and prob: below the range -> one shared null key, inside -> the value, above -> gone.
     near = (
-        typed.withColumn("b", brackets)
-        .select(F.inline(cells))
-        .where(F.col("x").isNotNull())
-        .select("column", "x", F.col("b.n").alias("n"), F.explode("b.ranges").alias("r"))
-        .where(F.col("x") <= F.col("r.high"))
-        .select("column", F.col("r.prob").alias("prob"), "n",
-                F.when(F.col("x") >= F.col("r.low"), F.col("x")).alias("x"))
-        .groupBy("column", "prob", "x")
-        .agg(F.count("*").alias("times"), F.max("n").alias("n"))
+        typed.withColumn("s", stats).select(F.inline(cells)).where(F.col("x").isNotNull())
+        .select("column", "x", F.explode("ranges").alias("r")).where(F.col("x") <= F.col("r.high"))
+        .select("column", F.col("r.prob").alias("prob"), F.when(F.col("x") >= F.col("r.low"), F.col("x")).alias("x"))
+        .groupBy("column", "prob", "x").agg(F.count("*").alias("times"))
     )
     upto = F.sum("times").over(
-        W.partitionBy("column", "prob").orderBy(F.col("x").asc_nulls_first())
-        .rowsBetween(W.unboundedPreceding, W.currentRow)
-    )
-    rank = (F.col("n") - 1) * F.col("prob")
-    ranked = near.withColumn("upto", upto)
-    first = F.min(F.when(F.col("upto") >= F.floor(rank) + 1, F.coalesce("x", F.lit(float("-inf")))))
-    second = F.min(F.when(F.col("upto") >= F.ceil(rank) + 1, F.col("x")))
-    found = ranked.groupBy("column", "prob").agg(
-        first.alias("a"), second.alias("b"), F.max("n").alias("n")
-    )
+        W.partitionBy("column", "prob").orderBy(F.col("x").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow))
+    ranked = near.withColumn("upto", upto).withColumn("s", stats).withColumn("n", by_column[F.col("column")]["n"])
     rank = (F.col("n") - 1) * F.col("prob")
+    found = ranked.groupBy("column", "prob", "n").agg(
+        F.min(F.when(F.col("upto") >= F.floor(rank) + 1, F.coalesce("x", F.lit(float("-inf"))))).alias("a"),
+        F.min(F.when(F.col("upto") >= F.ceil(rank) + 1, F.col("x"))).alias("b"))
     missed = F.col("b").isNull() | (F.col("a") == F.lit(float("-inf")))
     value = F.when(missed, F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(
-        F.col("a") + (F.col("b") - F.col("a")) * (rank - F.floor(rank))
-    )
-    return found.select("column", "prob", value.alias("value"), "n")
-
-
-def quantile_table(df: DataFrame, columns: Sequence[str], probs: dict[str, float]) -> DataFrame:
-    """One row per column with one named quantile column per prob."""
-    q = exact_quantiles(df, columns, list(probs.values()))
-    picks = [F.max(F.when(F.col("prob") == p, F.col("value"))).alias(name) for name, p in probs.items()]
-    return q.groupBy("column").agg(*picks)
+        F.col("a") + (F.col("b") - F.col("a")) * (rank - F.floor(rank)))
+    picks = [F.max(F.when(F.col("prob") == float(p), value)).alias(name) for name, p in probs.items()]
+    wide = found.groupBy("column").agg(*picks)
+    plain = ("n", "nulls", "sum", "mean", "sd", "min", "max")
+    return wide.withColumn("s", stats).withColumn("s", by_column[F.col("column")]).select(
+        "column", *[F.col("s")[f].alias(f) for f in plain], *probs)

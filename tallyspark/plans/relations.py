@@ -9,7 +9,7 @@ from tallyspark.operators import edges, joins, keys, profile
 from tallyspark.operators.keys import candidate_pairs, primary_keys_by_name
 from tallyspark.plans.insight import union_all
 from tallyspark.plans.views import KNOWN_EDGES, RENAMED, renamed_sql, renamed_tables, table
-from tallyspark.session import small_frame
+from tallyspark.session import small_frame, stored
 
 # --- containment on the given tables -----------------------------------------------------------
 
@@ -153,7 +153,8 @@ FROM (SELECT *, count(*) OVER (PARTITION BY "table") AS candidates, count(*) FIL
 
 
 def _discovered(spark, sf):
-    return keys.discover_edges(renamed_tables(spark, sf), PRIMARY_KEYS)
+    """The mapping of these tables, kept as a table: it is small and read several times."""
+    return stored(keys.discover_edges(renamed_tables(spark, sf), PRIMARY_KEYS), "mapping")
 
 
 def q_fk_best_target(spark, sf):
@@ -164,7 +165,7 @@ def q_fk_best_target(spark, sf):
 
 
 def q_fk_scores(spark, sf):
-    return _discovered(spark, sf).select(
+    return keys.discover_edges(renamed_tables(spark, sf), PRIMARY_KEYS).select(
         "source_table", "source_column", "target_table", "target_column", F.round("ratio", 4).alias("ratio"), "name_match",
         "score", "groups", "state", "bucket", "review_status", "confidence_level", "confidence_band")
 
@@ -327,7 +328,8 @@ FROM accepted a FULL JOIN (SELECT *, TRUE AS f FROM declared) d USING (source_ta
 
 
 def q_edge_warnings(spark, sf):
-    return edges.uncertain_edges(_discovered(spark, sf), _discovered(spark, sf))
+    found = _discovered(spark, sf)
+    return edges.uncertain_edges(found, found)
 
 
 SQL_EDGE_WARNINGS = f"""WITH {SCORED_CTES} SELECT source_table, source_column, target_table, target_column, score, state, ambiguous,
