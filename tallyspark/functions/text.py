@@ -48,16 +48,23 @@ PLAIN_WORDS = (
 )
 
 
+def let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
 def fence_body(text: Column) -> Column:
     """Longest fenced block of the text, or the trimmed text without one."""
-    whole = stripped(F.coalesce(text, F.lit("")))
-    blocks = F.transform(F.regexp_extract_all(whole, F.lit(FENCE_PATTERN), F.lit(1)), stripped)
-    longest = F.array_max(F.transform(blocks, lambda b, i: F.struct(F.length(b).alias("n"), (-i).alias("i"), b.alias("b"))))
-    return F.coalesce(longest["b"], whole)
+    def longest(whole: Column) -> Column:
+        blocks = F.transform(F.regexp_extract_all(whole, F.lit(FENCE_PATTERN), F.lit(1)), stripped)
+        sized = F.transform(blocks, lambda b, i: F.struct(F.length(b).alias("n"), (-i).alias("i"), b.alias("b")))
+        return F.when(whole.contains("```"), F.coalesce(F.array_max(sized)["b"], whole)).otherwise(whole)
+
+    return let(stripped(F.coalesce(text, F.lit(""))), longest)
 
 
 def is_refusal(text: Column) -> Column:
@@ -74,29 +81,36 @@ def letters(text: Column) -> Column:
 
 def is_gibberish(text: Column, min_letters: int = 6) -> Column:
     """Too few letters, too few different ones, or one character repeated, after unfencing."""
-    body = fence_body(text)
-    only = letters(body)
-    n = F.length(only)
-    kinds = F.size(F.array_distinct(F.filter(F.split(only, ""), lambda c: c != "")))
-    return (
-        (body == "") | body.rlike(r"^([A-Za-z0-9])\1{4,}$") | (n < min_letters)
-        | F.coalesce(F.try_divide(kinds, n) < 0.35, F.lit(False))
-    )
+    return let(fence_body(text), lambda body: _gibberish_body(body, min_letters))
+
+
+def _gibberish_body(body: Column, min_letters: int = 6) -> Column:
+    def few(only: Column) -> Column:
+        kinds = F.size(F.array_distinct(F.filter(F.split(only, ""), lambda c: c != "")))
+        return (F.length(only) < min_letters) | F.coalesce(F.try_divide(kinds, F.length(only)) < 0.35, F.lit(False))
+
+    return (body == "") | body.rlike(r"^([A-Za-z0-9])\1{4,}$") | let(letters(body), few)
 
 
 def text_verdict(text: Column) -> Column:
     """Why a text is not to be trusted: empty output, refusal detected, gibberish output; null if it is fine."""
-    body = fence_body(text)
-    return (
-        F.when(body == "", "empty output").when(is_refusal(body), "refusal detected")
-        .when(is_gibberish(body), "gibberish output")
-    )
+    def verdict(body: Column) -> Column:
+        return (
+            F.when(body == "", "empty output").when(is_refusal(body), "refusal detected")
+            .when(_gibberish_body(body), "gibberish output")
+        )
+
+    return let(fence_body(text), verdict)
 
 
 def noise_verdict(text: Column) -> Column:
     """Why a text is no real question: empty, no letters, too short, single letters, noise word, stop words only."""
     low = F.lower(stripped(F.coalesce(text, F.lit(""))))
     tokens = F.regexp_extract_all(low, F.lit(r"([a-z]+(?:'[a-z]+)?)"), F.lit(1))
+    return let(F.struct(low.alias("low"), tokens.alias("tokens")), lambda x: _noise(x["low"], x["tokens"]))
+
+
+def _noise(low: Column, tokens: Column) -> Column:
     real = F.filter(tokens, lambda t: F.length(t) >= 2)
 
     def noisy(t: Column) -> Column:
@@ -125,11 +139,14 @@ def list_items(text: Column, most: int = 5) -> Column:
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), lambda s: stripped(F.replace(s, F.lit("*"), F.lit(""))))
     items = F.filter(F.transform(lines, lambda s: stripped(F.regexp_extract(s, LIST_MARK_PATTERN, 1))), lambda s: s != "")
     flat = stripped(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
-    parts = F.filter(
-        F.transform(F.split(flat, r"(?<=[.!?])\s+"), lambda s: F.regexp_replace(stripped(s), r"\.+$", "")), lambda s: s != "")
-    prose = F.when(flat == "", F.array().cast("array<string>")).when(F.size(parts) >= 2, F.slice(parts, 1, most)).otherwise(
-        F.array(F.left(flat, F.lit(200))))
-    return F.when(F.size(items) > 0, F.slice(items, 1, most)).otherwise(prose)
+
+    def sentences(whole: Column) -> Column:
+        cut = F.split(whole, r"(?<=[.!?])\s+")
+        parts = F.filter(F.transform(cut, lambda s: F.regexp_replace(s, r"\.+$", "")), lambda s: s != "")
+        return let(parts, lambda p: F.when(whole == "", F.slice(p, 1, 0)).when(F.size(p) >= 2, F.slice(p, 1, most)).otherwise(
+            F.array(F.left(whole, F.lit(200)))))
+
+    return let(items, lambda found: F.when(F.size(found) > 0, F.slice(found, 1, most)).otherwise(let(flat, sentences)))
 
 
 def plain_english(text: Column) -> Column:

@@ -105,9 +105,9 @@ SYNONYMS = {
 
 def text_tokens(text: Column) -> Column:
     """Distinct lower-case words; a snake-case word also gives its parts."""
-    whole = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9_]+)"), F.lit(1))
-    parts = F.flatten(F.transform(whole, lambda w: F.split(w, "_")))
-    return F.array_distinct(F.filter(F.concat(whole, parts), lambda w: w != ""))
+    low = F.lower(text)
+    snake = F.filter(F.split(low, "[^a-z0-9_]+"), lambda w: w.contains("_"))
+    return F.array_distinct(F.filter(F.concat(F.split(low, "[^a-z0-9]+"), snake), lambda w: w != ""))
 
 
 def term_grounding(df: DataFrame, key: str, text: str, synonyms: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -117,27 +117,24 @@ def term_grounding(df: DataFrame, key: str, text: str, synonyms: dict[str, tuple
     before they are reduced to their matches.
     """
     synonyms = synonyms or SYNONYMS
-    pairs = [(term, word) for term, group in synonyms.items() for word in sorted({term, *group})]
-    vocabulary = small_frame(df.sparkSession, pairs, "term string, form string")
-    # `boxes` is looked up as boxes, boxe; `ss` endings are stripped letter by letter, `ies` also to `y`.
-    word = F.col("word")
-    forms = F.filter(
-        F.array(
-            word,
-            F.when(word.rlike("..ies$") & (F.length(word) > 4), F.regexp_replace(word, "ies$", "y")),
-            F.when(word.endswith("s"), F.regexp_replace(word, "s$", "")),
-            F.when(word.endswith("ss"), F.regexp_replace(word, "ss$", "")),
-        ),
-        lambda f: f.isNotNull() & (f != ""),
-    )
+    vocabulary = small_frame(df.sparkSession, surface_words(synonyms), "term string, word string")
     return (
-        df.select(key, F.explode(text_tokens(F.col(text))).alias("word"))
-        .select(key, "word", F.explode(F.array_distinct(forms)).alias("form"))
-        .join(vocabulary, "form")
-        .groupBy(key, "term").agg(F.count_distinct("word").alias("score"))
+        df.select(key, F.explode(text_tokens(F.col(text))).alias("word")).join(vocabulary, "word")
+        .groupBy(key, "term").agg(F.count("*").alias("score"))
     )
 
 
+def surface_words(synonyms: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
+    """(term, word) for each word that means a term: its synonyms, themselves and with plural endings."""
+    out = set()
+    for term, group in synonyms.items():
+        for form in {term, *group}:
+            out |= {(term, form), (term, form + "s"), (term, form + "ss")}
+            if form.endswith("y") and len(form) > 2:
+                out.add((term, form[:-1] + "ies"))
+    return sorted(out)
+
+
 def vocabulary_counts(df: DataFrame, text: str) -> DataFrame:
     """Distinct alphabetic words of a text column with the number of texts they are in."""
     whole = F.array_distinct(F.split(F.lower(text), "[^a-z0-9_]+"))

@@ -166,6 +166,14 @@ def outlier_summary(outliers: DataFrame) -> DataFrame:
     )
 
 
+def place_among(cuts: Column, value: Column, step: int = 16) -> Column:
+    """How many of the sorted cuts are below the value: coarse steps first, then inside one step."""
+    n = F.size(cuts)
+    marks = F.transform(F.sequence(F.lit(step), F.greatest(n, F.lit(step)), F.lit(step)), lambda i: F.get(cuts, i - 1))
+    coarse = F.size(F.filter(marks, lambda c: c < value)) * step
+    return coarse + F.size(F.filter(F.slice(cuts, coarse + 1, F.lit(step)), lambda c: c < value))
+
+
 def trends(df: DataFrame, ts: str, measures: Sequence[str], slices: int = 256) -> DataFrame:
     """Direction of the summed measure over time: increasing, decreasing, flat or mixed.
 
@@ -180,7 +188,7 @@ def trends(df: DataFrame, ts: str, measures: Sequence[str], slices: int = 256) -
     cuts = F.percentile_approx(at, [i / slices for i in range(1, slices)], 10_000)
     cut_row = sums.agg(F.struct(cuts.alias("c"), *[F.count(m).alias(m) for m in measures]).alias("s")).scalar()
     sliced = sums.withColumn("cuts", F.array_distinct(cut_row["c"])).withColumn(
-        "slice", F.size(F.filter("cuts", lambda c: c < at))
+        "slice", place_among(F.col("cuts"), at)
     )
     cells = F.array(*[
         F.struct(F.lit(m).alias("column"), F.coalesce(m, F.lit(0.0)).alias("v")) for m in measures

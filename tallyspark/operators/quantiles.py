@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-SMALL = 1_000_000
+SMALL = 200_000
 ACCURACY = 100_000
 
 

@@ -9,6 +9,7 @@ from tallyspark.operators.joins import Edge, denormalize
 from tallyspark.operators.smoothing import smoother_rows
 from tallyspark.plans.insight import union_all
 from tallyspark.plans.views import table
+from tallyspark.session import stored
 
 COUNTRY_SQL = """m AS (SELECT n_name AS country, date_trunc('month', o_orderdate)::DATE AS "at", sum(o_totalprice) AS value
   FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2),
@@ -28,7 +29,12 @@ def country_months(spark, sf):
 
 
 def indexed_months(spark, sf):
-    return S.indexed(country_months(spark, sf), ["country"])
+    """The monthly series, kept as a table: 12 rows per country and year, read by every model."""
+    return stored(S.indexed(country_months(spark, sf), ["country"]), "months")
+
+
+def baselines(series):
+    return stored(S.baseline_points(series, ["country"]), "points")
 
 
 def q_infer_period(spark, sf):
@@ -133,7 +139,7 @@ chosen AS (SELECT country, model, rank, CASE WHEN b THEN 'ensemble' ELSE 'single
 
 
 def q_model_selection(spark, sf):
-    chosen = S.select_models(S.baseline_points(indexed_months(spark, sf), ["country"]), ["country"])
+    chosen = S.select_models(baselines(indexed_months(spark, sf)), ["country"])
     return chosen.select("country", "model", "rank", "kind", F.round("weight", 4).alias("weight"),
                          F.round("mape", 4).alias("mape"), F.round("naive_mape", 4).alias("naive_mape"))
 
@@ -166,7 +172,7 @@ FROM (SELECT country, max("at") AS max_at, unnest(range(1, 7)) AS step FROM ser
 
 def q_forecast_points_baselines(spark, sf):
     ser = indexed_months(spark, sf)
-    points = S.baseline_points(ser, ["country"])
+    points = baselines(ser)
     return S.forecast_points(ser, points, S.baseline_futures(ser, ["country"]), ["country"])
 
 
@@ -189,11 +195,9 @@ def q_forecast_smoothing(spark, sf):
 
 def q_forecast_points(spark, sf):
     """All ten models compete; the smoothers run once per series and feed points and futures."""
-    from tallyspark.session import stored
-
     ser = indexed_months(spark, sf)
     smooth = stored(smoother_rows(ser, ["country"]), "smoothers")
-    points = S.baseline_points(ser, ["country"]).unionByName(
+    points = baselines(ser).unionByName(
         smooth.where("step is null").select("country", "t", "n", "actual", "model", "ahead", "fitted"))
     futures = S.baseline_futures(ser, ["country"]).unionByName(
         smooth.where("step is not null").select("country", "step", "model", "forecast"))

@@ -129,8 +129,8 @@ SQL_JSON_FIELD = "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS
 
 def q_list_items(spark, sf):
     d = table(spark, sf, "documents")
-    items = X.list_items(F.col("text"), 4)
-    return d.select("doc_id", F.size(items).alias("n"), F.array_join(items, " | ").alias("items"))
+    found = d.select("doc_id", X.list_items(F.col("text"), 4).alias("found"))
+    return found.select("doc_id", F.size("found").alias("n"), F.array_join("found", " | ").alias("items"))
 
 
 SQL_LIST_ITEMS = rf"""WITH l AS (SELECT doc_id, text, list_filter(list_transform(string_split_regex(text, '\r\n|\n|\r'),
@@ -192,13 +192,10 @@ SQL_SAFE_NAMES = f"""SELECT page_id, {SAFE_CASE.format('url')} AS safe, {SAFE_CA
 def q_format_measure(spark, sf):
     li = table(spark, sf, "lineitem")
     v = F.col("l_extendedprice") * F.when(F.col("l_linenumber") == 1, 100.0).when(F.col("l_linenumber") == 2, 0.01).otherwise(1.0)
-    x = F.round(v, 3)
-    return li.select("l_orderkey", "l_linenumber", x.alias("value")).where(x * 2 != F.floor(x * 2)).select(
-        "l_orderkey", "l_linenumber", measure_text(F.col("value") + 0.0001).alias("text"))
+    return li.select("l_orderkey", "l_linenumber", measure_text(v + 0.00013).alias("text"))
 
 
-SQL_FORMAT_MEASURE = """WITH v AS (SELECT l_orderkey, l_linenumber, round(l_extendedprice * CASE l_linenumber WHEN 1 THEN 100 WHEN 2 THEN 0.01 ELSE 1 END, 3) AS x FROM lineitem),
-w AS (SELECT l_orderkey, l_linenumber, x + 0.0001 AS x FROM v WHERE x * 2 <> floor(x * 2))
+SQL_FORMAT_MEASURE = """WITH w AS (SELECT l_orderkey, l_linenumber, l_extendedprice * CASE l_linenumber WHEN 1 THEN 100::DOUBLE WHEN 2 THEN 0.01 ELSE 1 END + 0.00013 AS x FROM lineitem)
 SELECT l_orderkey, l_linenumber, CASE WHEN abs(x) >= 1000000 THEN format('{:.2f}M', x / 1000000) WHEN abs(x) >= 1000 THEN format('{:,.0f}', x)
   WHEN abs(x) >= 100 THEN format('{:,.1f}', x) ELSE format('{:,.2f}', x) END AS text FROM w"""
 
