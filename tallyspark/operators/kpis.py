@@ -46,7 +46,7 @@ def zscore_outliers(
     The statistics are one row; only flagged cells are exploded.
     """
     cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), number(c).alias("value"), F.col("s")[c].alias("s"))
+        F.struct(F.lit(c).alias("column"), number(c).alias("value"), F.col("_s")[c].alias("s"))
         for c in columns
     ])
     flagged = F.filter(
@@ -54,7 +54,7 @@ def zscore_outliers(
         lambda t: (t["s"]["n"] >= min_rows) & (t["s"]["sd"] > 0)
         & (F.abs(F.try_divide(t["value"] - t["s"]["mean"], t["s"]["sd"])) > limit_z),
     )
-    rows = df.withColumn("s", moments(df, columns)).select(*keys, F.inline(flagged))
+    rows = df.withColumn("_s", moments(df, columns)).select(*keys, F.inline(flagged))
     z = F.try_divide(F.col("value") - F.col("s.mean"), F.col("s.sd"))
     return rows.select(*keys, "column", F.round("value", 2).alias("value"), F.round(z, 2).alias("z_score"))
 
@@ -180,18 +180,19 @@ def trends(df: DataFrame, ts: str, measures: Sequence[str], slices: int = 256) -
     Neighbouring sums are compared inside time slices of about equal size and then across the slice
     borders, so no task sees more than one slice however many timestamps there are.
     """
+    slots = {f"m{i}": m for i, m in enumerate(measures)}
     sums = df.where(F.col(ts).isNotNull()).groupBy(F.col(ts).alias("ts")).agg(
-        *[F.sum(number(m)).alias(m) for m in measures]
+        *[F.sum(number(m)).alias(slot) for slot, m in slots.items()]
     )
     at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
     # The counts keep the cuts on the same shuffled sums as the comparison below, which then run once.
     cuts = F.percentile_approx(at, [i / slices for i in range(1, slices)], 10_000)
-    cut_row = sums.agg(F.struct(cuts.alias("c"), *[F.count(m).alias(m) for m in measures]).alias("s")).scalar()
-    sliced = sums.withColumn("cuts", F.array_distinct(cut_row["c"])).withColumn(
+    cut_row = sums.agg(F.struct(cuts.alias("cuts"), *[F.count(slot).alias(slot) for slot in slots]).alias("s")).scalar()
+    sliced = sums.withColumn("cuts", F.array_distinct(cut_row["cuts"])).withColumn(
         "slice", place_among(F.col("cuts"), at)
     )
     cells = F.array(*[
-        F.struct(F.lit(m).alias("column"), F.coalesce(m, F.lit(0.0)).alias("v")) for m in measures
+        F.struct(F.lit(m).alias("column"), F.coalesce(slot, F.lit(0.0)).alias("v")) for slot, m in slots.items()
     ])
     long = sliced.select("slice", "ts", F.inline(cells))
     inner = F.col("v") - F.lag("v").over(W.partitionBy("column", "slice").orderBy("ts"))

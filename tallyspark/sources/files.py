@@ -10,6 +10,7 @@ import codecs
 import csv
 import hashlib
 import io
+import re
 from collections.abc import Iterator
 from urllib.parse import unquote, urlparse
 
@@ -17,6 +18,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyspark.session import small_frame
+
 # Bytes looked at, delimiters considered, byte-order marks.
 HEAD_BYTES, NUL_BYTES = 65_536, 8_192
 DELIMITERS = ",;\t|"
@@ -24,11 +27,14 @@ UTF8_MARK, UTF16_MARKS = b"\xef\xbb\xbf", (b"\xff\xfe", b"\xfe\xff")
 
 
 def list_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Rows (path, length, modified); the content column is not read."""
-    return (
-        spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-        .select("path", "length", F.date_format("modificationTime", "yyyy-MM-dd HH:mm:ss").alias("modified"))
-    )
+    """Rows (path, length, modified); the content column is not read.
+
+    A scan leaves empty files out, so the names come from the file index and the scan adds the rest.
+    """
+    files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
+    names = small_frame(spark, [(re.sub("^file:/+", "file:/", unquote(f)),) for f in files.inputFiles()], "path string")
+    facts = files.select("path", "length", F.date_format("modificationTime", "yyyy-MM-dd HH:mm:ss").alias("modified"))
+    return names.join(facts, "path", "left").select("path", F.coalesce("length", F.lit(0)).alias("length"), "modified")
 
 
 def open_stream(uri: str):
@@ -37,7 +43,7 @@ def open_stream(uri: str):
 
     parts = urlparse(uri)
     if parts.scheme in ("", "file"):
-        return fs.LocalFileSystem().open_input_stream(unquote(parts.path))
+        return fs.LocalFileSystem().open_input_stream(re.sub("^file:/*", "/", uri))
     system, path = fs.FileSystem.from_uri(uri)
     return system.open_input_stream(path)
 

@@ -21,6 +21,12 @@ SPARK_TYPES = {
 }
 
 
+# Bytes 0x80 to 0x9f, which are control characters in latin-1 and print in cp1252.
+CP1252 = {chr(b): bytes([b]).decode("cp1252", errors="ignore") for b in range(0x80, 0xA0)}
+CP1252_FROM = "".join(k for k, v in CP1252.items() if v)
+CP1252_TO = "".join(v for v in CP1252.values() if v)
+
+
 def has_quoted_breaks(spark: SparkSession, path: str | list[str], quote: str = '"') -> bool:
     """Does any line hold an odd number of quotes, so that a quoted cell goes on in the next line?"""
     quotes = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
@@ -41,12 +47,16 @@ def read_csv_text(
     """
     if multi_line is None:
         multi_line = encoding.lower().startswith("utf-16") or has_quoted_breaks(spark, path, quote)
-    options = {"sep": sep, "quote": quote, "escape": quote, "encoding": encoding, "multiLine": multi_line, "header": True,
+    windows = encoding.lower() in ("cp1252", "windows-1252")
+    charset = "ISO-8859-1" if windows or encoding.lower() == "latin-1" else "UTF-8" if encoding.lower() == "utf-8-sig" else encoding
+    options = {"sep": sep, "quote": quote, "escape": quote, "encoding": charset, "multiLine": multi_line, "header": True,
                "emptyValue": "", "mode": "PERMISSIVE"}
     if columns is None:
         columns = [c.strip() for c in spark.read.options(**options).csv(path).columns]
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, EXTRA]])
     rows = spark.read.options(**options).schema(schema).csv(path)
+    if windows:
+        rows = rows.withColumns({c: F.translate(F.col(f"`{c}`"), CP1252_FROM, CP1252_TO) for c in rows.columns})
     if keep_extra:
         return rows
     bad = F.raise_error(F.lit("CSV row has more fields than the header")).cast("string")
@@ -108,8 +118,8 @@ def csv_folder_profile(inspected: DataFrame) -> DataFrame:
         alike.setdefault((r["encoding"], r["delimiter"], r["quotechar"], tuple(h.strip() for h in r["header"])), []).append(r["path"])
     out = None
     for (encoding, sep, quote, header), paths in alike.items():
-        rows = read_csv_text(spark, sorted(paths), sep, quote, "UTF-8" if encoding == "utf-8-sig" else encoding, header, keep_extra=True)
-        file = F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1)
+        rows = read_csv_text(spark, sorted(paths), sep, quote, encoding, header, keep_extra=True)
+        file = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
         cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("raw")) for c in header])
         trimmed = F.trim("raw")
         value = F.when(F.col("raw").isNotNull() & ~F.lower(trimmed).isin(*MISSING_TOKENS), trimmed)
