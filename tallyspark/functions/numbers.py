@@ -17,6 +17,11 @@ def share_pct(part: Column, total: Column) -> Column:
     return F.when(F.abs(total) > ZERO, part / total * 100.0)
 
 
+def parsed(text: Column) -> Column:
+    """Text as a number or null. Text that cannot start a number is not even tried, as a failed try is slow."""
+    return F.when(text.rlike(r"^\s*[+-]?[0-9.iInN]"), text.try_cast("double"))
+
+
 def clamp(value: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(value, F.lit(low)), F.lit(high))
 

@@ -4,33 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+def by_dimension(df: DataFrame, dims: Sequence[str], keep: dict[str, Column]) -> DataFrame:
+    """Each row once per dimension: `dimension`, `label` and the kept columns. One pass, no shuffle."""
+    cells = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).cast("string").alias("label")) for d in dims])
+    return df.select(*[c.alias(name) for name, c in keep.items()], F.inline(cells))
+
+
 def group_sums(
     df: DataFrame, dims: Sequence[str], measures: Sequence[str], drop_null_groups: bool = True
 ) -> DataFrame:
     """Rows (dimension, label, column, value): sum per group of each dimension on its own.
 
-    One grouping-sets aggregate reads the input once however many dimensions there are, and partial
-    sums are built before the shuffle, so a group holding most rows costs no more than any other.
+    The input is read once however many dimensions there are, and partial sums are built before the
+    shuffle, so a group holding most rows costs no more than any other.
     """
-    cols = [F.col(d) for d in dims]
-    sums = df.groupingSets([[c] for c in cols], *cols).agg(
-        *[F.sum(m).alias(f"m{i}") for i, m in enumerate(measures)],
-        *[F.grouping(d).alias(f"g{i}") for i, d in enumerate(dims)],
-    )
-    which = F.coalesce(*[F.when(F.col(f"g{i}") == 0, F.lit(d)) for i, d in enumerate(dims)])
-    label = F.coalesce(*[
-        F.when(F.col(f"g{i}") == 0, F.col(d).cast("string")) for i, d in enumerate(dims)
-    ])
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("place"), F.lit(m).alias("column"), F.col(f"m{i}").cast("double").alias("value"))
-        for i, m in enumerate(measures)
-    ])
-    out = sums.select(which.alias("dimension"), label.alias("label"), F.inline(cells))
+    slots = {f"m{i}": m for i, m in enumerate(measures)}
+    rows = by_dimension(df, dims, {slot: F.col(m) for slot, m in slots.items()})
+    sums = rows.groupBy("dimension", "label").agg(*[F.sum(slot).cast("double").alias(slot) for slot in slots])
+    cells = F.array(*[F.struct(F.lit(m).alias("column"), F.col(slot).alias("value")) for slot, m in slots.items()])
+    out = sums.select("dimension", "label", F.inline(cells))
     return out.where(F.col("label").isNotNull()) if drop_null_groups else out
 
 

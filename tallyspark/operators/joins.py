@@ -159,6 +159,8 @@ def fuzzy_vocab_join(tokens: DataFrame, vocabulary: DataFrame, threshold: float
     open_words = (
         tokens.select(F.lower("word").alias("word")).where(F.length("word") >= 2).distinct()
         .join(known, "word", "left_anti")
+        # A word is few bytes but grows into dozens of probes, so words are spread over all cores.
+        .repartition(tokens.sparkSession.sparkContext.defaultParallelism, "word")
     )
 
     # Edits allowed when the longer word has length n: floor(n * slack), guarded against 0.999999.
@@ -193,7 +195,6 @@ def fuzzy_vocab_join(tokens: DataFrame, vocabulary: DataFrame, threshold: float
         .where("from + shift >= 0 and from + shift + size <= length(word) - 2")
         .select("word", "n", F.expr("left(word, 2)").alias("head"), "rest", "i",
                 F.expr("substring(word, 3 + from + shift, size)").alias("piece"))
-        .distinct()
     )
     pairs = probes.join(segments, ["n", "head", "rest", "i", "piece"]).select("word", "match").distinct()
     longer = F.greatest(F.length("word"), F.length("match"))

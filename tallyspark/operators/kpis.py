@@ -166,15 +166,13 @@ def outlier_summary(outliers: DataFrame) -> DataFrame:
     )
 
 
-def place_among(cuts: Column, value: Column, step: int = 16) -> Column:
-    """How many of the sorted cuts are below the value: coarse steps first, then inside one step."""
-    n = F.size(cuts)
-    marks = F.transform(F.sequence(F.lit(step), F.greatest(n, F.lit(step)), F.lit(step)), lambda i: F.get(cuts, i - 1))
+def place_among(cuts: Column, marks: Column, step: int, value: Column) -> Column:
+    """How many of the sorted cuts are below the value; `marks` is every `step`-th cut and is looked at first."""
     coarse = F.size(F.filter(marks, lambda c: c < value)) * step
     return coarse + F.size(F.filter(F.slice(cuts, coarse + 1, F.lit(step)), lambda c: c < value))
 
 
-def trends(df: DataFrame, ts: str, measures: Sequence[str], slices: int = 256) -> DataFrame:
+def trends(df: DataFrame, ts: str, measures: Sequence[str], slices: int = 1024) -> DataFrame:
     """Direction of the summed measure over time: increasing, decreasing, flat or mixed.
 
     Neighbouring sums are compared inside time slices of about equal size and then across the slice
@@ -186,11 +184,11 @@ def trends(df: DataFrame, ts: str, measures: Sequence[str], slices: int = 256) -
     )
     at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
     # The counts keep the cuts on the same shuffled sums as the comparison below, which then run once.
+    step = int(slices ** 0.5)
     cuts = F.percentile_approx(at, [i / slices for i in range(1, slices)], 10_000)
-    cut_row = sums.agg(F.struct(cuts.alias("cuts"), *[F.count(slot).alias(slot) for slot in slots]).alias("s")).scalar()
-    sliced = sums.withColumn("cuts", F.array_distinct(cut_row["cuts"])).withColumn(
-        "slice", place_among(F.col("cuts"), at)
-    )
+    marks = F.percentile_approx(at, [i / slices for i in range(step, slices, step)], 10_000)
+    cut_row = sums.agg(F.struct(cuts.alias("cuts"), marks.alias("marks"), *[F.count(slot).alias(slot) for slot in slots]).alias("s")).scalar()
+    sliced = sums.withColumn("cut", cut_row).withColumn("slice", place_among(F.col("cut.cuts"), F.col("cut.marks"), step, at))
     cells = F.array(*[
         F.struct(F.lit(m).alias("column"), F.coalesce(slot, F.lit(0.0)).alias("v")) for slot, m in slots.items()
     ])

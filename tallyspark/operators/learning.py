@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyspark.functions.names import is_identifier
+from tallyspark.functions.numbers import parsed
 from tallyspark.operators.kpis import number
 from tallyspark.operators.quantiles import column_stats
 from tallyspark.operators.profile import value_counts
@@ -27,7 +28,7 @@ def feature_plan(df: DataFrame, target: str) -> DataFrame:
     stats = counts.groupBy("column").agg(
         F.count(v).alias("distinct"), F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0)).alias("filled"),
         F.sum("times").alias("rows"),
-        F.coalesce(F.sum(F.when(F.expr("try_cast(value as double)").isNotNull(), n)), F.lit(0)).alias("numbers"),
+        F.coalesce(F.sum(F.when(parsed(v).isNotNull(), n)), F.lit(0)).alias("numbers"),
         F.coalesce(F.sum(F.when(F.expr("try_cast(value as timestamp)").isNotNull(), n)), F.lit(0)).alias("times_ok"),
         F.coalesce(F.sum(F.when(v.rlike("[-/:T]"), n)), F.lit(0)).alias("time_like"),
     )

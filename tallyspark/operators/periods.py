@@ -12,6 +12,7 @@ from pyspark.sql import Window as W
 
 from tallyspark.functions.names import human
 from tallyspark.functions.numbers import pct_change, share_pct
+from tallyspark.operators.groups import by_dimension, group_sums
 from tallyspark.operators.kpis import number
 
 # Smallest span in days for each period length.
@@ -63,16 +64,17 @@ def period_totals(df: DataFrame, metric: str, ts: str) -> DataFrame:
 
 def period_comparison(df: DataFrame, metric: str, ts: str, digits: int = 4) -> DataFrame:
     """One row: the last two periods with data, and the change between them. None with one period."""
-    totals = period_totals(df, metric, ts)
-    both = totals.groupBy("granularity").agg(
-        F.count("*").alias("period_count"), F.max_by("value", "start").alias("current"),
-        F.max("start").alias("current_start"),
+    # One row per period of the calendar, so these windows stay small.
+    whole = W.partitionBy("granularity")
+    row = F.struct("value", "start")
+    before = (
+        period_totals(df, metric, ts).withColumn("period_count", F.count("*").over(whole))
+        .withColumn("last", F.max("start").over(whole)).withColumn("prior", F.lag(row).over(whole.orderBy("start")))
+        .where((F.col("start") == F.col("last")) & F.col("prior").isNotNull())
+        .select("granularity", "period_count", F.col("value").alias("current"), F.col("start").alias("current_start"),
+                F.col("prior.value").alias("previous"), F.col("prior.start").alias("previous_start"))
     )
-    # The second to last: max over the rest. Totals are one row per period, so this is a small join.
     last = F.col("current_start")
-    before = totals.join(both, "granularity").where(F.col("start") < last).groupBy(
-        "granularity", "period_count", "current", "current_start"
-    ).agg(F.max_by("value", "start").alias("previous"), F.max("start").alias("previous_start"))
     delta = F.col("current") - F.col("previous")
     return before.select(
         F.lit(metric).alias("metric"), F.lit(ts).alias("date_column"), "granularity",
@@ -108,6 +110,7 @@ class PeriodWindow:
     previous_end: datetime
     current_start: datetime
     current_end: datetime
+    change: float | None = None
 
 
 def resolve_window(df: DataFrame, metric: str, ts: str) -> PeriodWindow | None:
@@ -121,12 +124,12 @@ def resolve_window(df: DataFrame, metric: str, ts: str) -> PeriodWindow | None:
         .withColumn("end", F.expr(
             "case granularity when 'year' then start + interval 1 year when 'month' then start + interval 1 month "
             "when 'week' then start + interval 7 days else start + interval 1 day end"))
-        .orderBy(F.desc("start")).limit(2).select("granularity", "start", "end").collect()
+        .orderBy(F.desc("start")).limit(2).select("granularity", "start", "end", "value").collect()
     )
     if len(rows) < 2:
         return None
     cur, prev = rows
-    return PeriodWindow(cur["granularity"], prev["start"], prev["end"], cur["start"], cur["end"])
+    return PeriodWindow(cur["granularity"], prev["start"], prev["end"], cur["start"], cur["end"], cur["value"] - prev["value"])
 
 
 def in_window(df: DataFrame, ts: str, window: PeriodWindow) -> tuple[DataFrame, Column, Column]:
@@ -154,16 +157,12 @@ def _both_sums(metric: str, cur: Column, prev: Column) -> list[Column]:
 def segment_changes(df: DataFrame, metric: str, dims: Sequence[str], ts: str, window: PeriodWindow) -> DataFrame:
     """Rows (dimension, segment, current, previous, delta); a null segment is a segment."""
     rows, cur, prev = in_window(df, ts, window)
-    cols = [F.col(d) for d in dims]
-    sums = rows.groupingSets([[c] for c in cols], *cols).agg(
-        *_both_sums(metric, cur, prev), *[F.grouping(d).alias(f"g{i}") for i, d in enumerate(dims)]
-    )
-    which = F.coalesce(*[F.when(F.col(f"g{i}") == 0, F.lit(d)) for i, d in enumerate(dims)])
-    label = F.coalesce(*[F.when(F.col(f"g{i}") == 0, F.col(d).cast("string")) for i, d in enumerate(dims)])
-    return sums.select(
-        which.alias("dimension"), label.alias("segment"), "current", "previous",
-        (F.col("current") - F.col("previous")).alias("delta"),
-    )
+    x = number(metric)
+    kept = {"cur": F.when(cur, x), "prev": F.when(prev, x)}
+    zero = F.lit(0.0)
+    sums = by_dimension(rows, dims, kept).groupBy("dimension", F.col("label").alias("segment")).agg(
+        F.coalesce(F.sum("cur"), zero).alias("current"), F.coalesce(F.sum("prev"), zero).alias("previous"))
+    return sums.withColumn("delta", F.col("current") - F.col("previous"))
 
 
 def contribution_change(
@@ -192,8 +191,6 @@ def contribution_change(
 
 def contribution_share(df: DataFrame, metric: str, dims: Sequence[str], top: int = 10, digits: int = 4) -> DataFrame:
     """Per dimension the largest segments and their share of the total; a null segment is a segment."""
-    from tallyspark.operators.groups import group_sums
-
     sums = group_sums(df, dims[:3], [metric], drop_null_groups=False)
     order = W.partitionBy("dimension").orderBy(F.desc("value"), F.col("label").asc_nulls_first())
     heads = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
@@ -217,8 +214,10 @@ def root_cause_path(
     cube = rows.groupBy(*[F.col(d).cast("string").alias(f"d{i}") for i, d in enumerate(dims)]).agg(
         *_both_sums(metric, cur, prev)
     )
-    overall = cube.agg(F.sum(F.col("current") - F.col("previous"))).scalar()
-    sign = F.when(overall >= 0, 1).otherwise(-1)
+    if window.change is None:
+        sign = F.when(cube.agg(F.sum(F.col("current") - F.col("previous"))).scalar() >= 0, 1).otherwise(-1)
+    else:
+        sign = F.lit(1 if window.change >= 0 else -1)
     left, steps = cube, []
     for i, dim in enumerate(dims):
         sums = left.groupBy(F.col(f"d{i}").alias("segment")).agg(

@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallyspark.functions.numbers import parsed
+
 SMALL = 200_000
 ACCURACY = 100_000
 
@@ -30,7 +32,9 @@ def column_stats(
     low_p = [max(0.0, p - slack) for p in order]
     high_p = [min(1.0, p + slack) for p in order]
     slots = {c: f"c{i}" for i, c in enumerate(columns)}
-    typed = df.select(*[F.expr(f"try_cast(`{c}` as double)").alias(slot) for c, slot in slots.items()])
+    kinds = dict(df.dtypes)
+    typed = df.select(*[
+        (parsed(F.col(f"`{c}`")) if kinds[c] == "string" else F.col(f"`{c}`").cast("double")).alias(slot) for c, slot in slots.items()])
 
     def summary(slot: str) -> Column:
         x = F.col(slot)
@@ -49,15 +53,15 @@ def column_stats(
 
     stats = typed.agg(F.struct(*[summary(s) for s in slots.values()]).alias("s")).scalar()
     by_column = F.map_from_arrays(F.array(*[F.lit(c) for c in slots]), F.array(*[F.col("s")[s] for s in slots.values()]))
-    cells = F.array(*[
-        F.struct(F.lit(c).alias("column"), F.col(slot).alias("x"), F.col("s")[slot]["ranges"].alias("ranges"))
-        for c, slot in slots.items()
-    ])
-    # Per value and prob: below the range -> one shared null key, inside -> the value, above -> gone.
+    # Per value and prob: below the range -> one shared null key, inside -> the value, above -> no row.
+    def cell(column: str, slot: str, i: int, prob: float) -> Column:
+        x, r = F.col(slot), F.col("s")[slot]["ranges"][i]
+        return F.when(x <= r["high"], F.struct(
+            F.lit(column).alias("column"), F.lit(float(prob)).alias("prob"), F.when(x >= r["low"], x).alias("x")))
+
+    cells = F.array(*[cell(c, slot, i, p) for c, slot in slots.items() for i, p in enumerate(order)])
     near = (
-        typed.withColumn("s", stats).select(F.inline(cells)).where(F.col("x").isNotNull())
-        .select("column", "x", F.explode("ranges").alias("r")).where(F.col("x") <= F.col("r.high"))
-        .select("column", F.col("r.prob").alias("prob"), F.when(F.col("x") >= F.col("r.low"), F.col("x")).alias("x"))
+        typed.withColumn("s", stats).select(F.inline(cells)).where(F.col("column").isNotNull())
         .groupBy("column", "prob", "x").agg(F.count("*").alias("times"))
     )
     upto = F.sum("times").over(

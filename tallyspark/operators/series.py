@@ -72,7 +72,9 @@ def resample_fill(df: DataFrame, ts: str, value: str, keys: Sequence[str], code:
         .groupBy(*keys, "period", period_bin(F.col(ts), F.col("period")).alias("at"))
         .agg(F.coalesce(F.sum(number(value)), F.lit(0.0)).alias("value"))
     )
-    ends = sums.groupBy(*keys, "period").agg(F.min("at").alias("lo"), F.max("at").alias("hi"))
+    # Asking for the values too keeps the ends on the same shuffled sums as the join below.
+    ends = sums.groupBy(*keys, "period").agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.max("value").alias("top")).where(
+        F.col("top") >= float("-inf"))
     grid = ends.select(*keys, "period", F.explode(
         F.when(F.col("period") == "D", F.sequence("lo", "hi", F.expr("interval 1 day")))
         .when(F.col("period") == "W", F.sequence("lo", "hi", F.expr("interval 7 day")))
