@@ -103,11 +103,11 @@ SYNONYMS = {
 }
 
 
-def text_tokens(text: Column) -> Column:
-    """Distinct lower-case words; a snake-case word also gives its parts."""
+def text_tokens(text: Column, only: Sequence[str]) -> Column:
+    """Distinct lower-case words among `only`; a snake-case word also gives its parts."""
     low = F.lower(text)
     snake = F.filter(F.split(low, "[^a-z0-9_]+"), lambda w: w.contains("_"))
-    return F.array_distinct(F.filter(F.concat(F.split(low, "[^a-z0-9]+"), snake), lambda w: w != ""))
+    return F.array_distinct(F.filter(F.concat(F.split(low, "[^a-z0-9]+"), snake), lambda w: w.isin(*only)))
 
 
 def term_grounding(df: DataFrame, key: str, text: str, synonyms: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
@@ -117,9 +117,11 @@ def term_grounding(df: DataFrame, key: str, text: str, synonyms: dict[str, tuple
     before they are reduced to their matches.
     """
     synonyms = synonyms or SYNONYMS
-    vocabulary = small_frame(df.sparkSession, surface_words(synonyms), "term string, word string")
+    pairs = surface_words(synonyms)
+    vocabulary = small_frame(df.sparkSession, pairs, "term string, word string")
+    known = sorted({word for _, word in pairs})
     return (
-        df.select(key, F.explode(text_tokens(F.col(text))).alias("word")).join(vocabulary, "word")
+        df.select(key, F.explode(text_tokens(F.col(text), known)).alias("word")).join(vocabulary, "word")
         .groupBy(key, "term").agg(F.count("*").alias("score"))
     )
 
