@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.operators import metrics as M
-from tallyspark.plans.insight import union_all, with_sales
+from tallyspark.plans.insight import with_sales
 from tallyspark.plans.views import sales_flat, table
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 
 from tallyspark.functions.names import identifier_suffix_expr, safe_name_expr
 from tallyspark.functions.numbers import finite
-from tallyspark.operators.profile import BOOLEAN_WORDS, MISSING_TOKENS, column_profile, duplicate_rows, logical_type, logical_types
+from tallyspark.operators.profile import MISSING_TOKENS, column_profile, duplicate_rows, logical_type, logical_types
 
 EXTRA = "_extra"
 # Logical type -> Spark type.
