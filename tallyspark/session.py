@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,14 +29,35 @@ def build_session(app: str = "tallyspark", master: str | None = None, **conf: st
     return builder.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the workers of the session, once per application: functions that run in
+    tasks are looked up there by name."""
+    context = spark.sparkContext
+    if context.applicationId in _shipped:
+        return
+    root = Path(__file__).resolve().parent
+    target = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="spark-")), f"{root.name}.zip")
+    with zipfile.ZipFile(target, "w") as packed:
+        for path in sorted(root.rglob("*.py")):
+            packed.write(path, str(path.relative_to(root.parent)))
+    context.addPyFile(target)
+    _shipped.add(context.applicationId)
+
+
 def scratch_dir(spark: SparkSession, label: str) -> str:
     """A new folder name below the cluster's shared checkpoint folder.
 
-    The folder is named by `spark.checkpoint.dir`; only a session that has none set (tests, one
-    machine) gets a temporary one of its own.
+    The folder is named by `spark.checkpoint.dir`. Only a local session may have none set (tests, one
+    machine) and gets a temporary one of its own; on a cluster every executor would write to its own disk.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
