@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import quality_crf, quality_rules
+from tallyspark.llm import quality_crf, quality_rules, token_records
 from tallyspark.llm.training import id_remainder
+from tallyspark.session import scratch_dir
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,7 +29,20 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(docs, quality_rules.train(docs, labels))
 
 
+def default_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_dir(spark, "token-records")
+    return token_records.read_digests(
+        token_records.write_records(table(spark, sf_dir, "documents"), folder, default_tokenizer()))
+
+
 QUERIES = {
     "op1_quality_crf": (op1_quality_crf, None),
     "op9_quality_rules": (op9_quality_rules, None),
+    "op10_token_records": (op10_token_records, None),
 }
