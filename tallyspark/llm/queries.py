@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import quality_crf, quality_rules, token_records
+from tallyspark.llm import lsh_forest, quality_crf, quality_rules, token_records
 from tallyspark.llm.training import id_remainder
 from tallyspark.session import scratch_dir
 
@@ -24,6 +24,10 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.judge(docs, model).select("doc_id", held_out(F.col("doc_id"), 4, 2), "score", "predicted")
 
 
+def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_rules.judge(docs, quality_rules.train(docs, labels))
@@ -43,6 +47,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_crf": (op1_quality_crf, None),
+    "op8_lsh_forest": (op8_lsh_forest, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_token_records": (op10_token_records, None),
 }
