@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import lsh_forest, quality_crf, quality_rules, token_records
+from tallyspark.llm import lsh_forest, quality_crf, quality_rules, suffix_tree, token_records
 from tallyspark.llm.training import id_remainder
 from tallyspark.session import scratch_dir
 
@@ -24,6 +24,14 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.judge(docs, model).select("doc_id", held_out(F.col("doc_id"), 4, 2), "score", "predicted")
 
 
+def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    tree, counts = suffix_tree.train(docs.where(~held_out(F.col("doc_id"), 10, 0)))
+    return suffix_tree.score(docs, tree, counts).select(
+        "doc_id", held_out(F.col("doc_id"), 10, 0), "n_tokens", "n_known", F.lit(tree.tokens).cast("bigint").alias("train_tokens"),
+        "base_score", "score")
+
+
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -47,6 +55,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_crf": (op1_quality_crf, None),
+    "op5_suffix_tree": (op5_suffix_tree, None),
     "op8_lsh_forest": (op8_lsh_forest, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_token_records": (op10_token_records, None),
