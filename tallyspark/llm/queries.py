@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import lsh_forest, quality_crf, quality_rules, suffix_tree, token_records
+from tallyspark.llm import lsh_forest, quality_crf, quality_rules, span_dedup, suffix_tree, token_records
 from tallyspark.llm.training import id_remainder
 from tallyspark.session import scratch_dir
 
@@ -32,6 +32,10 @@ def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_score", "score")
 
 
+def op6_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,6 +60,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_quality_crf": (op1_quality_crf, None),
     "op5_suffix_tree": (op5_suffix_tree, None),
+    "op6_span_dedup": (op6_span_dedup, None),
     "op8_lsh_forest": (op8_lsh_forest, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_token_records": (op10_token_records, None),
