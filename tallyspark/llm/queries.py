@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import lsh_forest, quality_crf, quality_rules, span_dedup, suffix_tree, token_records
+from tallyspark.llm import decontaminate, lsh_forest, quality_crf, quality_rules, span_dedup, suffix_tree, token_records
 from tallyspark.llm.training import id_remainder
 from tallyspark.session import scratch_dir
 
@@ -24,6 +24,10 @@ def op1_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_crf.judge(docs, model).select("doc_id", held_out(F.col("doc_id"), 4, 2), "score", "predicted")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     tree, counts = suffix_tree.train(docs.where(~held_out(F.col("doc_id"), 10, 0)))
@@ -59,6 +63,7 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_quality_crf": (op1_quality_crf, None),
+    "op3_decontaminate": (op3_decontaminate, None),
     "op5_suffix_tree": (op5_suffix_tree, None),
     "op6_span_dedup": (op6_span_dedup, None),
     "op8_lsh_forest": (op8_lsh_forest, None),
