@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat_format, decontaminate, lsh_forest, mixing, quality_crf, quality_rules, span_dedup, suffix_tree, token_records
+from tallyspark.llm import chat_format, decontaminate, lsh_forest, mixing, quality_crf, quality_rules, span_dedup, suffix_tree, token_records, url_filter
 from tallyspark.llm.training import id_remainder
 from tallyspark.session import scratch_dir
 
@@ -109,6 +109,17 @@ def op6_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_dedup.remove_repeats(table(spark, sf_dir, "documents"))
 
 
+URL_RULES = [
+    url_filter.Rule("org", "/", True), url_filter.Rule("example.org", "/es/", False),
+    url_filter.Rule("example.org", "/en/1", False), url_filter.Rule("com", "/fr/", True), url_filter.Rule("com", "/de/", False)]
+
+
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labelled = [(u, True) for u in url_filter.BLOCKED] + [(u, False) for u in url_filter.ALLOWED]
+    model = url_filter.train(spark.createDataFrame(labelled, "url string, blocked boolean"))
+    return url_filter.judge(table(spark, sf_dir, "pages"), model, URL_RULES)
+
+
 def op8_lsh_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lsh_forest.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -137,6 +148,7 @@ QUERIES = {
     "op4_chat_format": (op4_chat_format, OP4_SQL),
     "op5_suffix_tree": (op5_suffix_tree, None),
     "op6_span_dedup": (op6_span_dedup, None),
+    "op7_url_filter": (op7_url_filter, None),
     "op8_lsh_forest": (op8_lsh_forest, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_token_records": (op10_token_records, None),
