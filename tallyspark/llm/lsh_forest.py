@@ -25,7 +25,7 @@ from tallyspark.llm.graph import components
 from tallyspark.session import stored
 
 TREES, DEPTH, WORDS = 16, 6, 5
-BLOCK = 1_000
+BLOCK = 256
 
 
 def matched_depth(threshold: float, recall: float, trees: int = TREES, depth: int = DEPTH) -> int:
@@ -235,6 +235,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                     "shingles": pa.ListArray.from_arrays(pa.array(size), pa.array(np.concatenate(sets).astype(np.int64)))})
 
     texts = docs.select("doc_id", F.xxhash64("text").alias("tie"), "text")
+    wanted = wanted.hint("merge")  # it grows with the input: the same plan at every size
     met = texts.join(wanted, texts["tie"].eqNullSafe(wanted["tie"]) & texts["doc_id"].eqNullSafe(wanted["doc_id"]))
     return map_batches(met.select("node", "text"), collect, "node bigint, shingles array<bigint>")
 
