@@ -134,19 +134,21 @@ def json_in_text(text: Column) -> Column:
     return F.struct(kind.alias("kind"), F.when(whole.isNotNull(), body).when(part.isNotNull(), braces).alias("json"))
 
 
-def list_items(text: Column, most: int = 5) -> Column:
-    """Items of a numbered or bulleted list; of prose the sentences."""
+def list_items(text: Column, most: int | None = None) -> Column:
+    """Items of a numbered or bulleted list; of prose the sentences, or the whole of it. All of them, or the first `most`."""
     lines = F.transform(F.split(F.coalesce(text, F.lit("")), r"\r\n|\n|\r"), lambda s: stripped(F.replace(s, F.lit("*"), F.lit(""))))
     items = F.filter(F.transform(lines, lambda s: stripped(F.regexp_extract(s, LIST_MARK_PATTERN, 1))), lambda s: s != "")
     flat = stripped(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s+", " "))
 
+    def first(found: Column) -> Column:
+        return found if most is None else F.slice(found, 1, most)
+
     def sentences(whole: Column) -> Column:
         cut = F.split(whole, r"(?<=[.!?])\s+")
         parts = F.filter(F.transform(cut, lambda s: F.regexp_replace(s, r"\.+$", "")), lambda s: s != "")
-        return let(parts, lambda p: F.when(whole == "", F.slice(p, 1, 0)).when(F.size(p) >= 2, F.slice(p, 1, most)).otherwise(
-            F.array(F.left(whole, F.lit(200)))))
+        return let(parts, lambda p: F.when(whole == "", F.slice(p, 1, 0)).when(F.size(p) >= 2, first(p)).otherwise(F.array(whole)))
 
-    return let(items, lambda found: F.when(F.size(found) > 0, F.slice(found, 1, most)).otherwise(let(flat, sentences)))
+    return let(items, lambda found: F.when(F.size(found) > 0, first(found)).otherwise(let(flat, sentences)))
 
 
 def plain_english(text: Column) -> Column:

@@ -45,24 +45,24 @@ def category_counts(df: DataFrame, dim: str, top: int = 10) -> DataFrame:
 
 
 def radar_series(df: DataFrame, dim: str, measures: Sequence[str], top: int = 8, digits: int = 4) -> DataFrame:
-    """Sums of up to four measures for the most frequent groups, where there are two to eight."""
+    """Sums of the measures for the most frequent groups, where there are two to eight."""
     sums = df.where(F.col(dim).isNotNull()).groupBy(F.col(dim).cast("string").alias("label")).agg(
-        F.count("*").alias("count"), *[F.sum(number(m)).alias(m) for m in measures[:4]]
+        F.count("*").alias("count"), *[F.sum(number(m)).alias(m) for m in measures]
     )
     groups = sums.agg(F.count("*").alias("n")).scalar()
     return (
         sums.where(groups.between(2, 8)).orderBy(F.desc("count"), "label").limit(top)
-        .select("label", "count", *[F.round(m, digits).alias(m) for m in measures[:4]])
+        .select("label", "count", *[F.round(m, digits).alias(m) for m in measures])
     )
 
 
 def time_series(df: DataFrame, ts: str, measures: Sequence[str], digits: int = 4) -> DataFrame:
-    """Sum per timestamp of up to three measures; `label` is the timestamp text, which sorts in time."""
+    """Sum per timestamp of the measures; `label` is the timestamp text, which sorts in time."""
     return (
         df.where(F.col(ts).isNotNull()).groupBy(F.col(ts).alias("at"))
-        .agg(*[F.sum(number(m)).alias(m) for m in measures[:3]])
+        .agg(*[F.sum(number(m)).alias(m) for m in measures])
         .select(F.date_format("at", "yyyy-MM-dd HH:mm:ss").alias("label"),
-                *[F.round(F.coalesce(m, F.lit(0.0)), digits).alias(m) for m in measures[:3]])
+                *[F.round(F.coalesce(m, F.lit(0.0)), digits).alias(m) for m in measures])
     )
 
 

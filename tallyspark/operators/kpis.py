@@ -111,20 +111,21 @@ def flag_outliers(df: DataFrame, fences: Column, columns: Sequence[str], keep: S
 
 
 def iqr_outliers(
-    df: DataFrame, columns: Sequence[str], keys: Sequence[str], context: Sequence[str] = (), top: int = 30
+    df: DataFrame, columns: Sequence[str], keys: Sequence[str], context: Sequence[str] = (), top: int | None = 30
 ) -> DataFrame:
-    """The `top` strongest outliers, severe ones first, then by distance from the median in percent."""
+    """The `top` strongest outliers, severe ones first, then by distance from the median in percent; all of
+    them, in no order, if `top` is None."""
     fences = fence_scalar(iqr_fences(df, columns), columns)
     rows = flag_outliers(df, fences, columns, [*keys, *[c for c in context if c not in keys]])
     text = F.concat_ws(", ", *[
         F.concat(F.lit(f"{human(c)}="), F.col(c).cast("string")) for c in context
     ]) if context else F.lit("")
     first = F.when(F.col("severity") == "high", 0).otherwise(1)
+    rows = rows.withColumn("context", F.nullif(text, F.lit("")))
+    if top is not None:
+        rows = rows.orderBy(first, F.desc(F.abs(F.coalesce("gap_pct", F.lit(0.0)))), "column", *keys).limit(top)
     return (
-        rows.withColumn("context", F.nullif(text, F.lit("")))
-        .orderBy(first, F.desc(F.abs(F.coalesce("gap_pct", F.lit(0.0)))), "column", *keys)
-        .limit(top)
-        .select(
+        rows.select(
             *keys, "column", F.round("value", 2).alias("value"), "direction", "severity",
             F.round("typical_value", 2).alias("typical_value"),
             F.round("expected_low", 2).alias("expected_low"),
@@ -166,29 +167,23 @@ def outlier_summary(outliers: DataFrame) -> DataFrame:
     )
 
 
-def place_among(cuts: Column, marks: Column, step: int, value: Column) -> Column:
-    """How many of the sorted cuts are below the value; `marks` is every `step`-th cut and is looked at first."""
-    coarse = F.size(F.filter(marks, lambda c: c < value)) * step
-    return coarse + F.size(F.filter(F.slice(cuts, coarse + 1, F.lit(step)), lambda c: c < value))
-
-
-def trends(df: DataFrame, ts: str, measures: Sequence[str], slices: int = 1024) -> DataFrame:
+def trends(df: DataFrame, ts: str, measures: Sequence[str], slice_points: int = 20_000) -> DataFrame:
     """Direction of the summed measure over time: increasing, decreasing, flat or mixed.
 
-    Neighbouring sums are compared inside time slices of about equal size and then across the slice
-    borders, so no task sees more than one slice however many timestamps there are.
+    Neighbouring sums are compared inside time slices of equal length and then across the slice borders.
+    There are as many slices as give each `slice_points` timestamps on average, however many there are.
     """
     slots = {f"m{i}": m for i, m in enumerate(measures)}
     sums = df.where(F.col(ts).isNotNull()).groupBy(F.col(ts).alias("ts")).agg(
         *[F.sum(number(m)).alias(slot) for slot, m in slots.items()]
     )
     at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double")
-    # The counts keep the cuts on the same shuffled sums as the comparison below, which then run once.
-    step = int(slices ** 0.5)
-    cuts = F.percentile_approx(at, [i / slices for i in range(1, slices)], 10_000)
-    marks = F.percentile_approx(at, [i / slices for i in range(step, slices, step)], 10_000)
-    cut_row = sums.agg(F.struct(cuts.alias("cuts"), marks.alias("marks"), *[F.count(slot).alias(slot) for slot in slots]).alias("s")).scalar()
-    sliced = sums.withColumn("cut", cut_row).withColumn("slice", place_among(F.col("cut.cuts"), F.col("cut.marks"), step, at))
+    # The counts keep the ends on the same shuffled sums as the comparison below, which then run once.
+    ends = sums.agg(F.struct(
+        F.min(at).alias("lo"), F.max(at).alias("hi"), F.ceil(F.count(F.lit(1)) / slice_points).alias("slices"),
+        *[F.count(slot).alias(slot) for slot in slots]).alias("s")).scalar()
+    place = F.try_divide(at - F.col("ends.lo"), F.col("ends.hi") - F.col("ends.lo")) * F.col("ends.slices")
+    sliced = sums.withColumn("ends", ends).withColumn("slice", F.coalesce(F.floor(place), F.lit(0)))
     cells = F.array(*[
         F.struct(F.lit(m).alias("column"), F.coalesce(slot, F.lit(0.0)).alias("v")) for slot, m in slots.items()
     ])

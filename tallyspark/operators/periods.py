@@ -169,7 +169,7 @@ def contribution_change(
     df: DataFrame, metric: str, dims: Sequence[str], ts: str, window: PeriodWindow, top: int = 8, digits: int = 4
 ) -> DataFrame:
     """Per dimension the segments with the largest change, and their share of the change in its direction."""
-    changes = segment_changes(df, metric, dims[:3], ts, window)
+    changes = segment_changes(df, metric, dims, ts, window)
     up = F.sum(F.when(F.col("delta") > 0, F.col("delta")))
     down = F.sum(F.when(F.col("delta") < 0, -F.col("delta")))
     overall = changes.groupBy("dimension").agg(
@@ -191,7 +191,7 @@ def contribution_change(
 
 def contribution_share(df: DataFrame, metric: str, dims: Sequence[str], top: int = 10, digits: int = 4) -> DataFrame:
     """Per dimension the largest segments and their share of the total; a null segment is a segment."""
-    sums = group_sums(df, dims[:3], [metric], drop_null_groups=False)
+    sums = group_sums(df, dims, [metric], drop_null_groups=False)
     order = W.partitionBy("dimension").orderBy(F.desc("value"), F.col("label").asc_nulls_first())
     heads = sums.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
     totals = sums.groupBy("dimension").agg(F.sum("value").alias("total"))
@@ -204,12 +204,12 @@ def contribution_share(df: DataFrame, metric: str, dims: Sequence[str], top: int
 def root_cause_path(
     df: DataFrame, metric: str, dims: Sequence[str], ts: str, window: PeriodWindow, digits: int = 4
 ) -> DataFrame:
-    """Up to three steps down: at each the segment with the largest change in the overall direction.
+    """One step down per dimension: at each the segment with the largest change in the overall direction.
 
     One aggregate by all dimensions and period carries every step; a step keeps one segment and sums
     what is left by the next dimension. It stops where nothing changed.
     """
-    dims = list(dims)[:3]
+    dims = list(dims)
     rows, cur, prev = in_window(df, ts, window)
     cube = rows.groupBy(*[F.col(d).cast("string").alias(f"d{i}") for i, d in enumerate(dims)]).agg(
         *_both_sums(metric, cur, prev)

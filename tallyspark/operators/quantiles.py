@@ -1,81 +1,93 @@
 """Exact quantiles over whole tables without gathering a column in one task.
 
-A plain `percentile` keeps every distinct value of the column in one buffer. Here a sketch gives a
-narrow value range around each wanted rank, rows outside it are only counted, and the exact rank is
-picked among the few values inside. Inputs under `SMALL` values use their full range. Two passes over
-the input: one for the sketches and all plain statistics, one for the ranks.
+The range of a column is cut into equal buckets, the rows in each are counted where they are read, and the
+bucket that holds a wanted rank is cut again, between its least and greatest value, until a bracket holds one
+value. Each round divides the range by `BUCKETS`, so a few passes give the exact value for any size and any
+distribution; a round moves at most one row per task and bucket, and one row per rank reaches the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from tallyspark.functions.numbers import parsed
+from tallyspark.functions.numbers import finite, parsed
+from tallyspark.session import small_frame
 
-SMALL = 200_000
-ACCURACY = 100_000
+BUCKETS = 2_048
+PLAIN = ("n", "nulls", "sum", "mean", "sd", "min", "max")
 
 
-def column_stats(
-    df: DataFrame, columns: Sequence[str], probs: dict[str, float], small: int = SMALL, accuracy: int = ACCURACY
-) -> DataFrame:
+def typed_numbers(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """The columns as c0, c1, ...: numbers, text read as numbers; what does not parse or is not finite is null."""
+    kinds = dict(df.dtypes)
+    return df.select(*[
+        finite(parsed(F.col(f"`{c}`")) if kinds[c] == "string" else F.col(f"`{c}`").cast("double")).alias(f"c{i}")
+        for i, c in enumerate(columns)])
+
+
+def values_at(typed: DataFrame, ranks: dict[str, list[tuple[int, float, float]]]) -> dict[tuple[str, int], float]:
+    """Values at 0-based ranks of the sorted columns; `ranks`: per column (rank, least, greatest value)."""
+    open_ = {(slot, rank): (low, high, 0) for slot, wanted in ranks.items() for rank, low, high in wanted}
+    found: dict[tuple[str, int], float] = {}
+    while open_:
+        for key in [k for k, (low, high, _) in open_.items() if low == high]:
+            found[key] = open_.pop(key)[0]
+        if not open_:
+            break
+        brackets: dict[tuple[str, float, float, int], list[int]] = {}
+        for (slot, rank), bracket in open_.items():
+            brackets.setdefault((slot, *bracket), []).append(rank)
+        cells, wanted = [], F.lit(False)
+        for i, ((slot, low, high, before), own) in enumerate(brackets.items()):
+            x = F.col(slot)
+            place = F.floor((x / 2 - low / 2) / (high / 2 - low / 2) * BUCKETS)
+            cells.append(F.when(x.between(low, high), F.struct(
+                F.lit(i).alias("i"), F.least(F.greatest(place, F.lit(0)), F.lit(BUCKETS - 1)).cast("int").alias("bucket"), x.alias("x"))))
+            for rank in own:
+                wanted = wanted | ((F.col("i") == i) & (F.col("upto") > rank - before) & (F.col("upto") - F.col("n") <= rank - before))
+        counts = typed.select(F.inline(F.filter(F.array(*cells), lambda c: c.isNotNull()))).groupBy("i", "bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        upto = F.sum("n").over(W.partitionBy("i").orderBy("bucket").rowsBetween(W.unboundedPreceding, W.currentRow))
+        kept = counts.withColumn("upto", upto).where(wanted).collect()
+        for i, ((slot, _, _, before), own) in enumerate(brackets.items()):
+            for rank in own:
+                row = next(r for r in kept if r.i == i and r.upto > rank - before >= r.upto - r.n)
+                open_[slot, rank] = (row.low, row.high, before + row.upto - row.n)
+    return found
+
+
+def column_stats(df: DataFrame, columns: Sequence[str], probs: dict[str, float]) -> DataFrame:
     """One row per column with values: n, nulls, sum, mean, sd, min, max and one column per named quantile.
 
-    Text is read as numbers, what does not parse is null. Quantiles are interpolated linearly.
+    Text is read as numbers; what does not parse or is not finite is null. Quantiles are interpolated linearly.
     """
-    slack = 2.0 / accuracy
-    order = sorted(set(probs.values()))
-    low_p = [max(0.0, p - slack) for p in order]
-    high_p = [min(1.0, p + slack) for p in order]
-    slots = {c: f"c{i}" for i, c in enumerate(columns)}
-    kinds = dict(df.dtypes)
-    typed = df.select(*[
-        (parsed(F.col(f"`{c}`")) if kinds[c] == "string" else F.col(f"`{c}`").cast("double")).alias(slot) for c, slot in slots.items()])
+    typed = typed_numbers(df, columns)
 
-    def summary(slot: str) -> Column:
+    def summary(slot: str):
         x = F.col(slot)
         n = F.count(x)
-        cuts = F.percentile_approx(x, [*low_p, *high_p], accuracy)
-        ranges = [
-            F.struct(
-                F.lit(float(p)).alias("prob"), F.when(n < small, F.min(x)).otherwise(cuts[i]).alias("low"),
-                F.when(n < small, F.max(x)).otherwise(cuts[len(order) + i]).alias("high"))
-            for i, p in enumerate(order)
-        ]
-        return F.struct(
-            n.alias("n"), (F.count("*") - n).alias("nulls"), F.sum(x).alias("sum"), F.avg(x).alias("mean"),
-            F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"), F.array(*ranges).alias("ranges"),
-        ).alias(slot)
-
-    stats = typed.agg(F.struct(*[summary(s) for s in slots.values()]).alias("s")).scalar()
-    by_column = F.map_from_arrays(F.array(*[F.lit(c) for c in slots]), F.array(*[F.col("s")[s] for s in slots.values()]))
-    # Per value and prob: below the range -> one shared null key, inside -> the value, above -> no row.
-    def cell(column: str, slot: str, i: int, prob: float) -> Column:
-        x, r = F.col(slot), F.col("s")[slot]["ranges"][i]
-        return F.when(x <= r["high"], F.struct(
-            F.lit(column).alias("column"), F.lit(float(prob)).alias("prob"), F.when(x >= r["low"], x).alias("x")))
-
-    cells = F.array(*[cell(c, slot, i, p) for c, slot in slots.items() for i, p in enumerate(order)])
-    near = (
-        typed.withColumn("s", stats).select(F.inline(cells)).where(F.col("column").isNotNull())
-        .groupBy("column", "prob", "x").agg(F.count("*").alias("times"))
-    )
-    upto = F.sum("times").over(
-        W.partitionBy("column", "prob").orderBy(F.col("x").asc_nulls_first()).rowsBetween(W.unboundedPreceding, W.currentRow))
-    ranked = near.withColumn("upto", upto).withColumn("s", stats).withColumn("n", by_column[F.col("column")]["n"])
-    rank = (F.col("n") - 1) * F.col("prob")
-    found = ranked.groupBy("column", "prob", "n").agg(
-        F.min(F.when(F.col("upto") >= F.floor(rank) + 1, F.coalesce("x", F.lit(float("-inf"))))).alias("a"),
-        F.min(F.when(F.col("upto") >= F.ceil(rank) + 1, F.col("x"))).alias("b"))
-    missed = F.col("b").isNull() | (F.col("a") == F.lit(float("-inf")))
-    value = F.when(missed, F.raise_error(F.lit("quantile outside its bracket")).cast("double")).otherwise(
-        F.col("a") + (F.col("b") - F.col("a")) * (rank - F.floor(rank)))
-    picks = [F.max(F.when(F.col("prob") == float(p), value)).alias(name) for name, p in probs.items()]
-    wide = found.groupBy("column").agg(*picks)
-    plain = ("n", "nulls", "sum", "mean", "sd", "min", "max")
-    return wide.withColumn("s", stats).withColumn("s", by_column[F.col("column")]).select(
-        "column", *[F.col("s")[f].alias(f) for f in plain], *probs)
+        return F.struct(n.alias("n"), (F.count(F.lit(1)) - n).alias("nulls"), F.sum(x).alias("sum"), F.avg(x).alias("mean"),
+                        F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max")).alias(slot)
+
+    plain = typed.agg(*[summary(slot) for slot in typed.columns]).first() if columns else {}
+    places = {(slot, name): (plain[slot].n - 1) * p for slot in typed.columns if plain[slot].n for name, p in probs.items()}
+    ranks: dict[str, list[tuple[int, float, float]]] = {}
+    for (slot, _), place in places.items():
+        for rank in {floor(place), ceil(place)}:
+            ranks.setdefault(slot, []).append((rank, plain[slot].min, plain[slot].max))
+    found = values_at(typed, ranks)
+
+    def at(slot: str, name: str) -> float:
+        place = places[slot, name]
+        low, high = found[slot, floor(place)], found[slot, ceil(place)]
+        return low + (high - low) * (place - floor(place))
+
+    rows = [(c, *(plain[slot][f] for f in PLAIN), *(at(slot, name) for name in probs))
+            for c, slot in zip(columns, typed.columns) if plain[slot].n]
+    return small_frame(df.sparkSession, rows, ", ".join(
+        ["column string, n bigint, nulls bigint, sum double, mean double, sd double, min double, max double", *(f"`{name}` double" for name in probs)]))

@@ -38,7 +38,7 @@ def segments(df: DataFrame, dims: Sequence[str], measure: str, digits: int = 2)
 
 def dominant_segments(df: DataFrame, dims: Sequence[str], measures: Sequence[str]) -> DataFrame:
     """Findings: a group with at least 20 % of a measure, or three of more than three groups with 60 %."""
-    s = _head_shares(df, dims[:2], measures).where(F.col("total") != 0)
+    s = _head_shares(df, dims, measures).where(F.col("total") != 0)
     top = F.try_divide("top_value", "total") * 100
     top3 = F.try_divide("top3_value", "total") * 100
     lead = F.when(top >= 20, F.struct(

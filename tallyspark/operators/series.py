@@ -22,7 +22,7 @@ MODELS = ("naive", "mean", "median", "drift", "moving_average", "linear_trend",
           "holt_linear_damped", "seasonal_naive", "holt_winters_additive")
 # Z of the 80 % and 95 % bands, sigma per mean absolute error.
 Z80, Z95, MAE_PER_SIGMA = 1.28, 1.96, 0.8
-DEFAULT_SEASON = 7
+DEFAULT_SEASON, SEASONS = 7, (4, 7, 12)
 
 
 def infer_period(df: DataFrame, ts: str, keys: Sequence[str]) -> DataFrame:
@@ -107,7 +107,11 @@ def baseline_points(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     v, t = F.col("value"), F.col("t").cast("double")
     first = F.first("value").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
     last = F.lag("value").over(w)
-    seasonal = F.expr("try_element_at(upto, cast(greatest(t - season, 0) as int) + 1)")
+    # One lag per season length that there is; before a season has passed, the first value.
+    seasonal = F.lit(None).cast("double")
+    for length in SEASONS:
+        seasonal = F.when(F.col("season") == length, F.lag("value", length).over(w)).otherwise(seasonal)
+    seasonal = F.when(F.col("t") == 0, v).otherwise(F.coalesce(seasonal, first))
     slope, icept = F.regr_slope(v, t), F.regr_intercept(v, t)
     final = F.last("value").over(w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
 
@@ -126,8 +130,7 @@ def baseline_points(series: DataFrame, keys: Sequence[str]) -> DataFrame:
         "linear_trend": (line(past), line(whole)),
         "seasonal_naive": (seasonal, F.when(F.col("t") >= F.col("season"), seasonal).otherwise(v)),
     }
-    upto = F.collect_list("value").over(w.rowsBetween(W.unboundedPreceding, W.currentRow))
-    rows = series.withColumn("upto", upto)
+    rows = series
     for i, (ahead, fitted) in enumerate(forecasts.values()):
         rows = rows.withColumn(f"a{i}", ahead).withColumn(f"f{i}", fitted)
     cells = F.array(*[

@@ -13,6 +13,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from tallyspark.session import ship
+
 SMOOTHERS = ("exponential_smoothing", "holt_linear_damped", "holt_winters_additive")
 
 # Parameter grids and the damping of the trend.
@@ -143,4 +145,5 @@ def smoother_rows(series: DataFrame, keys: Sequence[str], horizon: int = 6) -> D
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         return smooth_series(pdf, keys, horizon)[names]
 
+    ship(series.sparkSession)
     return series.select(*keys, "t", "value", "season").groupBy(*keys).applyInPandas(run, schema)

@@ -75,10 +75,10 @@ FROM (SELECT {keys}, f."column", value, median, low, high, severe_low, severe_hi
       FROM ({long}) v JOIN fences f ON v."column" = f."column"
       WHERE value < low OR value > high)
 ORDER BY CASE WHEN value > severe_high OR value < severe_low THEN 0 ELSE 1 END, abs(coalesce(gap, 0)) DESC,
-  "column", {keys} LIMIT {top}"""
+  "column", {keys}{top}"""
 
 
-def outlier_sql(source, columns, keys, context, top=30) -> str:
+def outlier_sql(source, columns, keys, context, top=" LIMIT 30") -> str:
     long = union_all(
         f"""SELECT {keys}, '{c}' AS "column", {c} AS value, {context} AS context FROM {source}""" for c in columns)
     return OUTLIER_BODY.format(keys=keys, long=long, top=top)
@@ -91,8 +91,8 @@ def q_iqr(spark, sf):
 EVENT_FENCES = f"WITH {EVENTS_NULLS_SQL}, {fence_sql('events_nulls', ['value'])}\n"
 
 
-def _event_outliers(spark, sf):
-    return kpis.iqr_outliers(events_nulls(spark, sf), ["value"], ["event_id"], ["event_type"])
+def _event_outliers(spark, sf, top=30):
+    return kpis.iqr_outliers(events_nulls(spark, sf), ["value"], ["event_id"], ["event_type"], top)
 
 
 def q_event_outliers(spark, sf):
@@ -102,13 +102,14 @@ def q_event_outliers(spark, sf):
 SQL_IQR = f"WITH {fence_sql('documents', ['n_chars'])} " + outlier_sql(
     "documents", ["n_chars"], "doc_id", "'lang=' || lang || ', source=' || source")
 SQL_EVENT_OUTLIERS = EVENT_FENCES + outlier_sql("events_nulls", ["value"], "event_id", "'event type=' || event_type")
+SQL_ALL_EVENT_OUTLIERS = EVENT_FENCES + outlier_sql("events_nulls", ["value"], "event_id", "'event type=' || event_type", "")
 
 
 def q_outlier_summary(spark, sf):
-    return kpis.outlier_summary(_event_outliers(spark, sf))
+    return kpis.outlier_summary(_event_outliers(spark, sf, None))
 
 
-SQL_OUTLIER_SUMMARY = f"""WITH o AS ({SQL_EVENT_OUTLIERS})
+SQL_OUTLIER_SUMMARY = f"""WITH o AS ({SQL_ALL_EVENT_OUTLIERS})
 SELECT count(*) AS unusual_values, count(*) FILTER (severity = 'high') AS strong_signals,
   count(*) FILTER (direction = 'high') AS above, count(*) FILTER (direction = 'low') AS below,
   string_agg(DISTINCT "column", ',') AS columns FROM o"""

@@ -26,16 +26,20 @@ def answers(spark, sf):
     body = (
         F.when(k == 0, F.concat(F.lit("```sql\n"), t, F.lit("\n```")))
         .when(k == 1, F.concat(F.lit("I'm sorry, I cannot help with that. "), t))
-        .when(k == 2, F.left(t, F.lit(7))).when(k == 3, F.concat(F.lit("Here:\n```\nab\n```\nor\n```json\n"), F.left(t, F.lit(40)), F.lit("\n```")))
-        .when(k == 4, F.lit("zzzzzzz")).otherwise(t)
+        .when(k == 3, F.concat(F.lit("Here:\n```\nab\n```\nor\n```json\n"), t, F.lit("\n```"))).otherwise(t)
     )
-    return c.select("conv_id", "turn", body.alias("text"))
+    cut = F.when(k == 2, F.left(t, F.lit(7))).when(k == 3, F.concat(F.lit("```\n"), F.left(t, F.lit(40)))).when(k == 4, F.lit("zzzzzzz"))
+    # Every whole text, and beside it cut and empty-handed answers (a second copy numbered below zero).
+    return c.select("conv_id", "turn", body.alias("text")).unionAll(
+        c.select("conv_id", (-1 - F.col("turn")).alias("turn"), cut.alias("text")).where("text is not null"))
 
 
 ANSWERS_SQL = """answers AS (SELECT conv_id, turn, CASE (conv_id * 7 + turn) % 6 WHEN 0 THEN '```sql' || chr(10) || text || chr(10) || '```'
-  WHEN 1 THEN 'I''m sorry, I cannot help with that. ' || text WHEN 2 THEN left(text, 7)
-  WHEN 3 THEN 'Here:' || chr(10) || '```' || chr(10) || 'ab' || chr(10) || '```' || chr(10) || 'or' || chr(10) || '```json' || chr(10) || left(text, 40) || chr(10) || '```'
-  WHEN 4 THEN 'zzzzzzz' ELSE text END AS text FROM conversations)"""
+  WHEN 1 THEN 'I''m sorry, I cannot help with that. ' || text 
+  WHEN 3 THEN 'Here:' || chr(10) || '```' || chr(10) || 'ab' || chr(10) || '```' || chr(10) || 'or' || chr(10) || '```json' || chr(10) || text || chr(10) || '```'
+  ELSE text END AS text FROM conversations
+  UNION ALL SELECT conv_id, -1 - turn, CASE (conv_id * 7 + turn) % 6 WHEN 2 THEN left(text, 7) WHEN 3 THEN '```' || chr(10) || left(text, 40) ELSE 'zzzzzzz' END
+  FROM conversations WHERE (conv_id * 7 + turn) % 6 IN (2, 3, 4))"""
 
 STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 FENCE_SQL = rf"""fenced AS (SELECT *, list_transform(regexp_extract_all({STRIP.format('text')}, {q(X.FENCE_PATTERN)}, 1), lambda b: {STRIP.format('b')}) AS blocks
@@ -70,7 +74,7 @@ def q_gibberish_rows(spark, sf):
     return rows.where(X.is_gibberish(F.col("text"))).select("conv_id", "turn")
 
 
-SQL_GIBBERISH = f"""WITH {ANSWERS_SQL.replace('FROM conversations)', 'FROM conversations UNION ALL SELECT doc_id, -1, text FROM documents)')}, {FENCE_SQL}
+SQL_GIBBERISH = f"""WITH {ANSWERS_SQL.replace('IN (2, 3, 4))', 'IN (2, 3, 4) UNION ALL SELECT doc_id, -1, text FROM documents)')}, {FENCE_SQL}
 SELECT conv_id, turn FROM bodies WHERE {GIBBERISH.format('body')}"""
 
 
@@ -90,7 +94,7 @@ def q_noise_filter(spark, sf):
     return rows.select("conv_id", "turn", X.noise_verdict(F.col("text")).alias("reason"))
 
 
-SQL_NOISE = f"""WITH {ANSWERS_SQL.replace('FROM conversations)', '''FROM conversations UNION ALL SELECT p_partkey, -2,
+SQL_NOISE = f"""WITH {ANSWERS_SQL.replace('IN (2, 3, 4))', '''IN (2, 3, 4) UNION ALL SELECT p_partkey, -2,
   CASE p_size % 3 WHEN 0 THEN 'show me the ' || string_split(p_name, ' ')[1] WHEN 1 THEN 'what is this' ELSE p_name END FROM part)''')},
 t AS (SELECT conv_id, turn, lower({STRIP.format('text')}) AS low FROM answers),
 k AS (SELECT *, regexp_extract_all(low, '([a-z]+(?:''[a-z]+)?)', 1) AS tokens FROM t),
@@ -129,7 +133,7 @@ SQL_JSON_FIELD = "SELECT event_id, json_extract_string(props, '$.k')::BIGINT AS
 
 def q_list_items(spark, sf):
     d = table(spark, sf, "documents")
-    found = d.select("doc_id", X.list_items(F.col("text"), 4).alias("found"))
+    found = d.select("doc_id", X.list_items(F.col("text")).alias("found"))
     return found.select("doc_id", F.size("found").alias("n"), F.array_join("found", " | ").alias("items"))
 
 
@@ -138,7 +142,7 @@ SQL_LIST_ITEMS = rf"""WITH l AS (SELECT doc_id, text, list_filter(list_transform
   {STRIP.format(r"regexp_replace(text, '\s+', ' ', 'g')")} AS flat FROM documents),
 s AS (SELECT *, list_filter(list_transform(string_split(regexp_replace(flat, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)),
     lambda x: regexp_replace({STRIP.format('x')}, '\.+$', '')), lambda x: x <> '') AS parts FROM l),
-o AS (SELECT doc_id, CASE WHEN len(items) > 0 THEN items[1:4] WHEN flat = '' THEN [] WHEN len(parts) >= 2 THEN parts[1:4] ELSE [left(flat, 200)] END AS items FROM s)
+o AS (SELECT doc_id, CASE WHEN len(items) > 0 THEN items WHEN flat = '' THEN [] WHEN len(parts) >= 2 THEN parts ELSE [flat] END AS items FROM s)
 SELECT doc_id, len(items) AS n, array_to_string(items, ' | ') AS items FROM o"""
 
 # --- names and numbers -------------------------------------------------------------------------

@@ -1,7 +1,7 @@
 """CSV files before they are read: admission, encoding, dialect, header, fingerprint.
 
-Each task opens its own files and looks at their first 64 KB only; a file is never loaded whole, so
-its size does not matter.
+Each task opens its own files and reads them piece by piece to the end, for the encoding and for NUL bytes; a
+file is never held whole, so its size does not matter.
 """
 
 from __future__ import annotations
@@ -18,10 +18,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.session import small_frame
+from tallyspark.session import ship, small_frame
 
-# Bytes looked at, delimiters considered, byte-order marks.
-HEAD_BYTES, NUL_BYTES = 65_536, 8_192
+# Bytes that the dialect is told from, delimiters considered, byte-order marks.
+HEAD_BYTES, PIECE_BYTES = 65_536, 1 << 20
 DELIMITERS = ",;\t|"
 UTF8_MARK, UTF16_MARKS = b"\xef\xbb\xbf", (b"\xff\xfe", b"\xfe\xff")
 
@@ -48,19 +48,23 @@ def open_stream(uri: str):
     return system.open_input_stream(path)
 
 
-def guess_encoding(head: bytes, cut: bool) -> str:
-    """By mark, else the first of utf-8 and cp1252 that decodes, else latin-1; `cut`: more bytes follow."""
-    if head.startswith(UTF8_MARK):
-        return "utf-8-sig"
-    if head.startswith(UTF16_MARKS):
-        return "utf-16"
-    for name in ("utf-8", "cp1252"):
-        try:
-            codecs.getincrementaldecoder(name)().decode(head, final=not cut)
-            return name
-        except UnicodeDecodeError:
-            continue
-    return "latin-1"
+class Encodings:
+    """Fed with all pieces of a file: by mark, else the first of utf-8 and cp1252 that decodes it, else latin-1."""
+
+    def __init__(self, head: bytes):
+        self.marked = "utf-8-sig" if head.startswith(UTF8_MARK) else "utf-16" if head.startswith(UTF16_MARKS) else None
+        self.left = {name: codecs.getincrementaldecoder(name)() for name in ("utf-8", "cp1252")}
+
+    def feed(self, piece: bytes, final: bool = False) -> None:
+        for name in list(self.left):
+            try:
+                self.left[name].decode(piece, final=final)
+            except UnicodeDecodeError:
+                del self.left[name]
+
+    @property
+    def name(self) -> str:
+        return self.marked or next(iter(self.left), "latin-1")
 
 
 def guess_dialect(text: str) -> tuple[str, str]:
@@ -72,13 +76,23 @@ def guess_dialect(text: str) -> tuple[str, str]:
         return ",", '"'
 
 
-def describe_head(head: bytes, length: int) -> dict:
-    encoding = guess_encoding(head, length > len(head))
-    text = codecs.getincrementaldecoder(encoding)(errors="strict").decode(head, final=False)
-    delimiter, quote = guess_dialect(text) if text.strip() else (",", '"')
+def describe(stream) -> dict:
+    """Encoding, dialect and header of an open file. The head grows until it holds a whole first line."""
+    head = stream.read(HEAD_BYTES)
+    piece = head
+    encodings, nul, first = Encodings(head), False, b"\n" not in head
+    while piece:
+        encodings.feed(piece)
+        nul = nul or b"\x00" in piece
+        piece = stream.read(PIECE_BYTES)
+        if first and piece:
+            head, first = head + piece, b"\n" not in piece
+    encodings.feed(b"", final=True)
+    text = codecs.getincrementaldecoder(encodings.name)(errors="strict").decode(head, final=False)
+    delimiter, quote = guess_dialect(text[:HEAD_BYTES]) if text.strip() else (",", '"')
     header = next(csv.reader(io.StringIO(text), delimiter=delimiter, quotechar=quote), [])
     return {
-        "nul": b"\x00" in head[:NUL_BYTES], "marked": head.startswith(UTF16_MARKS), "encoding": encoding,
+        "nul": nul, "marked": head.startswith(UTF16_MARKS), "encoding": encodings.name,
         "delimiter": delimiter, "quotechar": quote, "header": header, "blank": not text.strip(),
     }
 
@@ -95,9 +109,10 @@ def inspect_files(files: DataFrame) -> DataFrame:
             rows = []
             for path, length, modified in pdf.itertuples(index=False):
                 with open_stream(path) as stream:
-                    rows.append({"path": path, "length": length, "modified": modified, **describe_head(stream.read(HEAD_BYTES), length)})
+                    rows.append({"path": path, "length": length, "modified": modified, **describe(stream)})
             yield pd.DataFrame(rows, columns=[c.strip().split(" ")[0] for c in INSPECTED.split(", ")])
 
+    ship(files.sparkSession)
     return files.mapInPandas(run, INSPECTED)
 
 
@@ -139,4 +154,5 @@ def file_fingerprint(files: DataFrame) -> DataFrame:
                 sums.append(digest.hexdigest())
             yield pdf.assign(sha256=sums)[["path", "length", "sha256"]]
 
+    ship(files.sparkSession)
     return files.select("path", "length").mapInPandas(run, "path string, length bigint, sha256 string")

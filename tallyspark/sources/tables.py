@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,10 +28,22 @@ CP1252_FROM = "".join(k for k, v in CP1252.items() if v)
 CP1252_TO = "".join(v for v in CP1252.values() if v)
 
 
-def has_quoted_breaks(spark: SparkSession, path: str | list[str], quote: str = '"') -> bool:
-    """Does any line hold an odd number of quotes, so that a quoted cell goes on in the next line?"""
+def quoted_break_files(spark: SparkSession, path: str | list[str], quote: str = '"') -> list[str]:
+    """Files in which some line holds an odd number of quotes, so that a quoted cell goes on in the next line."""
     quotes = F.length("value") - F.length(F.replace("value", F.lit(quote), F.lit("")))
-    return not spark.read.text(path).where(quotes % 2 == 1).isEmpty()
+    odd = spark.read.text(path).where(quotes % 2 == 1).select(F.input_file_name().alias("file")).distinct()
+    return sorted(r["file"] for r in odd.collect())
+
+
+def has_quoted_breaks(spark: SparkSession, path: str | list[str], quote: str = '"') -> bool:
+    return bool(quoted_break_files(spark, path, quote))
+
+
+def field_count(record: Column, sep: str, quote: str) -> Column:
+    """Fields of a raw record: separators outside quoted cells, plus one."""
+    q = re.escape(quote)
+    bare = F.regexp_replace(record, f"{q}(?:[^{q}]|{q}{q})*{q}", "")
+    return (F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit("")))) / len(sep) + 1
 
 
 def read_csv_text(
@@ -39,29 +52,40 @@ def read_csv_text(
 ) -> DataFrame:
     """CSV with a header, every cell a string; empty and absent cells are null.
 
-    A file whose quoted cells hold line breaks can only be read by one task. Unless `multi_line` says
-    so, a look at the lines decides, and files without such cells are split.
+    Every file must have the header of the first one (or `columns`) in the same order; another header is an
+    error when the file is read. A file whose quoted cells hold line breaks can only be read by one task.
+    Unless `multi_line` says so for all, a look at the lines decides file by file, and the others are split.
 
-    One column more than the header is read: it is filled only in rows that are too long. Those are an
-    error when the row is used; with `keep_extra` they are left to the caller (`rejected_rows`).
+    A row with more fields than the header, filled or blank, is an error when it is used; with `keep_extra`
+    it is left to the caller, with its raw text in `_extra` (`rejected_rows`).
     """
     if multi_line is None:
-        multi_line = encoding.lower().startswith("utf-16") or has_quoted_breaks(spark, path, quote)
+        whole = encoding.lower().startswith("utf-16")
+        odd = [] if whole else quoted_break_files(spark, path, quote)
+        if odd:
+            files = spark.read.text(path).inputFiles()
+            rest = sorted(set(files) - set(odd))
+            parts = [read_csv_text(spark, f, sep, quote, encoding, columns, keep_extra, m) for f, m in ((odd, True), (rest, False)) if f]
+            return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+        multi_line = whole
     windows = encoding.lower() in ("cp1252", "windows-1252")
-    charset = "ISO-8859-1" if windows or encoding.lower() == "latin-1" else "UTF-8" if encoding.lower() == "utf-8-sig" else encoding
+    marked = encoding.lower() == "utf-8-sig"
+    charset = "ISO-8859-1" if windows or encoding.lower() == "latin-1" else "UTF-8" if marked else encoding
     options = {"sep": sep, "quote": quote, "escape": quote, "encoding": charset, "multiLine": multi_line, "header": True,
-               "emptyValue": "", "mode": "PERMISSIVE"}
+               "emptyValue": "", "mode": "PERMISSIVE", "columnPruning": False, "enforceSchema": marked, "columnNameOfCorruptRecord": EXTRA}
     if columns is None:
-        columns = [c.strip() for c in spark.read.options(**options).csv(path).columns]
+        columns = spark.read.options(**options).csv(path).columns
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, EXTRA]])
     rows = spark.read.options(**options).schema(schema).csv(path)
     if windows:
-        rows = rows.withColumns({c: F.translate(F.col(f"`{c}`"), CP1252_FROM, CP1252_TO) for c in rows.columns})
+        rows = rows.withColumns({f"`{c}`" if "." in c else c: F.translate(F.col(f"`{c}`"), CP1252_FROM, CP1252_TO) for c in rows.columns})
+    # The parser keeps the raw text of rows with another number of fields; short rows are filled up with nulls.
+    long = F.when(field_count(F.col(EXTRA), sep, quote) > len(columns), F.col(EXTRA))
+    cells = [F.col(f"`{c}`").alias(c.strip()) for c in columns]
     if keep_extra:
-        return rows
+        return rows.select(*cells, long.alias(EXTRA))
     bad = F.raise_error(F.lit("CSV row has more fields than the header")).cast("string")
-    first = F.when(F.col(EXTRA).isNotNull(), bad).otherwise(F.col(f"`{columns[0]}`")).alias(columns[0])
-    return rows.select(first, *[F.col(f"`{c}`") for c in columns[1:]])
+    return rows.select(F.when(long.isNotNull(), bad).otherwise(cells[0]).alias(columns[0].strip()), *cells[1:])
 
 
 def rejected_rows(rows: DataFrame) -> DataFrame:
@@ -115,10 +139,13 @@ def csv_folder_profile(inspected: DataFrame) -> DataFrame:
     spark = inspected.sparkSession
     alike: dict[tuple, list[str]] = {}
     for r in inspected.where("length > 0").select("path", "encoding", "delimiter", "quotechar", "header").collect():
-        alike.setdefault((r["encoding"], r["delimiter"], r["quotechar"], tuple(h.strip() for h in r["header"])), []).append(r["path"])
+        alike.setdefault((r["encoding"], r["delimiter"], r["quotechar"], tuple(r["header"])), []).append(r["path"])
     out = None
-    for (encoding, sep, quote, header), paths in alike.items():
-        rows = read_csv_text(spark, sorted(paths), sep, quote, encoding, header, keep_extra=True)
+    odd = set(quoted_break_files(spark, [p for paths in alike.values() for p in paths])) if alike else set()
+    split = [(key, [p for p in paths if (p in odd) == m], m or key[0].startswith("utf-16")) for key, paths in alike.items() for m in (False, True)]
+    for (encoding, sep, quote, header), paths, whole in [x for x in split if x[1]]:
+        rows = read_csv_text(spark, sorted(paths), sep, quote, encoding, header, keep_extra=True, multi_line=whole)
+        header = [h.strip() for h in header]
         file = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
         cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("raw")) for c in header])
         trimmed = F.trim("raw")

@@ -108,3 +108,39 @@ def test_fingerprint_json_and_jdbc_options(spark, tmp_path):
     assert opts["url"] == "jdbc:mysql://db:3306/shop" and opts["numPartitions"] == "4" and opts["queryTimeout"] == "30"
     assert "BASE TABLE" in tables.catalog_query("postgresql", "public") and "PRIMARY KEY" in tables.keys_query("mysql")
     assert "referenced_table_name IS NOT NULL" in tables.foreign_keys_query("mysql")
+
+
+def test_long_rows_are_rejected_even_if_blank(spark, tmp_path):
+    path = write(tmp_path, "long.csv", 'id,name\n1,a\n2,b,,x\n3,c,\n4\n5,"d,e"\n')
+    kept = tables.read_csv_text(spark, path, keep_extra=True)
+    assert sorted(r["id"] for r in tables.rejected_rows(kept).collect()) == ["2", "3"]
+    assert sorted((r["id"], r["name"]) for r in kept.where("_extra is null").collect()) == [("1", "a"), ("4", None), ("5", "d,e")]
+    with pytest.raises(Exception, match="more fields"):
+        tables.read_csv_text(spark, path).collect()
+
+
+def test_files_with_other_headers_are_an_error(spark, tmp_path):
+    folder = tmp_path / "two"
+    folder.mkdir()
+    (folder / "a.csv").write_text("id,name\n1,a\n")
+    (folder / "b.csv").write_text("name,id\nb,2\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.read_csv_text(spark, str(folder)).collect()
+
+
+def test_line_breaks_are_decided_file_by_file(spark, tmp_path):
+    folder = tmp_path / "mixed"
+    folder.mkdir()
+    (folder / "a.csv").write_text('id,note\n1,"two\nlines"\n')
+    (folder / "b.csv").write_text("id,note\n2,plain\n")
+    assert [f.rsplit("/", 1)[-1] for f in tables.quoted_break_files(spark, str(folder))] == ["a.csv"]
+    assert sorted((r["id"], r["note"]) for r in tables.read_csv_text(spark, str(folder)).collect()) == [("1", "two\nlines"), ("2", "plain")]
+
+
+def test_late_bytes_decide_encoding_and_nul(spark, tmp_path):
+    (tmp_path / "late.csv").write_bytes(b"id,name\n" + b"1,a\n" * 40_000 + "2,André\n".encode("cp1252"))
+    (tmp_path / "nul.csv").write_bytes(b"id,name\n" + b"1,a\n" * 40_000 + b"2,\x00\n")
+    (tmp_path / "wide.csv").write_text(",".join(f"column_{i}" for i in range(9_000)) + "\n" + "1," * 8_999 + "1\n")
+    found = {r["path"].rsplit("/", 1)[-1]: r for r in files.inspect_files(files.list_files(spark, str(tmp_path), "*.csv")).collect()}
+    assert found["late.csv"]["encoding"] == "cp1252" and found["nul.csv"]["nul"] and not found["late.csv"]["nul"]
+    assert len(found["wide.csv"]["header"]) == 9_000

@@ -4,8 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyspark.operators import charts, joins, kpis, metrics, periods, profile, retail, segments
-from tallyspark.operators.quantiles import column_stats
+from tallyspark.operators import charts, joins, kpis, metrics, periods, profile, quantiles, retail, segments
 
 
 @pytest.fixture(scope="module")
@@ -22,14 +21,15 @@ def sales(spark):
     return spark.createDataFrame(rows, "order_date timestamp_ntz, region string, category string, discount double, quantity int, sales double, profit double")
 
 
-def test_exact_quantiles_small_and_bracketed(spark):
+def test_exact_quantiles_in_few_and_in_many_rounds(spark, monkeypatch):
     rng = np.random.default_rng(3)
     values = np.concatenate([rng.exponential(50, 30_000), np.full(15_000, 7.0), rng.normal(0, 1e6, 200)])
     df = spark.createDataFrame([(float(v),) for v in values], "v double").union(spark.createDataFrame([(None,)], "v double"))
     probs = {"p": 0.25, "q": 0.5, "r": 0.9}
     want = np.quantile(values, [0.25, 0.5, 0.9])
-    for small in (10**9, 10):
-        got = column_stats(df, ["v"], probs, small=small, accuracy=2_000).first()
+    for buckets in (2_048, 3):
+        monkeypatch.setattr(quantiles, "BUCKETS", buckets)
+        got = quantiles.column_stats(df, ["v"], probs).first()
         assert np.allclose([got["p"], got["q"], got["r"]], want, rtol=1e-12)
         assert got["n"] == len(values) and got["nulls"] == 1
 
@@ -120,3 +120,20 @@ def test_join_elimination_keeps_only_needed_edges(spark):
     assert "Join" not in joins.denormalize(a, path, ["x"])._jdf.queryExecution().optimizedPlan().toString()
     assert joins.denormalize(a, path, ["x", "cn"]).first().asDict() == {"x": 10, "cn": "m"}
     assert joins.denormalize(a, path, ["bn"])._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
+
+
+def test_summary_counts_all_outliers(spark):
+    df = spark.createDataFrame([(float(i % 7), i) for i in range(400)] + [(1000.0 + i, 1000 + i) for i in range(45)], "v double, k int")
+    assert kpis.outlier_summary(kpis.iqr_outliers(df, ["v"], ["k"], top=None)).first()["unusual_values"] == 45
+    assert kpis.iqr_outliers(df, ["v"], ["k"]).count() == 30
+
+
+def test_no_measure_or_dimension_is_left_out(spark):
+    names = [f"m{i}" for i in range(6)]
+    df = spark.createDataFrame([(dt.datetime(2026, 1, 1 + i), *(["x", "y"][i % 2] for _ in names), *map(float, range(i, i + 6))) for i in range(8)],
+                               "at timestamp_ntz, " + ", ".join(f"d{i} string" for i in range(6)) + ", " + ", ".join(f"{n} double" for n in names))
+    dims = [f"d{i}" for i in range(6)]
+    assert charts.time_series(df, "at", names).columns == ["label", *names]
+    assert charts.radar_series(df, "d0", names).columns == ["label", "count", *names]
+    assert {r["dimension"] for r in segments.dominant_segments(df, dims, ["m1"]).collect()} == set(dims)
+    assert {r["dimension"] for r in periods.contribution_share(df, "m1", dims).collect()} == set(dims)
