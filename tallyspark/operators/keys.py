@@ -180,24 +180,28 @@ def line_counters(tables: dict[str, DataFrame], columns: Sequence[tuple[str, str
 
 def primary_keys_by_name(schema: dict[str, list[str]], declared: dict[str, list[str]] | None = None,
                          not_null: dict[str, list[str]] | None = None) -> dict[str, list[str]]:
-    """Keys that names alone suggest: id, tableid, singular-table id, the one NOT NULL column, the one id column."""
-    found = dict(declared or {})
-    for table, columns in schema.items():
-        if found.get(table):
-            continue
-        own = {"id", names.compact(table) + "id", names.singular(names.compact(table)) + "id"}
-        named = [c for c in columns if names.compact(c) in own]
-        required = (not_null or {}).get(table, [])
-        ids = [c for c in columns if c.lower().endswith("_id") or c.lower() == "id"]
-        if len(named) == 1:
-            found[table] = named
-        elif len(required) == 1:
-            flat = names.compact(required[0])
-            if not flat.endswith("id") or flat in ("id", names.compact(table) + "id"):
-                found[table] = required
-        elif len(ids) == 1 and not names.names_other_table(ids[0], table, list(schema)):
-            found[table] = ids
-    return found
+    """Keys that names alone suggest. Every column gets its evidence; a table's key is the column that is
+    alone with the strongest evidence that any single column has, unless something speaks against it."""
+    declared, not_null = declared or {}, not_null or {}
+
+    def evidence(table: str, column: str) -> list[tuple[int, bool]]:
+        """(strength, nothing against it): named like the table's key; required; an id at all."""
+        name, own = names.Name.of(column), names.own_key_names(table)
+        foreign = name.flat.endswith("id") and name.flat not in ("id", names.Name.of(table).flat + "id")
+        found = [(3, True)] if name.flat in own else []
+        found += [(2, not foreign)] if column in not_null.get(table, ()) else []
+        return found + ([(1, not names.names_other_table(column, table, list(schema)))] if name.low == "id" or name.low.endswith("_id") else [])
+
+    out = dict(declared)
+    for table in (t for t in schema if not declared.get(t)):
+        by_strength: dict[int, list[tuple[str, bool]]] = {}
+        for column in schema[table]:
+            for strength, clear in evidence(table, column):
+                by_strength.setdefault(strength, []).append((column, clear))
+        single = max((s for s, columns in by_strength.items() if len(columns) == 1), default=None)
+        if single is not None and by_strength[single][0][1]:
+            out[table] = [by_strength[single][0][0]]
+    return out
 
 
 def pk_candidates(tables: dict[str, DataFrame], exclude: Sequence[tuple[str, str]] = ()) -> DataFrame:
@@ -207,7 +211,7 @@ def pk_candidates(tables: dict[str, DataFrame], exclude: Sequence[tuple[str, str
         if (c.lower().endswith("_id") or c.lower() == "id") and (t, c) not in exclude
         and not names.names_other_table(c, t, list(tables))
     ]
-    own = F.create_map(*[F.lit(x) for t in tables for x in (t, names.singular(names.compact(t)) + "id")])
+    own = F.create_map(*[F.lit(x) for t in tables for x in (t, names.singular(names.Name.of(t).flat) + "id")])
     flat = names.compact_expr(F.col("column"))
     primary = (flat == "id") | (flat == own[F.col("table")]) | (flat == F.concat(names.compact_expr(F.col("table")), F.lit("id")))
     w = W.partitionBy("table")

@@ -38,11 +38,13 @@ def baselines(series):
 
 
 def q_infer_period(spark, sf):
-    orders = table(spark, sf, "orders").where("o_custkey % 2 = 0 or o_orderstatus = 'F'")
-    return S.infer_period(orders, "o_orderdate", ["o_custkey"])
+    orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_orderstatus")
+    # Every order, and beside them a sparser series per customer (numbered below zero).
+    sparse = orders.where("o_orderstatus = 'F'").withColumn("o_custkey", -F.col("o_custkey"))
+    return S.infer_period(orders.unionAll(sparse), "o_orderdate", ["o_custkey"])
 
 
-SQL_INFER_PERIOD = """WITH d AS (SELECT DISTINCT o_custkey, o_orderdate AS "at" FROM orders WHERE o_custkey % 2 = 0 OR o_orderstatus = 'F'),
+SQL_INFER_PERIOD = """WITH d AS (SELECT o_custkey, o_orderdate AS "at" FROM orders UNION SELECT -o_custkey, o_orderdate FROM orders WHERE o_orderstatus = 'F'),
 g AS (SELECT o_custkey, datediff('second', lag("at") OVER (PARTITION BY o_custkey ORDER BY "at"), "at") // 86400 AS gap FROM d)
 SELECT o_custkey, quantile_cont(gap, 0.5)::DOUBLE AS median_gap_days,
   CASE WHEN count(gap) = 0 OR quantile_cont(gap, 0.5) <= 2 THEN 'D' WHEN quantile_cont(gap, 0.5) <= 10 THEN 'W' ELSE 'MS' END AS period
@@ -64,16 +66,23 @@ def _text(df):
 
 
 def q_resample_fill(spark, sf):
-    rows = S.resample_fill(table(spark, sf, "events").where("value > 150"), "ts", "value", ["event_type"], "D")
-    weeks = S.resample_fill(table(spark, sf, "orders").where("o_totalprice > 450000"), "o_orderdate", "o_totalprice",
-                            ["o_orderstatus"], "W").withColumnRenamed("o_orderstatus", "event_type")
+    # All rows of both tables, and beside them series of the large ones only, which have gaps.
+    events = table(spark, sf, "events").select("event_type", "ts", "value")
+    large = events.where("value > 150").withColumn("event_type", F.concat("event_type", F.lit(" large")))
+    rows = S.resample_fill(events.unionAll(large), "ts", "value", ["event_type"], "D")
+    orders = table(spark, sf, "orders").select(F.col("o_orderstatus").alias("event_type"), "o_orderdate", "o_totalprice")
+    large = orders.where("o_totalprice > 450000").withColumn("event_type", F.concat("event_type", F.lit(" large")))
+    weeks = S.resample_fill(orders.unionAll(large), "o_orderdate", "o_totalprice", ["event_type"], "W")
     out = _text(rows).unionByName(_text(weeks))
     return out.select("event_type", "period", "at", F.round("value", 4).alias("value"))
 
 
-SQL_RESAMPLE_FILL = """WITH d AS (SELECT event_type, ts::DATE AS "at", sum(value) AS value FROM events WHERE value > 150 GROUP BY 1, 2),
+SQL_RESAMPLE_FILL = """WITH e AS (SELECT event_type, ts, value FROM events UNION ALL SELECT event_type || ' large', ts, value FROM events WHERE value > 150),
+o AS (SELECT o_orderstatus, o_orderdate, o_totalprice FROM orders
+  UNION ALL SELECT o_orderstatus || ' large', o_orderdate, o_totalprice FROM orders WHERE o_totalprice > 450000),
+d AS (SELECT event_type, ts::DATE AS "at", sum(value) AS value FROM e GROUP BY 1, 2),
 w AS (SELECT o_orderstatus AS event_type, (date_trunc('week', o_orderdate) + INTERVAL 6 DAY)::DATE AS "at", sum(o_totalprice) AS value
-  FROM orders WHERE o_totalprice > 450000 GROUP BY 1, 2),
+  FROM o GROUP BY 1, 2),
 gd AS (SELECT event_type, unnest(generate_series(min("at")::TIMESTAMP, max("at")::TIMESTAMP, INTERVAL 1 DAY))::DATE AS "at" FROM d GROUP BY 1),
 gw AS (SELECT event_type, unnest(generate_series(min("at")::TIMESTAMP, max("at")::TIMESTAMP, INTERVAL 7 DAY))::DATE AS "at" FROM w GROUP BY 1)
 SELECT event_type, 'D' AS period, strftime("at", '%Y-%m-%d') AS "at", round(coalesce(value, 0), 4) AS value FROM gd LEFT JOIN d USING (event_type, "at")

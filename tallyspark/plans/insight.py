@@ -345,12 +345,10 @@ SQL_PERIOD_COMPARISON_WEEK = f"WITH {EVENTS_NULLS_SQL}, {totals_sql('events_null
 
 
 def q_period_series(spark, sf):
-    orders = table(spark, sf, "orders")
-    return periods.period_series(orders.where("o_orderdate >= '1997-01-01' and o_orderdate < '1998-01-01'"), "o_totalprice", "o_orderdate")
+    return periods.period_series(table(spark, sf, "orders"), "o_totalprice", "o_orderdate")
 
 
-SQL_PERIOD_SERIES = f"""WITH o AS (SELECT * FROM orders WHERE o_orderdate >= '1997-01-01' AND o_orderdate < '1998-01-01'),
-{totals_sql('o', 'o_orderdate', 'o_totalprice')}
+SQL_PERIOD_SERIES = f"""WITH {totals_sql('orders', 'o_orderdate', 'o_totalprice')}
 SELECT {LABEL.format('start')} AS period, round(value, 4) AS value, round(value - prior, 4) AS change,
   round((value - prior) / nullif(abs(prior), 0) * 100, 2) AS pct_change
 FROM (SELECT *, lag(value) OVER (ORDER BY start) AS prior, row_number() OVER (ORDER BY start DESC) AS r FROM totals)

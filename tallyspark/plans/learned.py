@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import kpis, learning
 from tallyspark.plans.insight import fence_sql, with_sales
 from tallyspark.plans.views import EVENTS_NULLS_SQL, events_nulls, sales_flat, table
+from tallyspark.session import scratch_dir
 from tallyspark.streaming import jobs
 
 
@@ -102,14 +103,18 @@ FROM events, fences WHERE value < low OR value > high"""
 
 
 def q_stream_profiles(spark, sf):
-    stream = jobs.read_table_stream(spark, f"{sf}/events.parquet")
-    path = jobs.run_profiles(stream, ["event_id", "event_type", "value"], "profiles")
-    return jobs.profile_drift(spark, path).drop("null_pct_change")
-
-
-SQL_STREAM_PROFILES = " UNION ALL ".join(
-    f"""SELECT 0 AS batch, '{c}' AS "column", count(*) AS "rows", 0 AS nulls, min({c}::VARCHAR) AS low, max({c}::VARCHAR) AS high FROM events"""
-    for c in ("event_id", "event_type", "value"))
+    # Two batches: the table, and the table with values missing.
+    folder, events = scratch_dir(spark, "batches"), table(spark, sf, "events").select("event_id", "event_type", "value")
+    for batch in (events, events_nulls(spark, sf).select("event_id", "event_type", "value")):
+        batch.coalesce(1).write.mode("append").parquet(folder)
+    path = jobs.run_profiles(jobs.read_table_stream(spark, folder, 1), ["event_id", "event_type", "value"], "profiles")
+    return jobs.profile_drift(spark, path)
+
+
+SQL_STREAM_PROFILES = f"WITH {EVENTS_NULLS_SQL} " + " UNION ALL ".join(
+    f"""SELECT {i} AS batch, '{c}' AS "column", count(*) AS "rows", count(*) - count({c}) AS nulls, min({c}::VARCHAR) AS low, max({c}::VARCHAR) AS high,
+  {'NULL::DOUBLE' if not i else f'round((count(*) - count({c})) / count(*) * 100, 2)'} AS null_pct_change FROM {source}"""
+    for i, source in enumerate(("events", "events_nulls")) for c in ("event_id", "event_type", "value"))
 
 QUERIES = {
     "feature_plan": (q_feature_plan, SQL_FEATURE_PLAN),

@@ -148,12 +148,13 @@ SQL_ROW_COUNTS = union_all(
 
 
 def q_duplicate_rows(spark, sf):
-    return profile.duplicate_rows(table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag"))
+    lines = table(spark, sf, "lineitem")
+    return profile.duplicate_rows(lines.unionAll(lines.where("l_returnflag = 'R'")))
 
 
-SQL_DUPLICATE_ROWS = """SELECT sum(n)::BIGINT AS "rows", sum(n - 1)::BIGINT AS duplicate_rows,
-  round(sum(n - 1) / sum(n) * 100, 2) AS duplicate_percentage
-FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey, l_linenumber, l_returnflag)"""
+SQL_DUPLICATE_ROWS = """WITH l AS (FROM lineitem UNION ALL FROM lineitem WHERE l_returnflag = 'R')
+SELECT n AS "rows", n - d AS duplicate_rows, round((n - d) / n * 100, 2) AS duplicate_percentage
+FROM (SELECT (SELECT count(*) FROM l) AS n, (SELECT count(*) FROM (SELECT DISTINCT * FROM l)) AS d)"""
 
 
 def q_data_quality(spark, sf):

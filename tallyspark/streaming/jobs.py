@@ -62,11 +62,15 @@ def latest_updates(spark: SparkSession, path: str, keys: Sequence[str]) -> DataF
 
 
 def flagged_stream(events: DataFrame, fences: DataFrame, columns: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """Outlier cells of a stream against stored fences, one row per column, joined as a single row."""
-    row = F.struct("median", "low", "high", "severe_low", "severe_high", "method")
-    wide = fences.agg(F.struct(*[F.max(F.when(F.col("column") == c, row)).alias(c) for c in columns]).alias("fences"), F.lit(1).alias("_one"))
-    joined = events.withColumn("_one", F.lit(1)).join(wide, "_one")
-    return flag_outliers(joined, F.col("fences"), columns, keep)
+    """Outlier cells of a stream against fences, one row per column, which stand in the plan as literals."""
+    fields = ("median", "low", "high", "severe_low", "severe_high", "method")
+    known = {r["column"]: r for r in fences.select("column", *fields).collect()}
+
+    def literal(column: str):
+        parts = [F.lit(known[column][f] if column in known else None).cast("string" if f == "method" else "double").alias(f) for f in fields]
+        return F.struct(*parts).alias(column)
+
+    return flag_outliers(events, F.struct(*[literal(c) for c in columns]), columns, keep)
 
 
 def run_append(rows: DataFrame, label: str) -> str:

@@ -17,7 +17,10 @@ def test_name_rules():
     assert names.measure_column({"order_id": "numeric", "total": "numeric"}) == "total"
     assert names.resolve_measure("why did profit fall", ["sales", "profit"]) == "profit"
     assert names.resolve_dimensions("sales by region", ["city", "region"]) == ["region"]
-    assert names.resolve_dimensions("sales", ["city", "kind", "shop", "zone"]) == ["city", "kind", "shop"]
+    assert names.resolve_dimensions("sales", ["city", "kind", "shop", "zone"]) == ["city", "kind", "shop", "zone"]
+    assert names.resolve_dimensions("sales", ["city", "kind", "shop", "zone"], most=2) == ["city", "kind"]
+    assert names.Name.of("OrderItemID").words == ("order", "item", "id") and names.Name.of("OrderItemID").stems == {"order", "item"}
+    assert names.named_tables("order_item_id", ["orders", "order_items"]) == ["order_items"]
 
 
 def test_primary_keys_by_name():
