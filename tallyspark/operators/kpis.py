@@ -142,17 +142,17 @@ def outlier_sentence() -> Column:
         gap.isNotNull(),
         F.concat(
             F.lit("about "), F.format_string("%.0f", F.abs(gap)),
-            F.when(gap > 0, F.lit("% above its usual level")).otherwise(F.lit("% below its usual level")),
+            F.when(gap > 0, F.lit("% over its median")).otherwise(F.lit("% under its median")),
         ),
-    ).otherwise(F.concat(F.lit("far from its usual level of about "), measure_text(F.col("typical_value"))))
-    intro = F.when(F.col("severity") == "high", "This is a strong unusual signal").otherwise(
-        "This value is unusual"
+    ).otherwise(F.concat(F.lit("far from its median of "), measure_text(F.col("typical_value"))))
+    intro = F.when(F.col("severity") == "high", "Strong outlier").otherwise(
+        "Outlier"
     )
     where = F.when(F.col("context").isNotNull(), F.concat(F.lit(" for "), F.col("context"))).otherwise("")
     return F.concat(
         intro, F.lit(": "), F.replace(F.col("column"), F.lit("_"), F.lit(" ")), F.lit(" is "),
         measure_text(F.col("value")), where, F.lit(", "), usual,
-        F.lit(". It is worth checking what caused it."),
+        F.lit(". Look for the cause."),
     )
 
 
@@ -212,8 +212,8 @@ def trends(df: DataFrame, ts: str, measures: Sequence[str], slice_points: int =
 
 def trend_sentence() -> Column:
     return F.concat(
-        F.replace(F.col("column"), F.lit("_"), F.lit(" ")), F.lit(" shows a "), F.col("direction"),
-        F.lit(" movement over time, changing by about "), F.format_string("%+.1f", F.col("pct_change")),
+        F.replace(F.col("column"), F.lit("_"), F.lit(" ")), F.lit(" has a "), F.col("direction"),
+        F.lit(" course over time, with a change of "), F.format_string("%+.1f", F.col("pct_change")),
         F.lit("%."),
     )
 

@@ -20,8 +20,11 @@ DATE_PARTS = ("year", "month", "day", "dayofweek")
 TREES = 220
 
 
-def feature_plan(df: DataFrame, target: str) -> DataFrame:
-    """What to do with each column: drop ids, constants, empty and very varied text; expand dates; else numeric or category."""
+def feature_plan(df: DataFrame, target: str, most_texts: int = 100, some_texts: int = 30, varied: float = 0.55) -> DataFrame:
+    """What to do with each column: drop ids, constants, empty and very varied text; expand dates; else numeric or category.
+
+    Text is very varied with more than `most_texts` different values, or with more than `some_texts` that make up
+    more than the share `varied` of all."""
     columns = [c for c in df.columns if c != target]
     counts = value_counts(df, columns, missing=())
     v, n = F.col("value"), F.col("times")
@@ -43,7 +46,7 @@ def feature_plan(df: DataFrame, target: str) -> DataFrame:
         .when(F.col("distinct") <= 1, "drop: constant")
         .when(typed | (hinted & (F.try_divide("times_ok", "rows") >= 0.8)), "date parts")
         .when(F.try_divide("numbers", "filled") >= 0.8, "numeric")
-        .when((F.col("distinct") > 100) | ((F.col("distinct") > 30) & (share > 0.55)), "drop: too many different texts")
+        .when((F.col("distinct") > most_texts) | ((F.col("distinct") > some_texts) & (share > varied)), "drop: too many different texts")
         .otherwise("category")
     )
     return stats.select("column", "distinct", plan.alias("plan"))
@@ -118,15 +121,15 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str) -> DataFr
         F.when(acc >= 0.85, "high").when(acc >= 0.65, "medium").otherwise("low").alias("reliability"))
 
 
-def forest(df: DataFrame, target: str, key: str, trees: int = TREES, depth: int = 10, seed: int = 42):
+def forest(df: DataFrame, target: str, key: str, trees: int = TREES, depth: int = 10, seed: int = 42, top: int = 12):
     """Train on three quarters of the rows, told by a hash of the key, and predict the rest.
 
-    Returns the hold-out rows with `actual` and `predicted`, the task, and the importances. The task is
+    Returns the hold-out rows with `actual` and `predicted`, the task, and the `top` importances, by column. The task is
     regression when nine tenths of the target are numbers.
     """
-    from pyspark.ml import Pipeline
+    from pyspark.ml import Pipeline, PipelineModel
     from pyspark.ml.classification import RandomForestClassifier
-    from pyspark.ml.feature import Imputer, OneHotEncoder, StringIndexer, VectorAssembler
+    from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
     share = df.agg(F.try_divide(F.count(F.expr(f"try_cast(cast(`{target}` as string) as double)")), F.count(target)).alias("s")).first()["s"]
@@ -160,16 +163,19 @@ def forest(df: DataFrame, target: str, key: str, trees: int = TREES, depth: int
         weight = per.withColumn("_s", total).select("_target", (F.col("_s.n") / (F.col("_s.k") * F.col("_n"))).alias("_w"))
         stages.append(RandomForestClassifier(weightCol="_w", **common))
         fitted = Pipeline(stages=stages).fit(labels.transform(train.join(weight, "_target")))
-        said = F.element_at(F.array(*[F.lit(x) for x in labels.labels]), (F.col("_said") + 1).cast("int"))
+        stages.append(IndexToString(inputCol="_said", outputCol="_named", labels=labels.labels))
+        fitted = PipelineModel([*fitted.stages, stages[-1]])
+        said = F.col("_named")
     out = fitted.transform(test).select(F.col("_key").alias(key), F.col("_target").alias("actual"), said.alias("predicted"))
-    return out, task, _importances(fitted.stages[-1], numeric, category)
-
-
-def _importances(model, numeric: Sequence[str], category: Sequence[str], top: int = 12) -> list[tuple[str, float]]:
-    """Importance per source column: slots of an encoded text column are added up in column order."""
-    values = model.featureImportances.toArray()
-    out = [(c, float(values[i])) for i, c in enumerate(numeric)]
-    rest = float(values[len(numeric):].sum())
-    if category:
-        out.append(("+".join(category), rest))
-    return sorted(out, key=lambda x: -x[1])[:top]
+    model = next(m for m in fitted.stages if hasattr(m, "featureImportances"))
+    return out, task, _importances(model, fitted.transform(test), [*numeric, *category], top)
+
+
+def _importances(model, rows: DataFrame, columns: Sequence[str], top: int) -> list[tuple[str, float]]:
+    """Importance per source column, the largest first: the slots of the feature vector know their column."""
+    values, out = model.featureImportances.toArray(), dict.fromkeys(columns, 0.0)
+    for group in rows.schema["_features"].metadata["ml_attr"]["attrs"].values():
+        for slot in group:
+            encoded = slot["name"].rpartition("__i")[0] or slot["name"].partition("__h_")[0]
+            out[encoded] += float(values[slot["idx"]])
+    return sorted(out.items(), key=lambda x: (-x[1], x[0]))[:top]

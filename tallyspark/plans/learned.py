@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tallyspark.operators import kpis, learning
 from tallyspark.plans.insight import fence_sql, with_sales
 from tallyspark.plans.views import EVENTS_NULLS_SQL, events_nulls, sales_flat, table
-from tallyspark.session import scratch_dir
+from tallyspark.session import scratch_dir, small_frame
 from tallyspark.streaming import jobs
 
 
@@ -77,6 +77,13 @@ def q_rf_classes(spark, sf):
     return out
 
 
+def q_rf_importances(spark, sf):
+    """How much each column says about the grade of a customer."""
+    c = table(spark, sf, "customer").withColumn("grade", F.when(F.col("c_acctbal") > 5000, "gold").when(F.col("c_acctbal") > 0, "silver").otherwise("none"))
+    _, task, weights = learning.forest(c.drop("c_name"), "grade", "c_custkey")
+    return small_frame(spark, [(task, name, round(w, 4)) for name, w in weights], "task string, feature string, importance double")
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 
@@ -123,6 +130,7 @@ QUERIES = {
     "classification_metrics": (q_classification_metrics, SQL_CLASSIFICATION_METRICS),
     "rf_predictions": (q_rf_predictions, None),
     "rf_classification": (q_rf_classes, None),
+    "rf_importances": (q_rf_importances, None),
     "stream_period_sums": (q_stream_period_sums, SQL_STREAM_PERIOD_SUMS),
     "stream_outliers": (q_stream_outliers, SQL_STREAM_OUTLIERS),
     "stream_profiles": (q_stream_profiles, SQL_STREAM_PROFILES),

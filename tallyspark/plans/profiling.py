@@ -185,13 +185,13 @@ def q_quality_warnings(spark, sf):
 
 SQL_QUALITY_WARNINGS = f"WITH {MESSY_SQL}, m AS (SELECT * FROM messy UNION ALL SELECT * FROM messy WHERE code = '3') " + union_all(
     f"""SELECT subject, warning FROM (SELECT '{c}' AS subject, unnest([
-    CASE WHEN (count(*) - count(v)) / count(*) > 0.5 THEN 'Column ''{c}'' contains more than 50% missing values.' END,
-    CASE WHEN count(v) = 0 THEN 'Column ''{c}'' has no usable values.' END,
+    CASE WHEN (count(*) - count(v)) / count(*) > 0.5 THEN 'Column ''{c}'' is missing in more than half of the rows.' END,
+    CASE WHEN count(v) = 0 THEN 'Column ''{c}'' has no values.' END,
     CASE WHEN count(DISTINCT v) = 1 AND count(v) > 1 THEN 'Column ''{c}'' is constant.' END,
     CASE WHEN count(*) FILTER (v IS NOT NULL AND raw <> v) > 0 THEN 'Column ''{c}'' has ' || count(*) FILTER (v IS NOT NULL AND raw <> v)
       || ' value(s) with surrounding whitespace.' END]) AS warning FROM {value_sql('m', c)}) WHERE warning IS NOT NULL"""
     for c in MESSY_COLUMNS) + f"""
-UNION ALL SELECT '(table)', sum(n - 1)::BIGINT || ' duplicate row(s) detected.' FROM (SELECT count(*) AS n FROM m GROUP BY {', '.join(MESSY_COLUMNS)}) HAVING sum(n - 1) > 0"""
+UNION ALL SELECT '(table)', sum(n - 1)::BIGINT || ' repeated row(s).' FROM (SELECT count(*) AS n FROM m GROUP BY {', '.join(MESSY_COLUMNS)}) HAVING sum(n - 1) > 0"""
 
 
 def _events_text(spark, sf):

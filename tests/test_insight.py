@@ -40,7 +40,7 @@ def test_spike_is_the_only_outlier(spark):
     out = kpis.iqr_outliers(df, ["sales"], ["k"], ["region"]).collect()
     assert [(r["k"], r["direction"], r["severity"], r["gap_pct"]) for r in out] == [(9, "high", "high", 900.0)]
     said = kpis.iqr_outliers(df, ["sales"], ["k"], ["region"]).select(kpis.outlier_sentence().alias("s")).first()["s"]
-    assert said.startswith("This is a strong unusual signal: sales is 1,000 for region=r, about 900% above")
+    assert said.startswith("Strong outlier: sales is 1,000 for region=r, about 900% over")
     flat = spark.createDataFrame([(5.0, i) for i in range(20)] + [(50.0, 99)], "v double, k int")
     assert [r["method"] for r in kpis.iqr_outliers(flat, ["v"], ["k"]).collect()] == ["fallback_range"]
 
