@@ -77,7 +77,7 @@ def test_duplicates_dates_missing_words_and_header_only(spark, tmp_path, rows):
     prof = rows(column_profile(quality), "column")
     assert prof["note"]["null_count"] == 2 and prof["status"]["whitespace_value_count"] == 1
     said = [r["warning"] for r in quality_warnings(quality).collect()]
-    assert "Column 'status' is constant." in said and "Column 'note' contains more than 50% missing values." in said
+    assert "Column 'status' is constant." in said and "Column 'note' is missing in more than half of the rows." in said
     empty = tables.read_csv_text(spark, write(tmp_path, "h.csv", "order_id,customer_id,amount\n"))
     assert empty.count() == 0 and empty.columns == ["order_id", "customer_id", "amount"]
     assert "CSV contains headers but no data rows." in [r["warning"] for r in quality_warnings(empty).collect()]
