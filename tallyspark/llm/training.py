@@ -10,15 +10,16 @@ from pyspark.sql import functions as F
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, rows: int, learn=None) -> DataFrame:
     """At most `rows` labelled documents (doc_id, text, label), chosen by a hash of the id.
 
-    Rows of `labels` without an id or a value are left out; an id marked both ways counts as 0. `learn`: a
-    function of the id column that says which ids may be learned from. Only the ids are ranked; the texts
-    are met by a join with the chosen few.
+    Rows of `labels` without an id or a value are left out; an id marked both ways counts as 0, and of several
+    texts with one id the least in order stands for it. `learn`: a function of the id column that says which ids
+    may be learned from. Only the ids are ranked; the texts are met by a join with the chosen few.
     """
     ids = labels.select(F.col("doc_id"), F.col(target).cast("int").alias("label")).dropna()
     if learn is not None:
         ids = ids.where(learn(F.col("doc_id")))
     few = ids.groupBy("doc_id").agg(F.min("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(few, "doc_id")
+    texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return texts.join(few, "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
 
 def id_remainder(doc_id, modulus: int):
