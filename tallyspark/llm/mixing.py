@@ -14,6 +14,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyspark.functions.text import let
+
 OTHER = "other"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,12 +35,16 @@ class Targets:
 def topic_of(text: Column, topics: dict[str, str]) -> Column:
     """The topic whose string takes up most of the text, by occurrences in the lower-cased text; the first in
     name order of equals; `OTHER` if none occurs."""
-    low = F.lower(text)
-    counts = [
-        F.struct(((F.length(low) - F.length(F.replace(low, F.lit(part)))) / len(part)).cast("bigint").alias("n"), F.lit(-i).alias("order"), F.lit(name).alias("name"))
-        for i, (name, part) in enumerate(sorted(topics.items()))]
-    best = F.greatest(*counts)
-    return F.when(best["n"] > 0, best["name"]).otherwise(OTHER)
+    order = sorted(topics.items())
+
+    def counts(low: Column) -> Column:
+        return F.array(*[((F.length(low) - F.length(F.replace(low, F.lit(part)))) / len(part)).cast("bigint") for _, part in order])
+
+    def first(found: Column) -> Column:
+        names = F.array(*[F.lit(name) for name, _ in order])
+        return F.when(F.array_max(found) > 0, F.element_at(names, F.array_position(found, F.array_max(found)).cast("int"))).otherwise(OTHER)
+
+    return let(F.lower(text), lambda low: let(counts(low), first))  # a text is lowered and searched once
 
 
 def known(value: Column, targets: dict[str, float]) -> Column:
