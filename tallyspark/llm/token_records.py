@@ -32,6 +32,9 @@ from tallyspark.session import stored
 MASK = 0xA282EAD8
 HEAD, TAIL, PREFIX = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<BqB")
 KNOWN_WORDS = 1 << 20
+# Marks that a word may end in. They are a piece of their own after a letter or digit a-z, 0-9, so that a word is
+# encoded without them; quotes and the marks of special tokens are not among them.
+CLOSING, PLAIN_END = b".,;:!?*$%&#)", frozenset(b"abcdefghijklmnopqrstuvwxyz0123456789")
 
 
 def masked(data: bytes) -> int:
@@ -93,8 +96,9 @@ def read_at(path: str, numbers: list[int]) -> list[tuple[int | None, np.ndarray]
 
 
 class Encoder:
-    """Token ids of whole texts. The tokenizer drops white space and never joins across it, so each distinct
-    word is encoded once and remembered; the memory is emptied when it holds KNOWN_WORDS words."""
+    """Token ids of whole texts. The tokenizer drops white space, lowers letters and never joins a word and what
+    stands around it, so each distinct word, A-Z as a-z and without closing marks, is encoded once and remembered;
+    the memory is emptied when it holds KNOWN_WORDS words."""
 
     loaded: dict[str, Encoder] = {}
 
@@ -113,15 +117,22 @@ class Encoder:
 
     def clear(self) -> None:
         self.number: dict[bytes, int] = {}
+        self.parts: dict[bytes, np.ndarray] = {}
         self.ids = np.zeros(1 << 16, np.uint32)
         self.bounds = np.zeros(1 << 14, np.int64)
         self.used = 0
 
     def learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        lists = [e.ids for e in found]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        new = np.fromiter((i for ids in lists for i in ids), np.uint32, int(sizes.sum()))
+        split = []
+        for w in words:
+            core = w.rstrip(CLOSING)
+            split.append((core, w[len(core) :]) if core and core[-1] in PLAIN_END else (w, b""))
+        fresh = list({p for pair in split for p in pair if p and p not in self.parts})
+        found = self.tokenizer.encode_batch_fast([p.decode() for p in fresh], add_special_tokens=False)
+        self.parts.update((p, np.array(e.ids, np.uint32)) for p, e in zip(fresh, found))
+        known = [self.parts[p] for pair in split for p in pair if p]
+        sizes = np.fromiter((len(self.parts[a]) + (len(self.parts[b]) if b else 0) for a, b in split), np.int64, len(words))
+        new = np.concatenate(known)
         n = len(self.number)
         while self.used + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -133,11 +144,12 @@ class Encoder:
         self.number.update(zip(words, range(n, n + len(words))))
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
-        words = [t.split() for t in texts]
+        # Special tokens are told by their exact letters.
+        words = [t.split() if b"<|" in t else t.lower().split() for t in texts]
         if len(self.number) > KNOWN_WORDS:
             self.clear()
         known = self.number
-        fresh = list({w for ws in words for w in ws if w not in known})
+        fresh = list({w for ws in words for w in ws}.difference(known))
         if fresh:
             self.learn(fresh)
         out = []

@@ -191,7 +191,8 @@ def test_encoder_equals_whole_texts():
 
     tokenizer = Tokenizer.from_file(default_tokenizer())
     encoder = token_records.Encoder(default_tokenizer())
-    texts = ["It's <|endoftext|> x<|startoftext|>y", "é ́a   　b", "A\tB\x0bC\x1cD E", "don't 'll''s ... 12a3", "İ ẞ ΑΣ Σ.", "", " "]
+    texts = ["It's <|endoftext|> x<|startoftext|>y", "é ́a   　b", "A\tB\x0bC\x1cD E", "don't 'll''s ... 12a3", "İ ẞ ΑΣ Σ.", "", " ",
+             "End. END!!! e.n.d. 12.5 5%%% (x) x). it's. 's. 'S, É. É! a* *a* ** .", "<|ENDOFTEXT|> <|endoftext|>. A<|", "E\u0301. E\u0301 1\u0301. a.\u0301"]
     for t, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
         assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
