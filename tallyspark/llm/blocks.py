@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from tallyspark.session import ship
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 U64 = np.uint64
 
 # A word is a run of anything but these: blank, tab, line feed, vertical tab, form feed, carriage return.
@@ -29,7 +29,7 @@ STEP = U64(0x9E3779B97F4A7C15)
 def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """`mapInArrow` with batches of bounded size, and with this package at hand on every worker."""
     ship(df.sparkSession)
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return df.mapInArrow(function, schema)
 
 
