@@ -112,3 +112,21 @@ def test_repeated_passages_go_but_for_the_first(docs_of, odd):
 
 def test_spans_of_nothing(none):
     assert span_dedup.remove_repeats(none).count() == 0
+
+
+def test_repeats_of_51_to_60_words_in_other_surroundings(docs_of):
+    draw = random.Random(11)
+
+    def words(n):
+        return [w.lower().strip(".") for w in prose(draw.random(), 3 + n // 8).split()][:n]
+
+    def marked(run):
+        return [w + "." if i % 12 == 11 else w for i, w in enumerate(run)]
+
+    passages = [run if i % 2 else marked(run) for i in range(200) for run in [words(51 + i // 2 % 10)]]
+    rows = [(2 * i + k, " ".join([*words(40), *passages[i], *words(40)])) for i in range(200) for k in (0, 1)]
+    out = {r.doc_id: r.text.split() for r in span_dedup.remove_repeats(docs_of(rows)).collect()}
+    for i, passage in enumerate(passages):
+        assert out[2 * i] == rows[2 * i][1].split()
+        gone = 80 + len(passage) - len(out[2 * i + 1])
+        assert len(passage) - 30 <= gone <= len(passage)
