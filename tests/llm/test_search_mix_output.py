@@ -1,5 +1,6 @@
 import hashlib
 import io
+import random
 import struct
 import zlib
 
@@ -200,3 +201,21 @@ def test_encoder_equals_whole_texts():
 def test_no_records(none, tmp_path):
     manifest = token_records.write_records(none, str(tmp_path), default_tokenizer(), shards=2)
     assert token_records.read_digests(manifest).count() == 0
+
+
+def test_short_verbatim_items_of_a_full_block(spark, docs_of):
+    """2,000 items of 3 to 60 words, each in a place of its own: all copies are found, of every length."""
+    draw = random.Random(21)
+    known = ["".join(draw.choice("aeioulmnrst") for _ in range(draw.randint(3, 7))) for _ in range(20_000)]
+
+    def words(n):
+        return [known[int(20_000 * draw.random() ** 3)] for _ in range(n)]
+
+    sizes = [3, 15, 16, 17, 18, 19, 25, 40, 60]
+    items = [words(sizes[i % len(sizes)]) for i in range(2_000)]
+    rows = [(i, " ".join([*words(draw.randint(0, 80)), *item, *words(draw.randint(0, 80))])) for i, item in enumerate(items)]
+    bench = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(docs_of(rows), bench).collect()}
+    missed = {n: sum((i, i) not in found for i in range(2_000) if len(items[i]) == n) for n in sizes}
+    assert missed == dict.fromkeys(sizes, 0)
+    assert all(i == j or len(items[j]) == 3 for i, j in found)
