@@ -11,11 +11,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyspark.llm.blocks import Block, U64, blocks, map_batches, mix, repeats_within, span_hashes, sums
 from tallyspark.llm.training import fit_calibration, fit_logistic, labelled_sample, sigmoid
+from tallyspark.session import stored
 
 
 def _set(chars: str) -> np.ndarray:
@@ -38,6 +39,7 @@ class Model:
     slope: float
     base: float
     empty: float  # score of a text without characters
+    fitted: bool = True
 
 
 def line_features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,7 +131,7 @@ def fit_chain(x: np.ndarray, state: np.ndarray, first: np.ndarray, weight: np.nd
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = 2_000, lines: int = 200_000, learn=None) -> Model:
     """Fit on at most `rows` labelled documents, with at most `lines` lines among them (in order of a hash of
-    the id, whole documents only, so a sample of texts with very many lines has fewer texts).
+    the id, whole documents only; one that does not fit is left out and the next is tried).
 
     Labels are those of documents. Lines of good documents count as good. A line model fitted on the
     inherited labels decides which lines of bad documents are bad, at least the worst of each; the chain
@@ -141,6 +143,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 2_000, lines: int = 20
                 x, length, first = line_features(block)
                 for i in range(block.n):
                     own = slice(first[i], first[i + 1])
+                    if first[i + 1] - first[i] > lines:
+                        continue
                     yield pa.RecordBatch.from_pydict({
                         "doc_id": batch.column("doc_id").slice(block.lo + i, 1).cast(pa.string()),
                         "label": batch.column("label").slice(block.lo + i, 1),
@@ -150,14 +154,20 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 2_000, lines: int = 20
 
     sample = labelled_sample(docs, labels, "quality", rows, learn)
 
-    found = map_batches(sample.select("doc_id", "text", "label"), features,
-                        "doc_id string, label int, n bigint, x binary, length binary")
-    within = Window.orderBy(F.xxhash64("doc_id"), "doc_id", "n").rowsBetween(Window.unboundedPreceding, 0)
-    found = found.withColumn("upto", F.sum("n").over(within)).where(F.col("upto") <= lines).orderBy("upto").toArrow()
+    found = stored(map_batches(sample.select("doc_id", "text", "label"), features,
+                               "doc_id string, label int, n bigint, x binary, length binary"), "crf-lines")
+    order = [F.xxhash64("doc_id"), "doc_id", "n"]
+    left_out, held = [], 0
+    for row in found.select("doc_id", "n").orderBy(*order).collect():
+        if held + row.n <= lines:
+            held += row.n
+        else:
+            left_out.append(row.doc_id)
+    found = found.where(~F.col("doc_id").isin(left_out)).orderBy(*order).toArrow()
     y = found.column("label").to_numpy().astype(int)
     if len(np.unique(y)) < 2:
         share = (y.sum() + 1) / (len(y) + 2)
-        return Model(np.zeros(WIDTH), 0.0, np.zeros((2, 2)), 0.0, float(np.log(share / (1 - share))), float(share))
+        return Model(np.zeros(WIDTH), 0.0, np.zeros((2, 2)), 0.0, float(np.log(share / (1 - share))), float(share), fitted=False)
     x = np.concatenate([np.frombuffer(b, np.float32).reshape(-1, WIDTH) for b in found.column("x").to_pylist()])
     length = np.concatenate([np.frombuffer(b, np.int64) for b in found.column("length").to_pylist()])
     first = np.concatenate([[0], np.cumsum(found.column("n").to_numpy())])
@@ -192,6 +202,11 @@ def scores(block: Block, model: Model) -> np.ndarray:
     return np.where(np.diff(block.offsets) > 0, out, model.empty)
 
 
+def passes(p: np.ndarray, model: Model, threshold: float) -> np.ndarray:
+    """Which scores reach the threshold; all, where the labels gave no model that could tell texts apart."""
+    return (p >= threshold) | (not model.fitted)
+
+
 def judge(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """doc_id, score and predicted (1 from `threshold` on) of every row. Null and empty texts get the share of
     good documents in the sample; repeated rows are scored one by one; no other column is read."""
@@ -201,7 +216,7 @@ def judge(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
                 p = scores(block, model)
                 yield pa.RecordBatch.from_pydict({
                     "doc_id": batch.column("doc_id").slice(block.lo, block.n), "score": pa.array(p),
-                    "predicted": pa.array((p >= threshold).astype(np.int32))})
+                    "predicted": pa.array(passes(p, model, threshold).astype(np.int32))})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return map_batches(docs.select("doc_id", "text"), score, f"doc_id {kind}, score double, predicted int")
@@ -211,7 +226,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFram
     """The rows of `docs` whose score reaches `threshold`, with all their columns and no shuffle."""
     def keep(batches):
         for batch in batches:
-            good = [scores(b, model) >= threshold for b in blocks(batch.column("text"))]
+            good = [passes(scores(b, model), model, threshold) for b in blocks(batch.column("text"))]
             yield batch.filter(pa.array(np.concatenate(good))) if good else batch
 
     return map_batches(docs, keep, docs.schema)

@@ -105,3 +105,17 @@ def test_score_does_not_depend_on_neighbours_in_a_block(crf_model):
 def test_held_out_ids(spark):
     rows = spark.range(50).select("id", id_remainder(F.col("id"), 4).alias("m"))
     assert all(r.m == zlib.crc32(str(r.id).encode()) % 4 for r in rows.collect())
+
+
+def test_line_bound_skips_only_what_does_not_fit(judged, labels, docs_of):
+    usual = quality_crf.train(judged, labels, lines=10_000)
+    long = docs_of([(i, "a\n" * 20_000) for i in range(1_000, 1_010)])
+    more = labels.unionAll(long.selectExpr("doc_id", "1 AS quality", "0 AS toxic"))
+    model = quality_crf.train(judged.unionAll(long), more, lines=10_000)
+    assert usual.fitted and model.fitted and np.allclose(model.weights, usual.weights)
+
+
+def test_all_documents_stay_without_a_model(judged, labels):
+    model = quality_crf.train(judged, labels.limit(0))
+    assert quality_crf.keep_good(judged, model).count() == judged.count()
+    assert all(r.predicted == 1 for r in quality_crf.judge(judged, model).collect())
