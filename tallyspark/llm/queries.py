@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat_format, decontaminate, lsh_forest, mixing, quality_crf, quality_rules, span_dedup, suffix_tree, token_records, url_filter
+from tallyspark.llm import chat_format, decontaminate, exact_dedup, lsh_forest, mixing, quality_crf, quality_rules, span_dedup, suffix_tree, token_records, url_filter
 from tallyspark.llm.training import id_remainder
 from tallyspark.session import scratch_dir
 
@@ -141,6 +141,15 @@ def op10_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         token_records.write_records(table(spark, sf_dir, "documents"), folder, default_tokenizer()))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.copies(table(spark, sf_dir, "documents"))
+
+
+OP11_SQL = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
+    doc_id = max(doc_id) OVER same AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
+
 QUERIES = {
     "op1_quality_crf": (op1_quality_crf, None),
     "op2_mixing": (op2_mixing, _op2_sql()),
@@ -152,4 +161,5 @@ QUERIES = {
     "op8_lsh_forest": (op8_lsh_forest, None),
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_token_records": (op10_token_records, None),
+    "op11_exact_dedup": (op11_exact_dedup, OP11_SQL),
 }
