@@ -93,18 +93,23 @@ class CountingQuotientFilter:
         return cls(bits, q, *flags[:3], rest.view("<u8").ravel().astype(np.uint64), flags[3], counter)
 
 
+def _summed(prints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ascending, different fingerprints with the sums of their counts."""
+    order = np.argsort(prints, kind="stable")
+    prints, counts = prints[order], counts[order]
+    first = np.flatnonzero(np.append(True, prints[1:] != prints[:-1])) if len(prints) else np.zeros(0, np.int64)
+    return prints[first], np.add.reduceat(counts, first) if len(first) else counts
+
+
 def merged(parts: list[CountingQuotientFilter]) -> CountingQuotientFilter:
     """One filter with the fingerprints of all, equal ones with the sum of their counts."""
     prints, counts = (np.concatenate(x) for x in zip(*(p.entries() for p in parts)))
-    order = np.argsort(prints, kind="stable")  # a merge of ascending runs
-    prints, counts = prints[order], counts[order]
-    first = np.flatnonzero(np.append(True, prints[1:] != prints[:-1]))
-    return CountingQuotientFilter.of(prints[first], np.add.reduceat(counts, first), parts[0].bits)
+    return CountingQuotientFilter.of(*_summed(prints, counts), parts[0].bits)
 
 
-def _sliced(prints: np.ndarray, range_bits: int) -> pa.RecordBatch:
+def _sliced(prints: np.ndarray, counts: np.ndarray, range_bits: int) -> pa.RecordBatch:
     """A row (range, filter) for every range of fingerprints that occurs."""
-    prints, counts = np.unique(prints, return_counts=True)
+    prints, counts = _summed(prints, counts)
     bits = 64 - range_bits
     part = (prints >> np.uint64(bits)).astype(np.int64)
     low = prints & np.uint64((1 << bits) - 1)
@@ -114,20 +119,24 @@ def _sliced(prints: np.ndarray, range_bits: int) -> pa.RecordBatch:
 
 
 def filters(prints: DataFrame, range_bits: int) -> DataFrame:
-    """(range, filter): the counting quotient filters of every task's fingerprints (column `print`)."""
+    """(range, filter): the counting quotient filters of every task's fingerprints (`print`, seen `times`)."""
     def build(batches):
         held, size = [], 0
         for batch in batches:
-            held.append(batch.column("print").to_numpy(zero_copy_only=False).view(np.uint64))
-            size += len(held[-1])
+            held.append([batch.column(c).to_numpy(zero_copy_only=False) for c in ("print", "times")])
+            size += batch.num_rows
             if size >= HELD:
-                yield _sliced(np.concatenate(held), range_bits)
+                yield _sliced(*written(held), range_bits)
                 held, size = [], 0
         if size:
-            yield _sliced(np.concatenate(held), range_bits)
+            yield _sliced(*written(held), range_bits)
+
+    def written(held):
+        codes, times = (np.concatenate(x) for x in zip(*held))
+        return codes.view(np.uint64), times
 
     ship(prints.sparkSession)
-    return prints.select("print").mapInArrow(build, "range bigint, filter binary")
+    return prints.select("print", "times").mapInArrow(build, "range bigint, filter binary")
 
 
 def suspected(parts: DataFrame, range_bits: int) -> DataFrame:
@@ -162,9 +171,9 @@ def copies(docs: DataFrame, print_bits: int = 64) -> DataFrame:
     # Rows with the same id and text are one row with a number, so that exactly one of them stays.
     rows = stored(texts.select("doc_id", "print", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
                   .groupBy("doc_id", "print", "text_sha256").agg(F.count(F.lit(1)).alias("times")), "dedup-rows")
-    total = rows.count()
+    total = rows.agg(F.sum("times")).first()[0] or 0
     range_bits = max(FEWEST - 1, total // PER_RANGE).bit_length()
-    found = stored(suspected(filters(texts, range_bits), range_bits), "dedup-prints")
+    found = stored(suspected(filters(rows, range_bits), range_bits), "dedup-prints")
     hot = stored(hot_keys(found, ["print"], "n", total), "dedup-hot")
     # The bytes decide: only suspected texts are grouped by them.
     met = join_hot(texts, found.select("print"), ["print"], hot)
