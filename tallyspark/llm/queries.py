@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat_format, decontaminate, exact_dedup, lsh_forest, mixing, quality_crf, quality_rules, span_dedup, suffix_tree, token_records, url_filter
+from tallyspark.llm import chat_format, decontaminate, exact_dedup, lsh_forest, mixing, prefix_trie, quality_crf, quality_rules, span_dedup, suffix_tree, token_records, url_filter
 from tallyspark.llm.training import id_remainder
 from tallyspark.session import scratch_dir
 
@@ -150,6 +150,32 @@ OP11_SQL = """SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER sam
 FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, convs = prefix_trie.numbered(table(spark, sf_dir, "conversations"))
+    return prefix_trie.trie(prefix_trie.with_shared_openings(turns, convs), convs)
+
+
+#: A node is the list of its turns' digests; every ancestor is a shorter list. CRC-32 goes bit by bit.
+OP12_SQL = """WITH said AS (SELECT conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS said,
+    length(coalesce(text, '')) AS chars, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS pos
+    FROM conversations WHERE conv_id IS NOT NULL),
+own AS (SELECT conv_id, list({'said': said, 'chars': chars} ORDER BY pos) AS turns FROM said GROUP BY 1),
+codes AS (SELECT conv_id, turns, conv_id - conv_id % 100 AS base, xor(list_reduce(list_prepend(4294967295::UBIGINT, flatten(
+    list_transform(string_split(conv_id::VARCHAR, ''), lambda x: [ascii(x)::UBIGINT, 0, 0, 0, 0, 0, 0, 0]))),
+    lambda a, b: xor(xor(a, b) >> 1, CASE WHEN xor(a, b) % 2 = 1 THEN 3988292384::UBIGINT ELSE 0 END)), 4294967295::UBIGINT) % 6 AS h FROM own),
+paths AS (SELECT c.conv_id, list_concat(coalesce(o.turns[1:c.h::INT], []), c.turns[c.h::INT + 1:]) AS path FROM codes c LEFT JOIN own o ON o.conv_id = c.base),
+steps AS (SELECT conv_id, path, unnest(range(len(path) + 1)) AS depth FROM paths),
+nodes AS MATERIALIZED (SELECT depth, list_transform(path[1:depth], lambda t: t.said) AS node, min(conv_id) AS conv_id, count(*) AS n_convs,
+    max(coalesce(path[depth].chars, 0)) AS chars,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(path) = depth), '')) AS ends_sha256 FROM steps GROUP BY 1, 2),
+kids AS (SELECT node[1:depth - 1] AS node, count(*) AS n_children FROM nodes WHERE depth > 0 GROUP BY 1),
+sized AS (SELECT nodes.*, coalesce(n_children, 0) AS n_children FROM nodes LEFT JOIN kids USING (node)),
+sums AS (SELECT top, count(*) FILTER (n_children = 0) AS n_leaves, sum((n_convs - 1) * chars)::BIGINT AS saved_tokens
+    FROM (SELECT node[1:unnest(range(depth + 1))] AS top, n_children, n_convs, chars FROM sized) GROUP BY 1)
+SELECT s.conv_id, s.depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children, n_leaves, saved_tokens, s.ends_sha256
+FROM sized s JOIN sums ON top = s.node LEFT JOIN sized p ON s.depth > 0 AND p.node = s.node[1:s.depth - 1]"""
+
+
 QUERIES = {
     "op1_quality_crf": (op1_quality_crf, None),
     "op2_mixing": (op2_mixing, _op2_sql()),
@@ -162,4 +188,5 @@ QUERIES = {
     "op9_quality_rules": (op9_quality_rules, None),
     "op10_token_records": (op10_token_records, None),
     "op11_exact_dedup": (op11_exact_dedup, OP11_SQL),
+    "op12_prefix_trie": (op12_prefix_trie, OP12_SQL),
 }
