@@ -153,7 +153,6 @@ def trie(turns: DataFrame, convs: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_children")), "trie-children")
     sized = nodes.join(children, "node", "left").select(
         "node", "parent", "depth", "conv_id", "n_convs", F.coalesce("n_children", F.lit(0)).alias("n_children"), "chars")
-    sized = stored(sized, "trie-sized")
     sums = subtree_sums(sized.select("node", "parent", "depth", (F.col("n_children") == 0).cast("bigint").alias("n_leaves"),
                                      ((F.col("n_convs") - 1) * F.col("chars")).alias("saved_tokens")), ["n_leaves", "saved_tokens"])
     last = prefixes.groupBy("conv_id").agg(F.max_by("node", "depth").alias("node"))

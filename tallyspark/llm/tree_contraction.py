@@ -19,27 +19,24 @@ def subtree_sums(tree: DataFrame, values: list[str]) -> DataFrame:
     """(node, and the sum of each value over the node and all below it) for a table (node, parent, depth, values).
 
     A root has a null parent; there may be several trees, or none. `depth` is the number of steps from the root,
-    `values` are whole numbers. Nodes occur once. Every round is written to the shared folder.
+    `values` are whole numbers. Nodes occur once. Every round is written to the shared folder, twice.
     """
-    deepest = tree.agg(F.max("depth")).first()[0]
-    if deepest is None:
-        return tree.select("node", *values)
-    bits = max(1, int(deepest).bit_length())
     carry = [f"carry_{v}" for v in values]
-    active = tree.select("node", "parent", "depth", *values, *(F.lit(0).cast("bigint").alias(c) for c in carry))
-    raked, back, rounds = [], [], 0
-    while True:
-        done, rest = _rake(active, values, carry)
-        active = _compress(rest, values, carry, rounds % bits)
+    kids = tree.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(F.count(F.lit(1)).alias("kids"))
+    active = stored(tree.join(kids, "node", "left").select(
+        "node", "parent", "depth", F.coalesce("kids", F.lit(0)).alias("kids"), *values, *(F.lit(0).cast("bigint").alias(c) for c in carry)), "tree")
+    deepest = active.agg(F.max("depth")).first()[0]
+    bits = max(1, int(deepest or 0).bit_length())
+    raked, back, left = [active.where("kids = 0").select("node", *values)], [], deepest is not None
+    while left:
+        active = _compress(stored(_rake(active, values, carry), "tree-rest"), values, carry, len(back) % bits)
         left, cut = active.agg(F.count(F.lit(1)), F.count("cut")).first()
-        raked.append(done)
+        if left:
+            raked.append(active.where("kids = 0").select("node", *values))
         back.append(active.where("cut is not null").select(F.col("cut").alias("node"), F.col("node").alias("child"), *(
             F.col(f"cut_{v}").alias(v) for v in values)) if cut else None)
-        rounds += 1
-        if not left:
-            break
     known = []
-    for k in range(rounds - 1, -1, -1):
+    for k in range(len(back) - 1, -1, -1):
         if back[k] is not None:
             # The child was still there after round k: its sum comes from a later round.
             later = _union([*raked[k + 1:], *(b for r, b in known if r > k)])
@@ -56,26 +53,16 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return whole
 
 
-def _children(nodes: DataFrame) -> DataFrame:
-    """(node, children, child): how many, and one of them."""
-    return (nodes.where("parent is not null").groupBy(F.col("parent").alias("node"))
-            .agg(F.count(F.lit(1)).alias("children"), F.min("node").alias("child")))
-
-
-def _rake(active: DataFrame, values: list[str], carry: list[str]) -> tuple[DataFrame, DataFrame]:
-    """The sums of the leaves, and the nodes that are left, with what the leaves gave them."""
-    marked = stored(active.select("node", "parent", "depth", *values, *carry).join(
-        _children(active).select("node", "children"), "node", "left"), "tree-marked")
-    leaves = marked.where("children is null")
-    gifts = leaves.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(
-        *(F.sum(F.col(v) + F.col(c)).alias(f"gift_{v}") for v, c in zip(values, carry)))
-    rest = marked.where("children is not null").join(gifts, "node", "left").select(
-        "node", "parent", "depth", *((F.col(v) + F.coalesce(f"gift_{v}", F.lit(0))).alias(v) for v in values), *carry)
-    return leaves.select("node", *values), stored(rest, "tree-rest")
-
-
-def _bit(depth: Column, bit: int) -> Column:
-    return F.shiftright(depth, bit) % 2 == 1
+def _rake(active: DataFrame, values: list[str], carry: list[str]) -> DataFrame:
+    """The nodes that are no leaves, with what their leaves gave them; `kids` counts the children that are left,
+    `child` is one of them."""
+    leaf = F.col("kids") == 0
+    below = active.where("parent is not null").groupBy(F.col("parent").alias("node")).agg(
+        F.sum((~leaf).cast("bigint")).alias("inner"), F.min(F.when(~leaf, F.col("node"))).alias("child"),
+        *(F.sum(F.when(leaf, F.col(v) + F.col(c)).otherwise(0)).alias(f"gift_{v}") for v, c in zip(values, carry)))
+    return active.where(~leaf).join(below, "node").select(
+        "node", "parent", "depth", F.col("inner").alias("kids"), "child",
+        *((F.col(v) + F.col(f"gift_{v}")).alias(v) for v in values), *carry)
 
 
 def _compress(rest: DataFrame, values: list[str], carry: list[str], bit: int) -> DataFrame:
@@ -83,17 +70,16 @@ def _compress(rest: DataFrame, values: list[str], carry: list[str], bit: int) ->
     `cut_...` is what the parent's sum has besides the node's.
 
     A node with one child is cut out if its depth has the bit of this round, unless its parent is such a node
-    too. So no two neighbours go at once, and one of any two neighbours in a chain goes in some round.
+    too. So no two neighbours go at once, and one of any two neighbours in a chain goes in some round. The number
+    of children of the others stays.
     """
-    single = rest.join(_children(rest).where("children = 1"), "node").where("parent is not null")
-    chosen = stored(single.where(_bit(F.col("depth"), bit)), "tree-single")
-    below = chosen.select(F.col("child").alias("node"), F.lit(True).alias("held"))
-    out = chosen.join(below, "node", "left").where("held is null")
+    chosen = rest.where("parent is not null and kids = 1").where(F.shiftright("depth", bit) % 2 == 1)
+    out = chosen.join(chosen.select(F.col("child").alias("node")), "node", "left_anti")
     over = out.select(F.col("child").alias("node"), F.col("node").alias("cut"), F.col("parent").alias("above"), *(
         F.col(x).alias(f"over_{x}") for x in [*values, *carry]))
     kept = rest.join(out.select("node"), "node", "left_anti").join(over, "node", "left")
     moved = F.col("cut").isNotNull()
     return stored(kept.select(
-        "node", F.when(moved, F.col("above")).otherwise(F.col("parent")).alias("parent"), "depth", *values,
+        "node", F.when(moved, F.col("above")).otherwise(F.col("parent")).alias("parent"), "depth", "kids", *values,
         *(F.when(moved, F.col(c) + F.col(f"over_{v}") + F.col(f"over_{c}")).otherwise(F.col(c)).alias(c) for v, c in zip(values, carry)),
         "cut", *((F.col(f"over_{v}") + F.col(c)).alias(f"cut_{v}") for v, c in zip(values, carry))), "tree-active")

@@ -2,8 +2,7 @@ import hashlib
 import random
 import zlib
 
-import pytest
-
+from tallyspark.llm import prefix_trie
 from tallyspark.llm.prefix_trie import numbered, trie, with_shared_openings
 from tallyspark.llm.tree_contraction import subtree_sums
 
@@ -54,8 +53,9 @@ def test_shared_openings_and_odd_rows(spark):
     assert found(spark, rows) == brute(rows)
 
 
-def test_a_long_and_a_common_conversation(spark):
-    rows = [(50, t, "user", f"t{t % 7}") for t in range(3_000)] + [(51, t, "user", f"t{t % 7}") for t in range(2_500)]
+def test_a_long_and_a_common_conversation(spark, monkeypatch):
+    monkeypatch.setattr(prefix_trie, "BLOCK", 16)
+    rows = [(50, t, "user", f"t{t % 7}") for t in range(220)] + [(51, t, "user", f"t{t % 7}") for t in range(190)]
     rows += [(c, t, "user", "same") for c in range(200, 500) for t in range(3)]
     assert found(spark, rows) == brute(rows)
 
@@ -64,20 +64,28 @@ def test_no_turns(spark):
     assert found(spark, []) == []
 
 
-@pytest.mark.parametrize("shape", ["chain", "star", "binary", "comb", "random", "forest"])
-def test_sums_of_trees(spark, shape):
-    n, draw = 300, random.Random(shape)
-    parent = {"chain": lambda i: i - 1, "star": lambda i: 0, "binary": lambda i: (i - 1) // 2, "comb": lambda i: max(0, i - 1 - i % 2),
-              "random": lambda i: draw.randrange(max(0, i - 4), i), "forest": lambda i: None if i % 50 == 0 else i - 1}[shape]
-    up = {0: None} | {i: parent(i) for i in range(1, n)}
-    depth, value = {}, {i: draw.randrange(-5, 100) for i in range(n)}
-    for i in range(n):
+def test_sums_of_trees(spark):
+    """Chains, stars, binary trees, combs and random trees, as one forest."""
+    n, draw = 150, random.Random(4)
+    shapes = [lambda i: i - 1, lambda i: 0, lambda i: (i - 1) // 2, lambda i: max(0, i - 1 - i % 2), lambda i: draw.randrange(max(0, i - 4), i),
+              lambda i: None if i % 30 == 0 else i - 1]
+    up = {}
+    for k, parent in enumerate(shapes):
+        for i in range(n):
+            p = parent(i) if i else None
+            up[k * n + i] = None if p is None else k * n + p
+    depth, value = {}, {i: draw.randrange(-5, 100) for i in up}
+    for i in up:
         depth[i] = 0 if up[i] is None else depth[up[i]] + 1
-    want = dict(value)
-    for i in range(n - 1, -1, -1):
+    want, size = dict(value), dict.fromkeys(up, 1)
+    for i in reversed(up):
         if up[i] is not None:
             want[up[i]] += want[i]
-    tree = spark.createDataFrame([(i, up[i], depth[i], value[i], 1) for i in range(n)], "node bigint, parent bigint, depth bigint, v bigint, one bigint")
+            size[up[i]] += size[i]
+    tree = spark.createDataFrame([(i, up[i], depth[i], value[i], 1) for i in up], "node bigint, parent bigint, depth bigint, v bigint, one bigint")
     sums = subtree_sums(tree, ["v", "one"]).collect()
-    assert {r.node: r.v for r in sums} == want and len(sums) == n
-    assert sum(r.one for r in sums if up[r.node] is None) == n
+    assert {r.node: (r.v, r.one) for r in sums} == {i: (want[i], size[i]) for i in up} and len(sums) == len(up)
+
+
+def test_sums_of_no_tree(spark):
+    assert subtree_sums(spark.createDataFrame([], "node bigint, parent bigint, depth bigint, v bigint"), ["v"]).collect() == []
