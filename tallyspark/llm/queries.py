@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm import chat_format, decontaminate, exact_dedup, lsh_forest, mixing, prefix_trie, quality_crf, quality_rules, span_dedup, suffix_tree, token_records, url_filter
+from tallyspark.llm import chat_format, decontaminate, exact_dedup, lsh_forest, mixing, prefix_trie, quality_crf, quality_rules, span_dedup, suffix_tree, token_records, url_filter, whitening
 from tallyspark.llm.training import id_remainder
 from tallyspark.session import scratch_dir
 
@@ -176,6 +176,10 @@ SELECT s.conv_id, s.depth, p.conv_id AS parent_conv_id, s.n_convs, s.n_children,
 FROM sized s JOIN sums ON top = s.node LEFT JOIN sized p ON s.depth > 0 AND p.node = s.node[1:s.depth - 1]"""
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_quality_crf": (op1_quality_crf, None),
     "op2_mixing": (op2_mixing, _op2_sql()),
@@ -189,4 +193,5 @@ QUERIES = {
     "op10_token_records": (op10_token_records, None),
     "op11_exact_dedup": (op11_exact_dedup, OP11_SQL),
     "op12_prefix_trie": (op12_prefix_trie, OP12_SQL),
+    "op13_whitening": (op13_whitening, None),
 }
