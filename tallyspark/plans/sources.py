@@ -27,6 +27,15 @@ SQL_CSV_RAW_SCAN = """SELECT c_custkey::VARCHAR AS c_custkey, c_name || '; "x"'
   c_acctbal::VARCHAR AS c_acctbal, c_mktsegment FROM customer"""
 
 
+def q_csv_quoted_breaks(spark, sf):
+    """All documents as CSV: most cells of `text` hold line breaks."""
+    path = _as_csv(table(spark, sf, "documents"), "documents", quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return tables.read_csv_text(spark, path)
+
+
+SQL_CSV_QUOTED_BREAKS = """SELECT doc_id::VARCHAR AS doc_id, text, lang, source, n_chars::VARCHAR AS n_chars FROM documents"""
+
+
 def _messy_csv(spark, sf):
     return tables.read_csv_text(spark, _as_csv(messy_orders(spark, sf), "messy", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False))
 
@@ -176,6 +185,7 @@ SQL_SNAPSHOT_RETENTION = """SELECT event_type, snapshot_id, rank, rank = 1 AS la
 
 QUERIES = {
     "csv_raw_scan": (q_csv_raw_scan, SQL_CSV_RAW_SCAN),
+    "csv_quoted_breaks": (q_csv_quoted_breaks, SQL_CSV_QUOTED_BREAKS),
     "typed_load": (q_typed_load, SQL_TYPED_LOAD),
     "csv_mapping": (q_csv_mapping, SQL_CSV_MAPPING),
     "file_admission": (q_file_admission, SQL_FILE_ADMISSION),

@@ -13,6 +13,7 @@ from pyspark.sql import Window as W
 from tallyspark.functions.names import identifier_suffix_expr, safe_name_expr
 from tallyspark.functions.numbers import finite
 from tallyspark.operators.profile import MISSING_TOKENS, column_profile, duplicate_rows, logical_type, logical_types
+from tallyspark.sources.records import csv_lines, csv_records, parsed_records
 
 EXTRA = "_extra"
 # Logical type -> Spark type.
@@ -53,30 +54,33 @@ def read_csv_text(
     """CSV with a header, every cell a string; empty and absent cells are null.
 
     Every file must have the header of the first one (or `columns`) in the same order; another header is an
-    error when the file is read. A file whose quoted cells hold line breaks can only be read by one task.
-    Unless `multi_line` says so for all, a look at the lines decides file by file, and the others are split.
+    error when the file is read. Files whose quoted cells hold line breaks are found by a look at the lines and
+    read record by record (`records`), by as many tasks as other files. With `multi_line` every file is one task's,
+    which only UTF-16 needs.
 
     A row with more fields than the header, filled or blank, is an error when it is used; with `keep_extra`
     it is left to the caller, with its raw text in `_extra` (`rejected_rows`).
     """
-    if multi_line is None:
-        whole = encoding.lower().startswith("utf-16")
-        odd = [] if whole else quoted_break_files(spark, path, quote)
-        if odd:
-            files = spark.read.text(path).inputFiles()
-            rest = sorted(set(files) - set(odd))
-            parts = [read_csv_text(spark, f, sep, quote, encoding, columns, keep_extra, m) for f, m in ((odd, True), (rest, False)) if f]
-            return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-        multi_line = whole
+    wide = encoding.lower().startswith("utf-16")
+    odd = [] if wide or multi_line is not None else quoted_break_files(spark, path, quote)
+    rest = sorted(set(spark.read.text(path).inputFiles()) - set(odd)) if odd else []
+    if odd and rest:
+        parts = [read_csv_text(spark, f, sep, quote, encoding, columns, keep_extra) for f in (odd, rest)]
+        return parts[0].unionByName(parts[1])
+    multi_line = wide if multi_line is None else multi_line
     windows = encoding.lower() in ("cp1252", "windows-1252")
     marked = encoding.lower() == "utf-8-sig"
     charset = "ISO-8859-1" if windows or encoding.lower() == "latin-1" else "UTF-8" if marked else encoding
     options = {"sep": sep, "quote": quote, "escape": quote, "encoding": charset, "multiLine": multi_line, "header": True,
                "emptyValue": "", "mode": "PERMISSIVE", "columnPruning": False, "enforceSchema": marked, "columnNameOfCorruptRecord": EXTRA}
     if columns is None:
-        columns = spark.read.options(**options).csv(path).columns
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, EXTRA]])
-    rows = spark.read.options(**options).schema(schema).csv(path)
+        columns = spark.read.options(**options | {"multiLine": multi_line or bool(odd)}).csv(odd[0] if odd else path).columns
+    if odd:
+        record = {k: options[k] for k in ("sep", "quote", "escape", "emptyValue", "mode")}
+        rows = parsed_records(csv_records(csv_lines(spark, odd, sep, quote, charset)), list(columns), EXTRA, record)
+    else:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, EXTRA]])
+        rows = spark.read.options(**options).schema(schema).csv(path)
     if windows:
         rows = rows.withColumns({f"`{c}`" if "." in c else c: F.translate(F.col(f"`{c}`"), CP1252_FROM, CP1252_TO) for c in rows.columns})
     # The parser keeps the raw text of rows with another number of fields; short rows are filled up with nulls.
