@@ -466,13 +466,113 @@ def decide(scored: DataFrame) -> DataFrame:
     )
 
 
+# --- foreign keys of several columns -----------------------------------------------------------
+
+Mapping = frozenset  # of (key column, source column)
+
+
+def tuple_value(columns: Sequence[str], kinds: dict[str, T.DataType]) -> Column:
+    """Several values as one text, equal when all are equal as `exact_value` has it; null if one of them is."""
+    parts = []
+    for c in columns:
+        num, text = exact_value(c, kinds[c])
+        one = F.coalesce(F.concat(F.lit("i:"), num.cast("string")), text)
+        parts += [F.length(one).cast("string"), F.lit(":"), one]
+    return F.md5(F.concat(*parts).cast("binary"))
+
+
+def _longer(hits: set[Mapping]) -> set[Mapping]:
+    """Mappings one column longer, all of whose parts are hits."""
+    out = set()
+    for a in hits:
+        for b in hits:
+            whole = a | b
+            if len(whole) == len(a) + 1 and len({k for k, _ in whole}) == len({c for _, c in whole}) == len(whole):
+                if all(whole - {pair} in hits for pair in whole):
+                    out.add(whole)
+    return out
+
+
+def composite_edges(
+    tables: dict[str, DataFrame], primary_keys: dict[str, list[str]], minimum: float = MIN_OVERLAP
+) -> DataFrame:
+    """Tuples of columns that refer to a key of several columns: the best mapping per source and target table.
+
+    Levelwise: single columns first, all pairs in one pass; a longer mapping is measured only if each of its parts
+    holds, by the share of distinct source tuples that the key has. On every level a tuple is one hashed value and
+    the level one pass (`containment`). Columns worth key profiling and such that are named as a part of the key
+    take part; a tuple with a null refers to nothing. Of several mappings the one with more columns of the
+    key's own names wins, then the higher ratio, then more matches; `ambiguous` if that does not tell two apart.
+
+    Rows as of `best_targets`; columns of a mapping are joined by ", " in the order of the key.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    targets = {t: list(key) for t, key in primary_keys.items() if len(key) > 1 and t in tables}
+    kinds = {t: {f.name: f.dataType for f in df.schema.fields} for t, df in tables.items()}
+    parts = {k for key in targets.values() for k in key}
+    sources = {t: [c for c, kind in own.items() if c in parts or names.is_reference_name(c)
+                   or names.is_profiled(c, type_family(kind) == "numeric")] for t, own in kinds.items()}
+    # (source table, target table) -> mappings that hold, level by level.
+    level: dict[tuple[str, str], set[Mapping]] = {
+        (s, t): {Mapping([(k, c)]) for k in key for c in sources[s] if type_family(kinds[s][c]) == type_family(kinds[t][k])}
+        for t, key in targets.items() for s in tables}
+    found: list[tuple] = []
+    size = 1
+    while any(level.values()):
+        columns: dict[str, dict[str, Column]] = {}
+
+        def side(table: str, cols: tuple[str, ...]) -> tuple[str, str]:
+            name = "|".join(cols)
+            columns.setdefault(table, {})[name] = tuple_value(cols, kinds[table]).alias(name)
+            return table, name
+
+        def ends(s: str, t: str, mapping: Mapping) -> tuple[tuple[str, str], tuple[str, str]]:
+            pairs = sorted(mapping, key=lambda p: targets[t].index(p[0]))
+            return side(s, tuple(c for _, c in pairs)), side(t, tuple(k for k, _ in pairs))
+
+        wanted = {(s, t, m): ends(s, t, m) for (s, t), mappings in level.items() for m in mappings}
+        derived = {t: tables[t].select(*cols.values()) for t, cols in columns.items()}
+        pairs = containment(derived, sorted({e for both in wanted.values() for e in both}), sorted({b for _, b in wanted.values()}))
+        rows = {(r.source_table, r.source_column, r.target_table, r.target_column): r
+                for r in pairs.where(F.col("ratio") >= minimum).collect()}  # names and counts, a row per pair of columns
+        held: dict[tuple[str, str], set[Mapping]] = {}
+        for (s, t, m), (a, b) in wanted.items():
+            r = rows.get((*a, *b))
+            if r or a == b:  # a column holds itself
+                held.setdefault((s, t), set()).add(m)
+            if r and size == len(targets[t]):
+                found.append((s, ", ".join(a[1].split("|")), t, ", ".join(b[1].split("|")), r.source_distinct, r.target_distinct, r.matched,
+                              r.ratio, sum(k == c for k, c in m), s.rpartition(".")[0] == t.rpartition(".")[0], a[1]))
+        level = {pair: longer for pair, hits in held.items() if size < len(targets[pair[1]]) and (longer := _longer(hits))}
+        size += 1
+    rows = small_frame(spark, [f[:-1] for f in found], "source_table string, source_column string, target_table string, target_column string, "
+                       "source_distinct bigint, target_distinct bigint, matched bigint, ratio double, named int, schema_match boolean")
+    w = W.partitionBy("source_table", "target_table")
+    order = w.orderBy(F.desc("named"), F.desc("ratio"), F.desc("matched"), "source_column")
+    second = F.lead(F.struct("named", "ratio", "matched")).over(order)
+    best = rows.withColumn("nth", F.row_number().over(order)).withColumn("second", second).where(F.col("nth") == 1)
+    nulls = [tables[s].agg(F.lit(s).alias("source_table"), F.lit(cols).alias("source_column"), F.coalesce(F.avg(
+        tuple_value(name.split("|"), kinds[s]).isNull().cast("double")), F.lit(0.0)).alias("null_share"))
+        for s, cols, name in sorted({(f[0], f[1], f[-1]) for f in found})]
+    share = None
+    for one in nulls:
+        share = one if share is None else share.unionByName(one)
+    if share is None:
+        share = small_frame(spark, [], "source_table string, source_column string, null_share double")
+    return best.join(share, ["source_table", "source_column"]).select(
+        "source_table", "source_column", "target_table", "target_column", "source_distinct", "target_distinct", "matched", "ratio", "null_share",
+        (F.col("named") > 0).alias("name_match"), F.lit(True).alias("reference_name"), F.lit(False).alias("code_name"),
+        F.lit(True).alias("composite_member"), F.lit(True).alias("type_match"), "schema_match",
+        F.coalesce(F.struct("named", "ratio", "matched") == F.col("second"), F.lit(False)).alias("ambiguous"))
+
+
 def discover_edges(
     tables: dict[str, DataFrame], primary_keys: dict[str, list[str]], declared: Sequence[tuple[str, str]] = ()
 ) -> DataFrame:
     """Inferred foreign keys of a set of tables with score, state and bucket; rejected ones stay in.
 
     A reference-style name that points at another table but has no value evidence (an empty or
-    unmatched column) is kept on its name alone.
+    unmatched column) is kept on its name alone. References to keys of several columns are rows of their own.
     """
     candidates = candidate_pairs(tables, primary_keys, declared)
     spark = next(iter(tables.values())).sparkSession
@@ -489,4 +589,6 @@ def discover_edges(
         # A column keeps its name-only rows where it has no row with evidence.
         turn = F.rank().over(W.partitionBy(*src).orderBy(F.col("ratio").isNull()))
         best = best.unionByName(alone).withColumn("turn", turn).where(F.col("turn") == 1).drop("turn")
+    if any(len(key) > 1 for key in primary_keys.values()):
+        best = best.unionByName(composite_edges(tables, primary_keys))
     return score_edges(best)

@@ -60,6 +60,62 @@ b AS (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)
 SELECT count(*) AS source_tuples, count(b.l_orderkey) AS matched, round(count(b.l_orderkey) / count(*), 4) AS ratio
 FROM a LEFT JOIN b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber = b.l_linenumber"""
 
+
+
+def _line_tables(spark, sf):
+    """Order lines; returns that point at them under the same names, checks that do so under other names with a tenth
+    missing, and moves whose columns are in the key but not together."""
+    li = table(spark, sf, "lineitem")
+    back = li.where("l_returnflag = 'R'")
+    tag = (F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    return {
+        "order_lines": li.select(F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"), F.col("l_partkey").alias("part_id")),
+        "returns": back.select(tag.alias("return_id"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line_no"), F.col("l_suppkey").alias("supplier_id")),
+        "checks": li.select(tag.alias("check_id"), F.col("l_orderkey").alias("order_ref"),
+                            F.when(F.col("l_partkey") % 11 != 0, F.col("l_linenumber")).otherwise(9).alias("line_no")),
+        "moves": li.select(tag.alias("move_id"), F.col("l_orderkey").alias("order_id"), (F.col("l_linenumber") % 7 + 1).alias("line_no")),
+    }
+
+
+LINE_KEYS = {"order_lines": ["order_id", "line_no"], "returns": ["return_id"], "checks": ["check_id"], "moves": ["move_id"]}
+
+
+def q_fk_composite(spark, sf):
+    found = keys.composite_edges(_line_tables(spark, sf), LINE_KEYS)
+    return found.select("source_table", "source_column", "target_table", "target_column", "source_distinct", "target_distinct", "matched",
+                        F.round("ratio", 6).alias("ratio"), "name_match", "ambiguous")
+
+
+_LINE_COLUMNS = {"returns": ("return_id", "order_id", "line_no", "supplier_id"), "checks": ("check_id", "order_ref", "line_no"),
+                 "moves": ("move_id", "order_id", "line_no"), "order_lines": ("order_id", "line_no", "part_id")}
+
+
+def _share_sql(source: str, mapping: dict[str, str]) -> str:
+    """Share of the distinct source tuples that the order lines have."""
+    own, key = ", ".join(mapping), ", ".join(mapping.values())
+    return (f"(SELECT count(hit) / count(*) FROM (SELECT DISTINCT {own} FROM {source}) s LEFT JOIN (SELECT DISTINCT {key}, 1 AS hit FROM order_lines) t ON "
+            + " AND ".join(f"s.{c} = t.{k}" for c, k in mapping.items()) + ")")
+
+
+def _composite_sql() -> str:
+    each = union_all(
+        f"""SELECT '{t}' AS source_table, '{a}, {b}' AS source_column, (SELECT count(*) FROM (SELECT DISTINCT {a}, {b} FROM {t})) AS source_distinct,
+  {(a == 'order_id') + (b == 'line_no')} AS named, {_share_sql(t, {a: 'order_id', b: 'line_no'})} AS ratio,
+  least({_share_sql(t, {a: 'order_id'})}, {_share_sql(t, {b: 'line_no'})}) AS part"""
+        for t, columns in _LINE_COLUMNS.items() for a in columns for b in columns if a != b and (t, a, b) != ("order_lines", "order_id", "line_no"))
+    tag = "l_orderkey * 10 + l_linenumber"
+    return f"""WITH order_lines AS (SELECT l_orderkey AS order_id, l_linenumber AS line_no, l_partkey AS part_id FROM lineitem),
+returns AS (SELECT {tag} AS return_id, l_orderkey AS order_id, l_linenumber AS line_no, l_suppkey AS supplier_id FROM lineitem WHERE l_returnflag = 'R'),
+checks AS (SELECT {tag} AS check_id, l_orderkey AS order_ref, CASE WHEN l_partkey % 11 <> 0 THEN l_linenumber ELSE 9 END AS line_no FROM lineitem),
+moves AS (SELECT {tag} AS move_id, l_orderkey AS order_id, l_linenumber % 7 + 1 AS line_no FROM lineitem),
+tried AS ({each}), held AS (SELECT *, row_number() OVER w AS nth, lead((named, ratio, source_distinct)) OVER w AS second
+  FROM tried WHERE part >= 0.85 AND ratio >= 0.85 WINDOW w AS (PARTITION BY source_table ORDER BY named DESC, ratio DESC, ratio * source_distinct DESC, source_column))
+SELECT source_table, source_column, 'order_lines' AS target_table, 'order_id, line_no' AS target_column, source_distinct,
+  (SELECT count(*) FROM (SELECT DISTINCT order_id, line_no FROM order_lines)) AS target_distinct, round(ratio * source_distinct)::BIGINT AS matched,
+  round(ratio, 6) AS ratio, named > 0 AS name_match, coalesce((named, ratio, source_distinct) = second, FALSE) AS ambiguous
+FROM held WHERE nth = 1"""
+
+
 # --- audits ------------------------------------------------------------------------------------
 
 
@@ -478,6 +534,7 @@ QUERIES = {
     "schema_drift": (q_schema_drift, SQL_SCHEMA_DRIFT),
     "table_kinds": (q_table_kinds, SQL_TABLE_KINDS),
     "fk_containment": (q_fk_containment, SQL_FK_CONTAINMENT),
+    "fk_composite": (q_fk_composite, _composite_sql()),
     "composite_containment": (q_composite_containment, SQL_COMPOSITE),
     "orphan_audit": (q_orphan_audit, SQL_ORPHAN_AUDIT),
     "fanout_audit": (q_fanout_audit, SQL_FANOUT_AUDIT),

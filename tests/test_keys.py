@@ -102,3 +102,59 @@ def test_empty_key_columns_lose_their_edges(spark):
     known = edges.edge_rows(spark, [("a", "b_id", "b", "id"), ("a", "c_id", "c", "id"), ("z", "b_id", "b", "id")])
     left = edges.drop_empty_key_edges(known, empty_columns(a, "a")).collect()
     assert [r["source_table"] for r in left] == ["z"]
+
+
+def composite_shop(spark):
+    lines = spark.createDataFrame([(o, n, float(o * n)) for o in range(1, 61) for n in range(1, 1 + o % 6 + 1)], "order_id long, line_no int, amount double")
+    orders = spark.createDataFrame([(o, o % 3) for o in range(1, 61)], "order_id long, status int")
+    have = [(r.order_id, r.line_no) for r in lines.collect()]
+    returns = spark.createDataFrame([(i, float(o), n) for i, (o, n) in enumerate(have[::3])] + [(900, None, 1), (901, 5.0, None)], "return_id int, order_id double, line_no int")
+    # Other names; one pair in nine does not exist.
+    checks = spark.createDataFrame([(i, o, n if i % 9 else 7) for i, (o, n) in enumerate(have)], "check_id int, order_ref long, line_ref int")
+    # Each column is in the key, the pairs are not.
+    swapped = spark.createDataFrame([(i, o, 1 + (n + o) % 6) for i, (o, n) in enumerate(have)], "swap_id int, order_id long, line_no int")
+    return {"lines": lines, "orders": orders, "returns": returns, "checks": checks, "swapped": swapped}
+
+
+def test_composite_edges_equal_brute_force(spark):
+    tables = composite_shop(spark)
+    pk = {"lines": ["order_id", "line_no"], "orders": ["order_id"], "returns": ["return_id"], "checks": ["check_id"], "swapped": ["swap_id"]}
+    rows = {t: [r.asDict() for r in df.collect()] for t, df in tables.items()}
+    key = {(r["order_id"], r["line_no"]) for r in rows["lines"]}
+    orders, numbers = ({k[i] for k in key} for i in (0, 1))
+    want = {}
+    for t, own in rows.items():
+        columns = [c for c in own[0] if t != "lines"] if own else []
+        for a in columns:
+            for b in columns:
+                first, second = {r[a] for r in own} - {None}, {r[b] for r in own} - {None}
+                pairs = {(r[a], r[b]) for r in own if r[a] is not None and r[b] is not None}
+                share = lambda x, y: len(x & y) / len(x)
+                if a != b and share(first, orders) >= 0.85 and share(second, numbers) >= 0.85 and share(pairs, key) >= 0.85:
+                    named = (a == "order_id") + (b == "line_no")
+                    want.setdefault(t, []).append((-named, -share(pairs, key), f"{a}, {b}", len(pairs)))
+    found = {r.source_table: r for r in keys.composite_edges(tables, pk).collect()}
+    assert set(found) == set(want) >= {"returns", "checks"} and "swapped" not in found
+    for t, options in want.items():
+        _, ratio, columns, size = min(options)
+        assert (found[t].source_column, found[t].source_distinct, found[t].target_column) == (columns, size, "order_id, line_no")
+        assert abs(found[t].ratio + ratio) < 1e-12
+    assert round(found["returns"].null_share * len(rows["returns"])) == 2 and found["returns"].name_match and not found["checks"].name_match
+    edge = next(r for r in keys.discover_edges(tables, pk).collect() if r.source_table == "returns" and "," in r.source_column)
+    assert (edge.bucket, edge.state, edge.ratio) == ("inferred", "CONFIRMED", 1.0)
+
+
+def test_composite_edges_of_nothing(spark):
+    tables = composite_shop(spark)
+    assert keys.composite_edges(tables, {"orders": ["order_id"]}).collect() == []
+    empty = {t: d.limit(0) for t, d in tables.items()}
+    assert keys.composite_edges(empty, {"lines": ["order_id", "line_no"]}).collect() == []
+
+
+def test_longer_mappings_need_all_their_parts():
+    hit = lambda *pairs: frozenset(pairs)
+    ones = {hit(("a", "x")), hit(("b", "y")), hit(("b", "x")), hit(("c", "z"))}
+    twos = keys._longer(ones)
+    assert hit(("a", "x"), ("b", "y")) in twos and hit(("a", "x"), ("b", "x")) not in twos and len(twos) == 4
+    assert keys._longer(twos) == {hit(("a", "x"), ("b", "y"), ("c", "z"))}
+    assert keys._longer(twos - {hit(("b", "y"), ("c", "z"))}) == set()
