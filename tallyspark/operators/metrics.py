@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
@@ -9,12 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from tallyspark.operators.quantiles import group_key, group_quantiles
+
 AGGREGATES = {
     "sum": F.sum, "avg": F.avg, "min": F.min, "max": F.max, "count": F.count,
     "count_distinct": F.count_distinct, "stddev": F.stddev_samp, "variance": F.var_samp,
 }
 
 
+def quantile_share(kind: str) -> float | None:
+    """0.5 for median, 0.9 for p90, 0.995 for p99.5; None for the other aggregates."""
+    found = re.fullmatch(r"p(\d{1,2}(?:\.\d+)?|100)", kind)
+    return 0.5 if kind == "median" else float(found[1]) / 100 if found else None
+
+
 def predicate(column: str, op: str, value=None) -> Column:
     """One comparison: = != <> >= <= > < LIKE ILIKE, IS / IS NOT (null)."""
     c, op = F.col(column), " ".join(op.upper().split())
@@ -48,7 +57,10 @@ def with_computed_measure(df: DataFrame, quantity: str, price: str, name: str =
 
 @dataclass(frozen=True)
 class MetricSpec:
-    """measures: output name -> (aggregate, column); dims: output name -> column expression."""
+    """measures: output name -> (aggregate, column); dims: output name -> column expression.
+
+    Aggregates are those of `AGGREGATES`, `median`, and percentiles as `p90`.
+    """
 
     measures: dict[str, tuple[str, str]]
     dims: dict[str, Column | str] = field(default_factory=dict)
@@ -66,8 +78,14 @@ def metric_query(df: DataFrame, spec: MetricSpec) -> DataFrame:
     if spec.year:
         rows = year_filter(rows, *spec.year)
     dims = [(F.col(c) if isinstance(c, str) else c).alias(n) for n, c in spec.dims.items()]
-    aggs = [AGGREGATES[kind](c if c != "*" else F.lit(1)).alias(n) for n, (kind, c) in spec.measures.items()]
-    out = rows.groupBy(*dims).agg(*aggs)
+    shares = {n: (c, p) for n, (kind, c) in spec.measures.items() if (p := quantile_share(kind)) is not None}
+    aggs = [AGGREGATES[kind](c if c != "*" else F.lit(1)).alias(n) for n, (kind, c) in spec.measures.items() if n not in shares]
+    if shares:
+        key = group_key(dims)
+        out = rows.groupBy(key.alias("__group"), *dims).agg(*aggs or [F.count(F.lit(1)).alias("__rows")])
+        out = out.join(group_quantiles(rows, key, shares).withColumnRenamed("group", "__group"), "__group", "left")
+    else:
+        out = rows.groupBy(*dims).agg(*aggs)
     if spec.order_by:
         key = F.col(spec.order_by)
         out = out.orderBy(key.asc() if spec.ascending else key.desc(), *spec.dims)

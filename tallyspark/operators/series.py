@@ -8,13 +8,16 @@ is bounded by the calendar, not by the number of events behind it.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from heapq import heappop, heappush, heappushpop
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from tallyspark.functions.numbers import clamp
 from tallyspark.operators.kpis import number, reliability_band
+from tallyspark.session import ship
 
 # The closed-form models, simplest first, and all models in order of preference.
 BASELINES = ("naive", "mean", "median", "drift", "moving_average", "linear_trend", "seasonal_naive")
@@ -99,6 +102,53 @@ def moving_average(series: DataFrame, keys: Sequence[str], window: int = 3) -> D
     return series.withColumn("smoothed", F.avg("value").over(w))
 
 
+class RunningMedian:
+    """The middle of the values so far, from two heaps: the lower half and the upper half."""
+
+    def __init__(self):
+        self.low, self.high = [], []  # the lower half is negated
+
+    def add(self, value: float) -> None:
+        heappush(self.high, -heappushpop(self.low, -value))
+        if len(self.high) > len(self.low):
+            heappush(self.low, -heappop(self.high))
+
+    @property
+    def value(self) -> float | None:
+        if not self.low:
+            return None
+        return -self.low[0] if len(self.low) > len(self.high) else 0.5 * -self.low[0] + 0.5 * self.high[0]
+
+
+def with_median_before(series: DataFrame, keys: Sequence[str], name: str = "median_before") -> DataFrame:
+    """The series with the median of the values before each point, null for the first one.
+
+    Points of a series pass by in order and are added to its heaps, so a series of n points takes n log n steps; a
+    null value adds nothing.
+    """
+    import pyarrow as pa
+
+    keys = list(keys)
+
+    def run(batches):
+        last, median = None, None
+        for batch in batches:
+            out = []
+            places = zip(*(batch.column(k).to_pylist() for k in keys)) if keys else [()] * batch.num_rows
+            for place, value in zip(places, batch.column("value").to_pylist()):
+                if median is None or place != last:
+                    last, median = place, RunningMedian()
+                out.append(median.value)
+                if value is not None:
+                    median.add(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.float64())], names=[*batch.schema.names, name])
+
+    ship(series.sparkSession)
+    schema = T.StructType([*series.schema.fields, T.StructField(name, T.DoubleType())])
+    dealt = series.repartition(*keys) if keys else series.coalesce(1)
+    return dealt.sortWithinPartitions(*keys, "t").mapInArrow(run, schema)
+
+
 def baseline_points(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Rows (keys, t, n, actual, model, ahead, fitted): one-step forecasts from the past and in-sample fits."""
     w = W.partitionBy(*keys).orderBy("t")
@@ -124,13 +174,13 @@ def baseline_points(series: DataFrame, keys: Sequence[str]) -> DataFrame:
     forecasts = {
         "naive": (last, F.coalesce(last, v)),
         "mean": (F.avg("value").over(past), F.avg("value").over(whole)),
-        "median": (F.percentile(v, F.lit(0.5)).over(past), F.percentile(v, F.lit(0.5)).over(whole)),
+        "median": (F.col("median_before"), F.percentile(v, F.lit(0.5)).over(whole)),
         "drift": (first + F.try_divide(last - first, t - 1) * t, first + drift_all * t),
         "moving_average": (F.avg("value").over(w.rowsBetween(-3, -1)), F.avg("value").over(w.rowsBetween(-2, 0))),
         "linear_trend": (line(past), line(whole)),
         "seasonal_naive": (seasonal, F.when(F.col("t") >= F.col("season"), seasonal).otherwise(v)),
     }
-    rows = series
+    rows = with_median_before(series, keys)
     for i, (ahead, fitted) in enumerate(forecasts.values()):
         rows = rows.withColumn(f"a{i}", ahead).withColumn(f"f{i}", fitted)
     cells = F.array(*[

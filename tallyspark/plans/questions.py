@@ -41,6 +41,20 @@ SQL_METRIC_SCALAR = """SELECT count(DISTINCT o_custkey) AS orders, round(max(o_t
   round(stddev_samp(o_totalprice), 4) AS spread FROM orders"""
 
 
+def q_metric_percentiles(spark, sf):
+    """Middle and ends of sales and quantities; one month holds the rows of many."""
+    month = F.when(F.year("order_date") < 1996, "earlier").otherwise(F.date_format("order_date", "yyyy-MM"))
+    spec = M.MetricSpec(
+        measures={"lines": ("count", "*"), "middle": ("median", "sales"), "high": ("p90", "sales"), "low": ("p2.5", "sales"), "middle_quantity": ("median", "quantity")},
+        dims={"segment": "segment", "month": month}, digits=8)
+    return M.metric_query(sales_flat(spark, sf, ["segment", "order_date", "sales", "quantity"]), spec)
+
+
+SQL_METRIC_PERCENTILES = with_sales("""SELECT segment, CASE WHEN year(order_date) < 1996 THEN 'earlier' ELSE strftime(order_date, '%Y-%m') END AS month, count(*) AS lines,
+  round(quantile_cont(sales, 0.5), 8) AS middle, round(quantile_cont(sales, 0.9), 8) AS high, round(quantile_cont(sales, 0.025), 8) AS low,
+  round(quantile_cont(quantity, 0.5), 8) AS middle_quantity FROM sales_flat GROUP BY 1, 2""")
+
+
 def q_average_order_value(spark, sf):
     return M.average_of_totals(sales_flat(spark, sf, ["order_id", "sales"]), "order_id", "sales")
 
@@ -138,6 +152,7 @@ SQL_CAPPED_RESULT = """SELECT o_orderkey, o_totalprice, (SELECT count(*) > 10000
 QUERIES = {
     "star_join": (q_star_join, SQL_STAR_JOIN),
     "metric_query": (q_metric_query, SQL_METRIC_QUERY),
+    "metric_percentiles": (q_metric_percentiles, SQL_METRIC_PERCENTILES),
     "metric_scalar": (q_metric_scalar, SQL_METRIC_SCALAR),
     "average_order_value": (q_average_order_value, SQL_AVERAGE_ORDER_VALUE),
     "metrics_overview": (q_metrics_overview, SQL_METRICS_OVERVIEW),

@@ -137,3 +137,29 @@ def test_no_measure_or_dimension_is_left_out(spark):
     assert charts.radar_series(df, "d0", names).columns == ["label", "count", *names]
     assert {r["dimension"] for r in segments.dominant_segments(df, dims, ["m1"]).collect()} == set(dims)
     assert {r["dimension"] for r in periods.contribution_share(df, "m1", dims).collect()} == set(dims)
+
+
+@pytest.mark.parametrize("buckets", [32, 2_048])
+def test_percentiles_by_group_equal_numpy(spark, monkeypatch, buckets):
+    monkeypatch.setattr(quantiles, "BUCKETS", buckets)
+    draw = np.random.default_rng(buckets)
+    rows = [("hot", float(draw.normal() * 10.0 ** draw.integers(-3, 4))) for _ in range(900)] + [(None, float(i)) for i in range(4)]
+    rows += [("one", 7.0), ("same", 2.0), ("same", 2.0), ("tiny", 0.0), ("tiny", 5e-324), ("wide", -1.7e308), ("wide", 1.7e308), ("wide", 0.5)]
+    rows += [("none", None), ("odd", float("nan")), ("odd", 3.0), ("odd", float("inf"))]
+    df = spark.createDataFrame([(g, v, "x") for g, v in rows], "kind string, v double, group string")
+    spec = metrics.MetricSpec(measures={"rows": ("count", "*"), "mid": ("median", "v"), "top": ("p90", "v"), "least": ("p0", "v")}, dims={"kind": "kind"}, digits=12)
+    found = {r.kind: r for r in metrics.metric_query(df, spec).collect()}
+    assert set(found) == {g for g, _ in rows} and found["none"].mid is None and found["none"]["rows"] == 1
+    for g in set(found) - {"none"}:
+        own = [v for k, v in rows if k == g and v is not None and np.isfinite(v)]
+        for name, p in (("mid", 0.5), ("top", 0.9), ("least", 0)):
+            if g != "wide" or name != "top":
+                assert found[g][name] == pytest.approx(float(np.quantile(own, p)), rel=1e-9, abs=1e-12)
+    total = metrics.metric_query(df, metrics.MetricSpec(measures={"mid": ("median", "v")}, digits=12)).collect()
+    assert len(total) == 1 and total[0].mid == pytest.approx(float(np.median([v for _, v in rows if v is not None and np.isfinite(v)])))
+    assert metrics.metric_query(df.limit(0), spec).collect() == []
+
+
+def test_quantiles_of_a_range_without_width(spark):
+    df = spark.createDataFrame([(0.0,), (5e-324,), (5e-324,)], "v double")
+    assert quantiles.column_stats(df, ["v"], {"m": 0.5}).first().m == 5e-324

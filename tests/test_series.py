@@ -119,3 +119,26 @@ def test_learning(spark):
     assert learning.regression_metrics(out, "actual", "predicted").first()["valid"]
     out, task, _ = learning.forest(df.withColumn("key", F.col("order_id")).withColumn("big", F.when(F.col("quantity") > 4, "yes").otherwise("no")).drop("sales"), "big", "key", trees=20)
     assert task == "classification" and learning.classification_metrics(out, "actual", "predicted").first()["accuracy_pct"] > 85
+
+
+def test_running_median_equals_numpy(spark):
+    draw = np.random.default_rng(6)
+    rows = [(k, t, float(v)) for k, n in (("a", 60), ("b", 1), (None, 7), ("c", 33)) for t, v in enumerate(draw.integers(0, 9, n) / 4)]
+    df = spark.createDataFrame([(*r, "x") for r in rows] + [("d", 0, None, "x"), ("d", 1, 2.0, "x"), ("d", 2, None, "x")], "k string, t int, value double, n string")
+    found = {(r.k, r.t): r.median_before for r in S.with_median_before(df, ["k"]).collect()}
+    for k, t, _ in rows:
+        own = [v for kk, tt, v in rows if kk == k and tt < t]
+        assert found[k, t] == (float(np.median(own)) if own else None)
+    assert [found["d", t] for t in range(3)] == [None, None, 2.0] and len(found) == len(rows) + 3
+    assert len(S.with_median_before(df.where("k = 'a'").drop("k"), []).collect()) == 60
+
+
+def test_a_series_of_100_000_points(spark):
+    n = 100_000
+    series = spark.range(n).select(F.lit("s").alias("k"), F.col("id").alias("t"), F.lit(n).alias("n"), F.lit(7).alias("season"),
+                                   (F.xxhash64("id") % 1_000_003).cast("double").alias("value"))
+    points = S.baseline_points(series, ["k"]).where("model = 'median'")
+    found = {r.t: r.ahead for r in points.where("t % 9973 = 0").collect()}
+    values = np.array([r.value for r in series.orderBy("t").select("value").collect()])
+    assert len(found) == 11 and found[0] is None
+    assert all(found[t] == np.median(values[:t]) for t in found if t)
