@@ -123,6 +123,18 @@ SQL_STREAM_PROFILES = f"WITH {EVENTS_NULLS_SQL} " + " UNION ALL ".join(
   {'NULL::DOUBLE' if not i else f'round((count(*) - count({c})) / count(*) * 100, 2)'} AS null_pct_change FROM {source}"""
     for i, source in enumerate(("events", "events_nulls")) for c in ("event_id", "event_type", "value"))
 
+
+def q_stream_drift(spark, sf):
+    """The same two batches, of as many files as their tables have: the second arrives after the stream has stopped, and
+    the stream goes on from its state."""
+    folder, out = scratch_dir(spark, "arrivals"), scratch_dir(spark, "drift")
+    columns = ["event_id", "event_type", "value"]
+    for batch in (table(spark, sf, "events"), events_nulls(spark, sf)):
+        batch.select(*columns).repartition(4).write.mode("append").parquet(folder)
+        path = jobs.run_append(jobs.drift_stream(jobs.read_table_stream(spark, folder), columns), "drift", out)
+    return spark.read.schema(jobs.DRIFT).parquet(path)
+
+
 QUERIES = {
     "feature_plan": (q_feature_plan, SQL_FEATURE_PLAN),
     "imputed_features": (q_imputed_features, SQL_IMPUTED_FEATURES),
@@ -133,5 +145,6 @@ QUERIES = {
     "rf_importances": (q_rf_importances, None),
     "stream_period_sums": (q_stream_period_sums, SQL_STREAM_PERIOD_SUMS),
     "stream_outliers": (q_stream_outliers, SQL_STREAM_OUTLIERS),
+    "stream_drift": (q_stream_drift, SQL_STREAM_PROFILES),
     "stream_profiles": (q_stream_profiles, SQL_STREAM_PROFILES),
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyspark.functions import names
-from tallyspark.operators import edges, joins, keys, profile
+from tallyspark.operators import edges, joins, keys, paths, profile
 from tallyspark.operators.keys import candidate_pairs, primary_keys_by_name
 from tallyspark.plans.insight import union_all
 from tallyspark.plans.views import KNOWN_EDGES, RENAMED, renamed_sql, renamed_tables, table
@@ -525,6 +525,18 @@ SQL_TABLE_KINDS = f"""WITH {SCORED_CTES}, {ACCEPTED_SQL}, t(name, fact, txt) AS
   ('suppliers', FALSE, TRUE), ('products', FALSE, TRUE), ('orders', FALSE, TRUE), ('order_items', FALSE, TRUE), ('readings', TRUE, FALSE))
 SELECT name AS "table", fact AS pure_fact, txt OR name IN (SELECT target_table FROM accepted) AS entity FROM t"""
 
+def q_join_path(spark, sf):
+    """Order lines with columns of four tables, joined along the smallest tree of the edges found in the data."""
+    tables = renamed_tables(spark, sf)
+    columns = {"order_id": "order_id", "line_no": "line_no", "segment": "market_segment", "nation": "nation_name", "region": "region_name", "brand": "brand"}
+    return paths.denormalize_columns(tables, _accepted(spark, sf), "order_items", columns)
+
+
+SQL_JOIN_PATH = """SELECT l_orderkey AS order_id, l_linenumber AS line_no, c_mktsegment AS segment, n_name AS nation, r_name AS region, p_brand AS brand
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey"""
+
+
 QUERIES = {
     "profile_columns": (q_profile_columns, SQL_PROFILE_COLUMNS),
     "type_compatible_pairs": (q_type_compatible_pairs, SQL_TYPE_COMPATIBLE),
@@ -534,6 +546,7 @@ QUERIES = {
     "schema_drift": (q_schema_drift, SQL_SCHEMA_DRIFT),
     "table_kinds": (q_table_kinds, SQL_TABLE_KINDS),
     "fk_containment": (q_fk_containment, SQL_FK_CONTAINMENT),
+    "join_path": (q_join_path, SQL_JOIN_PATH),
     "fk_composite": (q_fk_composite, _composite_sql()),
     "composite_containment": (q_composite_containment, SQL_COMPOSITE),
     "orphan_audit": (q_orphan_audit, SQL_ORPHAN_AUDIT),

@@ -9,7 +9,7 @@ from tallyspark.plans.insight import union_all
 from tallyspark.plans.profiling import MESSY_COLUMNS, MESSY_SQL, messy_orders
 from tallyspark.plans.views import TABLES, table
 from tallyspark.session import scratch_dir
-from tallyspark.sources import files, tables
+from tallyspark.sources import files, snapshots, tables
 
 
 def _as_csv(df, label, **options):
@@ -183,6 +183,22 @@ def q_snapshot_retention(spark, sf):
 SQL_SNAPSHOT_RETENTION = """SELECT event_type, snapshot_id, rank, rank = 1 AS latest FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY snapshot_id DESC) AS rank
   FROM (SELECT DISTINCT event_type, strftime(ts, '%Y%m%dT%H') AS snapshot_id FROM events)) WHERE rank <= 20"""
 
+def q_snapshot_history(spark, sf):
+    """Runs over the orders of one year after another, each stored as a profile; the newest three of each database stay."""
+    root, orders = scratch_dir(spark, "snapshots"), table(spark, sf, "orders")
+    for year in range(1995, 2000):
+        for name, rows in (("all", orders), ("urgent", orders.where("o_orderpriority = '1-URGENT'")))[: 1 if year % 2 else 2]:
+            upto = rows.where(F.year("o_orderdate") <= year)
+            snapshots.write_snapshot(profile.null_stats(upto, "orders"), root, name, str(year), keep=3)
+    return snapshots.read_history(spark, root).drop("null_pct")
+
+
+SQL_SNAPSHOT_HISTORY = union_all(
+    f"""SELECT '{name}' AS database, '{year}' AS snapshot_id, {rank} AS rank, {rank == 1} AS latest, 'orders' AS "table", '{c}' AS "column", count(*) AS total_rows,
+  count(*) - count({c}) AS nulls FROM orders WHERE year(o_orderdate) <= {year}{where}"""
+    for name, years, where in (("all", (1999, 1998, 1997), ""), ("urgent", (1998, 1996), " AND o_orderpriority = '1-URGENT'"))
+    for rank, year in enumerate(years, 1) for c in _CAT["orders"])
+
 QUERIES = {
     "csv_raw_scan": (q_csv_raw_scan, SQL_CSV_RAW_SCAN),
     "csv_quoted_breaks": (q_csv_quoted_breaks, SQL_CSV_QUOTED_BREAKS),
@@ -197,5 +213,6 @@ QUERIES = {
     "sanitized_sink": (q_sanitized_sink, SQL_SANITIZED_SINK),
     "catalog_columns": (q_catalog_columns, SQL_CATALOG_COLUMNS),
     "schema_table_counts": (q_schema_table_counts, SQL_SCHEMA_TABLE_COUNTS),
+    "snapshot_history": (q_snapshot_history, SQL_SNAPSHOT_HISTORY),
     "snapshot_retention": (q_snapshot_retention, SQL_SNAPSHOT_RETENTION),
 }

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupStateTimeout
 
 from tallyspark.operators.kpis import flag_outliers, number
-from tallyspark.session import scratch_dir
+from tallyspark.session import scratch_dir, ship
 
 
 def read_table_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
@@ -73,9 +75,9 @@ def flagged_stream(events: DataFrame, fences: DataFrame, columns: Sequence[str],
     return flag_outliers(events, F.struct(*[literal(c) for c in columns]), columns, keep)
 
 
-def run_append(rows: DataFrame, label: str) -> str:
-    spark = rows.sparkSession
-    out = scratch_dir(spark, label)
+def run_append(rows: DataFrame, label: str, out: str | None = None) -> str:
+    """Run a stream to the end of its input; with the folder of an earlier run it goes on where that one ended."""
+    out = out or scratch_dir(rows.sparkSession, label)
     query = (
         rows.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{out}/checkpoint")
         .option("path", f"{out}/data").trigger(availableNow=True).start()
@@ -113,3 +115,39 @@ def profile_drift(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(
         F.col("batch").cast("bigint").alias("batch"), "column", "rows", "nulls", "low", "high",
         F.round((share - before) * 100, 2).alias("null_pct_change"))
+
+
+PARTIAL = "column string, rows bigint, nulls bigint, low string, high string"
+DRIFT = "batch bigint, column string, rows bigint, nulls bigint, low string, high string, null_pct_change double"
+
+
+def drift_stream(events: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Each column's profile in every micro-batch, and how its share of nulls changed since the last batch with rows.
+
+    Tasks first reduce their rows to one per column and Arrow batch, so a column is a few rows when it reaches its
+    state: the number of its last batch, and that batch's rows and nulls. State and output are committed with the batch;
+    a batch that is run again finds the state from before it and says the same.
+    """
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns])
+
+    def reduced(batches):
+        for cells in batches:
+            found = cells.groupby("column", sort=False)["value"].agg(rows="size", known="count")
+            found = found.assign(nulls=found["rows"] - found["known"]).join(
+                cells.dropna(subset="value").groupby("column")["value"].agg(low="min", high="max")).reset_index()
+            yield found[["column", "rows", "nulls", "low", "high"]].astype({"low": object, "high": object}).where(lambda f: f.notna(), None)
+
+    def follow(key, parts, state):
+        parts = pd.concat(list(parts))
+        rows, nulls = int(parts["rows"].sum()), int(parts["nulls"].sum())
+        batch, rows_before, nulls_before = state.get if state.exists else (-1, 0, 0)
+        change = round((nulls / rows - nulls_before / rows_before) * 100, 2) if rows_before else None
+        state.update((batch + 1, rows, nulls))
+        low, high = parts["low"].dropna(), parts["high"].dropna()
+        yield pd.DataFrame({"batch": [batch + 1], "column": [key[0]], "rows": [rows], "nulls": [nulls], "low": [low.min() if len(low) else None],
+                            "high": [high.max() if len(high) else None], "null_pct_change": pd.Series([change], dtype="float64")})
+
+    ship(events.sparkSession)
+    parts = events.select(F.inline(cells)).mapInPandas(reduced, PARTIAL)
+    return parts.groupBy("column").applyInPandasWithState(
+        follow, DRIFT, "batch bigint, rows bigint, nulls bigint", "append", GroupStateTimeout.NoTimeout)
