@@ -1,9 +1,9 @@
 """Near-duplicate join: pairs of texts whose sets of word shingles have a Jaccard similarity of a threshold or more.
 
-A MinHash LSH forest finds the candidates. Each of the trees gives a text a label, a sequence of MinHash
-values; texts sorted by label form a prefix trie, and two texts meet in a tree if they share a prefix. Prefixes
-start at full depth and are shortened level by level until pairs at the threshold are found with the target
-probability (`matched_depth`). Candidates are then verified on their whole shingle sets.
+MinHash bands find the candidates, in place of an LSH forest: each of the trees gives a text a label, a prefix of
+its MinHash values, and two texts meet in a tree if their labels are equal. How long the prefix is follows from the
+threshold and the wanted recall alone (`matched_depth`); it is the same for all texts. Candidates are then verified
+on their whole shingle sets.
 
 Texts with equal sets are one node, so thousands of copies cost as much as one. A node meets the others of its
 prefix in cells of at most two blocks; a pair that shares prefixes in several trees is counted in the first of
@@ -288,9 +288,11 @@ def keep_first(docs: DataFrame, threshold: float = 0.8, recall: float = 0.9995)
     members, nodes = classes(docs, threshold, recall)
     rows = members.join(nodes, "node", "left").where(
         F.col("node").isNull() | (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("tie") == F.col("class_tie"))))
-    kept = stored(rows.groupBy(F.col("doc_id").alias("__id"), F.col("tie").alias("__tie")).agg(
-        F.count(F.lit(1)).alias("__rows"), F.max(F.col("node").isNull()).alias("__plain")), "lsh-kept")
-    met = docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]) & F.xxhash64(docs["text"]).eqNullSafe(kept["__tie"]))
-    single, repeated = F.col("__plain") | (F.col("__rows") == 1), ~F.col("__plain") & (F.col("__rows") > 1)
-    return met.where(single).select(docs["*"]).unionAll(
-        met.where(repeated).dropDuplicates(["__id", "__tie"]).select(docs["*"]))
+    kept = stored(rows.groupBy(F.col("doc_id").alias("first_id"), F.col("tie").alias("first_tie")).agg(
+        F.count(F.lit(1)).alias("rows"), F.max(F.col("node").isNull()).alias("plain")), "lsh-kept")
+    # The rows travel whole in one column, so that no name of theirs can clash.
+    whole = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "doc_id", F.xxhash64("text").alias("tie"))
+    met = whole.join(kept, whole["doc_id"].eqNullSafe(kept["first_id"]) & whole["tie"].eqNullSafe(kept["first_tie"]))
+    single, repeated = F.col("plain") | (F.col("rows") == 1), ~F.col("plain") & (F.col("rows") > 1)
+    return met.where(single).select("row.*").unionAll(
+        met.where(repeated).dropDuplicates(["first_id", "first_tie"]).select("row.*"))

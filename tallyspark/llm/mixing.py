@@ -115,4 +115,6 @@ def weighted(docs: DataFrame, targets: Targets) -> DataFrame:
 
 def mix(docs: DataFrame, targets: Targets) -> DataFrame:
     """The sampled rows of `docs`, with all their columns. Rows with the same id are drawn together."""
-    return weighted(docs, targets).where("__kept").select(docs["*"])
+    # The rows travel whole in one column, so that no name of theirs can clash.
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), "doc_id", "text", "lang", "source")
+    return weighted(rows, targets).where("__kept").select("row.*")

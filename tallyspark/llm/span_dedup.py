@@ -93,7 +93,7 @@ def span_rows(docs: DataFrame) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """Only the columns needed; rows without an id count as one last document."""
+    """Only the columns needed; ids are whole numbers, rows without one count as one last document."""
     doc_id = F.col("doc_id").cast("bigint")
     return docs.select(doc_id.alias("doc_id"), F.coalesce(doc_id, F.lit(2**63 - 1)).alias("key"),
                        F.xxhash64("text").alias("tie"), "text")

@@ -67,6 +67,12 @@ def read_record(stream) -> bytes | None:
     return body[:size]
 
 
+def qualified(spark, path: str) -> str:
+    """A path without a scheme is one of the cluster's default file system, for the tasks as for Spark."""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS") or "file:///"
+    return path if ":/" in path or default.startswith("file:") else default.rstrip("/") + "/" + path.lstrip("/")
+
+
 def open_folder(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
@@ -168,11 +174,12 @@ def write_records(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
     """Encode every whole text, end each with `end_id`, and write record and index files in ascending doc_id
     order: shard k holds smaller ids than shard k + 1. Returns one row per file: shard, path, records, tokens.
 
-    A null id comes first; rows with the same id are ordered by a hash of their text and all kept; null and
+    Ids are whole numbers. A null id comes first; rows with the same id are ordered by a hash of their text and all kept; null and
     empty texts give a sequence of `end_id` alone; other columns are not read. A task writes to a name of its
     own and renames the file when it is whole, so a repeated or speculative task leaves the same file.
     """
     spark = docs.sparkSession
+    folder = qualified(spark, folder)
     shards = shards or int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange(shards, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")

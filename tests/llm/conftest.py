@@ -3,7 +3,8 @@ import random
 import pytest
 
 SCHEMA = ("doc_id bigint, text string, lang string, source string, n_chars bigint, score double, node bigint, key bigint, "
-          "row bigint, tie bigint, label int, features string, places string, class_id bigint, rate double")
+          "row bigint, tie bigint, label int, features string, places string, class_id bigint, rate double, __rate double, __kept int, __source string, __rows int, __id string, rows int, "
+          "first_id int, plain string")
 
 
 def sentence(draw, words=9):

@@ -118,4 +118,4 @@ def test_line_bound_skips_only_what_does_not_fit(judged, labels, docs_of):
 def test_all_documents_stay_without_a_model(judged, labels):
     model = quality_crf.train(judged, labels.limit(0))
     assert quality_crf.keep_good(judged, model).count() == judged.count()
-    assert all(r.predicted == 1 for r in quality_crf.judge(judged, model).collect())
+    assert all((r.score, r.predicted) == (0.5, 0) for r in quality_crf.judge(judged, model).collect())
