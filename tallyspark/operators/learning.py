@@ -11,8 +11,9 @@ from pyspark.sql import types as T
 from tallyspark.functions.names import is_identifier
 from tallyspark.functions.numbers import parsed
 from tallyspark.operators.kpis import number
-from tallyspark.operators.quantiles import column_stats
 from tallyspark.operators.profile import value_counts
+from tallyspark.operators.quantiles import column_stats, group_key, values_at_ranks
+from tallyspark.session import stored
 
 # Words that mark a time column; parts a time column is replaced by.
 DATE_HINTS = ("date", "time", "timestamp", "year", "month", "day", "week", "quarter")
@@ -121,8 +122,58 @@ def classification_metrics(df: DataFrame, actual: str, predicted: str) -> DataFr
         F.when(acc >= 0.85, "high").when(acc >= 0.65, "medium").otherwise("low").alias("reliability"))
 
 
+# Words of a goal that ask for a prediction.
+PREDICTION_WORDS = ("predict", "prediction", "forecast", "estimate", "expected", "future")
+
+
+def choose_target(df: DataFrame, goal: str = "", explicit: str | None = None, numeric: float = 0.8) -> tuple[str | None, str]:
+    """Which column to predict, and why: one that is asked for by name, one that the goal mentions, else the last measure.
+
+    Measures are columns whose values are numbers, at least the share `numeric` of them; identifiers are never predicted.
+    Of several mentioned measures the last one counts; another kind of column counts, the first one mentioned, only if the
+    goal asks for a prediction. One pass over the table says which columns are measures.
+    """
+    free = [c for c in df.columns if not is_identifier(c, "wide")]
+    if explicit in free:
+        return explicit, "explicit"
+    share = [F.try_divide(F.count(parsed(F.col(f"`{c}`").cast("string"))), F.count(f"`{c}`")).alias(f"s{i}") for i, c in enumerate(free)]
+    found = df.agg(*share).first() if free else ()
+    said = goal.strip().lower().replace("_", " ")
+    asks = any(w in goal.lower() for w in PREDICTION_WORDS)
+    # Kinds in the order of their claim; within a kind, the place of the column.
+    claims = []
+    for i, c in enumerate(free):
+        plain = c.lower().replace("_", " ")
+        measure, mentioned = (found[i] or 0) >= numeric, bool(plain) and plain in said
+        if measure:
+            claims.append((3 if mentioned else 1, i, c))
+        elif mentioned and asks:
+            claims.append((2, -i, c))
+    kind, _, best = max(claims, default=(0, 0, None))
+    return best, {0: "none", 1: "last measure"}.get(kind, "mentioned in goal")
+
+
+def stratified_holdout(df: DataFrame, label: str, key: str, share: float = 0.25) -> DataFrame:
+    """`df` with `held`: of each class of `label`, round(n * share) rows, those whose hash of `key` is least.
+
+    The hash that parts a class is its value at that rank, found for all classes in the same rounds of counting
+    (`values_at_ranks`), so a class with most rows is split like any other. Shares of both parts are those of the whole
+    up to one row a class; rows with the same key and class stay together. A null label is a class too.
+    """
+    code = F.shiftrightunsigned(F.xxhash64(F.col(key).cast("string")), 12).cast("double")  # 52 bits: exact as a double
+    group = group_key([F.col(f"`{label}`").cast("string")])
+    rows = stored(df.select(group.alias("group"), F.lit(0).alias("slot"), code.alias("x")), "codes")
+    spans = stored(rows.groupBy("group", "slot").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")), "spans")
+    quota = F.round(F.col("n") * F.lit(float(share))).cast("bigint")
+    last = values_at_ranks(rows, spans, spans.select("group", "slot", (quota - 1).alias("rank")).where("rank >= 0"))
+    cut = last.select(F.col("group").alias("_group"), F.col("value").alias("_cut"))
+    met = df.withColumn("_group", group).withColumn("_code", code).join(cut, "_group", "left")
+    return met.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.col("_code") <= F.col("_cut"), F.lit(False)).alias("held"))
+
+
 def forest(df: DataFrame, target: str, key: str, trees: int = TREES, depth: int = 10, seed: int = 42, top: int = 12):
-    """Train on three quarters of the rows, told by a hash of the key, and predict the rest.
+    """Train on three quarters of the rows, told by a hash of the key, and predict the rest; in a classification three
+    quarters of each class.
 
     Returns the hold-out rows with `actual` and `predicted`, the task, and the `top` importances, by column. The task is
     regression when nine tenths of the target are numbers.
@@ -139,8 +190,11 @@ def forest(df: DataFrame, target: str, key: str, trees: int = TREES, depth: int
     wide, numeric, category = planned_features(usable, target, key)
     wide = wide.withColumnsRenamed({key: "_key", target: "_target"})
     wide = wide.fillna("(none)", category) if category else wide
-    held = F.pmod(F.xxhash64("_key"), F.lit(4)) == 0
-    train, test = wide.where(~held), wide.where(held)
+    if task == "classification":
+        wide = stratified_holdout(wide, "_target", "_key")
+    else:
+        wide = wide.withColumn("held", F.pmod(F.xxhash64("_key"), F.lit(4)) == 0)
+    train, test = wide.where("not held"), wide.where("held")
     stages, inputs = [], []
     if numeric:
         stages.append(Imputer(strategy="median", inputCols=numeric, outputCols=[f"{c}__i" for c in numeric]))

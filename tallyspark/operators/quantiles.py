@@ -106,27 +106,15 @@ def group_key(dims: Sequence[Column]) -> Column:
     return F.md5(F.to_json(F.struct(*[d.alias(f"d{i}") for i, d in enumerate(dims)])).cast("binary")) if dims else F.lit("")
 
 
-def group_quantiles(df: DataFrame, key: Column, wanted: dict[str, tuple[str, float]]) -> DataFrame:
-    """(group, and a column per name): exact quantiles of columns within the groups that `key` tells apart, interpolated
-    linearly; null for a group without numbers. `wanted`: name -> (column, share of the rows below).
+def values_at_ranks(rows: DataFrame, spans: DataFrame, ranks: DataFrame) -> DataFrame:
+    """(group, slot, rank, value): the values at 0-based ranks (group, slot, rank) of the sorted x of each group and slot.
+    `rows`: group, slot, x; `spans`: group, slot, low, high, the ends of each.
 
     All groups go through the same rounds. A bracket, one group's range that still holds a wanted rank, is a row of a
     table; rows meet the brackets of their group, are counted by bucket before they are shuffled, and only those inside a
     bracket are read again. So neither a group nor the brackets of all groups are ever gathered.
     """
-    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
-    numbers = typed_numbers(df, columns).columns
-    cells = F.array(*[F.struct(F.lit(i).alias("slot"), F.col(n).alias("x")) for i, n in enumerate(numbers)])
-    keyed = df.select(key.alias("group"), *[F.col(f"`{c}`") for c in columns])
-    typed = stored(keyed.select("group", *[
-        finite(parsed(F.col(f"`{c}`")) if t == "string" else F.col(f"`{c}`").cast("double")).alias(n)
-        for n, (c, t) in zip(numbers, keyed.dtypes[1:])]), "numbers")
-    rows = typed.select("group", F.inline(cells)).where("x is not null")
     at = ["group", "slot"]
-    spans = stored(rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")), "spans")
-    named = F.array(*[F.struct(F.lit(columns.index(c)).alias("slot"), F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, (c, p) in wanted.items()])
-    places = spans.withColumn("w", F.explode(named)).where("w.slot = slot").select(*at, "w.name", ((F.col("n") - 1) * F.col("w.p")).alias("place"))
-    ranks = places.select(*at, F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("rank")).distinct()
     open_ = ranks.join(spans.select(*at, "low", "high"), at).withColumn("before", F.lit(0).cast("bigint"))
     found, first = None, True
     while True:
@@ -148,6 +136,26 @@ def group_quantiles(df: DataFrame, key: Column, wanted: dict[str, tuple[str, flo
         here = F.col("rank") - F.col("before")
         open_ = open_.join(counts.withColumn("upto", upto), [*at, "low"]).where((F.col("upto") > here) & (F.col("upto") - F.col("n") <= here)).select(
             *at, "rank", F.col("least").alias("low"), F.col("most").alias("high"), (F.col("before") + F.col("upto") - F.col("n")).alias("before"))
+    return found
+
+
+def group_quantiles(df: DataFrame, key: Column, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """(group, and a column per name): exact quantiles of columns within the groups that `key` tells apart, interpolated
+    linearly; null for a group without numbers. `wanted`: name -> (column, share of the rows below).
+    """
+    columns = list(dict.fromkeys(c for c, _ in wanted.values()))
+    numbers = typed_numbers(df, columns).columns
+    cells = F.array(*[F.struct(F.lit(i).alias("slot"), F.col(n).alias("x")) for i, n in enumerate(numbers)])
+    keyed = df.select(key.alias("group"), *[F.col(f"`{c}`") for c in columns])
+    typed = stored(keyed.select("group", *[
+        finite(parsed(F.col(f"`{c}`")) if t == "string" else F.col(f"`{c}`").cast("double")).alias(n)
+        for n, (c, t) in zip(numbers, keyed.dtypes[1:])]), "numbers")
+    rows = typed.select("group", F.inline(cells)).where("x is not null")
+    at = ["group", "slot"]
+    spans = stored(rows.groupBy(*at).agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high")), "spans")
+    named = F.array(*[F.struct(F.lit(columns.index(c)).alias("slot"), F.lit(name).alias("name"), F.lit(float(p)).alias("p")) for name, (c, p) in wanted.items()])
+    places = spans.withColumn("w", F.explode(named)).where("w.slot = slot").select(*at, "w.name", ((F.col("n") - 1) * F.col("w.p")).alias("place"))
+    found = values_at_ranks(rows, spans, places.select(*at, F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("rank")).distinct())
     value = lambda side: found.select(*at, F.col("rank").alias(f"{side}_rank"), F.col("value").alias(side))
     both = places.withColumn("low_rank", F.floor("place")).withColumn("high_rank", F.ceil("place"))
     both = both.join(value("low"), [*at, "low_rank"]).join(value("high"), [*at, "high_rank"])

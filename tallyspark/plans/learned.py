@@ -84,6 +84,24 @@ def q_rf_importances(spark, sf):
     return small_frame(spark, [(task, name, round(w, 4)) for name, w in weights], "task string, feature string, importance double")
 
 
+def q_stratified_holdout(spark, sf):
+    """Rows of both parts by order status, and how far the held ones are from a quarter of the class."""
+    held = learning.stratified_holdout(table(spark, sf, "orders"), "o_orderstatus", "o_orderkey")
+    return held.groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("rows"), F.count_if("held").alias("held"), F.count_if(~F.col("held")).alias("trained"))
+
+
+SQL_STRATIFIED_HOLDOUT = """SELECT o_orderstatus, count(*) AS "rows", round(count(*) * 0.25)::BIGINT AS held, count(*) - round(count(*) * 0.25)::BIGINT AS trained
+FROM orders GROUP BY 1"""
+
+
+def q_target_choice(spark, sf):
+    """The column that each of several goals asks to predict, for three tables."""
+    asked = (("orders", "Forecast the o_totalprice per month"), ("orders", "predict o_orderstatus"), ("customer", "which customers are best"),
+             ("part", "Compare p_size and p_retailprice"), ("part", "list p_brand"))
+    rows = [(t, goal, *learning.choose_target(table(spark, sf, t), goal)) for t, goal in asked]
+    return small_frame(spark, rows, "table string, goal string, target string, reason string")
+
+
 # --- streams -----------------------------------------------------------------------------------
 
 
@@ -140,6 +158,8 @@ QUERIES = {
     "imputed_features": (q_imputed_features, SQL_IMPUTED_FEATURES),
     "regression_metrics": (q_regression_metrics, SQL_REGRESSION_METRICS),
     "classification_metrics": (q_classification_metrics, SQL_CLASSIFICATION_METRICS),
+    "stratified_holdout": (q_stratified_holdout, SQL_STRATIFIED_HOLDOUT),
+    "target_choice": (q_target_choice, None),
     "rf_predictions": (q_rf_predictions, None),
     "rf_classification": (q_rf_classes, None),
     "rf_importances": (q_rf_importances, None),

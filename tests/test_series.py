@@ -142,3 +142,29 @@ def test_a_series_of_100_000_points(spark):
     values = np.array([r.value for r in series.orderBy("t").select("value").collect()])
     assert len(found) == 11 and found[0] is None
     assert all(found[t] == np.median(values[:t]) for t in found if t)
+
+
+def test_holdout_keeps_the_shares_of_all_classes(spark):
+    rows = [(i, "hot" if i % 3 else "rare" if i % 30 == 0 else "some", i) for i in range(2_000)] + [(5_000, "one", 0), (5_001, None, 0), (5_002, None, 1), (5_003, None, 2)]
+    df = spark.createDataFrame(rows, "id int, kind string, held_before int")
+    found = learning.stratified_holdout(df, "kind", "id", 0.25).collect()
+    assert len(found) == len(rows) and found[0].__fields__ == ["id", "kind", "held_before", "held"]
+    for kind in {k for _, k, _ in rows}:
+        own = [r.held for r in found if r.kind == kind]
+        assert sum(own) == int(len(own) * 0.25 + 0.5)
+    again = learning.stratified_holdout(df.repartition(5), "kind", "id", 0.25).where("held").select("id").collect()
+    assert {r.id for r in again} == {r.id for r in found if r.held}
+    assert learning.stratified_holdout(df.limit(0), "kind", "id").collect() == []
+    assert not any(r.held for r in learning.stratified_holdout(df, "kind", "id", 0.0).collect())
+    assert all(r.held for r in learning.stratified_holdout(df, "kind", "id", 1.0).collect())
+
+
+def test_choice_of_the_target(spark):
+    df = spark.createDataFrame([(1, "a", "10", 1.5, None, "x")] * 4 + [(1, "b", "n/a", 2.5, None, "y")],
+                               "order_id int, region string, unit_price string, sales double, blank double, note string")
+    choose = lambda goal, explicit=None: learning.choose_target(df, goal, explicit)
+    assert choose("", "region") == ("region", "explicit") and choose("", "order_id") == ("sales", "last measure")
+    assert choose("forecast Unit Price") == ("unit_price", "mentioned in goal") == choose("predict unit_price by region")
+    assert choose("sales and unit price") == ("sales", "mentioned in goal")
+    assert choose("predict the note or the region") == ("region", "mentioned in goal") and choose("the region") == ("sales", "last measure")
+    assert learning.choose_target(df.select("region", "note"), "sales") == (None, "none") == learning.choose_target(df.select("order_id"), "")
