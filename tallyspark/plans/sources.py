@@ -175,6 +175,31 @@ SQL_SCHEMA_TABLE_COUNTS = "SELECT schema, count(*) AS tables, sum(n)::BIGINT AS
     f"SELECT '{'text' if t in _TEXT else 'shop'}' AS schema, count(*) AS n FROM {t}" for t in TABLES) + ") GROUP BY 1"
 
 
+_MERGED = {"shop": ("nation", "customer", "orders"), "text": ("documents", "labels", "conversations")}
+_MERGED_COLUMNS = {"nation": _HEADERS["nation"], "customer": ("c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"), "orders": _CAT["orders"],
+                   "documents": ("doc_id", "text", "lang", "source", "n_chars"), "labels": ("doc_id", "quality", "toxic"),
+                   "conversations": ("conv_id", "turn", "role", "text")}
+
+
+def q_merged_profile(spark, sf):
+    """Two schemas in one profile."""
+    found = profile.merged_profile({f"{s}.{t}": table(spark, sf, t) for s, names in _MERGED.items() for t in names})
+    return found.select("schema", "table", "column", "ordinal", "rows", "null_count", "distinct_count", "most", "min", "max", "is_unique", "candidate_key")
+
+
+def _merged_sql(schema, t, c, place):
+    v = f"CASE WHEN lower(trim({c}::VARCHAR)) NOT IN ('', 'null', 'none', 'nan', 'missing') THEN trim({c}::VARCHAR) END"
+    key = f"regexp_matches('{c}', '(^|_)(id|key|code)$')"
+    number = f"CASE WHEN bool_and(try_cast(v AS DOUBLE) IS NOT NULL) FILTER (v IS NOT NULL) THEN {{}}(try_cast(v AS DOUBLE)) END"
+    return f"""SELECT '{schema}' AS schema, '{t}' AS "table", '{c}' AS "column", {place} AS ordinal, sum(n)::BIGINT AS "rows", coalesce(sum(n) FILTER (v IS NULL), 0)::BIGINT AS null_count,
+  count(v) AS distinct_count, coalesce(max(n) FILTER (v IS NOT NULL), 0) AS most, {number.format('min')} AS "min", {number.format('max')} AS "max",
+  bool_and(v IS NOT NULL AND n = 1) AS is_unique, bool_and(v IS NOT NULL AND n = 1) AND {key} AS candidate_key
+FROM (SELECT {v} AS v, count(*) AS n FROM {t} GROUP BY 1)"""
+
+
+SQL_MERGED_PROFILE = union_all(_merged_sql(s, t, c, i) for s, names in _MERGED.items() for t in names for i, c in enumerate(_MERGED_COLUMNS[t], 1))
+
+
 def q_snapshot_retention(spark, sf):
     ids = table(spark, sf, "events").select("event_type", F.date_format("ts", "yyyyMMdd'T'HH").alias("snapshot_id"))
     return tables.snapshot_retention(ids, "event_type", "snapshot_id")
@@ -213,6 +238,7 @@ QUERIES = {
     "sanitized_sink": (q_sanitized_sink, SQL_SANITIZED_SINK),
     "catalog_columns": (q_catalog_columns, SQL_CATALOG_COLUMNS),
     "schema_table_counts": (q_schema_table_counts, SQL_SCHEMA_TABLE_COUNTS),
+    "merged_profile": (q_merged_profile, SQL_MERGED_PROFILE),
     "snapshot_history": (q_snapshot_history, SQL_SNAPSHOT_HISTORY),
     "snapshot_retention": (q_snapshot_retention, SQL_SNAPSHOT_RETENTION),
 }

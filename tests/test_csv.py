@@ -1,6 +1,6 @@
 import pytest
 
-from tallyspark.operators.profile import column_profile, duplicate_rows, logical_types, quality_warnings
+from tallyspark.operators.profile import column_profile, duplicate_rows, logical_types, merged_profile, quality_warnings
 from tallyspark.sources import files, tables
 
 
@@ -144,3 +144,17 @@ def test_late_bytes_decide_encoding_and_nul(spark, tmp_path):
     found = {r["path"].rsplit("/", 1)[-1]: r for r in files.inspect_files(files.list_files(spark, str(tmp_path), "*.csv")).collect()}
     assert found["late.csv"]["encoding"] == "cp1252" and found["nul.csv"]["nul"] and not found["late.csv"]["nul"]
     assert len(found["wide.csv"]["header"]) == 9_000
+
+
+def test_profile_of_several_schemas(spark, rows):
+    a = spark.createDataFrame([(1, "x", 2.5), (2, " x ", None), (3, "missing", -1.0)], "id int, word string, size double")
+    b = spark.createDataFrame([("007", "y" * 400), ("008", "y" * 400)], "code string, text string")
+    found = rows(merged_profile({"one.a": a, "two.a": b, "bare": a.limit(0)}), "schema", "table", "column")
+    assert len(found) == 8
+    assert {k: found["one", "a", "id"][k] for k in ("rows", "is_unique", "candidate_key", "inferred_type", "ordinal")} == {
+        "rows": 3, "is_unique": True, "candidate_key": True, "inferred_type": "INTEGER", "ordinal": 1}
+    word = found["one", "a", "word"]
+    assert (word["null_count"], word["distinct_count"], word["most"], word["null_pct"]) == (1, 1, 2, 33.33)
+    assert (found["one", "a", "size"]["min"], found["one", "a", "size"]["max"]) == (-1.0, 2.5)
+    assert found["two", "a", "code"]["candidate_key"] and found["two", "a", "text"]["most"] == 2
+    assert found["", "bare", "id"]["rows"] == 0 and found["", "bare", "id"]["inferred_type"] == "UNKNOWN" and not found["", "bare", "id"]["is_unique"]
