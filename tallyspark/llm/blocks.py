@@ -30,6 +30,7 @@ def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     """`mapInArrow` with batches of bounded size, and with this package at hand on every worker."""
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return df.mapInArrow(function, schema)
 
 

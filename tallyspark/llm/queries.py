@@ -99,8 +99,8 @@ FROM placed GROUP BY conv_id"""
 
 def op5_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    tree, counts = suffix_tree.train(docs.where(~held_out(F.col("doc_id"), 10, 0)))
-    return suffix_tree.score(docs, tree, counts).select(
+    tree = suffix_tree.train(docs.where(~held_out(F.col("doc_id"), 10, 0)))
+    return suffix_tree.score(docs, tree).select(
         "doc_id", held_out(F.col("doc_id"), 10, 0), "n_tokens", "n_known", F.lit(tree.tokens).cast("bigint").alias("train_tokens"),
         "base_score", "score")
 

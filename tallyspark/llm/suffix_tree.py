@@ -1,32 +1,45 @@
 """Language-model scores from a probabilistic suffix tree over words.
 
-Tokens are the words of a text, A-Z as a-z, and one end. A state of the tree is a context: the last one, two or
-three tokens. A context becomes a state if it is frequent and if what follows it differs enough from what
-follows its longest suffix (a divergence test). A state's next-token probabilities are absolutely discounted
-counts, and the mass left over goes to the suffix state; the root is the smoothed word frequency. A token is
-scored in the state of the longest suffix of what stands before it.
-
-Size: a context needs a share of `context_share` of all training tokens and a next-token entry a share of
-`entry_share`, so there are at most 1 / context_share contexts and 1 / entry_share entries per depth, whatever
-the corpus; these go to every task. All other words stay in a table of counts that grows with the corpus, and
-meet the scored texts by a join. Words are known by 64-bit hashes.
+Tokens are the words of a text, A-Z as a-z, and one end, which also stands before a text. A context is the last one to
+`depth` tokens. It becomes a state of the tree if what follows it differs enough from what follows its longest suffix
+(a divergence test). A state's next-token probabilities are absolutely discounted counts, and the mass left over goes
+to the suffix; the root is the smoothed word frequency. A token is scored in the longest suffix state of what stands
+before it.
+
+Least counts are absolute: a next token needs `least` occurrences after a context, whatever the corpus, and every
+context with such an entry is tested. So the tree grows with the corpus; it lives in tables, and nothing of it is
+broadcast or collected. Its logarithms are kept as one addend a run of tokens: a run that is a context adds the share
+left to its suffix, a run that is an entry adds what it gains over that path. The score of a text is then the sum over
+all runs of one to depth + 1 tokens in it, each looked up once.
+
+Runs are known by 64-bit hashes. They travel in packs: a task counts `HELD` tokens, sorts the different runs and cuts
+them by ranges of the hash (`ranges`), one row a range. There is a range for every million training tokens, so what a
+task holds of one is bounded. A run comes once a pack at counting and once a text at scoring, so no frequent run makes
+a hot range. Texts are read `passes` times, each for another part of the hashes, to bound the disk that shuffles take.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from collections.abc import Iterator
+from contextlib import contextmanager
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.blocks import U64, Block, blocks, map_batches, mix, sums
+from tallyspark.llm.blocks import STEP, U64, Block, blocks, map_batches, mix
 from tallyspark.session import stored
 
 END = np.uint64(0x51F0E3A9C7D2B485)
 DISCOUNT = 0.75
-HELD = 4_000_000  # tokens that a task counts at a time
+HELD = 2_000_000  # tokens that a task counts at a time
+RANGE = 1_000_000  # training tokens for each range of hashes
+CHUNK = 4_096  # texts whose sums come back in one row of packs
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Lookup:
@@ -56,96 +69,40 @@ class Lookup:
         return at
 
 
-@dataclass
-class Level:
-    """Contexts of one length: code (shorter context, last token), suffix one shorter, back-off; and the entries."""
-
-    codes: np.ndarray
-    suffix: np.ndarray
-    backoff: np.ndarray  # 1 where the context is no state
-    entry_codes: np.ndarray
-    entry_share: np.ndarray
-
-    def __post_init__(self):
-        self.index()
-
-    def index(self) -> None:
-        self.context, self.entry = Lookup(self.codes), Lookup(self.entry_codes)
-
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("context", "entry")}
-
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.index()
-
-
 @dataclass
 class Tree:
-    words: np.ndarray  # sorted hashes of the frequent tokens
-    counts: np.ndarray
+    """`addends`: (key, n, weight), several rows a run allowed; n is the count of a word, null for longer runs."""
+
+    addends: DataFrame
     tokens: int
     distinct: int
-    levels: list[Level] = field(default_factory=list)
+    depth: int
 
-    def __post_init__(self):
-        self.word = Lookup(self.words)
+    @property
+    def ranges(self) -> int:
+        return ranges(self.tokens)
 
-    def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "word"}
+    def root(self, count):
+        """Smoothed frequency of a word with the given count; of an array or a column as well."""
+        return (count + 0.1) / (self.tokens + 0.1 * (self.distinct + 1))
 
-    def __setstate__(self, state):
-        self.__dict__.update(state)
-        self.word = Lookup(self.words)
 
-    def root(self, count: np.ndarray) -> np.ndarray:
-        return (count + 0.1) / (self.tokens + 0.1 * (self.distinct + 1))
+def ranges(tokens: int) -> int:
+    return tokens // RANGE + 1
+
 
-    def contexts(self, ids: np.ndarray, first: np.ndarray) -> list[np.ndarray]:
-        """Per depth, the context that ends before each token, or -1. Before a text stands the end token."""
-        start = self.word.find(np.array([END]))[0]
-        before = np.concatenate([[-1], ids[:-1]])[: len(ids)]
-        before[first[first < len(ids)]] = start
-        out, last = [], None
-        for k, level in enumerate(self.levels):
-            if k == 0:
-                last = level.context.find(pair_code(np.zeros(len(ids), np.int64), before))
-            else:
-                shorter = np.concatenate([[-1], last[:-1]])[: len(ids)]
-                shorter[first[first < len(ids)]] = -1
-                last = level.context.find(pair_code(shorter, before))
-            out.append(last)
-        return out
-
-    def probability(self, depth: int, context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-        """Of frequent tokens after given contexts of one depth, through all their suffixes."""
-        chain = [context]
-        for k in range(depth - 1, 0, -1):
-            own = chain[-1]
-            chain.append(np.where(own >= 0, self.levels[k].suffix[np.maximum(own, 0)], -1))
-        p = self.root(self.counts[ids])
-        for level, at in zip(self.levels, chain[::-1]):
-            p = level_step(level, at, ids, p)
-        return p
-
-
-def pair_code(context: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """One number for (context, token); pairs with an unknown half get a number that no table holds."""
-    code = (context.astype(np.uint64) << U64(32)) | ids.astype(np.uint64) & U64(0xFFFFFFFF)
-    code[(context < 0) | (ids < 0)] = U64(0xFFFFFFFFFFFFFFFF)
-    return code
-
-
-def level_step(level: Level, at: np.ndarray, ids: np.ndarray, p: np.ndarray) -> np.ndarray:
-    """Probabilities one context longer: the entry's own share plus the back-off share of the shorter one."""
-    known = np.flatnonzero(at >= 0)
-    if not len(known):
-        return p
-    p = p.copy()
-    entry = level.entry.find(pair_code(at[known], ids[known]))
-    own = np.where(entry >= 0, level.entry_share[np.maximum(entry, 0)], 0.0) if len(level.entry_share) else 0.0
-    p[known] = own + level.backoff[at[known]] * p[known]
-    return p
+@contextmanager
+def lean(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of jobs inside go when a job ends: their results are written tables."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(CLEANUP)
+        else:
+            spark.conf.set(CLEANUP, before)
 
 
 def token_stream(block: Block) -> tuple[np.ndarray, np.ndarray]:
@@ -154,152 +111,316 @@ def token_stream(block: Block) -> tuple[np.ndarray, np.ndarray]:
     return np.insert(words.hash, words.bounds[1:], END), words.bounds + np.arange(block.n + 1)
 
 
-def _counted(codes: list[np.ndarray]) -> pa.RecordBatch:
-    key, n = np.unique(np.concatenate(codes), return_counts=True)
-    return pa.RecordBatch.from_pydict({"key": pa.array(key.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+def joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """The key of a run from those of its first and its last tokens, each one token shorter."""
+    return mix(prefix * STEP + suffix)
+
+
+def token_runs(block: Block, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of runs of 1 to `order` tokens: text, prefix, suffix and key of each that ends at a token. The end before a
+    text counts as its first token; runs do not reach further back."""
+    key, bounds = token_stream(block)
+    text = np.repeat(np.arange(block.n), np.diff(bounds))
+    place = np.arange(len(key)) - np.repeat(bounds[:-1], np.diff(bounds))
+    yield text, key, key, key
+    for m in range(2, order + 1):
+        prefix = np.concatenate([[END], key[:-1]]) if m == 2 else np.concatenate([key[:1], key[:-1]])
+        suffix, key = key, joined(prefix, key)
+        real = place >= m - 2
+        yield text[real], prefix[real], suffix[real], key[real]
+
+
+def pack(values: np.ndarray) -> bytes:
+    """The bytes of numbers, first all lowest ones: sorted numbers share their highest, which then compress."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def unpack(packed: bytes, kind) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Bounds of the ranges in sorted keys."""
+    first = np.array([(r << 64) // parts for r in range(1, parts)], np.uint64)
+    return np.concatenate([[0], np.searchsorted(keys, first), [len(keys)]])
+
+
+def in_pass(keys: np.ndarray, turn: int, passes: int) -> np.ndarray:
+    """Keys of one pass, by bits that the ranges do not look at."""
+    return (keys & U64(0xFFFF)) % U64(passes) == U64(turn)
+
+
+def ranged(columns: dict[str, np.ndarray], parts: int) -> Iterator[dict]:
+    """A row of packs for each range that holds some of the rows, which are sorted by `key`."""
+    bounds = cuts(columns["key"], parts)
+    for r in np.flatnonzero(np.diff(bounds)):
+        yield {"part": int(r), **{c: pack(v[bounds[r] : bounds[r + 1]]) for c, v in columns.items()}}
 
 
-def count(texts: DataFrame, codes) -> DataFrame:
-    """(key, n) over all texts; `codes` turns a block into numbers. Tasks count millions of tokens at a time
-    before anything is shuffled."""
-    def run(batches):
+def rows_of(packs: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    for lo in range(0, len(packs), 256):
+        yield pa.RecordBatch.from_pylist(packs[lo : lo + 256], schema)
+
+
+def whole(batches, group: str) -> Iterator[tuple[int, list[dict]]]:
+    """Rows of equal `group`, from batches sorted by it."""
+    now, held = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if held and row[group] != now:
+                yield now, held
+                held = []
+            now = row[group]
+            held.append(row)
+    if held:
+        yield now, held
+
+
+def merged(packed: DataFrame, *order: str) -> DataFrame:
+    return packed.repartition(order[0]).sortWithinPartitions(*order)
+
+
+PACKED = pa.schema([("part", pa.int32()), ("prefix", pa.binary()), ("suffix", pa.binary()), ("n", pa.binary())])
+
+
+def counted(texts: DataFrame, order: int, least: int, parts: int, turn: int, passes: int) -> DataFrame:
+    """prefix, suffix, key and n of the runs of `order` tokens that occur `least` times or more."""
+    def count(batches):
         held, size = [], 0
+
+        def packs():
+            prefix, suffix, key = (np.concatenate(c) for c in zip(*held))
+            key, at, n = np.unique(key, return_index=True, return_counts=True)
+            found = list(ranged({"key": key, "prefix": prefix[at], "suffix": suffix[at], "n": n.astype(np.uint32)}, parts))
+            yield from rows_of([{c: row[c] for c in PACKED.names} for row in found], PACKED)
+
         for batch in batches:
             for block in blocks(batch.column("text")):
-                held.append(codes(block))
-                size += len(held[-1])
+                *_, (_, prefix, suffix, key) = token_runs(block, order)
+                mine = in_pass(key, turn, passes)
+                held.append((prefix[mine], suffix[mine], key[mine]))
+                size += int(mine.sum())
                 if size >= HELD:
-                    yield _counted(held)
+                    yield from packs()
                     held, size = [], 0
         if size:
-            yield _counted(held)
-
-    return map_batches(texts.select("text"), run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-def frequent(counts: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys with a count of `least` or more, sorted. `least` is a share of the total, which bounds their number."""
-    found = counts.where(F.col("n") >= least).toArrow()
-    key, n = found.column("key").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(key)
-    return key[order], n[order]
-
+            yield from packs()
+
+    def add(batches):
+        for _, packs in whole(batches, "part"):
+            prefix, suffix, n = (np.concatenate([unpack(p[c], kind) for p in packs])
+                                 for c, kind in (("prefix", np.uint64), ("suffix", np.uint64), ("n", np.uint32)))
+            key = joined(prefix, suffix) if order > 1 else prefix
+            key, at, which = np.unique(key, return_index=True, return_inverse=True)
+            total = np.bincount(which, n).astype(np.int64)
+            often = total >= least
+            at = at[often]
+            yield pa.RecordBatch.from_pydict({
+                "prefix": prefix[at].view(np.int64), "suffix": suffix[at].view(np.int64),
+                "key": key[often].view(np.int64), "n": total[often]})
+
+    packed = map_batches(texts.select("text"), count, "part int, prefix binary, suffix binary, n binary")
+    return map_batches(merged(packed, "part"), add, "prefix bigint, suffix bigint, key bigint, n bigint")
+
+
+def count_runs(texts: DataFrame, order: int, least: int, parts: int, passes: int) -> DataFrame:
+    done = [stored(counted(texts, order, least, parts, turn, passes), "tree-runs") for turn in range(passes)]
+    return reduce(DataFrame.unionAll, done)
+
+
+def train(texts: DataFrame, depth: int = 2, least: int = 2, least_gain: float = 6.0, divergence: float = 0.01,
+          passes: int = 3) -> Tree:
+    """The tree learned from every text given. A context is a state if its entries gain `least_gain` nats over its
+    suffix, and `divergence` nats per occurrence. Without texts the tree is a root that knows no word."""
+    spark = texts.sparkSession
+    with lean(spark):
+        # The number of tokens fixes the ranges; words alone are few, so they are counted in ranges by bytes of text.
+        size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+        words = stored(counted(texts, 1, 1, ranges(size // 4), 0, 1).select("key", "n"), "tree-words")
+        tokens, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
+        tree = Tree(words, tokens or 0, distinct, depth)
+        level = words.withColumn("p", tree.root(F.col("n")))
+        addends = [words.select("key", "n", F.ln(tree.root(F.col("n"))).alias("weight"))]
+        for order in range(2, depth + 2):
+            runs = count_runs(texts, order, least, tree.ranges, passes)
+            entries, states = retained(runs, level, least_gain, divergence)
+            none = F.lit(None).cast("bigint").alias("n")
+            addends.append(states.select(F.col("prefix").alias("key"), none, F.ln("backoff").alias("weight")))
+            addends.append(entries.where("gain != 0").select("key", none, F.col("gain").alias("weight")))
+            level = entries
+        tree.addends = stored(reduce(DataFrame.unionAll, addends), "tree")
+    return tree
+
+
+def retained(runs: DataFrame, level: DataFrame, least_gain: float, divergence: float) -> tuple[DataFrame, DataFrame]:
+    """Entries (key, n, p along the longest suffix state, gain in nats over the suffix path) and states (prefix, all,
+    backoff). `level` has the same of runs one token shorter: contexts, and entries of the suffix."""
+    context = level.select(F.col("key").alias("prefix"), F.col("n").alias("all"))
+    shorter = level.select(F.col("key").alias("suffix"), F.col("p").alias("low"))
+    tried = stored(runs.join(context, "prefix").join(shorter, "suffix").select("prefix", "key", "n", "all", "low"), "tree-tried")
+    tested = tried.groupBy("prefix").agg(
+        F.sum(F.col("n") * F.ln(F.col("n") / F.col("all") / F.col("low"))).alias("nats"),
+        F.sum(F.col("n") - DISCOUNT).alias("own"), F.max("all").alias("of"))
+    states = tested.where((F.col("nats") >= least_gain) & (F.col("nats") >= divergence * F.col("of"))).select(
+        "prefix", F.greatest(1 - F.col("own") / F.col("of"), F.lit(1e-9)).alias("backoff"))
+    states = stored(states, "tree-states")
+    own = (F.col("n") - DISCOUNT) / F.col("all")
+    p = F.when(F.col("backoff").isNull(), F.col("low")).otherwise(own + F.col("backoff") * F.col("low"))
+    entries = tried.join(states, "prefix", "left").select(
+        "key", "n", p.alias("p"),
+        F.when(F.col("backoff").isNull(), 0.0).otherwise(F.ln(p) - F.ln("backoff") - F.ln("low")).alias("gain"))
+    return stored(entries, "tree-entries"), states
+
+
+ASKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("key", pa.binary()),
+                   ("who", pa.binary()), ("value", pa.binary())])
+SUMS = pa.schema([("chunk", pa.int64()), ("who", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("score", pa.binary())])
+
+
+def numbered(batches) -> Iterator[tuple[int, pa.RecordBatch, Block]]:
+    """Blocks with the number of their first text in the task; equal at every reading of one table."""
+    start = 0
+    for batch in batches:
+        for block in blocks(batch.column("text")):
+            yield start + block.lo, batch, block
+        start += batch.num_rows
+
+
+def chunk_of(task: int, number: np.ndarray) -> np.ndarray:
+    """Texts of a task in groups of CHUNK, whose sums come back together."""
+    return task << 32 | number // CHUNK
+
+
+def once_a_text(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The different (key, text) of sorted keys, and how often each occurs."""
+    run = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
+    pair, times = np.unique(run.astype(np.uint64) * U64(CHUNK) + who.astype(np.uint64), return_counts=True)
+    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    return key[first[(pair // U64(CHUNK)).astype(np.int64)]], pair % U64(CHUNK), times.astype(np.uint32)
+
+
+def looked_up(docs: DataFrame, tree: Tree, turn: int, passes: int) -> DataFrame:
+    """Per text (chunk, who) with a run of this pass in the tree: n_known, base and score, in nats."""
+    parts, order = tree.ranges, tree.depth + 1
+
+    def ask(batches):
+        task, held, size = TaskContext.get().partitionId(), [], 0
+
+        def packs():
+            key, who = (np.concatenate(c) for c in zip(*held))
+            sort = np.lexsort([key, who // CHUNK])
+            key, who = key[sort], who[sort]
+            bounds = np.flatnonzero(np.concatenate([[True], who[1:] // CHUNK != who[:-1] // CHUNK, [True]]))
+            for lo, hi in zip(bounds, bounds[1:]):
+                chunk = {"kind": 1, "chunk": int(chunk_of(task, who[lo]))}
+                own, least = key[lo:hi], who[lo:hi] % CHUNK
+                own, first, times = once_a_text(own, least)
+                found = ranged({"key": own, "who": first.astype(np.uint32), "value": times}, parts)
+                yield from rows_of([{**row, **chunk} for row in found], ASKED)
+
+        for start, _, block in numbered(batches):
+            for text, _, _, key in token_runs(block, order):
+                mine = in_pass(key, turn, passes)
+                held.append((key[mine], text[mine] + start))
+                size += len(held[-1][0])
+            if size >= HELD:
+                yield from packs()
+                held, size = [], 0
+        if size:
+            yield from packs()
 
-def train(texts: DataFrame, depth: int = 3, context_share: float = 2e-5, entry_share: float = 1e-6,
-          least_gain: float = 15.0, divergence: float = 0.01) -> tuple[Tree, DataFrame]:
-    """The tree, and the table of all token counts (key, n), learned from every text given.
+    def offer(batches):
+        for batch in batches:
+            key, weight = batch.column("key").to_numpy().view(np.uint64), batch.column("weight").to_numpy()
+            n = batch.column("n").fill_null(0).to_numpy().astype(np.uint64)
+            mine = np.flatnonzero(in_pass(key, turn, passes))
+            mine = mine[np.argsort(key[mine])]
+            found = ranged({"key": key[mine], "who": n[mine], "value": weight[mine]}, parts)
+            yield from rows_of([{**row, "kind": 0, "chunk": None} for row in found], ASKED)
+
+    def meet(batches):
+        part, offered, lookup = None, [], None
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["part"] != part:
+                    part, offered, lookup = row["part"], [], None
+                if row["kind"] == 0:
+                    offered.append(tuple(unpack(row[c], t) for c, t in (("key", np.uint64), ("who", np.uint64), ("value", np.float64))))
+                    continue
+                if not offered:
+                    continue
+                if lookup is None:
+                    key, n, weight = (np.concatenate(c) for c in zip(*offered))
+                    key, which = np.unique(key, return_inverse=True)
+                    n, weight = np.bincount(which, n), np.bincount(which, weight)
+                    base = np.where(n > 0, np.log(tree_root(n)), 0.0)
+                    lookup = Lookup(key)
+                at = lookup.find(unpack(row["key"], np.uint64))
+                hit = at >= 0
+                at, times = at[hit], unpack(row["value"], np.uint32)[hit]
+                who, which = np.unique(unpack(row["who"], np.uint32)[hit], return_inverse=True)
+                if len(who):
+                    sums = (np.bincount(which, v * times) for v in (n[at] > 0, base[at], weight[at]))
+                    known, base_sum, score = sums
+                    yield from rows_of([{"chunk": row["chunk"], "who": pack(who), "known": pack(known.astype(np.uint32)),
+                                         "base": pack(base_sum), "score": pack(score)}], SUMS)
+
+    def add(batches):
+        now, total = None, None
+
+        def sums():
+            who = np.flatnonzero(total[3])
+            return pa.RecordBatch.from_pydict({
+                "chunk": np.full(len(who), now), "who": who, "known": total[0][who].astype(np.int64), "base": total[1][who],
+                "score": total[2][who]})
 
-    A context is a state if its entries gain `least_gain` nats over its suffix, and `divergence` nats per
-    occurrence. Without texts the tree is a root that knows no word.
-    """
-    spark = texts.sparkSession
-    counts = stored(count(texts, lambda block: token_stream(block)[0]), "tree-counts")
-    tokens, distinct = counts.agg(F.sum("n"), F.count(F.lit(1))).first()
-    tokens = tokens or 0
-    words, n = frequent(counts, max(2, int(np.ceil(tokens * entry_share))))
-    tree = Tree(words, n, tokens, distinct)
-    codes, context_n = np.arange(len(words), dtype=np.uint64), n
-    for k in range(depth):
-        wide = context_n >= tokens * context_share
-        codes, context_n = codes[wide], context_n[wide]
-        if not len(codes):
-            break
-        level = Level(codes, suffixes(tree, codes), np.ones(len(codes)), np.zeros(0, np.uint64), np.zeros(0))
-        tree.levels.append(level)
-        sent = spark.sparkContext.broadcast(tree)
-
-        def followers(block: Block) -> np.ndarray:
-            hashes, bounds = token_stream(block)
-            ids = sent.value.word.find(hashes)
-            code = pair_code(sent.value.contexts(ids, bounds[:-1])[-1], ids)
-            return code[code != U64(0xFFFFFFFFFFFFFFFF)]
-
-        entry, entry_n = frequent(count(texts, followers), max(2, int(np.ceil(tokens * entry_share))))
-        sent.unpersist()
-        retain(tree, level, entry, entry_n, context_n, least_gain, divergence)
-        codes, context_n = entry, entry_n
-    return tree, counts
-
-
-def suffixes(tree: Tree, codes: np.ndarray) -> np.ndarray:
-    """For contexts one longer than the deepest level: the context without its oldest token, or -1."""
-    if not tree.levels:
-        return np.full(len(codes), -1)
-    context, last = (codes >> U64(32)).astype(np.int64), (codes & U64(0xFFFFFFFF)).astype(np.int64)
-    level = tree.levels[-1]
-    shorter = level.suffix[context] if len(tree.levels) > 1 else np.zeros(len(codes), np.int64)
-    return level.context.find(pair_code(shorter, last))
-
-
-def retain(tree: Tree, level: Level, entry: np.ndarray, n: np.ndarray, context_n: np.ndarray, least_gain: float,
-           divergence: float) -> None:
-    """Make states of the contexts whose followers differ from their suffix's; fill their entries and back-off."""
-    context, ids = (entry >> U64(32)).astype(np.int64), (entry & U64(0xFFFFFFFF)).astype(np.int64)
-    depth = len(tree.levels)
-    expected = tree.probability(depth, context, ids)  # the level has no entries yet: this is its suffix
-    share = n / context_n[context]
-    gain = np.bincount(context, n * np.log(share / expected), len(level.codes))
-    state = (gain >= least_gain) & (gain >= divergence * context_n)
-    kept = state[context]
-    own = (n - DISCOUNT) / context_n[context]
-    level.entry_codes, level.entry_share = entry[kept], own[kept]
-    level.backoff = np.where(state, np.maximum(1 - np.bincount(context, own, len(level.codes)), 1e-9), 1.0)
-    level.index()
-
-
-def score(docs: DataFrame, tree: Tree, counts: DataFrame) -> DataFrame:
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["chunk"] != now:
+                    if now is not None:
+                        yield sums()
+                    now, total = row["chunk"], np.zeros((4, CHUNK))
+                who = unpack(row["who"], np.uint32)  # different texts
+                for k, (c, kind) in enumerate((("known", np.uint32), ("base", np.float64), ("score", np.float64))):
+                    total[k][who] += unpack(row[c], kind)
+                total[3][who] = 1
+        if now is not None:
+            yield sums()
+
+    tokens, distinct = tree.tokens, tree.distinct
+
+    def tree_root(n):
+        return (n + 0.1) / (tokens + 0.1 * (distinct + 1))
+
+    schema = "part int, kind int, chunk bigint, key binary, who binary, value binary"
+    both = map_batches(docs.select("text"), ask, schema).unionAll(map_batches(tree.addends, offer, schema))
+    met = map_batches(merged(both, "part", "kind"), meet, "chunk bigint, who binary, known binary, base binary, score binary")
+    return map_batches(merged(met, "chunk"), add, "chunk bigint, who bigint, known bigint, base double, score double")
+
+
+def score(docs: DataFrame, tree: Tree, passes: int = 3) -> DataFrame:
     """One row per row of `docs`: doc_id, n_tokens, n_known, base_score and score (log10 probabilities).
 
     Null and empty texts are an end alone. Repeated rows get equal scores, each its own row; other columns are
-    not read. Frequent words are scored where the text is read; each other word of a text is a row that meets
-    the counts by a join, and sums come back by the row's 64-bit hash.
+    not read. Texts are known by their place in `docs`, so it must be a table or another plan that deals rows alike
+    each time it is read, not the raw output of a shuffle.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(tree)
-
-    def run(batches):
-        tree = sent.value
-        for batch in batches:
-            row = batch.column("row").to_numpy()
-            for block in blocks(batch.column("text")):
-                hashes, bounds = token_stream(block)
-                ids = tree.word.find(hashes)
-                rare = ids < 0
-                p = np.where(rare, 1.0, tree.root(tree.counts[np.maximum(ids, 0)] if len(tree.counts) else np.zeros(len(ids))))
-                base = np.where(rare, 0.0, np.log10(p))
-                for level, at in zip(tree.levels, tree.contexts(ids, bounds[:-1])):
-                    p = level_step(level, at, ids, p)
-                own = row[block.lo : block.lo + block.n]
-                yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(own), "row": pa.array(own),
-                    "doc_id": batch.column("doc_id").slice(block.lo, block.n), "times": pa.array(np.zeros(block.n, np.int64)),
-                    "n_tokens": pa.array(np.diff(bounds)), "n_known": pa.array(sums(~rare, bounds).astype(np.int64)),
-                    "base": pa.array(sums(base, bounds)), "score": pa.array(sums(np.log10(p), bounds))})
-                text = np.repeat(np.arange(block.n), np.diff(bounds))[rare]
-                order = np.lexsort([hashes[rare], text])
-                text, key = text[order], hashes[rare][order]
-                new = np.ones(len(key), bool)
-                new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
-                at = np.flatnonzero(new)
-                none = pa.nulls(len(at), pa.int64())
-                yield pa.RecordBatch.from_pydict({
-                    "key": pa.array(key[at].view(np.int64)), "row": pa.array(own[text[at]]), "doc_id": none.cast(batch.column("doc_id").type),
-                    "times": pa.array(np.diff(np.append(at, len(key)))), "n_tokens": none, "n_known": none,
-                    "base": pa.nulls(len(at), pa.float64()), "score": pa.nulls(len(at), pa.float64())})
+    def name(batches):
+        task = TaskContext.get().partitionId()
+        for start, batch, block in numbered(batches):
+            number = start + np.arange(block.n)
+            yield pa.RecordBatch.from_pydict({
+                "doc_id": batch.column("doc_id").slice(block.lo, block.n), "chunk": chunk_of(task, number),
+                "who": number % CHUNK, "n_tokens": block.words().counts + 1})
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = map_batches(docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("row")), run,
-                       f"key bigint, row bigint, doc_id {kind}, times bigint, n_tokens bigint, n_known bigint, base double, score double")
-    met = rows.join(counts.withColumnRenamed("n", "c"), "key", "left")
-    root = F.log10((F.coalesce("c", F.lit(0)) + 0.1) / (tree.tokens + 0.1 * (tree.distinct + 1)))
-    met = met.select(
-        "row", "doc_id", "times", "n_tokens", F.when(F.col("times") == 0, F.col("n_known")).otherwise(
-            F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("n_known"),
-        F.when(F.col("times") == 0, F.col("base")).otherwise(F.col("times") * root).alias("base"),
-        F.when(F.col("times") == 0, F.col("score")).otherwise(F.col("times") * root).alias("score"))
-    total = met.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"), F.sum((F.col("times") == 0).cast("int")).alias("copies"),
-        *(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
-    total = total.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return total.select(
-        "doc_id", *((F.col(c) / F.col("copies")).cast("bigint").alias(c) for c in ("n_tokens", "n_known")),
-        (F.col("base") / F.col("copies")).alias("base_score"), (F.col("score") / F.col("copies")).alias("score"))
+    with lean(docs.sparkSession):
+        done = [stored(looked_up(docs, tree, turn, passes), "tree-sums") for turn in range(passes)]
+        named = stored(map_batches(docs.select("doc_id", "text"), name, f"doc_id {kind}, chunk bigint, who bigint, n_tokens bigint"), "tree-texts")
+    sums = reduce(DataFrame.unionAll, done).groupBy("chunk", "who").agg(*(F.sum(c).alias(c) for c in ("known", "base", "score")))
+    known, base, total = (F.coalesce(c, F.lit(0)) for c in ("known", "base", "score"))
+    unknown = (F.col("n_tokens") - known) * float(np.log(tree.root(0)))
+    return named.join(sums, ["chunk", "who"], "left").select(
+        "doc_id", "n_tokens", known.alias("n_known"), ((base + unknown) / float(np.log(10))).alias("base_score"),
+        ((total + unknown) / float(np.log(10))).alias("score"))

@@ -1,8 +1,7 @@
 import math
 import random
-from collections import Counter
+from collections import Counter, defaultdict
 
-import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -17,42 +16,62 @@ def tokens(text):
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "").encode().split() + [None]
 
 
+class PlainTree:
+    """The tree by dictionaries of whole tuples of tokens; None is the end."""
+
+    def __init__(self, texts, depth=2, least=2, least_gain=6.0, divergence=0.01):
+        streams = [[None, *tokens(t)] for t in texts]
+        self.words = Counter(w for t in streams for w in t[1:])
+        self.total, self.states = sum(self.words.values()), {}
+        for length in range(1, depth + 1):
+            follow, seen = defaultdict(Counter), Counter()
+            for t in streams:
+                for i in range(length, len(t)):
+                    follow[tuple(t[i - length : i])][t[i]] += 1
+                    seen[tuple(t[i - length : i])] += 1
+            new = {}
+            for context, nexts in follow.items():
+                entries, n = {w: k for w, k in nexts.items() if k >= least}, seen[context]
+                gain = sum(k * math.log(k / n / self.p(context[1:], w)) for w, k in entries.items())
+                if entries and gain >= max(least_gain, divergence * n):
+                    own = {w: (k - suffix_tree.DISCOUNT) / n for w, k in entries.items()}
+                    new[context] = own, 1 - sum(own.values())
+            self.states.update(new)
+
+    def root(self, word):
+        return (self.words[word] + 0.1) / (self.total + 0.1 * (len(self.words) + 1))
+
+    def p(self, context, word):
+        if not context:
+            return self.root(word)
+        shorter = self.p(context[1:], word)
+        if context not in self.states:
+            return shorter
+        own, left = self.states[context]
+        return own.get(word, 0.0) + left * shorter
+
+    def score(self, text, depth=2):
+        t = [None, *tokens(text)]
+        return sum(math.log10(self.p(tuple(t[max(0, i - depth) : i]), t[i])) for i in range(1, len(t)))
+
+
 @pytest.fixture(scope="module")
 def tree(judged):
-    return suffix_tree.train(judged, context_share=1e-3, entry_share=1e-4, least_gain=2.0)
+    return suffix_tree.train(judged)
 
 
 def test_base_equals_brute_force(judged, odd, tree):
     count = Counter(w for r in judged.collect() for w in tokens(r.text))
     total, distinct = sum(count.values()), len(count)
-    assert (tree[0].tokens, tree[0].distinct) == (total, distinct)
+    assert (tree.tokens, tree.distinct) == (total, distinct)
     docs = odd.unionAll(judged)
     want = sorted((str(r.doc_id), len(t := tokens(r.text)), sum(w in count for w in t),
                    round(sum(math.log10((count[w] + 0.1) / (total + 0.1 * (distinct + 1))) for w in t), 4)) for r in docs.collect())
-    rows = suffix_tree.score(docs, *tree).collect()
+    rows = suffix_tree.score(docs, tree).collect()
     assert sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 4)) for r in rows) == want
     assert all(r.score <= 0 for r in rows)
 
 
-def test_probabilities_add_up_to_one(judged, tree):
-    model, counts = tree
-    table = {np.uint64(r.key % 2**64): r.n for r in counts.collect()}
-    known = np.array(sorted(table), np.uint64)
-    ids = model.word.find(known)
-    assert model.levels and all((level.backoff < 1).any() for level in model.levels[:1])
-    for depth, level in enumerate(model.levels, 1):
-        for state in np.flatnonzero(level.backoff < 1)[:20]:
-            at = np.full((ids >= 0).sum(), state)
-            p = model.probability(depth, at, ids[ids >= 0]).sum()
-            back, own = 1.0, state  # words out of the model and the unknown one only get back-off mass
-            for k in range(depth - 1, -1, -1):
-                back *= model.levels[k].backoff[own] if own >= 0 else 1.0
-                own = model.levels[k].suffix[own] if own >= 0 else -1
-            rare = np.array([table[k] for k in known[ids < 0]])
-            p += back * (model.root(rare).sum() + model.root(np.zeros(1)).sum())
-            assert p == pytest.approx(1.0, abs=1e-6)
-
-
 @pytest.fixture(scope="module")
 def ordered(docs_of):
     """Texts in which each word allows two next ones."""
@@ -68,41 +87,68 @@ def ordered(docs_of):
     return docs_of([(i, chain(200)) for i in range(60)])
 
 
-def test_longest_suffix_scores_equal_a_plain_walk(ordered):
-    model, counts = suffix_tree.train(ordered.where("doc_id < 50"))
-    row = ordered.where("doc_id = 55")
-    stream, bounds = suffix_tree.token_stream(next(blocks(pa.array([row.first().text]))))
-    ids = model.word.find(stream)
-    fast = suffix_tree.score(row, model, counts).first().score
-    end, total = int(model.word.find(np.array([suffix_tree.END]))[0]), 0.0
-    for i, w in enumerate(ids):
-        p = model.root(np.array([model.counts[w]]))[0]
-        history = [end] + ids[:i].tolist()
-        for depth, level in enumerate(model.levels, 1):
-            if depth > len(history):
-                break
-            context = 0
-            for k, x in enumerate(history[-depth:]):
-                code = suffix_tree.pair_code(np.array([context]), np.array([x]))
-                context = int(model.levels[k].context.find(code)[0])
-                if context < 0:
-                    break
-            if context >= 0:
-                p = suffix_tree.level_step(level, np.array([context]), np.array([w]), np.array([p]))[0]
-        total += math.log10(p)
-    assert len(model.levels) == 3 and (ids >= 0).all() and fast == pytest.approx(total, rel=1e-9)
+@pytest.fixture(scope="module")
+def deep(docs_of):
+    """Texts of four words, drawn by the three words before."""
+    draw = random.Random(8)
+    weights = defaultdict(lambda: [draw.random() ** 4 for _ in range(4)])
+
+    def chain(n):
+        out = ["p", "q", "r"]
+        while len(out) < n:
+            out += draw.choices("pqrs", weights[tuple(out[-3:])])
+        return " ".join(out)
+
+    return docs_of([(i, chain(100)) for i in range(60)])
+
+
+@pytest.mark.parametrize(("depth", "least", "gain", "parts"), [(2, 2, 6.0, 500), (3, 2, 6.0, 1_000_000), (1, 5, 2.0, 100)])
+def test_tree_equals_plain_dictionaries(deep, judged, odd, depth, least, gain, parts, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "RANGE", parts)
+    learned = deep.where("doc_id < 50").unionAll(judged.where("doc_id < 50"))
+    plain = PlainTree([r.text for r in learned.collect()], depth, least, gain)
+    assert {len(c) for c in plain.states} == set(range(1, depth + 1))
+    docs = deep.unionAll(judged).unionAll(odd)
+    model = suffix_tree.train(learned, depth, least, gain)
+    got = Counter((str(r.doc_id), round(r.score, 5)) for r in suffix_tree.score(docs, model).collect())
+    assert got == Counter((str(r.doc_id), round(plain.score(r.text, depth), 5)) for r in docs.collect())
+
+
+def test_plain_probabilities_add_up_to_one(ordered):
+    plain = PlainTree([r.text for r in ordered.where("doc_id < 50").collect()])
+    for context in plain.states:
+        assert sum(plain.p(context, w) for w in [*plain.words, "unknown"]) == pytest.approx(1.0)
+
+
+def test_passes_and_packs_change_nothing(ordered, judged, monkeypatch):
+    docs = ordered.unionAll(judged)
+    want = sorted((r.doc_id, round(r.score, 6)) for r in suffix_tree.score(docs, suffix_tree.train(docs, passes=1), 1).collect())
+    monkeypatch.setattr(suffix_tree, "HELD", 300)
+    monkeypatch.setattr(suffix_tree, "RANGE", 100)
+    got = suffix_tree.score(docs, suffix_tree.train(docs, passes=4), 5).collect()
+    assert sorted((r.doc_id, round(r.score, 6)) for r in got) == want
+
+
+def test_a_rare_pair_keeps_its_entry_however_large_the_corpus(spark, docs_of):
+    filler = spark.range(100).selectExpr("id + 100 AS doc_id", "repeat('the cat sat on the mat while a dog slept . ', 10000) AS text")
+    pair = docs_of([(i, f"quasi{'xyz'[i % 3]} stellar object") for i in range(30)], "doc_id bigint, text string")
+    model = suffix_tree.train(filler.unionAll(pair))
+    assert model.tokens > 10_000_000
+    found = suffix_tree.score(docs_of([(0, "quasix stellar"), (1, "quasix cat")]), model)
+    pairs = {r.doc_id: r.score - r.base_score for r in found.collect()}
+    assert pairs[0] > 5 > pairs[1]
 
 
 def test_states_help_on_text_with_order(ordered):
-    model, counts = suffix_tree.train(ordered.where("doc_id < 50"))
-    rows = suffix_tree.score(ordered.where("doc_id >= 50"), model, counts).collect()
+    model = suffix_tree.train(ordered.where("doc_id < 50"))
+    rows = suffix_tree.score(ordered.where("doc_id >= 50"), model).collect()
     assert all(r.score > 0.5 * r.base_score for r in rows)
 
 
 def test_tree_of_nothing(none, odd):
-    model, counts = suffix_tree.train(none)
-    assert suffix_tree.score(none, model, counts).count() == 0
-    assert all(r.n_known == 0 and r.score == pytest.approx(0) for r in suffix_tree.score(odd, model, counts).collect())
+    model = suffix_tree.train(none)
+    assert suffix_tree.score(none, model).count() == 0
+    assert all(r.n_known == 0 and r.score == pytest.approx(0) for r in suffix_tree.score(odd, model).collect())
 
 
 def brute_url(url):
