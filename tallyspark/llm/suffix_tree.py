@@ -105,6 +105,15 @@ def lean(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(CLEANUP, before)
 
 
+def forget(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more: what was made of them is written too."""
+    for table in tables:
+        jvm, conf = table.sparkSession._jvm, table.sparkSession._jsc.hadoopConfiguration()
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(conf).delete(path, True)
+
+
 def token_stream(block: Block) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts of a block, each text closed by END, and the bounds by text."""
     words = block.words()
@@ -244,33 +253,48 @@ def train(texts: DataFrame, depth: int = 2, least: int = 2, least_gain: float =
         addends = [words.select("key", "n", F.ln(tree.root(F.col("n"))).alias("weight"))]
         for order in range(2, depth + 2):
             runs = count_runs(texts, order, least, tree.ranges, passes)
-            entries, states = retained(runs, level, least_gain, divergence)
-            none = F.lit(None).cast("bigint").alias("n")
-            addends.append(states.select(F.col("prefix").alias("key"), none, F.ln("backoff").alias("weight")))
-            addends.append(entries.where("gain != 0").select("key", none, F.col("gain").alias("weight")))
-            level = entries
-        tree.addends = stored(reduce(DataFrame.unionAll, addends), "tree")
+            tried = tested(runs, level)
+            if order > 2:
+                forget(level)
+            level, added = retained(tried, least_gain, divergence, order <= depth)
+            forget(tried)
+            addends += added
+        tree.addends = reduce(DataFrame.unionAll, addends)
     return tree
 
 
-def retained(runs: DataFrame, level: DataFrame, least_gain: float, divergence: float) -> tuple[DataFrame, DataFrame]:
-    """Entries (key, n, p along the longest suffix state, gain in nats over the suffix path) and states (prefix, all,
-    backoff). `level` has the same of runs one token shorter: contexts, and entries of the suffix."""
+def tested(runs: DataFrame, level: DataFrame) -> DataFrame:
+    """Runs with `all`, the count of their context, and `low`, the probability after the context's suffix. `level` has
+    key, n and p of runs one token shorter; `runs` is removed."""
     context = level.select(F.col("key").alias("prefix"), F.col("n").alias("all"))
     shorter = level.select(F.col("key").alias("suffix"), F.col("p").alias("low"))
-    tried = stored(runs.join(context, "prefix").join(shorter, "suffix").select("prefix", "key", "n", "all", "low"), "tree-tried")
-    tested = tried.groupBy("prefix").agg(
+    half = stored(runs.join(shorter, "suffix").select("prefix", "key", "n", "low"), "tree-half")
+    forget(runs)
+    tried = stored(half.join(context, "prefix").select("prefix", "key", "n", "all", "low"), "tree-tried")
+    forget(half)
+    return tried
+
+
+def retained(tried: DataFrame, least_gain: float, divergence: float, inner: bool) -> tuple[DataFrame | None, list[DataFrame]]:
+    """The next level (key, n, p along the longest suffix state; none after the last) and the addends: of states as
+    contexts, and of their entries what they gain over the suffix path."""
+    sums = tried.groupBy("prefix").agg(
         F.sum(F.col("n") * F.ln(F.col("n") / F.col("all") / F.col("low"))).alias("nats"),
         F.sum(F.col("n") - DISCOUNT).alias("own"), F.max("all").alias("of"))
-    states = tested.where((F.col("nats") >= least_gain) & (F.col("nats") >= divergence * F.col("of"))).select(
-        "prefix", F.greatest(1 - F.col("own") / F.col("of"), F.lit(1e-9)).alias("backoff"))
-    states = stored(states, "tree-states")
-    own = (F.col("n") - DISCOUNT) / F.col("all")
-    p = F.when(F.col("backoff").isNull(), F.col("low")).otherwise(own + F.col("backoff") * F.col("low"))
-    entries = tried.join(states, "prefix", "left").select(
-        "key", "n", p.alias("p"),
-        F.when(F.col("backoff").isNull(), 0.0).otherwise(F.ln(p) - F.ln("backoff") - F.ln("low")).alias("gain"))
-    return stored(entries, "tree-entries"), states
+    states = stored(sums.where((F.col("nats") >= least_gain) & (F.col("nats") >= divergence * F.col("of"))).select(
+        "prefix", F.greatest(1 - F.col("own") / F.col("of"), F.lit(1e-9)).alias("backoff")), "tree-states")
+    p = (F.col("n") - DISCOUNT) / F.col("all") + F.coalesce("backoff", F.lit(1.0)) * F.col("low")
+    p = F.when(F.col("backoff").isNull(), F.col("low")).otherwise(p)
+    met = tried.join(states, "prefix", "left" if inner else "inner").select("key", "n", p.alias("p"), "low", "backoff")
+    gain, none = F.ln("p") - F.ln("backoff") - F.ln("low"), F.lit(None).cast("bigint").alias("n")
+    left = states.select(F.col("prefix").alias("key"), none, F.ln("backoff").alias("weight"))
+    if not inner:
+        return None, [left, stored(met.select("key", none, gain.alias("weight")), "tree-gains")]
+    met = stored(met, "tree-entries")
+    gains = stored(met.where("backoff is not null").select("key", none, gain.alias("weight")), "tree-gains")
+    level = stored(met.select("key", "n", "p"), "tree-level")
+    forget(met)
+    return level, [left, gains]
 
 
 ASKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("key", pa.binary()),
@@ -399,7 +423,7 @@ def looked_up(docs: DataFrame, tree: Tree, turn: int, passes: int) -> DataFrame:
     return map_batches(merged(met, "chunk"), add, "chunk bigint, who bigint, known bigint, base double, score double")
 
 
-def score(docs: DataFrame, tree: Tree, passes: int = 3) -> DataFrame:
+def score(docs: DataFrame, tree: Tree, passes: int = 5) -> DataFrame:
     """One row per row of `docs`: doc_id, n_tokens, n_known, base_score and score (log10 probabilities).
 
     Null and empty texts are an end alone. Repeated rows get equal scores, each its own row; other columns are
