@@ -329,28 +329,27 @@ def looked_up(docs: DataFrame, tree: Tree, turn: int, passes: int) -> DataFrame:
     parts, order = tree.ranges, tree.depth + 1
 
     def ask(batches):
-        task, held, size = TaskContext.get().partitionId(), [], 0
+        task, now, held, size = TaskContext.get().partitionId(), 0, [], 0
 
         def packs():
             key, who = (np.concatenate(c) for c in zip(*held))
-            sort = np.lexsort([key, who // CHUNK])
-            key, who = key[sort], who[sort]
-            bounds = np.flatnonzero(np.concatenate([[True], who[1:] // CHUNK != who[:-1] // CHUNK, [True]]))
-            for lo, hi in zip(bounds, bounds[1:]):
-                chunk = {"kind": 1, "chunk": int(chunk_of(task, who[lo]))}
-                own, least = key[lo:hi], who[lo:hi] % CHUNK
-                own, first, times = once_a_text(own, least)
-                found = ranged({"key": own, "who": first.astype(np.uint32), "value": times}, parts)
-                yield from rows_of([{**row, **chunk} for row in found], ASKED)
+            sort = np.argsort(key)
+            key, who, times = once_a_text(key[sort], who[sort])
+            found = ranged({"key": key, "who": who.astype(np.uint32), "value": times}, parts)
+            yield from rows_of([{**row, "kind": 1, "chunk": int(chunk_of(task, now * CHUNK))} for row in found], ASKED)
 
         for start, _, block in numbered(batches):
-            for text, _, _, key in token_runs(block, order):
-                mine = in_pass(key, turn, passes)
-                held.append((key[mine], text[mine] + start))
-                size += len(held[-1][0])
-            if size >= HELD:
-                yield from packs()
-                held, size = [], 0
+            runs = [(key[mine], text[mine] + start) for text, _, _, key in token_runs(block, order)
+                    for mine in [in_pass(key, turn, passes)]]
+            for chunk in range(start // CHUNK, (start + block.n - 1) // CHUNK + 1):
+                if size and (chunk != now or size >= HELD):
+                    yield from packs()
+                    held, size = [], 0
+                now = chunk
+                for key, who in runs:
+                    lo, hi = np.searchsorted(who, [chunk * CHUNK, (chunk + 1) * CHUNK])
+                    held.append((key[lo:hi], who[lo:hi] - chunk * CHUNK))
+                    size += int(hi - lo)
         if size:
             yield from packs()
 
