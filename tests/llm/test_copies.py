@@ -1,7 +1,9 @@
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tallyspark.llm import lsh_forest, span_dedup
 from tallyspark.llm.graph import components
@@ -72,8 +74,52 @@ def test_keep_first(copies, none):
 
 
 def test_prefixes_are_shortened_to_the_recall():
-    assert lsh_forest.matched_depth(0.8, 0.9) == 6 and lsh_forest.matched_depth(0.8, 0.9995) == 4
-    assert lsh_forest.matched_depth(0.1, 0.9999) == 1
+    assert lsh_forest.least_depth(0.8, 0.9) == 6 and lsh_forest.least_depth(0.8, 0.9995) == 4
+    assert lsh_forest.least_depth(0.1, 0.9999) == 1
+    none, high, low = (np.zeros(97) for _ in range(3))
+    high[94], low[77] = 10_000, 10_000
+    for pairs, depth in ((none, 4), (high, 6), (low, 4)):
+        assert next(d for d in range(6, 0, -1) if lsh_forest.reached(pairs, d, 0.8) >= 0.9995) == depth
+
+
+def forest_of(docs):
+    signed = lsh_forest.signatures(docs).where("node is not null").dropDuplicates(["node"])
+    return signed.withColumn("copies", F.lit(1).cast("bigint"))
+
+
+def test_sorted_labels_share_what_all_pairs_say(copies):
+    nodes = forest_of(copies)
+    rows = {r.node: np.array(r.labels).reshape(lsh_forest.TREES, -1) for r in nodes.collect()}
+    want = {}
+    for a in rows:
+        for t in range(lsh_forest.TREES):
+            common = max(np.logical_and.accumulate(rows[a][t] == rows[b][t]).sum() for b in rows if b != a)
+            if common >= 3:
+                want[a, t] = common
+    assert {(r.node, r.tree): r.shared for r in lsh_forest.tries(nodes, 3).collect()} == want and len(want) > 100
+
+
+@pytest.mark.parametrize("block", [256, 3])
+def test_each_pair_meets_once_and_at_its_deepest(copies, monkeypatch, block):
+    monkeypatch.setattr(lsh_forest, "BLOCK", block)
+    nodes = forest_of(copies)
+    rows = {r.node: (r.size, np.array(r.labels).reshape(lsh_forest.TREES, -1)) for r in nodes.collect()}
+    forest, met = lsh_forest.tries(nodes, 4), {}
+    for depth in (6, 5, 4):
+        for cell in lsh_forest.members(forest, nodes, depth, 0.8).groupBy(*lsh_forest.CELL, "tree").agg(
+                F.collect_list(F.struct("node", "block", "guest")).alias("own")).collect():
+            own = cell.own
+            labels = np.stack([rows[m.node][1] for m in own])
+            meet = lsh_forest.first_meetings(cell.tree, depth, cell.row, cell.col, np.array([m.block for m in own]),
+                                             np.array([m.guest for m in own]), labels)
+            for i, j in zip(*np.nonzero(meet)):
+                met.setdefault(frozenset((own[i].node, own[j].node)), []).append(depth)
+    assert all(len(found) == 1 for found in met.values())
+    for a in rows:
+        for b in rows:
+            common = np.logical_and.accumulate(rows[a][1] == rows[b][1], 1).sum(1).max()
+            if a < b and common >= 4 and min(rows[a][0], rows[b][0]) >= 0.8 * max(rows[a][0], rows[b][0]):
+                assert met[frozenset((a, b))] == [common]
 
 
 def test_components_of_paths_and_stars(spark):
