@@ -42,71 +42,167 @@ class Model:
     fitted: bool = True
 
 
+class Lines:
+    """The lines of a block; their features are made slice by slice, so that a text of line feeds alone takes no
+    more memory than a few numbers a line."""
+
+    def __init__(self, block: Block):
+        self.data = block.data
+        self.starts, self.ends, self.first = block.lines()
+        self.words = block.words().start
+        self.begins = np.zeros(len(self.starts) + 1, bool)  # of a text; and the end of the last one
+        self.begins[self.first] = True
+        full = np.unique(np.searchsorted(self.starts, self.words, "right") - 1)
+        text_of = (np.searchsorted(self.first, full, "right") - 1).astype(np.uint64)
+        key = mix(span_hashes(self.data, self.starts[full], self.ends[full]) + text_of * U64(0xD6E8FEB86659FD93))
+        self.double = np.zeros(len(self.starts), bool)
+        self.double[full[repeats_within(key, later_only=True)]] = True
+
+    def own(self, lo: int, hi: int) -> np.ndarray:
+        """Features of the lines lo..hi by themselves."""
+        starts, ends = self.starts[lo:hi], self.ends[lo:hi]
+        base = int(starts[0]) if len(starts) else 0
+        d = self.data[base : int(ends[-1])] if len(starts) else self.data[:0]
+        length = ends - starts
+        n_words = np.searchsorted(self.words, ends) - np.searchsorted(self.words, starts)
+
+        def per(table: np.ndarray) -> np.ndarray:
+            at = np.flatnonzero(table[d]) + base
+            return np.searchsorted(at, ends) - np.searchsorted(at, starts)
+
+        letters = np.maximum(per(UPPER) + per(LOWER), 1)
+        size, some = np.maximum(length, 1), np.maximum(n_words, 1)
+        last = np.zeros(len(starts), bool)
+        ok = length > 0
+        last[ok] = STOP[self.data[ends[ok] - 1]]
+        return np.stack([
+            np.log1p(length) / 6, np.log1p(n_words) / 4, per(UPPER) / letters, np.minimum(per(SYMBOL) / some, 2),
+            np.minimum(per(SHOUT) / some, 2), per(DIGIT) / size, np.minimum(per(POINT) / some, 2), per(np.arange(256) > 127) / size,
+            np.minimum(length / some, 30) / 10, last, self.double[lo:hi], length == 0], 1).astype(np.float32)
+
+    def features(self, lo: int, hi: int) -> np.ndarray:
+        """Features of the lines lo..hi, then those of the lines before and after them in the same text."""
+        before, after = max(lo - 1, 0), min(hi + 1, len(self.starts))
+        own = self.own(before, after)
+        out = np.zeros((hi - lo, WIDTH), np.float32)
+        out[:, :OWN] = own[lo - before : hi - before]
+        at = np.flatnonzero(~self.begins[lo:hi])
+        out[at, OWN : 2 * OWN] = own[at + lo - before - 1]
+        at = np.flatnonzero(~self.begins[lo + 1 : hi + 1])
+        out[at, 2 * OWN :] = own[at + lo - before + 1]
+        return out
+
+    def scores(self, weights: np.ndarray, shift: float) -> np.ndarray:
+        """Potentials of "good" of all lines."""
+        out = np.empty(len(self.starts))
+        for lo in range(0, len(out), GROUP):
+            hi = min(lo + GROUP, len(out))
+            out[lo:hi] = self.features(lo, hi).astype(np.float64) @ weights + shift
+        return out
+
+
 def line_features(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Features of all lines with their neighbours', line lengths in bytes, and the first line of each text."""
-    d = block.data
-    starts, ends, first = block.lines()
-    length = ends - starts
-    words = block.words()
-    n_words = np.searchsorted(words.start, ends) - np.searchsorted(words.start, starts)
-
-    def per(table: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(table[d])
-        return np.searchsorted(at, ends) - np.searchsorted(at, starts)
-
-    letters = np.maximum(per(UPPER) + per(LOWER), 1)
-    size, some = np.maximum(length, 1), np.maximum(n_words, 1)
-    text_of = np.repeat(np.arange(block.n), np.diff(first)).astype(np.uint64)
-    key = mix(span_hashes(d, starts, ends) + text_of * U64(0xD6E8FEB86659FD93))
-    full = np.flatnonzero(n_words > 0)
-    double = np.zeros(len(starts), bool)
-    double[full[repeats_within(key[full], later_only=True)]] = True
-    last = np.zeros(len(starts), bool)
-    ok = length > 0
-    last[ok] = STOP[d[ends[ok] - 1]]
-    own = np.stack([
-        np.log1p(length) / 6, np.log1p(n_words) / 4, per(UPPER) / letters, np.minimum(per(SYMBOL) / some, 2),
-        np.minimum(per(SHOUT) / some, 2), per(DIGIT) / size, np.minimum(per(POINT) / some, 2), per(np.arange(256) > 127) / size,
-        np.minimum(length / some, 30) / 10, last, double, length == 0], 1).astype(np.float32)
-    out = np.zeros((len(own), WIDTH), np.float32)
-    out[:, :OWN] = own
-    begins = np.zeros(len(own), bool)
-    begins[first[:-1]] = True
-    inner = np.flatnonzero(~begins)
-    out[inner, OWN : 2 * OWN] = own[inner - 1]
-    out[inner - 1, 2 * OWN :] = own[inner]
-    return out, length, first
+    lines = Lines(block)
+    return lines.features(0, len(lines.starts)), lines.ends - lines.starts, lines.first
+
+
+PIECE, GROUP = 256, 1 << 16  # lines of a piece of a chain, lines that are worked on at a time
+
+
+def _unit(v: np.ndarray) -> np.ndarray:
+    return v / np.maximum(v.sum(-1, keepdims=True), 1e-300)
+
+
+class Pieces:
+    """Pieces of chains, longest first, so that step t touches only those that still run."""
+
+    def __init__(self, score: np.ndarray, start: np.ndarray, size: np.ndarray, head: np.ndarray, move: np.ndarray):
+        self.size, self.head, self.move = size, head, move
+        self.at = np.cumsum(size) - size
+        self.lines = np.repeat(start - self.at, size) + np.arange(int(size.sum()))
+        own = score[self.lines]
+        top = np.maximum(own, 0)
+        self.node = np.exp(np.stack([-top, own - top], 1))
+        self.running = np.searchsorted(-size, -np.arange(int(size[0])), side="left")
+
+    def products(self) -> np.ndarray:
+        """Per piece the product of its steps, up to a factor: what takes the message before it to its last line."""
+        out = np.tile(np.eye(2), (len(self.size), 1, 1))
+        for t, n in enumerate(self.running):
+            step = out[:n] @ self.move
+            if t == 0:
+                step[self.head] = np.eye(2)
+            step *= self.node[self.at[:n] + t][:, None, :]
+            out[:n] = step / np.maximum(step.sum((1, 2), keepdims=True), 1e-300)
+        return out
+
+    def marginals(self, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """P(good) of each line and the sum of the pair marginals, from the messages that reach the pieces."""
+        ahead, back = np.empty_like(self.node), np.empty_like(self.node)
+        entry = np.empty_like(self.node)  # the message from the line before
+        for t, n in enumerate(self.running):
+            at = self.at[:n] + t
+            entry[at] = before if t == 0 else ahead[at - 1]
+            a = entry[at] @ self.move
+            if t == 0:
+                a[self.head] = 1.0
+            ahead[at] = _unit(a * self.node[at])
+        back[self.at + self.size - 1] = after
+        for t in range(len(self.running) - 2, -1, -1):
+            at = self.at[: self.running[t + 1]] + t
+            back[at] = _unit((self.node[at + 1] * back[at + 1]) @ self.move.T)
+        both = ahead * back
+        inner = np.ones(len(both), bool)
+        inner[self.at[self.head]] = False
+        pair = entry[inner][:, :, None] * self.move[None] * (self.node[inner] * back[inner])[:, None, :]
+        pair /= np.maximum(pair.sum((1, 2), keepdims=True), 1e-300)
+        return both[:, 1] / np.maximum(both.sum(1), 1e-300), pair.sum(0)
 
 
 def chains(score: np.ndarray, first: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Forward-backward over many chains at once: P(good) of each line, and the expected number of each
-    (state before, state) pair. Chains are sorted by length, so that step t touches only those still running."""
-    size = np.diff(first)
-    order = np.argsort(-size, kind="stable")
-    start, size = first[:-1][order], size[order]
-    longest = int(size[0]) if len(size) else 0
-    active = np.searchsorted(-size, -np.arange(longest), side="left")  # chains longer than t
-    node = np.zeros((len(score), 2))
-    node[:, 1] = score
-    node -= node.max(1, keepdims=True)
-    node, move = np.exp(node), np.exp(step - step.max())
-    ahead, back = np.ones((len(score), 2)), np.ones((len(score), 2))
-    for t in range(longest):
-        at = start[: active[t]] + t
-        a = node[at] if t == 0 else (ahead[at - 1] @ move) * node[at]
-        ahead[at] = a / np.maximum(a.sum(1, keepdims=True), 1e-300)
-    for t in range(longest - 2, -1, -1):
-        at = start[: active[t + 1]] + t
-        b = (node[at + 1] * back[at + 1]) @ move.T
-        back[at] = b / np.maximum(b.sum(1, keepdims=True), 1e-300)
-    both = ahead * back
-    good = both[:, 1] / np.maximum(both.sum(1), 1e-300)
-    begins = np.zeros(len(score) + 1, bool)
-    begins[first] = True
-    at = np.flatnonzero(~begins[:-1])
-    pair = ahead[at - 1][:, :, None] * move[None] * (node[at] * back[at])[:, None, :]
-    pair /= np.maximum(pair.sum((1, 2), keepdims=True), 1e-300)
-    return good, pair.sum(0)
+    (state before, state) pair.
+
+    Long chains are cut into pieces: products of 2 x 2 matrices take the messages over whole pieces, then all pieces
+    are worked on side by side. So a chain of n lines takes n / PIECE steps in a row, not n.
+    """
+    good, pairs = np.zeros(len(score)), np.zeros((2, 2))
+    move = np.exp(step - step.max())
+    count = -(-np.diff(first) // PIECE)
+    chain_first = np.concatenate([[0], np.cumsum(count)])
+    if not chain_first[-1]:
+        return good, pairs
+    within = np.arange(chain_first[-1]) - np.repeat(chain_first[:-1], count)
+    start = np.repeat(first[:-1], count) + within * PIECE
+    size = np.minimum(PIECE, np.repeat(first[1:], count) - start)
+    before, after = np.ones((len(start), 2)), np.ones((len(start), 2))
+
+    def groups(of: np.ndarray):
+        order = of[np.argsort(-size[of], kind="stable")]
+        lot = np.cumsum(size[order]) // GROUP
+        for part in np.split(order, np.flatnonzero(np.diff(lot)) + 1):
+            if len(part):
+                yield part, Pieces(score, start[part], size[part], within[part] == 0, move)
+
+    several = np.flatnonzero(np.repeat(count, count) > 1)
+    if len(several):
+        product = np.zeros((len(start), 2, 2))
+        for part, pieces in groups(several):
+            product[part] = pieces.products()
+        long = np.flatnonzero(count > 1)
+        long = long[np.argsort(-count[long], kind="stable")]
+        most = count[long]
+        for j in range(1, int(most[0])):
+            own = chain_first[long[: np.searchsorted(-most, -j, side="left")]]
+            p = own + j
+            before[p] = _unit((before[p - 1][:, None, :] @ product[p - 1])[:, 0])
+            p = chain_first[long[: len(own)] + 1] - 1 - j
+            after[p] = _unit((product[p + 1] @ after[p + 1][:, :, None])[:, :, 0])
+    for part, pieces in groups(np.arange(len(start))):
+        good[pieces.lines], own = pieces.marginals(before[part], after[part])
+        pairs += own
+    return good, pairs
 
 
 def fit_chain(x: np.ndarray, state: np.ndarray, first: np.ndarray, weight: np.ndarray, shift: float,
@@ -184,21 +280,22 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = 2_000, lines: int = 20
     fit_first = np.concatenate([[0], np.cumsum(np.diff(first)[kept])])
     w, b, step = fit_chain(x[fit].astype(np.float64), state[fit], fit_first, w, b)
     model = Model(w, b, step, 1.0, 0.0, float((y.sum() + 1) / (len(y) + 2)))
-    raw = aggregate(x, length, first, model)
+    raw = aggregate(x.astype(np.float64) @ w + b, length, first, model)
     test = np.arange(len(y)) % 5 == 4
     model.slope, model.base = fit_calibration(raw[test], y[test])
     return model
 
 
-def aggregate(x: np.ndarray, length: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
+def aggregate(score: np.ndarray, length: np.ndarray, first: np.ndarray, model: Model) -> np.ndarray:
     """Length-weighted mean of P(good) per text; 0 where there are no characters."""
-    good, _ = chains(x.astype(np.float64) @ model.weights + model.shift, first, model.step)
+    good, _ = chains(score, first, model.step)
     return sums(good * length, first) / np.maximum(sums(length.astype(float), first), 1)
 
 
 def scores(block: Block, model: Model) -> np.ndarray:
-    x, length, first = line_features(block)
-    out = sigmoid(model.slope * aggregate(x, length, first, model) + model.base)
+    lines = Lines(block)
+    raw = aggregate(lines.scores(model.weights, model.shift), lines.ends - lines.starts, lines.first, model)
+    out = sigmoid(model.slope * raw + model.base)
     return np.where(np.diff(block.offsets) > 0, out, model.empty)
 
 

@@ -1,4 +1,5 @@
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -77,6 +78,59 @@ def test_chain_marginals_equal_enumeration():
     assert np.allclose(found, want) and np.isclose(pairs.sum(), 14 - 3)
 
 
+def plain_chain(score, step):
+    """P(good) of each line of one chain and the pair counts, a line after the other."""
+    node = np.exp(np.stack([-np.maximum(score, 0), score - np.maximum(score, 0)], 1))
+    move, n = np.exp(step - step.max()), len(score)
+    ahead, back, pairs = np.ones((n, 2)), np.ones((n, 2)), np.zeros((2, 2))
+    for t in range(n):
+        a = node[t] * (ahead[t - 1] @ move if t else 1)
+        ahead[t] = a / a.sum()
+    for t in range(n - 2, -1, -1):
+        b = move @ (node[t + 1] * back[t + 1])
+        back[t] = b / b.sum()
+    for t in range(1, n):
+        p = ahead[t - 1][:, None] * move * (node[t] * back[t])
+        pairs += p / p.sum()
+    both = ahead * back
+    return both[:, 1] / both.sum(1), pairs
+
+
+@pytest.mark.parametrize("piece, group", [(256, 1 << 16), (4, 32), (1, 8)])
+def test_chains_in_pieces_equal_one_line_after_the_other(monkeypatch, piece, group):
+    monkeypatch.setattr(quality_crf, "PIECE", piece)
+    monkeypatch.setattr(quality_crf, "GROUP", group)
+    draw = np.random.default_rng(4)
+    first = np.concatenate([[0], np.cumsum([3, 1, 700, 4, 5, 256, 257, 1, 90])])
+    score, step = draw.normal(scale=4, size=first[-1]), draw.normal(scale=2, size=(2, 2))
+    found, pairs = quality_crf.chains(score, first, step)
+    want = [plain_chain(score[a:b], step) for a, b in zip(first, first[1:])]
+    assert np.allclose(found, np.concatenate([w for w, _ in want]), atol=1e-12)
+    assert np.allclose(pairs, sum(p for _, p in want))
+    assert quality_crf.chains(np.zeros(0), np.array([0]), step)[1].sum() == 0
+
+
+def test_features_in_slices_equal_those_of_all_lines(monkeypatch):
+    texts = ["A b c.\nD e f.\nA b c.", "", "\n\n", "X!! Y!!\nZ\n \nZ", "", "q\n\n", "é # 1\nA b c."]
+    block = next(blocks(pa.array(texts)))
+    x, length, first = quality_crf.line_features(block)
+    assert first.tolist() == [0, 3, 4, 7, 11, 12, 15, 17] and length.sum() == len("".join(texts).encode()) - sum(t.count("\n") for t in texts)
+    assert np.flatnonzero(x[:, 10]).tolist() == [2, 10]
+    begins = set(first.tolist())
+    for i in range(len(x)):
+        assert (x[i, 12:24] == (0 if i in begins else x[i - 1, :12])).all()
+        assert (x[i, 24:] == (0 if i + 1 in begins else x[i + 1, :12])).all()
+    weights = np.random.default_rng(5).normal(size=quality_crf.WIDTH)
+    monkeypatch.setattr(quality_crf, "GROUP", 2)
+    assert np.allclose(quality_crf.Lines(block).scores(weights, 0.5), x.astype(float) @ weights + 0.5)
+
+
+def test_a_text_of_line_feeds_takes_seconds(crf_model):
+    start = time.process_time()
+    (score,) = quality_crf.scores(next(blocks(pa.array(["\n" * 2_000_000 + "a"]))), crf_model)
+    assert 0 <= score <= 1 and time.process_time() - start < 60
+
+
 def test_crf_scores(judged, crf_model, odd):
     found = {r.doc_id: r.predicted for r in quality_crf.judge(judged, crf_model).collect()}
     assert all(found[i] == i % 2 for i in found)
