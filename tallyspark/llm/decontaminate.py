@@ -61,6 +61,8 @@ class Index:
     verbatim: float
     paraphrase: float
     runs: list[Runs]
+    words: Runs  # single words
+    sizes: np.ndarray  # words of each item
 
 
 def feature(hashes: np.ndarray) -> np.ndarray:
@@ -237,20 +239,48 @@ def runs_of(items: list[Item]) -> list[Runs]:
     return out
 
 
-def sharing_runs(words: Words, starts: np.ndarray, index: Index) -> set[tuple[int, int]]:
-    """(passage, item) of every run that a text shares with an item; the passage is the one whose first step
-    holds the run's first word."""
-    found: set[tuple[int, int]] = set()
+def words_of(items: list[Item]) -> Runs:
+    """The words of all items, and the items that hold each."""
+    held = [np.unique(item.words) for item in items]
+    h, owner = np.concatenate(held), np.repeat(np.arange(len(items)), [len(x) for x in held])
+    order = np.argsort(h, kind="stable")
+    keys, first = np.unique(h[order], return_index=True)
+    return Runs(1, Lookup(keys), np.append(first, len(h)), owner[order])
+
+
+def holders(runs: Runs, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The items that hold each of the known runs, one run after the other, and how many hold each."""
+    size = runs.first[key + 1] - runs.first[key]
+    within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+    return runs.item[np.repeat(runs.first[key], size) + within], size
+
+
+def sharing_runs(words: Words, starts: np.ndarray, text: np.ndarray, index: Index) -> Iterator[tuple[int, int]]:
+    """(passage, item) of every run that a text shares with an item and around which enough words of the item stand
+    for a paraphrase; the passage is the one whose first step holds the run's first word.
+
+    One run may be shared with all items, so the words around it are counted for all of them at once, over the
+    postings of the words, before any is looked at by itself.
+    """
+    found = []
     for runs in index.runs:
         at, h = words.windows(runs.size)
         key = runs.known.find(h)
         hit = np.flatnonzero(key >= 0)
-        key, passage = key[hit], np.searchsorted(starts, at[hit], "right") - 1
-        size = runs.first[key + 1] - runs.first[key]
-        within = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
-        item = runs.item[np.repeat(runs.first[key], size) + within]
-        found.update(zip(np.repeat(passage, size).tolist(), item.tolist()))
-    return found
+        item, size = holders(runs, key[hit])
+        passage = np.searchsorted(starts, at[hit], "right") - 1
+        found.append(np.repeat(passage, size) * len(index.items) + item)
+    pairs = np.unique(np.concatenate(found))
+    passage, item = pairs // len(index.items), pairs % len(index.items)
+    known = index.words.known.find(words.hash) if len(pairs) else None
+    cuts = np.flatnonzero(np.diff(passage, prepend=-1, append=-1))
+    for lo, hi in zip(cuts, cuts[1:]):
+        p, own = int(passage[lo]), item[lo:hi]
+        around = int(index.sizes[own].max())
+        region = known[max(words.bounds[text[p]], starts[p] - around) : min(words.bounds[text[p] + 1], starts[p] + 2 * STRIDE + around)]
+        held, _ = holders(index.words, region[region >= 0])
+        count = np.bincount(held, minlength=len(index.items))
+        yield from ((p, int(k)) for k in own[count[own] >= index.paraphrase * index.sizes[own]])
 
 
 def build_index(docs: DataFrame, items: list[Item], frequency: np.ndarray, total: int, rank: int = 128,
@@ -273,7 +303,8 @@ def build_index(docs: DataFrame, items: list[Item], frequency: np.ndarray, total
     fold = np.concatenate([fold, np.zeros((1, fold.shape[1]), np.float32)])  # NONE adds nothing
     unit = np.stack([fold[p].sum(0) for p in pieces])
     unit /= np.maximum(np.linalg.norm(unit, axis=1, keepdims=True), 1e-9)
-    return Index(fold, items, unit.astype(np.float32), np.array(owner), cosine, verbatim, paraphrase, runs_of(items))
+    return Index(fold, items, unit.astype(np.float32), np.array(owner), cosine, verbatim, paraphrase, runs_of(items),
+                 words_of(items), np.array([len(item.words) for item in items]))
 
 
 def folded(words: Words, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -342,7 +373,7 @@ def found_in(block: Block, index: Index) -> list[tuple[int, int, float, float, b
             own = words.hash[s : min(s + 2 * STRIDE, words.bounds[t + 1])].tolist()
             if sum(map(item.known.__contains__, own)) >= 0.4 * min(len(own), len(item.words)):
                 verify(lo + p, k, near[p, piece])
-    for p, k in sharing_runs(words, starts, index):
+    for p, k in sharing_runs(words, starts, text, index):
         verify(p, k, None)
     return [(t, k, *v) for (t, k), v in sorted(best.items())]
 

@@ -2,9 +2,11 @@ import hashlib
 import io
 import random
 import struct
+import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,6 +62,31 @@ def test_items_are_found_and_clean_texts_left(planted, bench):
     assert sorted(map(str, kept.collect())) == sorted(str(r) for r in planted.collect() if r.doc_id not in gone)
 
 
+def plain_index(items):
+    rank = 4
+    fold = np.random.default_rng(6).normal(size=((1 << decontaminate.BITS) + 1, rank)).astype(np.float32)
+    return decontaminate.Index(fold, items, np.zeros((len(items), rank), np.float32), np.arange(len(items)), 0.65, 0.8, 0.5,
+                               decontaminate.runs_of(items), decontaminate.words_of(items), np.array([len(i.words) for i in items]))
+
+
+def test_a_run_that_all_items_share():
+    """Items that begin alike, and one very long item: what is found equals a look at every item by itself."""
+    opening = " ".join(prose(5000, 3).split()[:6])
+    texts = [f"{opening} {prose(5100 + i, 3)}" for i in range(300)] + [prose(5500, 600)]
+    items = [decontaminate.Item(i, h, h[-5:]) for i, t in enumerate(texts) for h in [decontaminate._hashes(t)]]
+    index = plain_index(items)
+    docs = [f"{prose(6000 + i, 30)} {opening} {prose(6100 + i, 30)}" for i in range(20)]
+    docs += [f"{prose(6200, 9)} {texts[7]} {prose(6201, 9)} {texts[250]}", texts[300], opening]
+    block = next(decontaminate.blocks(pa.array(docs)))
+    start = time.process_time()
+    found = {(t, k) for t, k, *_ in decontaminate.found_in(block, index)}
+    assert time.process_time() - start < 5 and found == {(20, 7), (20, 250), (21, 300)}
+    for t, text in enumerate(docs[18:], 18):
+        own = decontaminate._hashes(text).tolist()
+        for k in (0, 7, 250, 299, 300):
+            assert ((t, k) in found) == (lcs(items[k].words.tolist(), own) >= 0.8 * len(items[k].words) if k < 300 else t == 21)
+
+
 def test_answer_column_decides_paraphrases(spark, planted):
     items = spark.createDataFrame([(5, ITEMS[5], "words that are not there")], "item_id bigint, text string, answer string")
     assert {r.doc_id for r in decontaminate.leaks(planted, items, verbatim=0.9).collect()} == {505}
