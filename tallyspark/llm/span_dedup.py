@@ -2,10 +2,11 @@
 
 A sentence ends with a word that ends in . ! or ? or stands last in its line. Where eight words follow each other
 without such an end, one also ends after the word of the eight with the least hash. So any eight words hold an end
-that they alone decide, and any 50 words, whatever stands around them, at least four ends in their words 8 to 43,
-which nothing outside changes: three whole sentences of more than ten words together. From every sentence on, and up to every sentence, the shortest run of at least three sentences and ten words is a
-span. The first document with a span, by id, keeps it; in all others, and where it comes again in the same
-document, the span's sentences go.
+that they alone decide, and any 50 words, whatever stands around them, an end in their first eight, one in their last
+eight and none further apart than eight between them, which nothing outside changes: at least three whole sentences
+of 30 words or more together. From every sentence on, and up to every sentence, the shortest run of at least three
+sentences and 30 words is a span; shorter phrases may repeat. The first document with a span, by id, keeps it; in all
+others, and where it comes again in the same document, the span's sentences go.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from tallyspark.llm.blocks import STEP, U64, Block, Words, blocks, map_batches, mix, repeats_within
 from tallyspark.session import stored
 
-SENTENCES, MIN_WORDS, WINDOW = 3, 10, 8
+SENTENCES, MIN_WORDS, WINDOW = 3, 30, 8
 BACK = U64(pow(int(STEP), -1, 2**64))
 ENDS = np.zeros(256, bool)
 ENDS[[ord(c) for c in ".!?"]] = True
@@ -109,8 +110,8 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     seen = span_rows(docs).groupBy("span").agg(F.min("key").alias("first"), F.max("key").alias("last"))
     repeated = stored(seen.where("first < last").select("span", "first"), "span-repeats")
     later = span_rows(docs).join(repeated, "span").where("key > first")
-    place = F.struct("place", "size")
-    marks = stored(later.groupBy("key", "tie").agg(F.collect_list(place).alias("places"), F.collect_set("first").alias("first_docs")),
+    place = F.struct("place", "size")  # a set: copies without an id share their places
+    marks = stored(later.groupBy("key", "tie").agg(F.collect_set(place).alias("places"), F.collect_set("first").alias("first_docs")),
                    "span-marks")
 
     def cut(batches):

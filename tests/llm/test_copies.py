@@ -2,10 +2,12 @@ import random
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tallyspark.llm import lsh_forest, span_dedup
+from tallyspark.llm.blocks import blocks
 from tallyspark.llm.graph import components
 
 from .conftest import prose
@@ -156,6 +158,75 @@ def test_repeated_passages_go_but_for_the_first(docs_of, odd):
     assert out[2].text == "" and out[3].text == "" and out[4].text == before[4] and out[460].text == before[460]
 
 
+def plain_sentences(text):
+    """The sentences of a text as tuples of words, by the rule of the module's docstring."""
+    words, last = [], []
+    for line in (text or "").encode().split(b"\n"):
+        own = line.split()
+        words += own
+        last += [w[-1:] in (b".", b"!", b"?") for w in own[:-1]] + [True] * bool(own)
+    low = [bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in words]
+    known = dict(zip(low, next(blocks(pa.array([" ".join(w.decode() for w in low)]))).words().hash.tolist())) if low else {}
+    ends = list(last)
+    for i in range(len(low) - 7):
+        if not any(last[i : i + 8]):
+            ends[min(range(i, i + 8), key=lambda k: (known[low[k]], k))] = True
+    out, held = [], []
+    for w, end in zip(low, ends):
+        held.append(w)
+        if end:
+            out.append(tuple(held))
+            held = []
+    return out
+
+
+def plain_spans(own):
+    """(first, end) of the shortest runs of three sentences and 30 words from and up to every sentence."""
+    def enough(i, j):
+        return j - i >= 3 and sum(map(len, own[i:j])) >= 30
+
+    n = len(own)
+    ahead = {(i, next((j for j in range(i, min(i + 40, n) + 1) if enough(i, j)), None)) for i in range(n)}
+    behind = {(next((i for i in range(j, max(j - 40, 0) - 1, -1) if enough(i, j)), None), j) for j in range(1, n + 1)}
+    return sorted(x for x in ahead | behind if None not in x)
+
+
+def test_removed_sentences_equal_brute_force(docs_of, odd):
+    rows = [(800 + i, f"{prose(810 + i, 6)} {PASSAGE if i % 2 else PLAIN} {prose(830 + i, 6)} {PLAIN if i % 3 == 0 else ''}") for i in range(6)]
+    rows += [(None, rows[0][1]), (None, rows[0][1]), (799, f"{PASSAGE}\n{PASSAGE}"), (798, " ".join(PLAIN.split()[:45]))]
+    docs = odd.where("doc_id is null or doc_id != 5").unionAll(docs_of(rows))
+    texts = [(r.doc_id, plain_sentences(r.text)) for r in docs.collect()]
+    key = [2**63 - 1 if d is None else d for d, _ in texts]
+    found = [[(i, j, tuple(own[i:j])) for i, j in plain_spans(own)] for _, own in texts]
+    first = {}
+    for k, of_text in zip(key, found):
+        for *_, span in of_text:
+            first[span] = min(first.get(span, k), k)
+    want = []
+    for (doc_id, own), k, of_text in zip(texts, key, found):
+        gone, keepers, seen = set(), set(), set()
+        for i, j, span in of_text:
+            if first[span] < k:
+                keepers.add(first[span])
+            if first[span] < k or span in seen:
+                gone.update(range(i, j))
+            seen.add(span)
+        left = [w for n, s in enumerate(own) if n not in gone for w in s]
+        want.append((str(doc_id), len(own), len(gone), sorted(keepers), b" ".join(left).decode()))
+
+    def low(text):
+        return b" ".join(bytes(c + 32 if 65 <= c <= 90 else c for c in w) for w in text.encode().split()).decode()
+
+    got = [(str(r.doc_id), r.n_sentences, r.n_removed, sorted(r.first_docs or []), low(r.text)) for r in span_dedup.remove_repeats(docs).collect()]
+    assert sorted(got) == sorted(want) and sum(w[2] > 0 for w in want) > 5
+
+
+def test_phrases_of_ten_words_stay(docs_of):
+    phrase = " ".join(PLAIN.split()[:10])
+    docs = docs_of([(i, f"{prose(860 + i, 9)} {phrase} {prose(880 + i, 9)}") for i in range(10)])
+    assert all(r.n_removed == 0 for r in span_dedup.remove_repeats(docs).collect())
+
+
 def test_spans_of_nothing(none):
     assert span_dedup.remove_repeats(none).count() == 0
 
