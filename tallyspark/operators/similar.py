@@ -2,7 +2,9 @@
 
 Candidates come from an inverted index over prefixes: with the words of a set in one order, rare ones first, two
 sets of the wanted similarity share a word among the first few of either. The size of the sets and the places of
-the shared word leave out most pairs before any set is compared. Which rows stay is then settled in rounds
+the shared word, and sketches of the sets, leave out nearly all pairs before any set is compared: a sketch says of
+bits how many words hash there, odd or even, and two sets differ in at least as many words as their sketches in bits.
+Which rows stay is then settled in rounds
 over the links alone: a row with no better neighbour left stays, and its neighbours go. That is what going through
 the rows from the best to the worst would give, without putting them in one task.
 """
@@ -10,6 +12,8 @@ the rows from the best to the worst would give, without putting them in one task
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import add
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,32 +23,62 @@ from tallyspark.functions.text import plain_tokens
 from tallyspark.session import stored
 
 EPS = 1e-9
+LARGE = 1400  # words of a set from which on its sketch has 4,096 bits instead of 1,024
+MOST = 1 << 31  # words of the largest set there can be
 
 
-def _prefixes(items: DataFrame, words: str, times: DataFrame, same: float) -> DataFrame:
-    """(key, block, n, word, pos): the words of each set that a similar set must share one of; pos from 1."""
-    each = items.where(F.size(words) > 0).select("key", "block", F.size(words).alias("n"), F.explode(words).alias("word"))
+def _sketches(items: DataFrame, words: str, longs: int) -> DataFrame:
+    """(key, s0, s1, ..): for every bit of `longs` long integers, whether an odd number of the set's words hash to it."""
+    hashed = items.select("key", F.explode(words).alias("word")).withColumn("h", F.xxhash64("word"))
+    bit = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))")
+    return hashed.groupBy("key").agg(*[
+        F.bit_xor(F.when(F.pmod("h", F.lit(longs)) == i, bit).otherwise(F.lit(0).cast("bigint"))).alias(f"s{i}") for i in range(longs)])
+
+
+def _prefixes(items: DataFrame, words: str, times: DataFrame, same: float, longs: int) -> DataFrame:
+    """(key, n, block, word, pos, sketch): the words of each set that a similar set must share one of; pos from 1."""
+    each = items.select("key", "block", F.size(words).alias("n"), F.explode(words).alias("word"))
     order = W.partitionBy("key").orderBy("times", "word")
     ranked = each.join(times, "word").withColumn("pos", F.row_number().over(order))
-    return ranked.where(F.col("pos") <= F.col("n") - F.ceil(F.lit(same) * F.col("n") - EPS) + 1).drop("times")
+    first = ranked.where(F.col("pos") <= F.col("n") - F.ceil(F.lit(same) * F.col("n") - EPS) + 1).drop("times")
+    return first.join(_sketches(items, words, longs), "key")
+
+
+def _met(items: DataFrame, right: str, times: DataFrame, same: float, longs: int, low: int, high: int) -> DataFrame:
+    """(x, y): pairs that share a word of their prefixes and that neither the sizes nor the places of the word nor the
+    sketches rule out; the smaller set has more than `low` words and at most `high`. Pairs are ruled out where they
+    meet, so only the ones left are written."""
+    def side(words: str, end: str) -> DataFrame:
+        size = F.size(words)
+        rows = _prefixes(items.where((size > low) & (size * F.lit(same) <= high + EPS)), words, times, same, longs)
+        return rows.select("block", "word", *[F.col(c).alias(c + end) for c in rows.columns if c not in ("block", "word")])
+
+    nx, ny, px, py = F.col("n_x"), F.col("n_y"), F.col("pos_x"), F.col("pos_y")
+    both = nx + ny
+    # An equal or smaller set lacks few words of a larger one, so a shorter prefix of it holds a shared word.
+    short = lambda n: n - F.ceil(F.lit(2 * same / (1 + same)) * n - EPS) + 1
+    needed, possible = F.lit(same / (1 + same)) * both, 1 + F.least(nx - px, ny - py)
+    apart = reduce(add, [F.bit_count(F.col(f"s{i}_x").bitwiseXOR(F.col(f"s{i}_y"))) for i in range(longs)])
+    other = F.col("key_x") < F.col("key_y") if right == "a" else F.col("key_x") != F.col("key_y")
+    left = side("a", "_x")
+    met = left.join(side(right, "_y"), ["block", "word"]).where(
+        other & (F.least(nx, ny) <= high) & (nx + EPS >= F.lit(same) * ny) & (ny + EPS >= F.lit(same) * nx)
+        & F.when(ny <= nx, py <= short(ny)).otherwise(px <= short(nx)) & (possible + EPS >= needed) & (both - apart + EPS >= 2 * needed))
+    return met.select(F.col("key_x").alias("x"), F.col("key_y").alias("y")).distinct()
 
 
 def similar_pairs(items: DataFrame, same: float) -> DataFrame:
     """(x, y, share): pairs of keys of one block whose sets a (of x) and b (of y) have a Jaccard similarity of `same`
-    or more. `items`: key, block, and the word sets a and b."""
-    words = items.select(F.explode("a").alias("word")).unionAll(items.select(F.explode("b").alias("word")))
+    or more. `items`: key, block, and the word sets a and b; without b, the sets a are compared, each pair once."""
+    right = "b" if "b" in items.columns else "a"
+    words = items.select(F.explode("a").alias("word")).unionAll(items.select(F.explode(right).alias("word")))
     times = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("times")), "words")
-    left = _prefixes(items, "a", times, same).select("block", "word", F.col("key").alias("x"), F.col("n").alias("nx"), F.col("pos").alias("px"))
-    right = _prefixes(items, "b", times, same).select("block", "word", F.col("key").alias("y"), F.col("n").alias("ny"), F.col("pos").alias("py"))
-    nx, ny = F.col("nx"), F.col("ny")
-    needed = F.lit(same / (1 + same)) * (nx + ny)
-    possible = 1 + F.least(nx - F.col("px"), ny - F.col("py"))
-    met = left.join(right, ["block", "word"]).where(
-        (F.col("x") != F.col("y")) & (nx + EPS >= F.lit(same) * ny) & (ny + EPS >= F.lit(same) * nx) & (possible + EPS >= needed))
-    pairs = met.select("x", "y").distinct()
-    sets = pairs.join(items.select(F.col("key").alias("x"), "a"), "x").join(items.select(F.col("key").alias("y"), "b"), "y")
-    common = F.size(F.array_intersect("a", "b"))
-    share = common / (F.size("a") + F.size("b") - common)
+    # Two large sets differ in more words than a small sketch can show.
+    pairs = reduce(DataFrame.unionAll, [_met(items, right, times, same, *c) for c in ((16, 0, LARGE), (64, LARGE, MOST))])
+    sets = stored(pairs, "pairs").join(items.select(F.col("key").alias("x"), F.col("a").alias("of_x")), "x").join(
+        items.select(F.col("key").alias("y"), F.col(right).alias("of_y")), "y")
+    common = F.size(F.array_intersect("of_x", "of_y"))
+    share = common / (F.size("of_x") + F.size("of_y") - common)
     return sets.select("x", "y", share.alias("share")).where(F.col("share") >= same)
 
 
@@ -66,14 +100,17 @@ def beaten(links: DataFrame) -> DataFrame:
 
 def without_similar(items: DataFrame, same: float) -> DataFrame:
     """The items that stay. Columns: key (one a row), block, sets a and b, and place, which orders them, the best
-    first. Row x repeats a better row y if a of x and b of y are similar."""
+    first. Row x repeats a better row y if a of x and b of y are similar; without b, if the sets a are."""
     items = stored(items, "items")
     found = similar_pairs(items, same)
     place = items.select("key", "place")
     both = found.join(place.withColumnsRenamed({"key": "x", "place": "at_x"}), "x").join(
         place.withColumnsRenamed({"key": "y", "place": "at_y"}), "y")
-    # x repeats y only where y is the better one.
-    links = both.where("at_y < at_x").select(F.col("x").alias("worse"), F.col("y").alias("better"))
+    x, y, ahead = F.col("x"), F.col("y"), F.col("at_y") < F.col("at_x")
+    if "b" in items.columns:  # x repeats y only where y is the better one
+        links = both.where(ahead).select(x.alias("worse"), y.alias("better"))
+    else:
+        links = both.select(F.when(ahead, x).otherwise(y).alias("worse"), F.when(ahead, y).otherwise(x).alias("better"))
     return items.join(beaten(links), "key", "left_anti")
 
 
@@ -90,6 +127,6 @@ def distinct_texts(df: DataFrame, text: str, order: Sequence[Column], same: floa
                      F.to_json(F.struct(*block) if block else F.struct(F.lit(0))).alias("home"), home.alias("block"))
     empty = rows.where(F.size("words") == 0)
     best = rows.where(F.size("words") > 0).groupBy("home", "block", "words").agg(F.min(F.struct("place", "row")).alias("best"))
-    items = best.select(F.md5(F.concat(F.col("home"), F.lit("|"), F.array_join("words", " ")).cast("binary")).alias("key"), "block",
-                        F.col("words").alias("a"), F.col("words").alias("b"), F.col("best.place").alias("place"), F.col("best.row").alias("row"))
+    items = best.select(F.unhex(F.md5(F.concat(F.col("home"), F.lit("|"), F.array_join("words", " ")).cast("binary"))).alias("key"), "block",
+                        F.col("words").alias("a"), F.col("best.place").alias("place"), F.col("best.row").alias("row"))
     return without_similar(items, same).select("row.*").unionAll(empty.select("row.*"))
