@@ -19,6 +19,7 @@ from tallyspark.session import stored
 DATE_HINTS = ("date", "time", "timestamp", "year", "month", "day", "week", "quarter")
 DATE_PARTS = ("year", "month", "day", "dayofweek")
 TREES = 220
+ROWS = 20_000  # rows of a training task
 
 
 def feature_plan(df: DataFrame, target: str, most_texts: int = 100, some_texts: int = 30, varied: float = 0.55) -> DataFrame:
@@ -171,6 +172,12 @@ def stratified_holdout(df: DataFrame, label: str, key: str, share: float = 0.25)
     return met.select(*[F.col(f"`{c}`") for c in df.columns], F.coalesce(F.col("_code") <= F.col("_cut"), F.lit(False)).alias("held"))
 
 
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """`df` in partitions of about ROWS of its `rows` rows, told by a hash of the key and sorted by it: however few
+    files or classes it comes from, work and memory of a task stay the same."""
+    return df.repartition(max(1, -(-rows // ROWS)), key).sortWithinPartitions(key)
+
+
 def forest(df: DataFrame, target: str, key: str, trees: int = TREES, depth: int = 10, seed: int = 42, top: int = 12):
     """Train on three quarters of the rows, told by a hash of the key, and predict the rest; in a classification three
     quarters of each class.
@@ -183,8 +190,8 @@ def forest(df: DataFrame, target: str, key: str, trees: int = TREES, depth: int
     from pyspark.ml.feature import Imputer, IndexToString, OneHotEncoder, StringIndexer, VectorAssembler
     from pyspark.ml.regression import RandomForestRegressor
 
-    share = df.agg(F.try_divide(F.count(F.expr(f"try_cast(cast(`{target}` as string) as double)")), F.count(target)).alias("s")).first()["s"]
-    task = "regression" if (share or 0) >= 0.9 else "classification"
+    found = df.agg(F.count(F.expr(f"try_cast(cast(`{target}` as string) as double)")).alias("numbers"), F.count(target).alias("n")).first()
+    task = "regression" if found.n and found.numbers / found.n >= 0.9 else "classification"
     label = number(target) if task == "regression" else F.col(target).cast("string")
     usable = df.withColumn(target, label).where(F.col(target).isNotNull())
     wide, numeric, category = planned_features(usable, target, key)
@@ -194,6 +201,7 @@ def forest(df: DataFrame, target: str, key: str, trees: int = TREES, depth: int
         wide = stratified_holdout(wide, "_target", "_key")
     else:
         wide = wide.withColumn("held", F.pmod(F.xxhash64("_key"), F.lit(4)) == 0)
+    wide = dealt(stored(wide, "rows"), "_key", found.n)
     train, test = wide.where("not held"), wide.where("held")
     stages, inputs = [], []
     if numeric:
@@ -212,11 +220,12 @@ def forest(df: DataFrame, target: str, key: str, trees: int = TREES, depth: int
         said = F.col("_said")
     else:
         labels = StringIndexer(inputCol="_target", outputCol="_label", handleInvalid="skip").fit(train)
-        per = train.groupBy("_target").agg(F.count("*").alias("_n"))
-        total = per.agg(F.struct(F.sum("_n").alias("n"), F.count("*").alias("k")).alias("s")).scalar()
-        weight = per.withColumn("_s", total).select("_target", (F.col("_s.n") / (F.col("_s.k") * F.col("_n"))).alias("_w"))
+        # A row per class; a join on the class would put each class in one task.
+        per = train.groupBy("_target").agg(F.count("*").alias("n")).collect()
+        total = sum(r.n for r in per)
+        weight = F.create_map(*[F.lit(x) for r in per for x in (r["_target"], total / (len(per) * r.n))])
         stages.append(RandomForestClassifier(weightCol="_w", **common))
-        fitted = Pipeline(stages=stages).fit(labels.transform(train.join(weight, "_target")))
+        fitted = Pipeline(stages=stages).fit(labels.transform(train.withColumn("_w", F.element_at(weight, F.col("_target")))))
         stages.append(IndexToString(inputCol="_said", outputCol="_named", labels=labels.labels))
         fitted = PipelineModel([*fitted.stages, stages[-1]])
         said = F.col("_named")

@@ -168,3 +168,24 @@ def test_choice_of_the_target(spark):
     assert choose("sales and unit price") == ("sales", "mentioned in goal")
     assert choose("predict the note or the region") == ("region", "mentioned in goal") and choose("the region") == ("sales", "last measure")
     assert learning.choose_target(df.select("region", "note"), "sales") == (None, "none") == learning.choose_target(df.select("order_id"), "")
+
+
+def test_rows_of_a_forest_are_dealt_evenly(spark, monkeypatch):
+    """One file, one class with nearly all rows: the trees still learn in tasks of about ROWS rows, and from the same
+    rows whatever partitions they come in."""
+    from pyspark.ml import Pipeline
+
+    monkeypatch.setattr(learning, "ROWS", 500)
+    seen, fit = [], Pipeline.fit
+
+    def watched(self, rows, *more):
+        seen.append([len(part) for part in rows.select("_key").rdd.glom().collect()])
+        return fit(self, rows, *more)
+
+    monkeypatch.setattr(Pipeline, "fit", watched)
+    df = spark.range(0, 4000, 1, 1).selectExpr("id as row_key", "id % 37 * 1.5 as weight", "if(id % 50 < 2, 'rare', 'usual') as kind", "id % 37 * 3.0 as price")
+    for target in ("kind", "price"):
+        out, _, first = learning.forest(df, target, "row_key", trees=3, depth=3)
+        again, _, second = learning.forest(df.repartition(7), target, "row_key", trees=3, depth=3)
+        assert first == second and sorted(out.collect()) == sorted(again.collect())
+    assert len(seen) == 4 and all(len(parts) == 8 and max(parts) < 600 for parts in seen)
