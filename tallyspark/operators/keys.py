@@ -472,13 +472,16 @@ Mapping = frozenset  # of (key column, source column)
 
 
 def tuple_value(columns: Sequence[str], kinds: dict[str, T.DataType]) -> Column:
-    """Several values as one text, equal when all are equal as `exact_value` has it; null if one of them is."""
+    """Several values as one text, equal when all are equal as `exact_value` has it; null if one of them is.
+
+    A number ends with ";", a text follows its length and ":". What is longer than a hash is hashed; a hash has
+    neither sign, so it equals no unhashed text."""
     parts = []
     for c in columns:
         num, text = exact_value(c, kinds[c])
-        one = F.coalesce(F.concat(F.lit("i:"), num.cast("string")), text)
-        parts += [F.length(one).cast("string"), F.lit(":"), one]
-    return F.md5(F.concat(*parts).cast("binary"))
+        parts.append(F.coalesce(F.concat(num.cast("string"), F.lit(";")), F.concat(F.length(text).cast("string"), F.lit(":"), text)))
+    whole = F.concat(*parts)
+    return F.when(F.length(whole) > 32, F.md5(whole.cast("binary"))).otherwise(whole)
 
 
 def _longer(hits: set[Mapping]) -> set[Mapping]:
@@ -499,7 +502,7 @@ def composite_edges(
     """Tuples of columns that refer to a key of several columns: the best mapping per source and target table.
 
     Levelwise: single columns first, all pairs in one pass; a longer mapping is measured only if each of its parts
-    holds, by the share of distinct source tuples that the key has. On every level a tuple is one hashed value and
+    holds, by the share of distinct source tuples that the key has. On every level a tuple is one short value and
     the level one pass (`containment`). Columns worth key profiling and such that are named as a part of the key
     take part; a tuple with a null refers to nothing. Of several mappings the one with more columns of the
     key's own names wins, then the higher ratio, then more matches; `ambiguous` if that does not tell two apart.
@@ -523,7 +526,8 @@ def composite_edges(
 
         def side(table: str, cols: tuple[str, ...]) -> tuple[str, str]:
             name = "|".join(cols)
-            columns.setdefault(table, {})[name] = tuple_value(cols, kinds[table]).alias(name)
+            # A single value goes as it is: `containment` tells equal ones itself.
+            columns.setdefault(table, {})[name] = (tuple_value(cols, kinds[table]) if len(cols) > 1 else F.col(f"`{cols[0]}`")).alias(name)
             return table, name
 
         def ends(s: str, t: str, mapping: Mapping) -> tuple[tuple[str, str], tuple[str, str]]:

@@ -158,3 +158,18 @@ def test_longer_mappings_need_all_their_parts():
     assert hit(("a", "x"), ("b", "y")) in twos and hit(("a", "x"), ("b", "x")) not in twos and len(twos) == 4
     assert keys._longer(twos) == {hit(("a", "x"), ("b", "y"), ("c", "z"))}
     assert keys._longer(twos - {hit(("b", "y"), ("c", "z"))}) == set()
+
+
+def test_tuples_are_short_and_told_apart(spark):
+    """Tuples of numbers are no longer than their digits; equal only if all parts are, whatever signs texts hold."""
+    rows = [(1, "2;", 3), (1, "2", 3), (12, ";", 3), (1, "12:s:2", 3), (1, "2;3;", 3), (1, "x" * 40, 3), (1, "x" * 41, 3), (1, None, 3), (123456789, "a", 7)]
+    df = spark.createDataFrame(rows, "a bigint, b string, c int")
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    found = [r[0] for r in df.select(keys.tuple_value(["a", "b", "c"], kinds)).collect()]
+    assert found[7] is None and len(set(found)) == len(rows) and max(len(t) for t in found if t) <= 32
+    swapped = [r[0] for r in df.select(keys.tuple_value(["b", "a", "c"], kinds)).collect()]
+    assert not (set(found) & set(swapped)) - {None}
+    numbers = df.select(keys.tuple_value(["a", "c"], kinds).alias("t"))
+    assert numbers.agg(F.max(F.length("t"))).first()[0] <= 12
+    whole = df.select(keys.tuple_value(["a", "c"], {**kinds, "c": kinds["a"]})).collect()
+    assert whole == numbers.collect()
