@@ -332,10 +332,9 @@ def common_subsequence(a: np.ndarray, b: np.ndarray) -> int:
         masks[x] = masks.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
     row = full
-    for y in b.tolist():
-        if hit := masks.get(y):
-            u = row & hit
-            row = (row + u | row - u) & full
+    for y in b[np.isin(b, a)].tolist():
+        u = row & masks[y]
+        row = (row + u | row - u) & full
     return len(a) - row.bit_count()
 
 
@@ -348,8 +347,16 @@ def found_in(block: Block, index: Index) -> list[tuple[int, int, float, float, b
     vectors, starts, text = folded(words, index)
     best: dict[tuple[int, int], tuple[float, float, bool]] = {}
 
+    def nearest(p: int, k: int) -> np.float32:
+        return (vectors[p] @ index.pieces[index.owner == k].T).max()
+
     def verify(p: int, k: int, cosine: float | None) -> None:
         t, s, item = int(text[p]), starts[p], index.items[k]
+        known = best.get((t, k))
+        if known is not None and known[1] == 1:  # only a nearer passage could take the place of one that holds the whole item
+            cosine = nearest(p, k) if cosine is None else cosine
+            if float(cosine) <= known[0]:
+                return
         around = len(item.words)
         region = words.hash[max(words.bounds[t], s - around) : min(words.bounds[t + 1], s + 2 * STRIDE + around)]
         if sum(map(item.known.__contains__, region.tolist())) < index.paraphrase * len(item.words):
@@ -360,8 +367,7 @@ def found_in(block: Block, index: Index) -> list[tuple[int, int, float, float, b
         answer = common_subsequence(item.answer, region) >= 0.8 * len(item.answer)
         if share >= index.verbatim or answer:
             if cosine is None:
-                cosine = (vectors[p] @ index.pieces[index.owner == k].T).max()
-            known = best.get((t, k))
+                cosine = nearest(p, k)
             if known is None or (share, cosine) > (known[1], known[0]):
                 best[t, k] = (float(cosine), share, bool(answer))
 

@@ -87,6 +87,16 @@ def test_a_run_that_all_items_share():
             assert ((t, k) in found) == (lcs(items[k].words.tolist(), own) >= 0.8 * len(items[k].words) if k < 300 else t == 21)
 
 
+def test_a_whole_item_is_compared_once(monkeypatch):
+    """A long text that is an item: passages no nearer than the one that holds the whole of it are not compared again."""
+    text = prose(5900, 400)
+    words = decontaminate._hashes(text)
+    calls, compare = [], decontaminate.common_subsequence
+    monkeypatch.setattr(decontaminate, "common_subsequence", lambda a, b: calls.append(len(a)) or compare(a, b))
+    found = decontaminate.found_in(next(decontaminate.blocks(pa.array([text, text]))), plain_index([decontaminate.Item(1, words, words[-5:])]))
+    assert [(t, k, share) for t, k, _, share, _ in found] == [(0, 0, 1.0), (1, 0, 1.0)] and calls.count(len(words)) <= len(words) / 16
+
+
 def test_answer_column_decides_paraphrases(spark, planted):
     items = spark.createDataFrame([(5, ITEMS[5], "words that are not there")], "item_id bigint, text string, answer string")
     assert {r.doc_id for r in decontaminate.leaks(planted, items, verbatim=0.9).collect()} == {505}
