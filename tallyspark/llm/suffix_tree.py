@@ -13,9 +13,10 @@ left to its suffix, a run that is an entry adds what it gains over that path. Th
 all runs of one to depth + 1 tokens in it, each looked up once.
 
 Runs are known by 64-bit hashes. They travel in packs: a task counts `HELD` tokens, sorts the different runs and cuts
-them by ranges of the hash (`ranges`), one row a range. There is a range for every million training tokens, so what a
+them by ranges of the hash (`ranges`), one row a range. There is a range for every `RANGE` training tokens, so what a
 task holds of one is bounded. A run comes once a pack at counting and once a text at scoring, so no frequent run makes
 a hot range. Texts are read `passes` times, each for another part of the hashes, to bound the disk that shuffles take.
+The addends of a tree are dealt to their ranges once, when it is trained, and kept in packs of up to `HELD` addends.
 """
 
 from __future__ import annotations
@@ -31,19 +32,21 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.blocks import STEP, U64, Block, blocks, map_batches, mix
+from tallyspark.llm.blocks import STEP, U64, Block, blocks, firsts, map_batches, mix, sorting
 from tallyspark.session import stored
 
 END = np.uint64(0x51F0E3A9C7D2B485)
 DISCOUNT = 0.75
 HELD = 2_000_000  # tokens that a task counts at a time
-RANGE = 1_000_000  # training tokens for each range of hashes
+RANGE = 3_000_000  # training tokens for each range of hashes
+CELL = 40  # ranges begin where the bits above this one change
 CHUNK = 4_096  # texts whose sums come back in one row of packs
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 class Lookup:
-    """Places of numbers in a sorted array, or -1: one probe of a table, a search only for crowded slots."""
+    """Places of hashes in a sorted array, or -1: one probe of a table, a search only for crowded slots. Slots are told
+    by bits that neither ranges nor passes look at."""
 
     def __init__(self, keys: np.ndarray):
         self.keys = keys.astype(np.uint64)
@@ -54,7 +57,7 @@ class Lookup:
         self.crowded = np.bincount(slot, minlength=1 << self.bits) > 1
 
     def slots(self, x: np.ndarray) -> np.ndarray:
-        return (mix(x) >> U64(64 - self.bits)).astype(np.int64)
+        return (x >> U64(16) & U64((1 << self.bits) - 1)).astype(np.int64)
 
     def find(self, x: np.ndarray) -> np.ndarray:
         if not len(self.keys) or not len(x):
@@ -71,7 +74,7 @@ class Lookup:
 
 @dataclass
 class Tree:
-    """`addends`: (key, n, weight), several rows a run allowed; n is the count of a word, null for longer runs."""
+    """`addends`: packs of (key, n, weight), several a run allowed, in rows of one part, their range; n is the count of a word, 0 for longer runs."""
 
     addends: DataFrame
     tokens: int
@@ -151,13 +154,19 @@ def unpack(packed: bytes, kind) -> np.ndarray:
 
 def cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     """Bounds of the ranges in sorted keys."""
-    first = np.array([(r << 64) // parts for r in range(1, parts)], np.uint64)
+    first = np.array([-((-r << 64 - CELL) // parts) << CELL for r in range(1, parts)], np.uint64)
     return np.concatenate([[0], np.searchsorted(keys, first), [len(keys)]])
 
 
+def range_of(key: str, parts: int):
+    """The range of a hash in a column of signed numbers; as `cuts` has it."""
+    return (F.shiftrightunsigned(key, CELL) * parts / F.lit(1 << 64 - CELL)).cast("int")
+
+
 def in_pass(keys: np.ndarray, turn: int, passes: int) -> np.ndarray:
     """Keys of one pass, by bits that the ranges do not look at."""
-    return (keys & U64(0xFFFF)) % U64(passes) == U64(turn)
+    low = keys & U64(0xFFFF)
+    return (low >= U64(-(-(turn << 16) // passes))) & (low < U64(-(-(turn + 1 << 16) // passes)))
 
 
 def ranged(columns: dict[str, np.ndarray], parts: int) -> Iterator[dict]:
@@ -200,8 +209,11 @@ def counted(texts: DataFrame, order: int, least: int, parts: int, turn: int, pas
 
         def packs():
             prefix, suffix, key = (np.concatenate(c) for c in zip(*held))
-            key, at, n = np.unique(key, return_index=True, return_counts=True)
-            found = list(ranged({"key": key, "prefix": prefix[at], "suffix": suffix[at], "n": n.astype(np.uint32)}, parts))
+            at = sorting(key)
+            key = key[at]
+            first = firsts(key)
+            at, n = at[first], np.diff(first, append=len(key))
+            found = list(ranged({"key": key[first], "prefix": prefix[at], "suffix": suffix[at], "n": n.astype(np.uint32)}, parts))
             yield from rows_of([{c: row[c] for c in PACKED.names} for row in found], PACKED)
 
         for batch in batches:
@@ -221,13 +233,15 @@ def counted(texts: DataFrame, order: int, least: int, parts: int, turn: int, pas
             prefix, suffix, n = (np.concatenate([unpack(p[c], kind) for p in packs])
                                  for c, kind in (("prefix", np.uint64), ("suffix", np.uint64), ("n", np.uint32)))
             key = joined(prefix, suffix) if order > 1 else prefix
-            key, at, which = np.unique(key, return_index=True, return_inverse=True)
-            total = np.bincount(which, n).astype(np.int64)
+            at = sorting(key)
+            key = key[at]
+            first = firsts(key)
+            total = np.add.reduceat(n[at], first, dtype=np.int64)
             often = total >= least
-            at = at[often]
+            at = at[first[often]]
             yield pa.RecordBatch.from_pydict({
                 "prefix": prefix[at].view(np.int64), "suffix": suffix[at].view(np.int64),
-                "key": key[often].view(np.int64), "n": total[often]})
+                "key": key[first[often]].view(np.int64), "n": total[often]})
 
     packed = map_batches(texts.select("text"), count, "part int, prefix binary, suffix binary, n binary")
     return map_batches(merged(packed, "part"), add, "prefix bigint, suffix bigint, key bigint, n bigint")
@@ -250,7 +264,7 @@ def train(texts: DataFrame, depth: int = 2, least: int = 2, least_gain: float =
         tokens, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
         tree = Tree(words, tokens or 0, distinct, depth)
         level = words.withColumn("p", tree.root(F.col("n")))
-        addends = [words.select("key", "n", F.ln(tree.root(F.col("n"))).alias("weight"))]
+        addends = [dealt(words.select("key", "n", F.ln(tree.root(F.col("n"))).alias("weight")), tree.ranges)]
         for order in range(2, depth + 2):
             runs = count_runs(texts, order, least, tree.ranges, passes)
             tried = tested(runs, level)
@@ -258,7 +272,8 @@ def train(texts: DataFrame, depth: int = 2, least: int = 2, least_gain: float =
                 forget(level)
             level, added = retained(tried, least_gain, divergence, order <= depth)
             forget(tried)
-            addends += added
+            addends.append(dealt(reduce(DataFrame.unionAll, added), tree.ranges))
+            forget(*added)
         tree.addends = reduce(DataFrame.unionAll, addends)
     return tree
 
@@ -297,11 +312,41 @@ def retained(tried: DataFrame, least_gain: float, divergence: float, inner: bool
     return level, [left, gains]
 
 
+OFFERED = pa.schema([("part", pa.int32()), ("key", pa.binary()), ("who", pa.binary()), ("value", pa.binary())])
+
+
+def dealt(addends: DataFrame, parts: int) -> DataFrame:
+    """Addends in packs: a task gets whole ranges and cuts every HELD of its addends, so packs grow as their number does."""
+    def offer(batches):
+        held, size = [], 0
+
+        def packs():
+            key, n, weight = (np.concatenate(c) for c in zip(*held))
+            at = sorting(key)
+            yield from rows_of(list(ranged({"key": key[at], "who": n[at], "value": weight[at]}, parts)), OFFERED)
+
+        for batch in batches:
+            held.append((batch.column("key").to_numpy().view(np.uint64), batch.column("n").fill_null(0).to_numpy().astype(np.uint64),
+                         batch.column("weight").to_numpy()))
+            size += batch.num_rows
+            if size >= HELD:
+                yield from packs()
+                held, size = [], 0
+        if size:
+            yield from packs()
+
+    rows = addends.withColumn("part", range_of("key", parts)).repartition("part").drop("part")
+    return stored(map_batches(rows, offer, "part int, key binary, who binary, value binary"), "tree-addends")
+
+
 ASKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("key", pa.binary()),
                    ("who", pa.binary()), ("value", pa.binary())])
 SUMS = pa.schema([("chunk", pa.int64()), ("who", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("score", pa.binary())])
 
 
+OFFERS = {"key": np.uint64, "who": np.uint64, "value": np.float64}
+
+
 def numbered(batches) -> Iterator[tuple[int, pa.RecordBatch, Block]]:
     """Blocks with the number of their first text in the task; equal at every reading of one table."""
     start = 0
@@ -317,11 +362,11 @@ def chunk_of(task: int, number: np.ndarray) -> np.ndarray:
 
 
 def once_a_text(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The different (key, text) of sorted keys, and how often each occurs."""
-    run = np.cumsum(np.concatenate([[False], key[1:] != key[:-1]]))
-    pair, times = np.unique(run.astype(np.uint64) * U64(CHUNK) + who.astype(np.uint64), return_counts=True)
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first[(pair // U64(CHUNK)).astype(np.int64)]], pair % U64(CHUNK), times.astype(np.uint32)
+    """The different (key, text), sorted by key, and how often each occurs. Texts of a key must ascend."""
+    at = sorting(key)
+    key, who = key[at], who[at]
+    first = firsts(key, who)
+    return key[first], who[first], np.diff(first, append=len(key)).astype(np.uint32)
 
 
 def looked_up(docs: DataFrame, tree: Tree, turn: int, passes: int) -> DataFrame:
@@ -333,9 +378,8 @@ def looked_up(docs: DataFrame, tree: Tree, turn: int, passes: int) -> DataFrame:
 
         def packs():
             key, who = (np.concatenate(c) for c in zip(*held))
-            sort = np.argsort(key)
-            key, who, times = once_a_text(key[sort], who[sort])
-            found = ranged({"key": key, "who": who.astype(np.uint32), "value": times}, parts)
+            key, who, times = once_a_text(key, who)
+            found = ranged({"key": key, "who": who, "value": times}, parts)
             yield from rows_of([{**row, "kind": 1, "chunk": int(chunk_of(task, now * CHUNK))} for row in found], ASKED)
 
         for start, _, block in numbered(batches):
@@ -348,19 +392,17 @@ def looked_up(docs: DataFrame, tree: Tree, turn: int, passes: int) -> DataFrame:
                 now = chunk
                 for key, who in runs:
                     lo, hi = np.searchsorted(who, [chunk * CHUNK, (chunk + 1) * CHUNK])
-                    held.append((key[lo:hi], who[lo:hi] - chunk * CHUNK))
+                    held.append((key[lo:hi], (who[lo:hi] - chunk * CHUNK).astype(np.uint16)))
                     size += int(hi - lo)
         if size:
             yield from packs()
 
     def offer(batches):
         for batch in batches:
-            key, weight = batch.column("key").to_numpy().view(np.uint64), batch.column("weight").to_numpy()
-            n = batch.column("n").fill_null(0).to_numpy().astype(np.uint64)
-            mine = np.flatnonzero(in_pass(key, turn, passes))
-            mine = mine[np.argsort(key[mine])]
-            found = ranged({"key": key[mine], "who": n[mine], "value": weight[mine]}, parts)
-            yield from rows_of([{**row, "kind": 0, "chunk": None} for row in found], ASKED)
+            for row in batch.to_pylist():
+                columns = {c: unpack(row[c], kind) for c, kind in OFFERS.items()}
+                mine = in_pass(columns["key"], turn, passes)
+                yield from rows_of([{"part": row["part"], "kind": 0, "chunk": None, **{c: pack(v[mine]) for c, v in columns.items()}}], ASKED)
 
     def meet(batches):
         part, offered, lookup = None, [], None
@@ -369,24 +411,26 @@ def looked_up(docs: DataFrame, tree: Tree, turn: int, passes: int) -> DataFrame:
                 if row["part"] != part:
                     part, offered, lookup = row["part"], [], None
                 if row["kind"] == 0:
-                    offered.append(tuple(unpack(row[c], t) for c, t in (("key", np.uint64), ("who", np.uint64), ("value", np.float64))))
+                    offered.append(tuple(unpack(row[c], kind) for c, kind in OFFERS.items()))
                     continue
                 if not offered:
                     continue
                 if lookup is None:
                     key, n, weight = (np.concatenate(c) for c in zip(*offered))
-                    key, which = np.unique(key, return_inverse=True)
-                    n, weight = np.bincount(which, n), np.bincount(which, weight)
+                    at = sorting(key)
+                    key = key[at]
+                    first = firsts(key)
+                    n, weight = (np.add.reduceat(v[at], first) if len(at) else v for v in (n, weight))
                     base = np.where(n > 0, np.log(tree_root(n)), 0.0)
-                    lookup = Lookup(key)
+                    lookup = Lookup(key[first])
                 at = lookup.find(unpack(row["key"], np.uint64))
                 hit = at >= 0
                 at, times = at[hit], unpack(row["value"], np.uint32)[hit]
-                who, which = np.unique(unpack(row["who"], np.uint32)[hit], return_inverse=True)
-                if len(who):
-                    sums = (np.bincount(which, v * times) for v in (n[at] > 0, base[at], weight[at]))
-                    known, base_sum, score = sums
-                    yield from rows_of([{"chunk": row["chunk"], "who": pack(who), "known": pack(known.astype(np.uint32)),
+                texts = unpack(row["who"], np.uint16)[hit]
+                if len(texts):
+                    who = np.flatnonzero(np.bincount(texts))
+                    known, base_sum, score = (np.bincount(texts, v * times)[who] for v in (n[at] > 0, base[at], weight[at]))
+                    yield from rows_of([{"chunk": row["chunk"], "who": pack(who.astype(np.uint16)), "known": pack(known.astype(np.uint32)),
                                          "base": pack(base_sum), "score": pack(score)}], SUMS)
 
     def add(batches):
@@ -404,7 +448,7 @@ def looked_up(docs: DataFrame, tree: Tree, turn: int, passes: int) -> DataFrame:
                     if now is not None:
                         yield sums()
                     now, total = row["chunk"], np.zeros((4, CHUNK))
-                who = unpack(row["who"], np.uint32)  # different texts
+                who = unpack(row["who"], np.uint16)  # different texts
                 for k, (c, kind) in enumerate((("known", np.uint32), ("base", np.float64), ("score", np.float64))):
                     total[k][who] += unpack(row[c], kind)
                 total[3][who] = 1
@@ -422,7 +466,7 @@ def looked_up(docs: DataFrame, tree: Tree, turn: int, passes: int) -> DataFrame:
     return map_batches(merged(met, "chunk"), add, "chunk bigint, who bigint, known bigint, base double, score double")
 
 
-def score(docs: DataFrame, tree: Tree, passes: int = 5) -> DataFrame:
+def score(docs: DataFrame, tree: Tree, passes: int = 3) -> DataFrame:
     """One row per row of `docs`: doc_id, n_tokens, n_known, base_score and score (log10 probabilities).
 
     Null and empty texts are an end alone. Repeated rows get equal scores, each its own row; other columns are

@@ -2,11 +2,12 @@ import math
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
 from tallyspark.llm import suffix_tree, url_filter
-from tallyspark.llm.blocks import blocks
+from tallyspark.llm.blocks import LOWERED, blocks, sorting, span_hashes
 from tallyspark.llm.queries import URL_RULES
 
 from .conftest import prose
@@ -129,6 +130,21 @@ def test_passes_and_packs_change_nothing(ordered, judged, monkeypatch):
     assert sorted((r.doc_id, round(r.score, 6)) for r in got) == want
 
 
+def test_addends_come_once_a_range(judged, monkeypatch):
+    """The rows that hold a tree grow as its ranges, not as their square."""
+    monkeypatch.setattr(suffix_tree, "RANGE", 100)
+    model = suffix_tree.train(judged)
+    assert model.ranges > 50 and model.addends.count() <= (model.depth + 1) * model.ranges
+
+
+def test_word_hashes_and_their_order():
+    texts = [prose(3, 3_000), "", "a" * 300_000 + " B", " \n", "x " * 70_000 + "Y" * 65_536, "É"]
+    words = next(blocks(pa.array(texts), 1 << 24)).words()
+    assert (words.hash == span_hashes(words.block.data, words.start, words.end, LOWERED)).all()
+    for key in (words.hash, words.hash[:1], words.hash[:0], np.array([5 << 60 | 3, 5 << 60 | 1, 5 << 60 | 3, 7, 0, 7], np.uint64)):
+        assert (sorting(key) == np.argsort(key, kind="stable")).all()
+
+
 def test_a_rare_pair_keeps_its_entry_however_large_the_corpus(spark, docs_of):
     filler = spark.range(100).selectExpr("id + 100 AS doc_id", "repeat('the cat sat on the mat while a dog slept . ', 10000) AS text")
     pair = docs_of([(i, f"quasi{'xyz'[i % 3]} stellar object") for i in range(30)], "doc_id bigint, text string")
