@@ -13,10 +13,13 @@ and, last, the size of the record file, 8 bytes each.
 from __future__ import annotations
 
 import io
+import json
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +35,13 @@ from tallyspark.session import stored
 MASK = 0xA282EAD8
 HEAD, TAIL, PREFIX = struct.Struct("<QI"), struct.Struct("<I"), struct.Struct("<BqB")
 KNOWN_WORDS = 1 << 20
+MARK, TOGETHER = "|", 256
+# Letters of ASCII and Latin-1, then signs; the steps below turn such a word into its letters in lower case and, apart, its signs.
+PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?&#*%$]*)")
+SPLITS = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+NORMAL = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = [{"type": "Split", "pattern": {"Regex": SPLITS}, "behavior": "Removed", "invert": True},
+         {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
 
 
 def masked(data: bytes) -> int:
@@ -100,7 +110,9 @@ def read_at(path: str, numbers: list[int]) -> list[tuple[int | None, np.ndarray]
 
 class Encoder:
     """Token ids of whole texts. The tokenizer drops white space and never joins across it, so each distinct
-    word is encoded once and remembered; the memory is emptied when it holds KNOWN_WORDS words."""
+    word is encoded once and remembered; the memory is emptied when it holds KNOWN_WORDS words. New words go to the
+    tokenizer TOGETHER at a time with a mark between them, whose id tells them apart again. Where the steps before the
+    model are known ones (NORMAL, SPLIT), letters go straight to the model, once whatever their case and the signs after them."""
 
     loaded: dict[str, Encoder] = {}
 
@@ -109,6 +121,18 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        said = json.loads(self.tokenizer.to_str())
+        ending = said["model"].get("end_of_word_suffix")
+        self.straight = None
+        if ((said["normalizer"] or {}).get("normalizers") == NORMAL and (said["pre_tokenizer"] or {}).get("pretokenizers") == SPLIT
+                and said["model"]["type"] == "BPE" and ending and said["model"]["dropout"] is None and said["truncation"] is None
+                and all("<" in t["content"] for t in said["added_tokens"])):
+            self.straight = Tokenizer.from_str(json.dumps(said | {
+                "normalizer": None, "post_processor": None, "added_tokens": [],
+                "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, SPLIT[1]]}}))
+            self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.ends[[i for t, i in said["model"]["vocab"].items() if t.endswith(ending)]] = True
         self.clear()
 
     @classmethod
@@ -123,11 +147,58 @@ class Encoder:
         self.bounds = np.zeros(1 << 14, np.int64)
         self.used = 0
 
+    def encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(self, words: list[bytes]) -> None:
-        found = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
-        lists = [e.ids for e in found]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        new = np.fromiter((i for ids in lists for i in ids), np.uint32, int(sizes.sum()))
+        if self.straight is None:
+            return self.learn_marked(words)
+        found = [PLAIN.fullmatch(w) for w in words]
+        plain = [m for m in found if m]
+        letters, signs = [m[1].decode().lower().encode() for m in plain], [m[2] for m in plain]
+        self.learn_marked(list({w for w, m in zip(words, found) if not m} | set(signs).difference(self.number)))
+        new = list(set(letters).difference(self.number))
+        groups = [new[lo : lo + TOGETHER] for lo in range(0, len(new), TOGETHER)]
+        lists = [np.array(e.ids, np.uint32) for e in self.straight.encode_batch_fast(
+            [b" ".join(g).decode() for g in groups], add_special_tokens=False)]
+        if new:
+            ids = np.concatenate(lists)
+            last = np.flatnonzero(self.ends[ids])
+            if len(last) != len(new):
+                raise ValueError("the tokenizer does not end each word with its suffix")
+            self.keep(new, ids, np.diff(last, prepend=-1))
+        other = [(m[0], c, e) for m, c, e in zip(plain, letters, signs) if e or m[0] != c]
+        if other:
+            pairs = np.array([(self.number[c], self.number[e]) for _, c, e in other]).ravel()
+            ids, total = self.gathered(pairs)
+            self.keep([w for w, _, _ in other], ids, np.diff(total[::2]))
+
+    def gathered(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words with these numbers, one after another, and where each begins and the last ends."""
+        begin, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
+        total = np.concatenate([[0], np.cumsum(size)])
+        return self.ids[np.arange(total[-1]) + np.repeat(begin - total[:-1], size)], total
+
+    def learn_marked(self, words: list[bytes]) -> None:
+        apart = [w for w in words if MARK.encode() in w or len(self.mark) != 1]
+        plain = [w for w in words if MARK.encode() not in w] if len(self.mark) == 1 else []
+        groups = [plain[lo : lo + TOGETHER] for lo in range(0, len(plain), TOGETHER)]
+        words, lists, sizes = [], [], []
+        for group, ids in zip(groups, self.encoded([f" {MARK} ".join(w.decode() for w in g) for g in groups])):
+            marked = ids == self.mark[0]
+            marks = np.flatnonzero(marked)
+            if len(marks) != len(group) - 1:  # words that hold the mark in another form
+                apart += group
+                continue
+            words += group
+            lists.append(ids[~marked])
+            sizes.append(np.diff(marks, prepend=-1, append=len(ids)) - 1)
+        alone = self.encoded([w.decode() for w in apart])
+        new = np.concatenate([np.zeros(0, np.uint32), *lists, *alone])
+        sizes = np.concatenate([*sizes, np.fromiter(map(len, alone), np.int64, len(alone))])
+        self.keep(words + apart, new, sizes)
+
+    def keep(self, words: list[bytes], new: np.ndarray, sizes: np.ndarray) -> None:
         n = len(self.number)
         while self.used + len(new) > len(self.ids):
             self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
@@ -142,18 +213,14 @@ class Encoder:
         words = [t.split() for t in texts]
         if len(self.number) > KNOWN_WORDS:
             self.clear()
-        known = self.number
-        fresh = list({w for ws in words for w in ws if w not in known})
+        fresh = list(set().union(*words).difference(self.number))
         if fresh:
             self.learn(fresh)
-        out = []
-        for ws in words:
-            at = np.fromiter(map(known.__getitem__, ws), np.int64, len(ws))
-            begin, size = self.bounds[at], self.bounds[at + 1] - self.bounds[at]
-            total = np.cumsum(size)
-            within = np.arange(int(total[-1]) if len(ws) else 0) - np.repeat(total - size, size)
-            out.append(self.ids[within + np.repeat(begin, size)])
-        return out
+        ends = np.cumsum([len(ws) for ws in words], dtype=np.int64)
+        at = np.fromiter(map(self.number.__getitem__, chain.from_iterable(words)), np.int64, int(ends[-1]) if words else 0)
+        ids, total = self.gathered(at)
+        cuts = total[np.concatenate([[0], ends])]
+        return [ids[lo:hi] for lo, hi in zip(cuts[:-1], cuts[1:])]
 
 
 def pieces(column: pa.Array, limit: int = 2 << 20) -> Iterator[tuple[int, list[bytes]]]:

@@ -235,6 +235,23 @@ def test_encoder_equals_whole_texts():
         assert ids.tolist() == tokenizer.encode(t, add_special_tokens=False).ids
 
 
+def test_new_words_go_to_the_tokenizer_together():
+    """Few calls' worth of texts for many words, and the ids of each as if it came alone."""
+    encoder = token_records.Encoder(default_tokenizer())
+    texts = [prose(7700, 300), "a|b | || x|", "|", "\u2223 \uff5c \u00a6 e|\u0301", "<|endoftext|> 's it's \u0301a", "",
+             "ÀÖØÞ àöøÿ×÷ ß. Éa&&& É!! 'É É' École, école École\u0301 don't... a.b x%%% $ $$x ... İ. ÿ\u0308"]
+    given, plain = [], encoder.encoded
+    encoder.encoded = lambda batch: given.extend(batch) or plain(batch)
+    for t, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert ids.tolist() == encoder.tokenizer.encode(t, add_special_tokens=False).ids
+    assert len(encoder.number) > 2_000 and len(given) < 40
+    encoder.straight = None
+    encoder.clear()
+    assert [i.tolist() for i in encoder.encode([t.encode() for t in texts])] == [
+        encoder.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encoder.encode([]) == [] and [len(i) for i in encoder.encode([b"", b" "])] == [0, 0]
+
+
 def test_no_records(none, tmp_path):
     manifest = token_records.write_records(none, str(tmp_path), default_tokenizer(), shards=2)
     assert token_records.read_digests(manifest).count() == 0
