@@ -30,11 +30,11 @@ PIECE = 1 << 15  # bytes whose running sums are taken at a time
 POWERS, BACKS = (np.cumprod(np.concatenate([[U64(1)], np.full(2 * PIECE, x)])) for x in (STEP, BACK))
 
 
-def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, function: Callable, schema: str, size: int = 16 << 20) -> DataFrame:
     """`mapInArrow` with batches of bounded size, and with this package at hand on every worker."""
     ship(df.sparkSession)
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return df.mapInArrow(function, schema)
 
 
@@ -160,7 +160,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, table: n
 def sorting(key: np.ndarray) -> np.ndarray:
     """The stable order of 64-bit hashes: their high bits and their places are sorted as one number."""
     low = U64((1 << max(1, len(key)).bit_length()) - 1)
-    at = (np.sort(key & ~low | np.arange(len(key), dtype=np.uint64)) & low).astype(np.int64)
+    at = key & ~low
+    at |= np.arange(len(key), dtype=np.uint64)
+    at.sort()
+    at &= low
+    at = at.view(np.int64)
     found = key[at]
     return at[np.argsort(found, kind="stable")] if (found[1:] < found[:-1]).any() else at
 

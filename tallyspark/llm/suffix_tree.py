@@ -16,12 +16,13 @@ Runs are known by 64-bit hashes. They travel in packs: a task counts `HELD` toke
 them by ranges of the hash (`ranges`), one row a range. There is a range for every `RANGE` training tokens, so what a
 task holds of one is bounded. A run comes once a pack at counting and once a text at scoring, so no frequent run makes
 a hot range. Texts are read `passes` times, each for another part of the hashes, to bound the disk that shuffles take.
-The addends of a tree are dealt to their ranges once, when it is trained, and kept in packs of up to `HELD` addends.
+The addends of a tree are dealt to their ranges once, when it is trained, and kept in packs of up to `DEALT` addends.
+Between Spark and Python packs go a few at a time (`SENT` bytes), since both sides hold a batch whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
@@ -32,7 +33,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyspark.llm.blocks import STEP, U64, Block, blocks, firsts, map_batches, mix, sorting
+from tallyspark.llm import blocks as texts_of
+from tallyspark.llm.blocks import STEP, U64, Block, blocks, firsts, mix, sorting
 from tallyspark.session import stored
 
 END = np.uint64(0x51F0E3A9C7D2B485)
@@ -41,6 +43,8 @@ HELD = 2_000_000  # tokens that a task counts at a time
 RANGE = 3_000_000  # training tokens for each range of hashes
 CELL = 40  # ranges begin where the bits above this one change
 CHUNK = 4_096  # texts whose sums come back in one row of packs
+DEALT = 1 << 16  # addends in a pack at most
+SENT = 4 << 20  # bytes of a batch between Spark and Python, or a row more
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -128,18 +132,21 @@ def joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     return mix(prefix * STEP + suffix)
 
 
-def token_runs(block: Block, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """Of runs of 1 to `order` tokens: text, prefix, suffix and key of each that ends at a token. The end before a
-    text counts as its first token; runs do not reach further back."""
+def token_runs(block: Block, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of runs of 1 to `order` tokens: text, prefix, suffix and key of one that ends at each token, and which are real.
+    The end before a text counts as its first token; runs do not reach further back."""
     key, bounds = token_stream(block)
     text = np.repeat(np.arange(block.n), np.diff(bounds))
-    place = np.arange(len(key)) - np.repeat(bounds[:-1], np.diff(bounds))
-    yield text, key, key, key
+    real = np.ones(len(key), bool)
+    yield text, key, key, key, real
     for m in range(2, order + 1):
         prefix = np.concatenate([[END], key[:-1]]) if m == 2 else np.concatenate([key[:1], key[:-1]])
         suffix, key = key, joined(prefix, key)
-        real = place >= m - 2
-        yield text[real], prefix[real], suffix[real], key[real]
+        if m > 2:
+            real = real.copy()
+            early = bounds[:-1] + m - 3
+            real[early[early < bounds[1:]]] = False
+        yield text, prefix, suffix, key, real
 
 
 def pack(values: np.ndarray) -> bytes:
@@ -165,20 +172,43 @@ def range_of(key: str, parts: int):
 
 def in_pass(keys: np.ndarray, turn: int, passes: int) -> np.ndarray:
     """Keys of one pass, by bits that the ranges do not look at."""
-    low = keys & U64(0xFFFF)
-    return (low >= U64(-(-(turn << 16) // passes))) & (low < U64(-(-(turn + 1 << 16) // passes)))
+    if passes == 1:
+        return np.ones(len(keys), bool)
+    first, after = (-(-(t << 16) // passes) for t in (turn, turn + 1))
+    return keys.astype(np.uint16) - np.uint16(first) < np.uint16(after - first)
 
 
-def ranged(columns: dict[str, np.ndarray], parts: int) -> Iterator[dict]:
-    """A row of packs for each range that holds some of the rows, which are sorted by `key`."""
+def ranged(columns: dict[str, np.ndarray], parts: int, most: int = HELD) -> Iterator[dict]:
+    """A row of packs for each range that holds some of the rows, which are sorted by `key`; one for every `most` rows of it."""
     bounds = cuts(columns["key"], parts)
     for r in np.flatnonzero(np.diff(bounds)):
-        yield {"part": int(r), **{c: pack(v[bounds[r] : bounds[r + 1]]) for c, v in columns.items()}}
+        for lo in range(bounds[r], bounds[r + 1], most):
+            hi = min(lo + most, bounds[r + 1])
+            yield {"part": int(r), **{c: pack(v[lo:hi]) for c, v in columns.items()}}
+
+
+def rows_of(packs: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    """Batches of about SENT bytes; packs are made as they go."""
+    held, size = [], 0
+    for row in packs:
+        held.append({c: row[c] for c in schema.names})
+        size += sum(len(v) for v in row.values() if isinstance(v, bytes))
+        if size >= SENT or len(held) == 256:
+            yield pa.RecordBatch.from_pylist(held, schema)
+            held, size = [], 0
+    if held:
+        yield pa.RecordBatch.from_pylist(held, schema)
+
+
+def emptied(parts: list[np.ndarray]) -> np.ndarray:
+    """One array of the parts, which are let go."""
+    out = np.concatenate(parts)
+    parts.clear()
+    return out
 
 
-def rows_of(packs: list[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    for lo in range(0, len(packs), 256):
-        yield pa.RecordBatch.from_pylist(packs[lo : lo + 256], schema)
+def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
+    return texts_of.map_batches(df, function, schema, SENT)
 
 
 def whole(batches, group: str) -> Iterator[tuple[int, list[dict]]]:
@@ -205,26 +235,28 @@ PACKED = pa.schema([("part", pa.int32()), ("prefix", pa.binary()), ("suffix", pa
 def counted(texts: DataFrame, order: int, least: int, parts: int, turn: int, passes: int) -> DataFrame:
     """prefix, suffix, key and n of the runs of `order` tokens that occur `least` times or more."""
     def count(batches):
-        held, size = [], 0
+        prefixes, suffixes, size = [], [], 0
 
         def packs():
-            prefix, suffix, key = (np.concatenate(c) for c in zip(*held))
+            prefix, suffix = emptied(prefixes), emptied(suffixes)
+            key = joined(prefix, suffix) if order > 1 else prefix
             at = sorting(key)
             key = key[at]
             first = firsts(key)
-            at, n = at[first], np.diff(first, append=len(key))
-            found = list(ranged({"key": key[first], "prefix": prefix[at], "suffix": suffix[at], "n": n.astype(np.uint32)}, parts))
-            yield from rows_of([{c: row[c] for c in PACKED.names} for row in found], PACKED)
+            at, n, key = at[first], np.diff(first, append=len(key)), key[first]
+            prefix, suffix = prefix[at], suffix[at]
+            yield from rows_of(ranged({"key": key, "prefix": prefix, "suffix": suffix, "n": n.astype(np.uint32)}, parts), PACKED)
 
         for batch in batches:
             for block in blocks(batch.column("text")):
-                *_, (_, prefix, suffix, key) = token_runs(block, order)
-                mine = in_pass(key, turn, passes)
-                held.append((prefix[mine], suffix[mine], key[mine]))
-                size += int(mine.sum())
+                *_, (_, prefix, suffix, key, real) = token_runs(block, order)
+                mine = real & in_pass(key, turn, passes)
+                prefixes.append(prefix[mine])
+                suffixes.append(suffix[mine])
+                size += len(prefixes[-1])
                 if size >= HELD:
                     yield from packs()
-                    held, size = [], 0
+                    size = 0
         if size:
             yield from packs()
 
@@ -267,76 +299,82 @@ def train(texts: DataFrame, depth: int = 2, least: int = 2, least_gain: float =
         addends = [dealt(words.select("key", "n", F.ln(tree.root(F.col("n"))).alias("weight")), tree.ranges)]
         for order in range(2, depth + 2):
             runs = count_runs(texts, order, least, tree.ranges, passes)
-            tried = tested(runs, level)
+            half = with_suffix(runs, level)
+            forget(runs)
+            states = states_of(half, level, least_gain, divergence)
             if order > 2:
                 forget(level)
-            level, added = retained(tried, least_gain, divergence, order <= depth)
-            forget(tried)
-            addends.append(dealt(reduce(DataFrame.unionAll, added), tree.ranges))
-            forget(*added)
+            level = entries(half, states, order <= depth)
+            forget(half)
+            addends.append(dealt(weights(states, level), tree.ranges))
+            forget(states)
+        forget(level)
         tree.addends = reduce(DataFrame.unionAll, addends)
     return tree
 
 
-def tested(runs: DataFrame, level: DataFrame) -> DataFrame:
-    """Runs with `all`, the count of their context, and `low`, the probability after the context's suffix. `level` has
-    key, n and p of runs one token shorter; `runs` is removed."""
-    context = level.select(F.col("key").alias("prefix"), F.col("n").alias("all"))
+def with_suffix(runs: DataFrame, level: DataFrame) -> DataFrame:
+    """Runs with `low`, the probability after the context's suffix. `level` has key, n and p of runs one token shorter."""
     shorter = level.select(F.col("key").alias("suffix"), F.col("p").alias("low"))
-    half = stored(runs.join(shorter, "suffix").select("prefix", "key", "n", "low"), "tree-half")
-    forget(runs)
-    tried = stored(half.join(context, "prefix").select("prefix", "key", "n", "all", "low"), "tree-tried")
-    forget(half)
-    return tried
-
-
-def retained(tried: DataFrame, least_gain: float, divergence: float, inner: bool) -> tuple[DataFrame | None, list[DataFrame]]:
-    """The next level (key, n, p along the longest suffix state; none after the last) and the addends: of states as
-    contexts, and of their entries what they gain over the suffix path."""
-    sums = tried.groupBy("prefix").agg(
-        F.sum(F.col("n") * F.ln(F.col("n") / F.col("all") / F.col("low"))).alias("nats"),
-        F.sum(F.col("n") - DISCOUNT).alias("own"), F.max("all").alias("of"))
-    states = stored(sums.where((F.col("nats") >= least_gain) & (F.col("nats") >= divergence * F.col("of"))).select(
-        "prefix", F.greatest(1 - F.col("own") / F.col("of"), F.lit(1e-9)).alias("backoff")), "tree-states")
-    p = (F.col("n") - DISCOUNT) / F.col("all") + F.coalesce("backoff", F.lit(1.0)) * F.col("low")
-    p = F.when(F.col("backoff").isNull(), F.col("low")).otherwise(p)
-    met = tried.join(states, "prefix", "left" if inner else "inner").select("key", "n", p.alias("p"), "low", "backoff")
-    gain, none = F.ln("p") - F.ln("backoff") - F.ln("low"), F.lit(None).cast("bigint").alias("n")
+    return stored(runs.join(shorter, "suffix").select("prefix", "key", "n", "low"), "tree-half")
+
+
+def states_of(half: DataFrame, level: DataFrame, least_gain: float, divergence: float) -> DataFrame:
+    """Contexts that become states: prefix, `all`, the count of the context, and the share left to its suffix. The count
+    comes in as a factor of the sums, so only a row a context is joined, not every run."""
+    sums = half.groupBy("prefix").agg(
+        F.sum(F.col("n") * F.ln(F.col("n") / F.col("low"))).alias("gained"), F.sum("n").alias("seen"),
+        F.sum(F.col("n") - DISCOUNT).alias("own"))
+    context = level.select(F.col("key").alias("prefix"), F.col("n").alias("all"))
+    nats = F.col("gained") - F.col("seen") * F.ln("all")
+    return stored(sums.join(context, "prefix").where((nats >= least_gain) & (nats >= divergence * F.col("all"))).select(
+        "prefix", "all", F.greatest(1 - F.col("own") / F.col("all"), F.lit(1e-9)).alias("backoff")), "tree-states")
+
+
+def entries(half: DataFrame, states: DataFrame, inner: bool) -> DataFrame:
+    """The next level (key, n, p along the longest suffix state) with what entries of states gain over the suffix path,
+    null for others; after the last level only entries of states."""
+    own = (F.col("n") - DISCOUNT) / F.col("all") + F.col("backoff") * F.col("low")
+    p = F.coalesce(own, F.col("low")).alias("p")
+    gain = (F.ln(own) - F.ln("backoff") - F.ln("low")).alias("gain")
+    return stored(half.join(states, "prefix", "left" if inner else "inner").select("key", "n", p, gain), "tree-entries")
+
+
+def weights(states: DataFrame, level: DataFrame) -> DataFrame:
+    """Addends: of states as contexts, and of their entries."""
+    none = F.lit(None).cast("bigint").alias("n")
     left = states.select(F.col("prefix").alias("key"), none, F.ln("backoff").alias("weight"))
-    if not inner:
-        return None, [left, stored(met.select("key", none, gain.alias("weight")), "tree-gains")]
-    met = stored(met, "tree-entries")
-    gains = stored(met.where("backoff is not null").select("key", none, gain.alias("weight")), "tree-gains")
-    level = stored(met.select("key", "n", "p"), "tree-level")
-    forget(met)
-    return level, [left, gains]
+    return left.unionAll(level.where("gain is not null").select("key", none, F.col("gain").alias("weight")))
 
 
 OFFERED = pa.schema([("part", pa.int32()), ("key", pa.binary()), ("who", pa.binary()), ("value", pa.binary())])
 
 
 def dealt(addends: DataFrame, parts: int) -> DataFrame:
-    """Addends in packs: a task gets whole ranges and cuts every HELD of its addends, so packs grow as their number does."""
+    """Addends in packs: a task gets whole ranges and cuts every HELD of its addends, so packs grow as their number does.
+    Pages are closed by their size from the first pack on; else a hundred packs would be one page, held whole by its reader."""
     def offer(batches):
-        held, size = [], 0
+        keys, counts, gains, size = [], [], [], 0
 
         def packs():
-            key, n, weight = (np.concatenate(c) for c in zip(*held))
+            key, n, weight = emptied(keys), emptied(counts), emptied(gains)
             at = sorting(key)
-            yield from rows_of(list(ranged({"key": key[at], "who": n[at], "value": weight[at]}, parts)), OFFERED)
+            yield from rows_of(ranged({"key": key[at], "who": n[at], "value": weight[at]}, parts, DEALT), OFFERED)
 
         for batch in batches:
-            held.append((batch.column("key").to_numpy().view(np.uint64), batch.column("n").fill_null(0).to_numpy().astype(np.uint64),
-                         batch.column("weight").to_numpy()))
+            keys.append(batch.column("key").to_numpy().view(np.uint64))
+            counts.append(batch.column("n").fill_null(0).to_numpy().astype(np.uint64))
+            gains.append(batch.column("weight").to_numpy())
             size += batch.num_rows
             if size >= HELD:
                 yield from packs()
-                held, size = [], 0
+                size = 0
         if size:
             yield from packs()
 
     rows = addends.withColumn("part", range_of("key", parts)).repartition("part").drop("part")
-    return stored(map_batches(rows, offer, "part int, key binary, who binary, value binary"), "tree-addends")
+    packed = map_batches(rows, offer, "part int, key binary, who binary, value binary")
+    return stored(packed, "tree-addends", {"parquet.page.size.row.check.min": "1"})
 
 
 ASKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("key", pa.binary()),
@@ -374,35 +412,38 @@ def looked_up(docs: DataFrame, tree: Tree, turn: int, passes: int) -> DataFrame:
     parts, order = tree.ranges, tree.depth + 1
 
     def ask(batches):
-        task, now, held, size = TaskContext.get().partitionId(), 0, [], 0
+        task, now, keys, whose, size = TaskContext.get().partitionId(), 0, [], [], 0
 
         def packs():
-            key, who = (np.concatenate(c) for c in zip(*held))
-            key, who, times = once_a_text(key, who)
+            key, who, times = once_a_text(emptied(keys), emptied(whose))
             found = ranged({"key": key, "who": who, "value": times}, parts)
-            yield from rows_of([{**row, "kind": 1, "chunk": int(chunk_of(task, now * CHUNK))} for row in found], ASKED)
+            yield from rows_of(({**row, "kind": 1, "chunk": int(chunk_of(task, now * CHUNK))} for row in found), ASKED)
 
         for start, _, block in numbered(batches):
-            runs = [(key[mine], text[mine] + start) for text, _, _, key in token_runs(block, order)
-                    for mine in [in_pass(key, turn, passes)]]
+            runs = [(key[mine], text[mine] + start) for text, _, _, key, real in token_runs(block, order)
+                    for mine in [real & in_pass(key, turn, passes)]]
             for chunk in range(start // CHUNK, (start + block.n - 1) // CHUNK + 1):
                 if size and (chunk != now or size >= HELD):
                     yield from packs()
-                    held, size = [], 0
+                    size = 0
                 now = chunk
                 for key, who in runs:
                     lo, hi = np.searchsorted(who, [chunk * CHUNK, (chunk + 1) * CHUNK])
-                    held.append((key[lo:hi], (who[lo:hi] - chunk * CHUNK).astype(np.uint16)))
+                    keys.append(key[lo:hi])
+                    whose.append((who[lo:hi] - chunk * CHUNK).astype(np.uint16))
                     size += int(hi - lo)
         if size:
             yield from packs()
 
     def offer(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                columns = {c: unpack(row[c], kind) for c, kind in OFFERS.items()}
-                mine = in_pass(columns["key"], turn, passes)
-                yield from rows_of([{"part": row["part"], "kind": 0, "chunk": None, **{c: pack(v[mine]) for c, v in columns.items()}}], ASKED)
+        def packs():
+            for batch in batches:
+                for row in batch.to_pylist():
+                    columns = {c: unpack(row[c], kind) for c, kind in OFFERS.items()}
+                    mine = in_pass(columns["key"], turn, passes)
+                    yield {"part": row["part"], "kind": 0, "chunk": None, **{c: pack(v[mine]) for c, v in columns.items()}}
+
+        yield from rows_of(packs(), ASKED)
 
     def meet(batches):
         part, offered, lookup = None, [], None
@@ -413,10 +454,11 @@ def looked_up(docs: DataFrame, tree: Tree, turn: int, passes: int) -> DataFrame:
                 if row["kind"] == 0:
                     offered.append(tuple(unpack(row[c], kind) for c, kind in OFFERS.items()))
                     continue
-                if not offered:
-                    continue
                 if lookup is None:
+                    if not offered:
+                        continue
                     key, n, weight = (np.concatenate(c) for c in zip(*offered))
+                    offered = []
                     at = sorting(key)
                     key = key[at]
                     first = firsts(key)

@@ -63,11 +63,11 @@ def scratch_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write `df` to the shared scratch folder and read it back: cuts lineage, survives executor loss."""
+def stored(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write `df` to the shared scratch folder and read it back: cuts lineage, survives executor loss. `options` go to the writer."""
     spark = df.sparkSession
     path = scratch_dir(spark, label)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

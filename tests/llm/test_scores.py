@@ -137,6 +137,32 @@ def test_addends_come_once_a_range(judged, monkeypatch):
     assert model.ranges > 50 and model.addends.count() <= (model.depth + 1) * model.ranges
 
 
+def test_packs_go_a_few_at_a_time():
+    """What Spark and Python hold of the packs of a task is a batch of bounded size, not all that it counted."""
+    made = []
+
+    def packs():
+        for part in range(200):
+            made.append(part)
+            yield {"part": part, **dict.fromkeys(("prefix", "suffix", "n"), bytes(100_000))}
+
+    sent = 0
+    for batch in suffix_tree.rows_of(packs(), suffix_tree.PACKED):
+        sent += batch.num_rows
+        assert batch.nbytes <= suffix_tree.SENT + 400_000 and len(made) == sent
+    assert sent == 200
+
+
+def test_addends_lie_in_packs_of_bounded_size(judged, monkeypatch):
+    docs = judged.where("doc_id < 50")
+    want = sorted((r.doc_id, round(r.score, 6)) for r in suffix_tree.score(docs, suffix_tree.train(docs)).collect())
+    monkeypatch.setattr(suffix_tree, "DEALT", 40)
+    model = suffix_tree.train(docs)
+    sizes = [len(r.key) // 8 for r in model.addends.collect()]
+    assert max(sizes) == 40 and len(sizes) <= sum(sizes) / 40 + (model.depth + 1) * model.ranges
+    assert sorted((r.doc_id, round(r.score, 6)) for r in suffix_tree.score(docs, model).collect()) == want
+
+
 def test_word_hashes_and_their_order():
     texts = [prose(3, 3_000), "", "a" * 300_000 + " B", " \n", "x " * 70_000 + "Y" * 65_536, "É"]
     words = next(blocks(pa.array(texts), 1 << 24)).words()
