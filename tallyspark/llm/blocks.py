@@ -26,6 +26,7 @@ LOWERED = AS_IS.copy()
 LOWERED[65:91] = AS_IS[97:123]
 STEP = U64(0x9E3779B97F4A7C15)
 BACK = U64(pow(int(STEP), -1, 1 << 64))
+UNMIX = [U64(pow(x, -1, 1 << 64)) for x in (0x94D049BB133111EB, 0xBF58476D1CE4E5B9)]
 PIECE = 1 << 15  # bytes whose running sums are taken at a time
 POWERS, BACKS = (np.cumprod(np.concatenate([[U64(1)], np.full(2 * PIECE, x)])) for x in (STEP, BACK))
 
@@ -48,6 +49,16 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def unmix(h: np.ndarray) -> np.ndarray:
+    """The numbers that `mix` spread."""
+    h = h ^ (h >> U64(31)) ^ (h >> U64(62))
+    h *= UNMIX[0]
+    h ^= (h >> U64(27)) ^ (h >> U64(54))
+    h *= UNMIX[1]
+    h ^= (h >> U64(30)) ^ (h >> U64(60))
+    return h
+
+
 class Block:
     """Whole texts lo..hi of a column: their bytes, and where each text begins."""
 

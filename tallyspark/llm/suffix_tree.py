@@ -16,6 +16,7 @@ Runs are known by 64-bit hashes. They travel in packs: a task counts `HELD` toke
 them by ranges of the hash (`ranges`), one row a range. There is a range for every `RANGE` training tokens, so what a
 task holds of one is bounded. A run comes once a pack at counting and once a text at scoring, so no frequent run makes
 a hot range. Texts are read `passes` times, each for another part of the hashes, to bound the disk that shuffles take.
+Training meets runs with their suffixes and contexts in the same packs, dealt by the hash of what they are met with.
 The addends of a tree are dealt to their ranges once, when it is trained, and kept in packs of up to `DEALT` addends.
 Between Spark and Python packs go a few at a time (`SENT` bytes), since both sides hold a batch whole.
 """
@@ -26,6 +27,8 @@ from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import reduce
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyspark.llm import blocks as texts_of
-from tallyspark.llm.blocks import STEP, U64, Block, blocks, firsts, mix, sorting
+from tallyspark.llm.blocks import STEP, U64, Block, blocks, firsts, mix, sorting, unmix
 from tallyspark.session import stored
 
 END = np.uint64(0x51F0E3A9C7D2B485)
@@ -45,6 +48,7 @@ CELL = 40  # ranges begin where the bits above this one change
 CHUNK = 4_096  # texts whose sums come back in one row of packs
 DEALT = 1 << 16  # addends in a pack at most
 SENT = 4 << 20  # bytes of a batch between Spark and Python, or a row more
+PAGES = {"parquet.page.size.row.check.min": "1"}
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -132,6 +136,11 @@ def joined(prefix: np.ndarray, suffix: np.ndarray) -> np.ndarray:
     return mix(prefix * STEP + suffix)
 
 
+def last(key: np.ndarray, prefix: np.ndarray) -> np.ndarray:
+    """The suffix of a run, from its key and its prefix."""
+    return unmix(key) - prefix * STEP
+
+
 def token_runs(block: Block, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Of runs of 1 to `order` tokens: text, prefix, suffix and key of one that ends at each token, and which are real.
     The end before a text counts as its first token; runs do not reach further back."""
@@ -151,12 +160,20 @@ def token_runs(block: Block, order: int) -> Iterator[tuple[np.ndarray, np.ndarra
 
 def pack(values: np.ndarray) -> bytes:
     """The bytes of numbers, first all lowest ones: sorted numbers share their highest, which then compress."""
-    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+    rows = values.view(np.uint8).reshape(len(values), values.itemsize)
+    out = np.empty(rows.shape[::-1], np.uint8)
+    for i in range(values.itemsize):  # byte by byte is several times as fast as a transposed copy
+        out[i] = rows[:, i]
+    return out.tobytes()
 
 
 def unpack(packed: bytes, kind) -> np.ndarray:
     size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(size, -1).T).view(kind).ravel()
+    rows = np.frombuffer(packed, np.uint8).reshape(size, -1)
+    out = np.empty(rows.shape[::-1], np.uint8)
+    for i in range(size):
+        out[:, i] = rows[i]
+    return out.view(kind).ravel()
 
 
 def cuts(keys: np.ndarray, parts: int) -> np.ndarray:
@@ -165,11 +182,6 @@ def cuts(keys: np.ndarray, parts: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, first), [len(keys)]])
 
 
-def range_of(key: str, parts: int):
-    """The range of a hash in a column of signed numbers; as `cuts` has it."""
-    return (F.shiftrightunsigned(key, CELL) * parts / F.lit(1 << 64 - CELL)).cast("int")
-
-
 def in_pass(keys: np.ndarray, turn: int, passes: int) -> np.ndarray:
     """Keys of one pass, by bits that the ranges do not look at."""
     if passes == 1:
@@ -178,13 +190,17 @@ def in_pass(keys: np.ndarray, turn: int, passes: int) -> np.ndarray:
     return keys.astype(np.uint16) - np.uint16(first) < np.uint16(after - first)
 
 
-def ranged(columns: dict[str, np.ndarray], parts: int, most: int = HELD) -> Iterator[dict]:
-    """A row of packs for each range that holds some of the rows, which are sorted by `key`; one for every `most` rows of it."""
-    bounds = cuts(columns["key"], parts)
+def sliced(part: int, columns: dict[str, np.ndarray], lo: int, hi: int, most: int) -> Iterator[dict]:
+    """Rows of packs of one range, one for every `most` rows from `lo` to `hi`."""
+    for at in range(lo, hi, most):
+        yield {"part": part, **{c: pack(v[at : min(at + most, hi)]) for c, v in columns.items()}}
+
+
+def ranged(columns: dict[str, np.ndarray], parts: int, by: str = "key") -> Iterator[dict]:
+    """A row of packs for each range that holds some of the rows, which are sorted by `by`; one for every HELD rows of it."""
+    bounds = cuts(columns[by], parts)
     for r in np.flatnonzero(np.diff(bounds)):
-        for lo in range(bounds[r], bounds[r + 1], most):
-            hi = min(lo + most, bounds[r + 1])
-            yield {"part": int(r), **{c: pack(v[lo:hi]) for c, v in columns.items()}}
+        yield from sliced(int(r), columns, bounds[r], bounds[r + 1], HELD)
 
 
 def rows_of(packs: Iterable[dict], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
@@ -211,76 +227,108 @@ def map_batches(df: DataFrame, function: Callable, schema: str) -> DataFrame:
     return texts_of.map_batches(df, function, schema, SENT)
 
 
-def whole(batches, group: str) -> Iterator[tuple[int, list[dict]]]:
-    """Rows of equal `group`, from batches sorted by it."""
-    now, held = None, []
-    for batch in batches:
-        for row in batch.to_pylist():
-            if held and row[group] != now:
-                yield now, held
-                held = []
-            now = row[group]
-            held.append(row)
-    if held:
-        yield now, held
+def parted(batches) -> Iterator[tuple[int, Iterator[dict]]]:
+    """The rows of each range as they come, from batches sorted by it."""
+    return groupby((row for batch in batches for row in batch.to_pylist()), itemgetter("part"))
+
+
+def joint(rows: Iterable[dict], kinds: dict[str, type]) -> list[np.ndarray]:
+    """The columns of packs, one array each."""
+    rows = list(rows)
+    return [np.concatenate([unpack(row[c], kind) for row in rows] or [np.zeros(0, kind)]) for c, kind in kinds.items()]
+
+
+def table_of(rows: list[dict], column: str) -> tuple[Lookup, np.ndarray]:
+    """The different keys of packs, and a column in their order."""
+    key, values = joint(rows, {c: OFFERS[c] for c in ("key", column)})
+    at = sorting(key)
+    return Lookup(key[at]), values[at]
+
+
+def gathered(found: Iterable[dict[str, np.ndarray]], by: str) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of HELD rows or a few more at a time, sorted by one of them."""
+    held, size = {}, 0
+
+    def together():
+        first = emptied(held[by])
+        at = sorting(first)
+        return {by: first[at], **{c: emptied(v)[at] for c, v in held.items() if c != by}}
+
+    for columns in found:
+        for c, v in columns.items():
+            held.setdefault(c, []).append(v)
+        size += len(columns[by])
+        if size >= HELD:
+            yield together()
+            size = 0
+    if size:
+        yield together()
 
 
 def merged(packed: DataFrame, *order: str) -> DataFrame:
     return packed.repartition(order[0]).sortWithinPartitions(*order)
 
 
+COUNTED = pa.schema([("part", pa.int32()), ("key", pa.binary()), ("prefix", pa.binary()), ("n", pa.binary())])
 PACKED = pa.schema([("part", pa.int32()), ("prefix", pa.binary()), ("suffix", pa.binary()), ("n", pa.binary())])
 
 
 def counted(texts: DataFrame, order: int, least: int, parts: int, turn: int, passes: int) -> DataFrame:
-    """prefix, suffix, key and n of the runs of `order` tokens that occur `least` times or more."""
+    """The runs of `order` tokens that occur `least` times or more: key and n of words, longer ones as `PACKED` by their
+    suffix. A run travels as its key, by which it is sorted, and its prefix; the suffix follows from both."""
     def count(batches):
-        prefixes, suffixes, size = [], [], 0
+        keys, prefixes, size = [], [], 0
 
         def packs():
-            prefix, suffix = emptied(prefixes), emptied(suffixes)
-            key = joined(prefix, suffix) if order > 1 else prefix
+            key, prefix = emptied(keys), emptied(prefixes)
             at = sorting(key)
             key = key[at]
             first = firsts(key)
-            at, n, key = at[first], np.diff(first, append=len(key)), key[first]
-            prefix, suffix = prefix[at], suffix[at]
-            yield from rows_of(ranged({"key": key, "prefix": prefix, "suffix": suffix, "n": n.astype(np.uint32)}, parts), PACKED)
+            n = np.diff(first, append=len(key)).astype(np.uint32)
+            prefix = prefix[at[first]] if order > 1 else prefix
+            yield from rows_of(ranged({"key": key[first], "prefix": prefix, "n": n}, parts), COUNTED)
 
         for batch in batches:
             for block in blocks(batch.column("text")):
-                *_, (_, prefix, suffix, key, real) = token_runs(block, order)
+                *_, (_, prefix, _, key, real) = token_runs(block, order)
                 mine = real & in_pass(key, turn, passes)
-                prefixes.append(prefix[mine])
-                suffixes.append(suffix[mine])
-                size += len(prefixes[-1])
+                keys.append(key[mine])
+                prefixes.append(prefix[mine] if order > 1 else prefix[:0])
+                size += len(keys[-1])
                 if size >= HELD:
                     yield from packs()
                     size = 0
         if size:
             yield from packs()
 
-    def add(batches):
-        for _, packs in whole(batches, "part"):
-            prefix, suffix, n = (np.concatenate([unpack(p[c], kind) for p in packs])
-                                 for c, kind in (("prefix", np.uint64), ("suffix", np.uint64), ("n", np.uint32)))
-            key = joined(prefix, suffix) if order > 1 else prefix
+    def often(batches):
+        for _, rows in parted(batches):
+            key, prefix, n = joint(rows, {"key": np.uint64, "prefix": np.uint64, "n": np.uint32})
             at = sorting(key)
             key = key[at]
             first = firsts(key)
-            total = np.add.reduceat(n[at], first, dtype=np.int64)
-            often = total >= least
-            at = at[first[often]]
-            yield pa.RecordBatch.from_pydict({
-                "prefix": prefix[at].view(np.int64), "suffix": suffix[at].view(np.int64),
-                "key": key[first[often]].view(np.int64), "n": total[often]})
+            total = np.add.reduceat(n[at], first, dtype=np.uint64)
+            kept = total >= least
+            first = first[kept]
+            yield key[first], prefix[at[first]] if order > 1 else prefix, total[kept]
 
-    packed = map_batches(texts.select("text"), count, "part int, prefix binary, suffix binary, n binary")
-    return map_batches(merged(packed, "part"), add, "prefix bigint, suffix bigint, key bigint, n bigint")
+    def words(batches):
+        for key, _, n in often(batches):
+            yield pa.RecordBatch.from_pydict({"key": key.view(np.int64), "n": n.view(np.int64)})
+
+    def runs(batches):
+        found = ({"prefix": prefix, "suffix": last(key, prefix), "n": n} for key, prefix, n in often(batches))
+        for columns in gathered(found, "suffix"):
+            yield from rows_of(ranged(columns, parts, by="suffix"), PACKED)
+
+    packed = merged(map_batches(texts.select("text"), count, "part int, key binary, prefix binary, n binary"), "part")
+    if order == 1:
+        return map_batches(packed, words, "key bigint, n bigint")
+    return map_batches(packed, runs, "part int, prefix binary, suffix binary, n binary")
 
 
 def count_runs(texts: DataFrame, order: int, least: int, parts: int, passes: int) -> DataFrame:
-    done = [stored(counted(texts, order, least, parts, turn, passes), "tree-runs") for turn in range(passes)]
+    done = [stored(counted(texts, order, least, parts, turn, passes), "tree-runs", PAGES) for turn in range(passes)]
     return reduce(DataFrame.unionAll, done)
 
 
@@ -295,86 +343,158 @@ def train(texts: DataFrame, depth: int = 2, least: int = 2, least_gain: float =
         words = stored(counted(texts, 1, 1, ranges(size // 4), 0, 1).select("key", "n"), "tree-words")
         tokens, distinct = words.agg(F.sum("n"), F.count(F.lit(1))).first()
         tree = Tree(words, tokens or 0, distinct, depth)
-        level = words.withColumn("p", tree.root(F.col("n")))
-        addends = [dealt(words.select("key", "n", F.ln(tree.root(F.col("n"))).alias("weight")), tree.ranges)]
+        level = dealt(offered(words.select("key", "n", F.ln(tree.root(F.col("n"))).alias("weight")), tree.ranges))
+        addends = [level]
+        forget(words)
         for order in range(2, depth + 2):
             runs = count_runs(texts, order, least, tree.ranges, passes)
-            half = with_suffix(runs, level)
+            halves = with_suffix(runs, level, tree.ranges)
+            found = stored(entries(halves, level, tree.ranges, least_gain, divergence, order <= depth), "tree-entries", PAGES)
             forget(runs)
-            states = states_of(half, level, least_gain, divergence)
             if order > 2:
                 forget(level)
-            level = entries(half, states, order <= depth)
-            forget(half)
-            addends.append(dealt(weights(states, level), tree.ranges))
-            forget(states)
+            level = found
+            addends.append(dealt(found.select("part", "key", "who", F.col("gain").alias("value")), words=False))
         forget(level)
         tree.addends = reduce(DataFrame.unionAll, addends)
     return tree
 
 
-def with_suffix(runs: DataFrame, level: DataFrame) -> DataFrame:
-    """Runs with `low`, the probability after the context's suffix. `level` has key, n and p of runs one token shorter."""
-    shorter = level.select(F.col("key").alias("suffix"), F.col("p").alias("low"))
-    return stored(runs.join(shorter, "suffix").select("prefix", "key", "n", "low"), "tree-half")
-
+HALVES = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("prefix", pa.binary()), ("key", pa.binary()),
+                    ("n", pa.binary()), ("value", pa.binary())])
+HALF = {"prefix": np.uint64, "key": np.uint64, "n": np.uint64, "value": np.float64}
 
-def states_of(half: DataFrame, level: DataFrame, least_gain: float, divergence: float) -> DataFrame:
-    """Contexts that become states: prefix, `all`, the count of the context, and the share left to its suffix. The count
-    comes in as a factor of the sums, so only a row a context is joined, not every run."""
-    sums = half.groupBy("prefix").agg(
-        F.sum(F.col("n") * F.ln(F.col("n") / F.col("low"))).alias("gained"), F.sum("n").alias("seen"),
-        F.sum(F.col("n") - DISCOUNT).alias("own"))
-    context = level.select(F.col("key").alias("prefix"), F.col("n").alias("all"))
-    nats = F.col("gained") - F.col("seen") * F.ln("all")
-    return stored(sums.join(context, "prefix").where((nats >= least_gain) & (nats >= divergence * F.col("all"))).select(
-        "prefix", "all", F.greatest(1 - F.col("own") / F.col("all"), F.lit(1e-9)).alias("backoff")), "tree-states")
 
+def with_suffix(runs: DataFrame, level: DataFrame, parts: int) -> DataFrame:
+    """Runs by the ranges of their prefix, with `value`, the log probability after the context's suffix (kind 2). `level`
+    has key, who (the count) and value (that logarithm) of runs one token shorter. Before them go the sums of each prefix
+    (kind 1): as `key` its entries, as `n` their count, as `value` their nats but for the count of the context. So the
+    entries of a frequent context need not be held to judge it."""
+    def meet(batches):
+        def found():
+            for _, rows in parted(batches):
+                shorter, lookup = [], None
+                for row in rows:
+                    if row["kind"] == 0:
+                        shorter.append(row)
+                        continue
+                    if lookup is None:
+                        lookup, low = table_of(shorter, "value")
+                    prefix, suffix, n = joint([row], {"prefix": np.uint64, "suffix": np.uint64, "n": np.uint64})
+                    at = lookup.find(suffix)
+                    hit = at >= 0
+                    yield {"prefix": prefix[hit], "key": joined(prefix, suffix)[hit], "n": n[hit], "value": low[at[hit]]}
+
+        for columns in gathered(found(), "prefix"):
+            first, n = firsts(columns["prefix"]), columns["n"]
+            sums = {"prefix": columns["prefix"][first], "key": np.diff(first, append=len(n)).astype(np.uint64)}
+            if len(n):
+                nats = n * (np.log(n) - columns["value"])
+                sums |= {"n": np.add.reduceat(n, first), "value": np.add.reduceat(nats, first)}
+                for kind, rows in ((1, sums), (2, columns)):
+                    yield from rows_of(({**row, "kind": kind} for row in ranged(rows, parts, by="prefix")), HALVES)
+
+    none = F.lit(None).cast("binary")
+    shorter = level.where("value is not null").select(
+        "part", F.lit(0).alias("kind"), "key", none.alias("prefix"), none.alias("suffix"), none.alias("n"), "value")
+    longer = runs.select("part", F.lit(1).alias("kind"), none.alias("key"), "prefix", "suffix", "n", none.alias("value"))
+    return map_batches(merged(shorter.unionAll(longer), "part", "kind"), meet,
+                       "part int, kind int, prefix binary, key binary, n binary, value binary")
+
+
+LEVEL = pa.schema([("part", pa.int32()), ("key", pa.binary()), ("who", pa.binary()), ("value", pa.binary()), ("gain", pa.binary())])
+
+
+def entries(halves: DataFrame, level: DataFrame, parts: int, least_gain: float, divergence: float, inner: bool) -> DataFrame:
+    """Packs of the next level: key, who (the count), value (the log probability along the longest suffix state) and gain
+    (what an entry of a state adds to the suffix path, not a number for others); after the last level only entries of
+    states. With them packs of the states: as gain the logarithm of the share left to the suffix; count and value null."""
+    def states(shorter, sums):
+        contexts, seen_in_all = table_of(shorter, "who")
+        prefix, entries, seen, gained = joint(sums, HALF)
+        at = sorting(prefix)
+        prefix = prefix[at]
+        first = firsts(prefix)
+        entries, seen, gained = (np.add.reduceat(v[at], first) for v in (entries, seen, gained))
+        prefix, at = prefix[first], contexts.find(prefix[first])
+        total = seen_in_all[at]
+        nats = gained - seen * np.log(total)
+        kept = (at >= 0) & (nats >= least_gain) & (nats >= divergence * total)
+        left = np.maximum(1 - (seen - DISCOUNT * entries) / total, 1e-9)
+        return prefix[kept], total[kept], left[kept]
+
+    def judge(batches):
+        left = []
+
+        def found():
+            for part, rows in parted(batches):
+                shorter, sums, lookup = [], [], None
+                for row in rows:
+                    if row["kind"] < 2:
+                        (sums if row["kind"] else shorter).append(row)
+                        continue
+                    if lookup is None:
+                        prefix, total, backoff = states(shorter, sums)
+                        shorter, sums, lookup = [], [], Lookup(prefix)
+                        left.append({"part": part, "key": pack(prefix), "who": None, "value": None, "gain": pack(np.log(backoff))})
+                    prefix, key, n, low = joint([row], HALF)
+                    at = lookup.find(prefix)
+                    hit = at >= 0
+                    if not inner:
+                        key, n, low, at, hit = key[hit], n[hit], low[hit], at[hit], hit[hit]
+                    at = at[hit]
+                    own = np.log((n[hit] - DISCOUNT) / total[at] + backoff[at] * np.exp(low[hit]))
+                    gain = np.full(len(key), np.nan)
+                    gain[hit] = own - np.log(backoff[at]) - low[hit]
+                    value = low.copy()
+                    value[hit] = own
+                    yield {"key": key, "who": n, "value": value, "gain": gain}
+
+        for columns in gathered(found(), "key"):
+            yield from rows_of(ranged(columns, parts), LEVEL)
+            yield from rows_of(left, LEVEL)
+            left.clear()
+        yield from rows_of(left, LEVEL)
+
+    none = F.lit(None).cast("binary")
+    contexts = level.where("who is not null").select(
+        "part", F.lit(0).alias("kind"), none.alias("prefix"), "key", "who", none.alias("n"), none.alias("value"))
+    both = contexts.unionAll(halves.select("part", "kind", "prefix", "key", none.alias("who"), "n", "value"))
+    return map_batches(merged(both, "part", "kind"), judge, "part int, key binary, who binary, value binary, gain binary")
 
-def entries(half: DataFrame, states: DataFrame, inner: bool) -> DataFrame:
-    """The next level (key, n, p along the longest suffix state) with what entries of states gain over the suffix path,
-    null for others; after the last level only entries of states."""
-    own = (F.col("n") - DISCOUNT) / F.col("all") + F.col("backoff") * F.col("low")
-    p = F.coalesce(own, F.col("low")).alias("p")
-    gain = (F.ln(own) - F.ln("backoff") - F.ln("low")).alias("gain")
-    return stored(half.join(states, "prefix", "left" if inner else "inner").select("key", "n", p, gain), "tree-entries")
 
+OFFERED = pa.schema([("part", pa.int32()), ("key", pa.binary()), ("who", pa.binary()), ("value", pa.binary())])
+OFFERS = {"key": np.uint64, "who": np.uint64, "value": np.float64}
 
-def weights(states: DataFrame, level: DataFrame) -> DataFrame:
-    """Addends: of states as contexts, and of their entries."""
-    none = F.lit(None).cast("bigint").alias("n")
-    left = states.select(F.col("prefix").alias("key"), none, F.ln("backoff").alias("weight"))
-    return left.unionAll(level.where("gain is not null").select("key", none, F.col("gain").alias("weight")))
 
+def offered(words: DataFrame, parts: int) -> DataFrame:
+    """Packs (key, who, value) of rows (key, n, weight)."""
+    def offer(batches):
+        found = ({"key": batch.column("key").to_numpy().view(np.uint64), "who": batch.column("n").to_numpy().view(np.uint64),
+                  "value": batch.column("weight").to_numpy()} for batch in batches)
+        for columns in gathered(found, "key"):
+            yield from rows_of(ranged(columns, parts), OFFERED)
 
-OFFERED = pa.schema([("part", pa.int32()), ("key", pa.binary()), ("who", pa.binary()), ("value", pa.binary())])
+    return map_batches(words, offer, "part int, key binary, who binary, value binary")
 
 
-def dealt(addends: DataFrame, parts: int) -> DataFrame:
-    """Addends in packs: a task gets whole ranges and cuts every HELD of its addends, so packs grow as their number does.
+def dealt(packed: DataFrame, words: bool = True) -> DataFrame:
+    """Addends, each range whole in packs of up to DEALT, so packs grow as their number does; only words keep their count.
     Pages are closed by their size from the first pack on; else a hundred packs would be one page, held whole by its reader."""
-    def offer(batches):
-        keys, counts, gains, size = [], [], [], 0
-
+    def deal(batches):
         def packs():
-            key, n, weight = emptied(keys), emptied(counts), emptied(gains)
-            at = sorting(key)
-            yield from rows_of(ranged({"key": key[at], "who": n[at], "value": weight[at]}, parts, DEALT), OFFERED)
+            for part, rows in parted(batches):
+                rows = list(rows)
+                key, value = joint(rows, {"key": np.uint64, "value": np.float64})
+                who = joint(rows, {"who": np.uint64})[0] if words else np.zeros(len(key), np.uint64)
+                rows.clear()
+                at = sorting(key)
+                at = at[~np.isnan(value[at])]
+                yield from sliced(part, {"key": key[at], "who": who[at], "value": value[at]}, 0, len(at), DEALT)
 
-        for batch in batches:
-            keys.append(batch.column("key").to_numpy().view(np.uint64))
-            counts.append(batch.column("n").fill_null(0).to_numpy().astype(np.uint64))
-            gains.append(batch.column("weight").to_numpy())
-            size += batch.num_rows
-            if size >= HELD:
-                yield from packs()
-                size = 0
-        if size:
-            yield from packs()
+        yield from rows_of(packs(), OFFERED)
 
-    rows = addends.withColumn("part", range_of("key", parts)).repartition("part").drop("part")
-    packed = map_batches(rows, offer, "part int, key binary, who binary, value binary")
-    return stored(packed, "tree-addends", {"parquet.page.size.row.check.min": "1"})
+    return stored(map_batches(merged(packed, "part"), deal, "part int, key binary, who binary, value binary"), "tree-addends", PAGES)
 
 
 ASKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("key", pa.binary()),
@@ -382,9 +502,6 @@ ASKED = pa.schema([("part", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int6
 SUMS = pa.schema([("chunk", pa.int64()), ("who", pa.binary()), ("known", pa.binary()), ("base", pa.binary()), ("score", pa.binary())])
 
 
-OFFERS = {"key": np.uint64, "who": np.uint64, "value": np.float64}
-
-
 def numbered(batches) -> Iterator[tuple[int, pa.RecordBatch, Block]]:
     """Blocks with the number of their first text in the task; equal at every reading of one table."""
     start = 0

@@ -163,6 +163,37 @@ def test_addends_lie_in_packs_of_bounded_size(judged, monkeypatch):
     assert sorted((r.doc_id, round(r.score, 6)) for r in suffix_tree.score(docs, model).collect()) == want
 
 
+def test_training_moves_packs(ordered, monkeypatch):
+    """Between the steps of training all but words lie in packs, a few rows whatever the number of runs in them."""
+    rows, write = Counter(), suffix_tree.stored
+
+    def stored(df, label, *options):
+        table = write(df, label, *options)
+        if label != "tree-words":
+            rows[label] += table.count()
+        return table
+
+    monkeypatch.setattr(suffix_tree, "stored", stored)
+    model = suffix_tree.train(ordered)
+    assert sum(len(r.key) // 8 for r in model.addends.collect()) > 100 and rows["tree-runs"] and sum(rows.values()) < 50
+
+
+def test_a_suffix_follows_from_key_and_prefix():
+    prefix, suffix = (np.random.default_rng(i).integers(0, 1 << 64, 1_000, np.uint64) for i in (1, 2))
+    assert (suffix_tree.last(suffix_tree.joined(prefix, suffix), prefix) == suffix).all()
+
+
+def test_a_context_with_many_entries(docs_of, monkeypatch):
+    """Entries of one context that come in many packs are judged together."""
+    texts = [" ".join(f"the n{(7 * i + j) % 90} of" for j in range(30)) for i in range(40)]
+    docs, plain = docs_of(list(enumerate(texts))), PlainTree(texts)
+    monkeypatch.setattr(suffix_tree, "HELD", 20)
+    monkeypatch.setattr(suffix_tree, "RANGE", 500)
+    got = {r.doc_id: r.score for r in suffix_tree.score(docs, suffix_tree.train(docs)).collect()}
+    assert (b"of",) in plain.states and (b"the",) in plain.states
+    assert got == pytest.approx({i: plain.score(t) for i, t in enumerate(texts)}, abs=1e-6)
+
+
 def test_word_hashes_and_their_order():
     texts = [prose(3, 3_000), "", "a" * 300_000 + " B", " \n", "x " * 70_000 + "Y" * 65_536, "É"]
     words = next(blocks(pa.array(texts), 1 << 24)).words()
