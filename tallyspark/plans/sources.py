@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tallyspark.operators import profile
@@ -18,9 +20,15 @@ def _as_csv(df, label, **options):
     return path
 
 
+def _csv_and_back(df, label, sep=",", **options):
+    """`df` written as CSV and read again. Nulls are written as a word that no cell holds, so that empty texts stay empty texts."""
+    null = f"null-{uuid.uuid4().hex}"
+    path = _as_csv(df, label, sep=sep, nullValue=null, quote='"', escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False, **options)
+    return tables.read_csv_text(df.sparkSession, path, sep=sep, null=null)
+
+
 def q_csv_raw_scan(spark, sf):
-    path = _as_csv(table(spark, sf, "customer").withColumn("c_name", F.concat(F.col("c_name"), F.lit('; "x"'))), "customer", sep=";", quote='"', escape='"')
-    return tables.read_csv_text(spark, path, sep=";")
+    return _csv_and_back(table(spark, sf, "customer").withColumn("c_name", F.concat(F.col("c_name"), F.lit('; "x"'))), "customer", sep=";")
 
 
 SQL_CSV_RAW_SCAN = """SELECT c_custkey::VARCHAR AS c_custkey, c_name || '; "x"' AS c_name, c_nationkey::VARCHAR AS c_nationkey,
@@ -29,8 +37,7 @@ SQL_CSV_RAW_SCAN = """SELECT c_custkey::VARCHAR AS c_custkey, c_name || '; "x"'
 
 def q_csv_quoted_breaks(spark, sf):
     """All documents as CSV: most cells of `text` hold line breaks."""
-    path = _as_csv(table(spark, sf, "documents"), "documents", quote='"', escape='"', quoteAll=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    return tables.read_csv_text(spark, path)
+    return _csv_and_back(table(spark, sf, "documents"), "documents", quoteAll=True)
 
 
 SQL_CSV_QUOTED_BREAKS = """SELECT doc_id::VARCHAR AS doc_id, text, lang, source, n_chars::VARCHAR AS n_chars FROM documents"""

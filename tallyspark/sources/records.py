@@ -99,9 +99,8 @@ def csv_lines(spark: SparkSession, path: str | list[str], sep: str, quote: str,
                     [file.slice(lo, hi - lo), start.slice(lo, hi - lo), part, *current.lines(part, sep, quote)], names=names)
 
     ship(spark)
-    raw = spark.read.text(path, lineSep="\n")
+    raw = spark.read.text(path, lineSep="\n")  # without the mark at the beginning of a file
     value = F.col("value") if charset == "UTF-8" else F.decode(F.col("value").cast("binary"), charset)
-    value = F.when(F.col("_metadata.file_block_start") == 0, F.regexp_replace(value, "^\ufeff", "")).otherwise(value)
     # Splits may fall differently when the files are read again, so the lines are kept.
     return stored(raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
                              value.alias("value")).mapInArrow(follow, LINES), "csv-lines")

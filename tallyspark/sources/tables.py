@@ -49,9 +49,10 @@ def field_count(record: Column, sep: str, quote: str) -> Column:
 
 def read_csv_text(
     spark: SparkSession, path: str | list[str], sep: str = ",", quote: str = '"', encoding: str = "UTF-8",
-    columns: Sequence[str] | None = None, keep_extra: bool = False, multi_line: bool | None = None,
+    columns: Sequence[str] | None = None, keep_extra: bool = False, multi_line: bool | None = None, null: str | None = None,
 ) -> DataFrame:
-    """CSV with a header, every cell a string; empty and absent cells are null.
+    """CSV with a header, every cell a string; empty and absent cells are null. With `null`, cells that hold this
+    word are null, and empty ones in quotes are empty texts.
 
     Every file must have the header of the first one (or `columns`) in the same order; another header is an
     error when the file is read. Files whose quoted cells hold line breaks are found by a look at the lines and
@@ -65,18 +66,20 @@ def read_csv_text(
     odd = [] if wide or multi_line is not None else quoted_break_files(spark, path, quote)
     rest = sorted(set(spark.read.text(path).inputFiles()) - set(odd)) if odd else []
     if odd and rest:
-        parts = [read_csv_text(spark, f, sep, quote, encoding, columns, keep_extra) for f in (odd, rest)]
+        parts = [read_csv_text(spark, f, sep, quote, encoding, columns, keep_extra, null=null) for f in (odd, rest)]
         return parts[0].unionByName(parts[1])
     multi_line = wide if multi_line is None else multi_line
     windows = encoding.lower() in ("cp1252", "windows-1252")
     marked = encoding.lower() == "utf-8-sig"
     charset = "ISO-8859-1" if windows or encoding.lower() == "latin-1" else "UTF-8" if marked else encoding
-    options = {"sep": sep, "quote": quote, "escape": quote, "encoding": charset, "multiLine": multi_line, "header": True,
-               "emptyValue": "", "mode": "PERMISSIVE", "columnPruning": False, "enforceSchema": marked, "columnNameOfCorruptRecord": EXTRA}
+    # Without a character of its own to escape the escape, the parser takes zero bytes for one and loses them.
+    options = {"sep": sep, "quote": quote, "escape": quote, "charToEscapeQuoteEscaping": quote, "encoding": charset, "multiLine": multi_line,
+               "header": True, "emptyValue": "", "nullValue": null or "", "mode": "PERMISSIVE", "columnPruning": False, "enforceSchema": marked,
+               "columnNameOfCorruptRecord": EXTRA}
     if columns is None:
         columns = spark.read.options(**options | {"multiLine": multi_line or bool(odd)}).csv(odd[0] if odd else path).columns
     if odd:
-        record = {k: options[k] for k in ("sep", "quote", "escape", "emptyValue", "mode")}
+        record = {k: options[k] for k in ("sep", "quote", "escape", "charToEscapeQuoteEscaping", "emptyValue", "nullValue", "mode")}
         rows = parsed_records(csv_records(csv_lines(spark, odd, sep, quote, charset)), list(columns), EXTRA, record)
     else:
         schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, EXTRA]])

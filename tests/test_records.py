@@ -4,6 +4,7 @@ import random
 
 import pytest
 
+from tallyspark.plans.sources import q_csv_quoted_breaks
 from tallyspark.sources import tables
 from tallyspark.sources.records import csv_lines, csv_records, state_behind
 
@@ -79,3 +80,15 @@ def test_long_rows_and_code_pages(spark, tmp_path):
     assert tables.read_csv_text(spark, str(tmp_path / "old.csv"), encoding="cp1252").first()["note"] == "André\n€"
     (tmp_path / "marked.csv").write_bytes('id,note\n1,"x\ny"\n'.encode("utf-8-sig"))
     assert tables.read_csv_text(spark, str(tmp_path / "marked.csv"), encoding="utf-8-sig").first()["note"] == "x\ny"
+
+
+@pytest.mark.parametrize("breaks", [True, False])
+def test_texts_come_back_as_they_were(spark, tmp_path, breaks):
+    """Null is not empty, a mark behind a line break and zero bytes beside quotes stay; with and without line breaks."""
+    texts = [None, "", " ", "null", '"', '""', "\\", ",", '","', "a\rb", "\r", "\ufeffx", "\x00", 'a"\x00', '\x00"', '\x00\x00""\x00"', " a "]
+    texts += ["\n", "\r\n", "x\n\ufeffy", '"\n', '\n"', '",\n"', 'a"\x00\n', "\n\n\ufeff\n"] if breaks else []
+    texts = texts if breaks else [t for t in texts if "\r" not in (t or "")]
+    rows = [(i, t, [None, "", "en"][i % 3], ["", None][i % 2], len(t) if t else None) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {tuple(r) for r in q_csv_quoted_breaks(spark, str(tmp_path)).collect()}
+    assert got == {(str(i), t, lang, source, n if n is None else str(n)) for i, t, lang, source, n in rows}
