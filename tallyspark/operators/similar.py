@@ -1,6 +1,6 @@
 """Rows that repeat a better row, told by the overlap of their words.
 
-Candidates come from an inverted index over prefixes: with the words of a set in one order, rare ones first, two
+Where a row has one set, similar ones meet in rooms (`rooms`). Where it has two, candidates come from an inverted index over prefixes: with the words of a set in one order, rare ones first, two
 sets of the wanted similarity share a word among the first few of either. The size of the sets and the places of
 the shared word, and sketches of the sets, leave out nearly all pairs before any set is compared: a sketch says of
 bits how many words hash there, odd or even, and two sets differ in at least as many words as their sketches in bits.
@@ -13,13 +13,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from operator import add
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from tallyspark.functions.text import plain_tokens
+from tallyspark.operators.rooms import similar_sets
 from tallyspark.session import stored
 
 EPS = 1e-9
@@ -67,16 +68,21 @@ def _met(items: DataFrame, right: str, times: DataFrame, same: float, longs: int
     return met.select(F.col("key_x").alias("x"), F.col("key_y").alias("y")).distinct()
 
 
+def hashes(words: str | Column) -> Column:
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(w)))
+
+
 def similar_pairs(items: DataFrame, same: float) -> DataFrame:
     """(x, y, share): pairs of keys of one block whose sets a (of x) and b (of y) have a Jaccard similarity of `same`
-    or more. `items`: key, block, and the word sets a and b; without b, the sets a are compared, each pair once."""
-    right = "b" if "b" in items.columns else "a"
-    words = items.select(F.explode("a").alias("word")).unionAll(items.select(F.explode(right).alias("word")))
+    or more. `items`: key, block, and the word sets a and b; without b, the sets a are compared, each pair once (`rooms`)."""
+    if "b" not in items.columns:
+        return similar_sets(stored(items.select("key", F.col("block").cast("bigint").alias("block"), hashes("a").alias("a")), "sets"), same)
+    words = items.select(F.explode("a").alias("word")).unionAll(items.select(F.explode("b").alias("word")))
     times = stored(words.groupBy("word").agg(F.count(F.lit(1)).alias("times")), "words")
     # Two large sets differ in more words than a small sketch can show.
-    pairs = reduce(DataFrame.unionAll, [_met(items, right, times, same, *c) for c in ((16, 0, LARGE), (64, LARGE, MOST))])
+    pairs = reduce(DataFrame.unionAll, [_met(items, "b", times, same, *c) for c in ((16, 0, LARGE), (64, LARGE, MOST))])
     sets = stored(pairs, "pairs").join(items.select(F.col("key").alias("x"), F.col("a").alias("of_x")), "x").join(
-        items.select(F.col("key").alias("y"), F.col(right).alias("of_y")), "y")
+        items.select(F.col("key").alias("y"), F.col("b").alias("of_y")), "y")
     common = F.size(F.array_intersect("of_x", "of_y"))
     share = common / (F.size("of_x") + F.size("of_y") - common)
     return sets.select("x", "y", share.alias("share")).where(F.col("share") >= same)
@@ -98,11 +104,12 @@ def beaten(links: DataFrame) -> DataFrame:
     return out
 
 
-def without_similar(items: DataFrame, same: float) -> DataFrame:
+def without_similar(items: DataFrame, same: float, sets: DataFrame | None = None) -> DataFrame:
     """The items that stay. Columns: key (one a row), block, sets a and b, and place, which orders them, the best
-    first. Row x repeats a better row y if a of x and b of y are similar; without b, if the sets a are."""
+    first. Row x repeats a better row y if a of x and b of y are similar; without b, if the sets a are. Items may
+    also have no sets but those of `sets`, as `similar_sets` takes them."""
     items = stored(items, "items")
-    found = similar_pairs(items, same)
+    found = similar_pairs(items, same) if sets is None else similar_sets(sets, same)
     place = items.select("key", "place")
     both = found.join(place.withColumnsRenamed({"key": "x", "place": "at_x"}), "x").join(
         place.withColumnsRenamed({"key": "y", "place": "at_y"}), "y")
@@ -114,19 +121,24 @@ def without_similar(items: DataFrame, same: float) -> DataFrame:
     return items.join(beaten(links), "key", "left_anti")
 
 
-def distinct_texts(df: DataFrame, text: str, order: Sequence[Column], same: float, block: Sequence[str] = ()) -> DataFrame:
-    """The rows of `df` that do not repeat a better one: `order` sorts them, the best first, and must tell any two
-    rows apart; rows of different `block` values never repeat each other.
+def distinct_texts(df: DataFrame, text: str, order: Sequence[Column], same: float, block: Sequence[str] = (),
+                   keep: Sequence[str] | None = None) -> DataFrame:
+    """The rows of `df` that do not repeat a better one, with the columns `keep` or all: `order` sorts them, the best
+    first, and must tell any two rows apart; rows of different `block` values never repeat each other.
 
     Texts are compared as sets of plain words. Rows with the same words are one item, its best row, however many
-    there are. Texts without words all stay.
+    there are. Texts without words and rows with a null in `block` all stay. Words are known by 64-bit hashes, sets of them by 128 bits.
     """
-    words, place = F.array_sort(plain_tokens(F.col(text))), F.struct(*order)
+    place = F.struct(*order)
+    told = reduce(and_, [F.col(f"`{c}`").isNotNull() for c in block], F.lit(True))
+    words = F.when(told, F.array_sort(plain_tokens(F.col(text)))).otherwise(F.array().cast("array<string>"))
     home = F.xxhash64(*block) if block else F.lit(0).cast("bigint")
-    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), words.alias("words"), place.alias("place"),
-                     F.to_json(F.struct(*block) if block else F.struct(F.lit(0))).alias("home"), home.alias("block"))
-    empty = rows.where(F.size("words") == 0)
-    best = rows.where(F.size("words") > 0).groupBy("home", "block", "words").agg(F.min(F.struct("place", "row")).alias("best"))
-    items = best.select(F.unhex(F.md5(F.concat(F.col("home"), F.lit("|"), F.array_join("words", " ")).cast("binary"))).alias("key"), "block",
-                        F.col("words").alias("a"), F.col("best.place").alias("place"), F.col("best.row").alias("row"))
-    return without_similar(items, same).select("row.*").unionAll(empty.select("row.*"))
+    block_text = F.to_json(F.struct(*block) if block else F.struct(F.lit(0)))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in keep or df.columns]).alias("row"), place.alias("place"), words.alias("words"),
+                     block_text.alias("home"), home.alias("block"))
+    key = F.unhex(F.md5(F.concat(F.col("home"), F.lit("|"), F.array_join("words", " ")).cast("binary")))
+    rows = stored(rows.select(key.alias("key"), "block", hashes("words").alias("a"), "place", "row"), "sets")
+    best = rows.where(F.size("a") > 0).groupBy("key").agg(F.min(F.struct("place", "row")).alias("best"))
+    items = best.select("key", F.col("best.place").alias("place"), F.col("best.row").alias("row"))
+    stay = without_similar(items, same, rows.select("key", "block", "a"))
+    return stay.select("row.*").unionAll(rows.where(F.size("a") == 0).select("row.*"))
