@@ -1,12 +1,12 @@
 """Rows that repeat a better row, told by the overlap of their words.
 
-Where a row has one set, similar ones meet in rooms (`rooms`). Where it has two, candidates come from an inverted index over prefixes: with the words of a set in one order, rare ones first, two
-sets of the wanted similarity share a word among the first few of either. The size of the sets and the places of
-the shared word, and sketches of the sets, leave out nearly all pairs before any set is compared: a sketch says of
-bits how many words hash there, odd or even, and two sets differ in at least as many words as their sketches in bits.
-Which rows stay is then settled in rounds
-over the links alone: a row with no better neighbour left stays, and its neighbours go. That is what going through
-the rows from the best to the worst would give, without putting them in one task.
+Where a row has one set, similar ones meet in rooms (`rooms`). Where it has two, candidates come from an inverted index
+over prefixes: with the words of a set in one order, rare ones first, two sets of the wanted similarity share a word
+among the first few of either. The size of the sets and the places of the shared word, and sketches of the sets, leave
+out nearly all pairs before any set is compared: a sketch says of bits how many words hash there, odd or even, and two
+sets differ in at least as many words as their sketches in bits. Which rows stay is then settled in rounds over the
+links alone: a row with no better neighbour left stays, and its neighbours go. That is what going through the rows from
+the best to the worst would give, without putting them in one task.
 """
 
 from __future__ import annotations
